@@ -2,7 +2,8 @@
 
 Texts are written once, dealt into blocks of a few MB and bucketed by block, so later passes meet the
 answers without moving the texts again. A pass turns each block into sorted 64-bit keys; keys travel packed,
-by ranges of their value (buckets), and the answer for a block is one bit a key in the block's own order.
+by ranges of their value (buckets), and the answer for a block is two bits a key in the block's own order:
+whether it occurs twice or more, and whether this block is the first that has it.
 Every block and bucket has a bounded size: more data makes more of them.
 """
 
@@ -21,7 +22,7 @@ from quire.llm.scratch import new_path
 
 BLOCKS_A_BUCKET = 4
 ASKED = "bucket int, block int, n int, keys binary, multi binary"
-ANSWERED = "block int, bucket int, pass int, bits binary"
+ANSWERED = "block int, bucket int, pass int, bits binary, lead binary"
 
 
 def write_blocks(docs: DataFrame, key: str, text: str, total_mb: float, block_mb: float) -> DataFrame:
@@ -62,32 +63,40 @@ def ask(block: int, keys: np.ndarray, buckets: int) -> pd.DataFrame:
 
 
 def answer(asked: DataFrame, number: int) -> DataFrame:
-    """For each asking row, a bit for each key: whether it occurs twice or more over all blocks."""
+    """For each asking row, two bits for each key: whether it occurs twice or more over all blocks, and nowhere in a smaller block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
         keys = np.concatenate([unpack(k) for k in pdf["keys"]])
         twice = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(pdf["multi"], pdf["n"], strict=True)]).astype(bool)
         order = np.argsort(keys, kind="stable")
         same = keys[order[1:]] == keys[order[:-1]]
         twice[order[1:][same]] = twice[order[:-1][same]] = True
+        lead = np.ones(len(keys), bool)
+        lead[order[1:][same]] = False
         ends = np.cumsum(pdf["n"].to_numpy())
-        bits = [np.packbits(twice[e - n : e]).tobytes() for e, n in zip(ends, pdf["n"], strict=True)]
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "pass": np.int32(number), "bits": bits})
+        bits, leads = ([np.packbits(x[e - n : e]).tobytes() for e, n in zip(ends, pdf["n"], strict=True)] for x in (twice, lead))
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "pass": np.int32(number), "bits": bits, "lead": leads})
 
     return asked.groupBy("bucket").applyInPandas(run, ANSWERED)
 
 
-def hear(answers: pd.DataFrame, number: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """For each of a block's keys, whether it occurs twice or more, from the answers to pass ``number``."""
-    u, back = np.unique(keys, return_inverse=True)
+def hear(answers: pd.DataFrame, number: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a block's keys, from the answers to pass ``number``: whether it occurs twice or more, and whether this is
+    its first occurrence (in the first block that has it, and there at the lowest place)."""
+    u, first, back = np.unique(keys, return_index=True, return_inverse=True)
     edges = bucket_edges(u, buckets)
-    bits = dict(zip(answers.loc[answers["pass"] == number, "bucket"], answers.loc[answers["pass"] == number, "bits"], strict=True))
-    twice = np.zeros(len(u), np.uint8)
+    mine = answers[answers["pass"] == number]
+    bits = dict(zip(mine["bucket"], zip(mine["bits"], mine["lead"], strict=True), strict=True))
+    both = np.zeros((2, len(u)), np.uint8)
     for b in range(buckets):
         i, j = edges[b], edges[b + 1]
         if j > i:
-            twice[i:j] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=j - i)
-    return twice[back].astype(bool)
+            for k in range(2):
+                both[k, i:j] = np.unpackbits(np.frombuffer(bits[b][k], np.uint8), count=j - i)
+    lead = np.zeros(len(keys), bool)
+    lead[first] = both[1].astype(bool)
+    return both[0][back].astype(bool), lead
 
 
 def with_answers(table: DataFrame, answers: DataFrame | None, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -7,10 +7,10 @@ A suffix array of the corpus would show every string of 200 bytes that occurs tw
    have a common shift below 73 that takes both into the sample. The sample suffixes are sorted by their first
    127 bytes. If two strings of 200 bytes are equal, so are two sample suffixes that begin within their first 73
    bytes; so the ranks of the sample settle nearly all suffixes as untied.
-2. Long ties. Tied sample suffixes are sorted to the full depth; those still tied mark 200 bytes each, and with
-   them the inside of every long repeat.
-3. Bucketed sort. What remains are suffixes near the ends of repeats. They are sorted to the full depth in
-   buckets of a bounded size.
+2. Long ties. Tied sample suffixes are sorted by their first 273 bytes. Those still tied mark these bytes, and the
+   73 suffixes after each are tied with those after the first of its equals, for which they need not be sorted.
+3. Bucketed sort. What remains, suffixes near the ends of repeats and one of each long tie, is sorted to the full
+   depth in buckets of a bounded size.
 
 Fingerprints have 64 bits: n suffixes at full depth show a false tie with odds of about n**2 / 2**65.
 """
@@ -61,21 +61,20 @@ class Block:
         member[COVER] = True
         return np.flatnonzero(member[self.offset % PERIOD] & (self.room >= self.short))
 
-    def cover(self, at: np.ndarray) -> np.ndarray:
-        """Bytes within ``length`` of the positions."""
+    def spread(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Places less than ``length`` after distinct positions."""
         change = np.zeros(self.n + 1, np.int32)
-        change[at] += 1  # positions are distinct
-        change[at + self.length] -= 1
+        change[at] += 1
+        change[at + length] -= 1
         return np.cumsum(change[: self.n]) > 0
 
-    def inner(self, tied: np.ndarray, marked: np.ndarray) -> np.ndarray:
-        """Suffixes with a tied sample suffix among their first PERIOD and not wholly within marked bytes."""
-        near = np.zeros(self.n + 1, np.int64)
-        near[tied] = 1
-        near = np.concatenate(([0], np.cumsum(near)))
-        free = np.concatenate(([0], np.cumsum(~marked)))
-        at = np.flatnonzero(self.room >= self.length)
-        return at[(near[np.minimum(at + PERIOD, self.n)] > near[at]) & (free[at + self.length] > free[at])]
+    def tied(self, sample: np.ndarray, settled: np.ndarray) -> np.ndarray:
+        """Suffixes with a tied sample suffix among their first PERIOD and not settled."""
+        near = np.zeros(self.n + PERIOD + 1, np.int64)
+        near[sample + 1] = 1
+        near = np.cumsum(near)
+        at = np.flatnonzero((self.room >= self.length) & ~settled)
+        return at[near[at + PERIOD] > near[at]]
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -91,32 +90,42 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     buckets = max(8, math.ceil(total / BUCKET_MB))
     table = write_blocks(docs, key, text, total, BLOCK_MB)
 
-    def first(rows: pd.DataFrame, _) -> pd.DataFrame:
-        b = Block(rows["text"], length)
-        return ask(rows["block"].iloc[0], b.names(b.sample(), b.short), buckets)
+    def block(rows: pd.DataFrame) -> tuple[pd.DataFrame, Block]:
+        rows = rows.sort_values(["id", "text"])  # the same order in each pass
+        return rows, Block(rows["text"], length)
+
+    def asked(rows: pd.DataFrame, keys: np.ndarray) -> pd.DataFrame:
+        return ask(rows["block"].iloc[0], keys, buckets)
 
-    def tied_sample(b: Block, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def sample_ties(b: Block, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Tied sample suffixes, and those of them with room for a long tie."""
         at = b.sample()
-        at = at[hear(answers, 1, b.names(at, b.short), buckets)]
-        return at, at[b.room[at] >= length]
+        at = at[hear(answers, 1, b.names(at, b.short), buckets)[0]]
+        return at, at[b.room[at] >= length + PERIOD]
 
-    def second(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        b = Block(rows["text"], length)
-        return ask(rows["block"].iloc[0], b.names(tied_sample(b, answers)[1], length), buckets)
+    def open_suffixes(b: Block, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes left to be sorted, and bytes in long ties."""
+        sample, long = sample_ties(b, answers)
+        twice, lead = hear(answers, 2, b.names(long, length + PERIOD), buckets)
+        settled = b.spread(long[twice & ~lead], PERIOD + 1)
+        return b.tied(sample, settled), b.spread(long[twice], length + PERIOD)
 
-    def last_suffixes(b: Block, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        tied, long = tied_sample(b, answers)
-        marked = b.cover(long[hear(answers, 2, b.names(long, length), buckets)])
-        return b.inner(tied, marked), marked
+    def first(rows: pd.DataFrame, _) -> pd.DataFrame:
+        rows, b = block(rows)
+        return asked(rows, b.names(b.sample(), b.short))
+
+    def second(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        rows, b = block(rows)
+        return asked(rows, b.names(sample_ties(b, answers)[1], length + PERIOD))
 
     def third(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        b = Block(rows["text"], length)
-        return ask(rows["block"].iloc[0], b.names(last_suffixes(b, answers)[0], length), buckets)
+        rows, b = block(rows)
+        return asked(rows, b.names(open_suffixes(b, answers)[0], length))
 
     def final(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        b = Block(rows["text"], length)
-        at, marked = last_suffixes(b, answers)
-        marked |= b.cover(at[hear(answers, 3, b.names(at, length), buckets)])
+        rows, b = block(rows)
+        at, marked = open_suffixes(b, answers)
+        marked |= b.spread(at[hear(answers, 3, b.names(at, length), buckets)[0]], length)
         spans, kept = [], []
         for i, raw in enumerate(b.raw):
             m = marked[b.bounds[i] : b.bounds[i + 1]]
