@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.blocks import bucket_edges, pack, unpack, with_answers, write_blocks
 from quire.llm.scratch import cut, text_mb
-from quire.llm.words import Batch
+from quire.llm.words import Batch, parts
 
 #: Counts above this aren't discounted.
 KATZ_K = 5
@@ -30,8 +30,6 @@ START, END = np.uint64(2**64 - 1), np.uint64(0x454E44454E44454E)
 BLOCK_MB = 12
 #: Bytes of text whose words, and whose pairs, meet in one bucket.
 WORD_BUCKET_MB, PAIR_BUCKET_MB = 40, 10
-#: Texts fingerprinted at once within a block.
-PART_BYTES = 2_000_000
 
 
 def good_turing(counts: list[int]) -> np.ndarray:
@@ -82,14 +80,11 @@ class Tokens:
 
     def __init__(self, rows: pd.DataFrame, fold: tuple[int, int]) -> None:
         texts = rows["text"].tolist()
-        hashes, counts, at = [], [], 0
-        sizes = np.cumsum([len(t) if t else 0 for t in texts])
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, "right")))
-            b = Batch(texts[at:to], lower=True)
+        hashes, counts = [], []
+        for i, j in parts(texts):
+            b = Batch(texts[i:j], lower=True)
             hashes.append(b.hashes)
             counts.append(b.counts())
-            at = to
         n = np.concatenate(counts) + 1
         self.ends = np.cumsum(n)
         self.words = np.empty(self.ends[-1], np.uint64)

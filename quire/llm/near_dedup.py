@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.scratch import cut, with_rows_of
-from quire.llm.words import Batch, mix, shingles
+from quire.llm.words import Batch, mix, parts, shingles
 
 #: Bands and rows a band: at a similarity of 0.8 a pair is missed with odds of 5e-8, at 0.85 of 6e-11.
 BANDS, ROWS = 32, 4
@@ -51,8 +51,11 @@ def _sign(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def text_sets(texts, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle fingerprints of each text."""
-    b = Batch(texts, lower=True)
-    return [np.unique(shingles(b.hashes[i:j], size)) for i, j in zip(b.offsets[:-1], b.offsets[1:], strict=True)]
+    texts, out = list(texts), []
+    for i, j in parts(texts):
+        b = Batch(texts[i:j], lower=True)
+        out += [np.unique(shingles(b.hashes[x:y], size)) for x, y in zip(b.offsets[:-1], b.offsets[1:], strict=True)]
+    return out
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.boosting import Forest, train
 from quire.llm.scratch import cut
-from quire.llm.words import Batch, M, mix
+from quire.llm.words import Batch, M, mix, parts
 
 #: At most so many labelled documents are used to fit the trees.
 TRAIN_ROWS = 20_000
@@ -63,6 +63,12 @@ def _dup_lines(raw: bytes) -> tuple[int, int]:
 
 def statistics(texts) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The base counts (see ``BASE``) of each text, and its row of features."""
+    texts = list(texts)
+    got = [_statistics(texts[i:j]) for i, j in parts(texts)] or [_statistics([])]
+    return {c: np.concatenate([base[c] for base, _ in got]) for c in BASE}, np.concatenate([x for _, x in got])
+
+
+def _statistics(texts: list) -> tuple[dict[str, np.ndarray], np.ndarray]:
     b = Batch(texts, lower=False)
     data, n = b.data, b.counts()
     space = (data == 32) | ((data >= 9) & (data <= 13))

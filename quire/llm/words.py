@@ -44,6 +44,21 @@ def prefix_hash(data: np.ndarray, power: np.ndarray, seed: int = 1) -> np.ndarra
     return h
 
 
+#: Characters fingerprinted at once: working arrays take some 60 bytes for each byte of text.
+PART = 1_000_000
+
+
+def parts(texts) -> list[tuple[int, int]]:
+    """(from, to) of runs of texts with about ``PART`` characters; a longer text is a run of its own."""
+    ends = np.cumsum([len(t) if t else 0 for t in texts])
+    out, at = [], 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+        out.append((at, to))
+        at = to
+    return out
+
+
 class Batch:
     """Words of several texts: ``hashes`` of all words in order, and ``offsets`` of each text's words."""
 
