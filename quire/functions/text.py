@@ -1,4 +1,4 @@
-"""Word functions as column expressions: they stay inside the JVM."""
+"""Text functions as column expressions: they stay inside the JVM."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once even where body uses it for every item of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokenize(text: Column) -> Column:
     """Words between runs of white space, in order, without empty ones."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -14,3 +19,98 @@ def tokenize(text: Column) -> Column:
 def strip_edges(word: Column) -> Column:
     """A word without punctuation at either end: letters, numbers and apostrophes stay."""
     return F.regexp_replace(word, r"^[^\p{L}\p{N}'’]+|[^\p{L}\p{N}'’]+$", "")
+
+
+def same_word(a: Column, b: Column) -> Column:
+    """Equal apart from punctuation at the edges."""
+    return strip_edges(a) == strip_edges(b)
+
+
+def collapse(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def normalize_spaces(text: Column, mode: str) -> Column:
+    """White space by mode: preserve, normalize (runs become one space), trim-edges, or both."""
+    if mode == "preserve":
+        return text
+    if mode == "trim-edges":
+        return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return collapse(text) if mode == "both" else F.regexp_replace(text, r"\s+", " ")
+
+
+def escape_xml(text: Column) -> Column:
+    """Text for XML: the five reserved characters and the no-break space as entities."""
+    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
+    for char, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), (" ", "&#160;")):
+        out = F.replace(out, F.lit(char), F.lit(name))
+    return out
+
+
+def escape_tsv(field: Column) -> Column:
+    """A field for a tab-separated file: quoted, with doubled quotes, if it holds a tab, a quote or a line end."""
+    quoted = F.concat(F.lit('"'), F.replace(field, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(field.rlike('[\t"\n\r]'), quoted).otherwise(field)
+
+
+def nth_place(text: Column, part: Column, n: int) -> Column:
+    """Zero-based place of the n-th occurrence of ``part`` (occurrences may overlap), or -1."""
+
+    def places(t: Column) -> Column:
+        last = F.length(t) - F.length(part) + 1
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: (i <= last) & (F.substr(t, i, F.length(part)) == part))
+        return F.coalesce(F.get(starts, F.lit(n - 1)) - 1, F.lit(-1))
+
+    return F.when(F.instr(text, part) > 0 if isinstance(part, str) else F.contains(text, part), let(text, places)).otherwise(F.lit(-1)).cast("long")
+
+
+def positional_similarity(a: Column, b: Column) -> Column:
+    """Share of places with the same character, of the longer text; 1 for two empty texts."""
+    longest = F.greatest(F.length(a), F.length(b))
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x == y) & (x != ""), 1).otherwise(0))
+    return F.when(longest == 0, 1.0).otherwise(F.aggregate(same, F.lit(0), lambda s, x: s + x) / longest)
+
+
+def needs_space(left: Column, right: Column) -> Column:
+    """Whether two fragments of running text are joined by a space: not at white space, before closing or after opening marks."""
+    touching = left.rlike(r"\s$") | right.rlike(r"^\s") | right.rlike(r"^[.,;:!?)\]}»”’…]") | left.rlike(r"[(\[{«“‘]$")
+    return (left != "") & (right != "") & ~touching
+
+
+def join_fragments(parts: Column) -> Column:
+    """Fragments as running text with ``needs_space``."""
+    return F.aggregate(parts, F.lit(""), lambda s, x: F.concat(s, F.when(needs_space(s, x), " ").otherwise(""), x))
+
+
+def git_blob_id(content: Column) -> Column:
+    """The id that git gives a file with this content."""
+    data = F.encode(content, "UTF-8")
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "UTF-8"), F.unhex(F.lit("00")), data))
+
+
+def strip_tags(xml: Column) -> Column:
+    """Each tag as a space; an unclosed < stays."""
+    return F.regexp_replace(xml, "<[^>]*>", " ")
+
+
+def tag_names(xml: Column) -> Column:
+    """Names of all opening tags, in order."""
+    return F.regexp_extract_all(xml, F.lit(r"<([A-Za-z][\w:.-]*)"), 1)
+
+
+def slug(name: Column) -> Column:
+    """A name for a repository or branch: lower case, runs of other characters as one dash."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def title_from_path(path: Column) -> Column:
+    """The last segment of a link without its extension, its dash-separated words capitalised."""
+    last = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")
+    return F.array_join(F.transform(F.split(last, "-"), lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2)))), " ")
+
+
+def hash31(text: Column) -> Column:
+    """A 32-bit polynomial hash with multiplier 31 over code points, as an unsigned number."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % (2**32))

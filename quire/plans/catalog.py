@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import text_queries
+from quire.plans import log_queries, structure_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE_SQL}
+PARTS = (text_queries, structure_queries, log_queries)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
