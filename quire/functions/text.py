@@ -56,13 +56,9 @@ def escape_tsv(field: Column) -> Column:
 
 def nth_place(text: Column, part: Column, n: int) -> Column:
     """Zero-based place of the n-th occurrence of ``part`` (occurrences may overlap), or -1."""
-
-    def places(t: Column) -> Column:
-        last = F.length(t) - F.length(part) + 1
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: (i <= last) & (F.substr(t, i, F.length(part)) == part))
-        return F.coalesce(F.get(starts, F.lit(n - 1)) - 1, F.lit(-1))
-
-    return F.when(F.instr(text, part) > 0 if isinstance(part, str) else F.contains(text, part), let(text, places)).otherwise(F.lit(-1)).cast("long")
+    step = lambda p, _: F.coalesce(F.nullif(F.call_function("locate", part, text, p + 1), F.lit(0)), F.lit(-1))
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), step)
+    return F.when(place > 0, place - 1).otherwise(-1).cast("long")
 
 
 def positional_similarity(a: Column, b: Column) -> Column:

@@ -116,7 +116,12 @@ def _attribute_text(attrs: Column) -> Column:
 def render_xml(node: DataFrame, key: str, html: bool = False) -> DataFrame:
     """(key, text): the nodes as XML (para, char, note, chapter, verse with sid and eid, ms), or as plain HTML."""
     w = W.partitionBy(key).orderBy("pos")
-    rows = node.withColumns({"__open": F.max(F.when(F.col("kind") == "paragraph", F.col("para"))).over(w.rowsBetween(W.unboundedPreceding, -1)), "__sid": F.last("sid", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), "__last": F.row_number().over(W.partitionBy(key).orderBy(F.desc("pos"))) == 1})
+    open_para = F.last(F.when((F.col("kind") == "paragraph") & ~F.col("closing"), F.col("style") != "chapter"), ignorenulls=True)
+    before, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
+    last = F.row_number().over(W.partitionBy(key).orderBy(F.desc("pos"))) == 1
+    rows = node.withColumns({"__open": F.coalesce(open_para.over(before), F.lit(False)), "__left": F.coalesce(open_para.over(upto), F.lit(False)), "__sid": F.last("sid", ignorenulls=True).over(before), "__last": last})
+    # the verse that is open before a row: none once a chapter has begun, until its first verse
+    rows = rows.withColumn("__sid", F.when(F.lag("sid").over(w).isNotNull(), F.col("__sid")))
     inner = escape_xml(F.col("text"))
     style = F.concat(F.lit(' style="'), "marker", F.lit('"'))
     opens = ~F.col("closing")
@@ -127,17 +132,18 @@ def render_xml(node: DataFrame, key: str, html: bool = False) -> DataFrame:
         start = start.when((F.col("kind") == "note") & opens, F.concat(F.lit("<sup>"), inner)).when(F.col("kind") == "note", F.concat(F.lit("</sup>"), inner))
         start = start.when(F.col("style").isin("chapter", "verse") & opens, F.concat(tag("span", F.concat(F.lit(' class="'), "marker", F.lit('"'))), "number", F.lit("</span>"), inner))
         start = start.when((F.col("kind") == "character") & opens, F.concat(tag("span", F.concat(F.lit(' class="'), "marker", F.lit('"'))), inner)).when(F.col("kind") == "character", F.concat(F.lit("</span>"), inner)).otherwise(inner)
-        closes = F.when(paragraph & F.col("__open").isNotNull(), "</p>").otherwise("")
-        ends = F.when(F.col("__last"), "</p>").otherwise("")
+        closes = F.when((F.col("kind") == "paragraph") & opens & F.col("__open"), "</p>").otherwise("")
+        ends = F.when(F.col("__last") & F.col("__left"), "</p>").otherwise("")
     else:
-        eid = F.when((F.col("style").isin("verse", "chapter") | F.col("__last")) & F.col("__sid").isNotNull(), F.concat(F.lit('<verse eid="'), "__sid", F.lit('"/>'))).otherwise("")
+        end_of = lambda sid: F.when(sid.isNotNull(), F.concat(F.lit('<verse eid="'), sid, F.lit('"/>'))).otherwise("")
+        eid = F.when(F.col("style").isin("verse", "chapter") & opens, end_of(F.col("__sid"))).otherwise("")
         milestone = F.concat(F.lit("<ms"), style, _attribute_text(F.col("attrs")), F.lit("/>"))
         numbered = lambda name: F.concat(F.lit(f'<{name} number="'), "number", F.lit('"'), style, F.when(F.col("sid").isNotNull() & F.lit(name == "verse"), F.concat(F.lit(' sid="'), "sid", F.lit('"'))).otherwise(""), F.lit("/>"))
         start = F.when(paragraph, F.concat(tag("para", style), inner)).when((F.col("style") == "chapter") & opens, numbered("chapter")).when((F.col("style") == "verse") & opens, F.concat(numbered("verse"), inner))
         start = start.when((F.col("kind") == "note") & opens, F.concat(tag("note", style), inner)).when(F.col("kind") == "note", F.concat(F.lit("</note>"), inner))
         start = start.when((F.col("kind") == "milestone") & opens, F.concat(milestone, inner)).when((F.col("kind") == "character") & opens, F.concat(tag("char", style, _attribute_text(F.col("attrs"))), inner)).when(F.col("kind") == "character", F.concat(F.lit("</char>"), inner)).otherwise(inner)
-        closes = F.concat(F.when(F.col("style") == "verse", eid).when(F.col("style") == "chapter", eid).otherwise(""), F.when((F.col("kind") == "paragraph") & opens & F.col("__open").isNotNull(), "</para>").otherwise(""))
-        ends = F.when(F.col("__last"), F.concat(eid, F.lit("</para>"))).otherwise("")
+        closes = F.concat(eid, F.when((F.col("kind") == "paragraph") & opens & F.col("__open"), "</para>").otherwise(""))
+        ends = F.when(F.col("__last"), F.concat(end_of(F.col("sid")), F.when(F.col("__left"), "</para>").otherwise(""))).otherwise("")
     pieces = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.concat(closes, start, ends).alias("t"))))
     return rows.groupBy(key).agg(F.array_join(F.transform(pieces, lambda x: x["t"]), "").alias("text"))
 

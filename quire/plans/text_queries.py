@@ -105,10 +105,9 @@ FROM t""",
 WITH t AS (SELECT DISTINCT unnest({WORDS.format("text")}) AS surface FROM documents)
 SELECT surface, regexp_replace(surface, '^[^\p{{L}}\p{{N}}''’]+|[^\p{{L}}\p{{N}}''’]+$', '', 'g') AS norm FROM t""",
     "nth_substring": """
-SELECT doc_id,
-  CAST(coalesce(list_filter(range(1, length(text)), lambda i: substr(text, i, 2) = 'th')[3] - 1, -1) AS BIGINT) AS third_th,
-  CAST(coalesce(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) = 'e')[5] - 1, -1) AS BIGINT) AS fifth_e
-FROM documents""",
+WITH s AS (SELECT doc_id, string_split(text, 'th') AS a, string_split(text, 'e') AS b FROM documents)
+SELECT doc_id, CAST(CASE WHEN len(a) > 3 THEN length(array_to_string(a[1:3], 'th')) ELSE -1 END AS BIGINT) AS third_th,
+  CAST(CASE WHEN len(b) > 5 THEN length(array_to_string(b[1:5], 'e')) ELSE -1 END AS BIGINT) AS fifth_e FROM s""",
     "char_similarity": """
 WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations)
 SELECT conv_id, turn, round(CASE WHEN greatest(length(text), length(after)) = 0 THEN 1.0::DOUBLE ELSE

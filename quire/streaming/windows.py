@@ -39,8 +39,9 @@ def number_entries(entries: DataFrame, user: str = "user_id", order: str = "even
 
 
 def read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """The events as a stream of files. A streamed path has to be a folder or a pattern, and the table may be a single file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def folder(spark: SparkSession, name: str) -> str:
