@@ -125,12 +125,15 @@ def render_xml(node: DataFrame, key: str, html: bool = False) -> DataFrame:
     inner = escape_xml(F.col("text"))
     style = F.concat(F.lit(' style="'), "marker", F.lit('"'))
     opens = ~F.col("closing")
+    # parts of notes and table cells have no closers of their own: each holds its own text
+    part = F.col("style").isin("note part", "cell")
     paragraph = (F.col("kind") == "paragraph") & opens & ~F.col("style").isin("chapter")
     tag = lambda name, *more: F.concat(F.lit(f"<{name}"), *more, F.lit(">"))
     if html:
         start = F.when(paragraph, F.concat(tag("p", F.concat(F.lit(' class="'), "marker", F.lit('"'))), inner))
         start = start.when((F.col("kind") == "note") & opens, F.concat(F.lit("<sup>"), inner)).when(F.col("kind") == "note", F.concat(F.lit("</sup>"), inner))
         start = start.when(F.col("style").isin("chapter", "verse") & opens, F.concat(tag("span", F.concat(F.lit(' class="'), "marker", F.lit('"'))), "number", F.lit("</span>"), inner))
+        start = start.when(part & opens, F.concat(tag("span", F.concat(F.lit(' class="'), "marker", F.lit('"'))), inner, F.lit("</span>"))).when(part, inner)
         start = start.when((F.col("kind") == "character") & opens, F.concat(tag("span", F.concat(F.lit(' class="'), "marker", F.lit('"'))), inner)).when(F.col("kind") == "character", F.concat(F.lit("</span>"), inner)).otherwise(inner)
         closes = F.when((F.col("kind") == "paragraph") & opens & F.col("__open"), "</p>").otherwise("")
         ends = F.when(F.col("__last") & F.col("__left"), "</p>").otherwise("")
@@ -141,6 +144,7 @@ def render_xml(node: DataFrame, key: str, html: bool = False) -> DataFrame:
         numbered = lambda name: F.concat(F.lit(f'<{name} number="'), "number", F.lit('"'), style, F.when(F.col("sid").isNotNull() & F.lit(name == "verse"), F.concat(F.lit(' sid="'), "sid", F.lit('"'))).otherwise(""), F.lit("/>"))
         start = F.when(paragraph, F.concat(tag("para", style), inner)).when((F.col("style") == "chapter") & opens, numbered("chapter")).when((F.col("style") == "verse") & opens, F.concat(numbered("verse"), inner))
         start = start.when((F.col("kind") == "note") & opens, F.concat(tag("note", style), inner)).when(F.col("kind") == "note", F.concat(F.lit("</note>"), inner))
+        start = start.when(part & opens, F.concat(F.when(F.col("style") == "cell", tag("cell", style)).otherwise(tag("char", style)), inner, F.when(F.col("style") == "cell", "</cell>").otherwise("</char>"))).when(part, inner)
         start = start.when((F.col("kind") == "milestone") & opens, F.concat(milestone, inner)).when((F.col("kind") == "character") & opens, F.concat(tag("char", style, _attribute_text(F.col("attrs"))), inner)).when(F.col("kind") == "character", F.concat(F.lit("</char>"), inner)).otherwise(inner)
         closes = F.concat(eid, F.when((F.col("kind") == "paragraph") & opens & F.col("__open"), "</para>").otherwise(""))
         ends = F.when(F.col("__last"), F.concat(end_of(F.col("sid")), F.when(F.col("__left"), "</para>").otherwise(""))).otherwise("")

@@ -131,8 +131,8 @@ def read_usx(rows: DataFrame, key: str, text: str) -> DataFrame:
     steps = (
         (r"(?s)<\?xml.*?\?>|</?usx[^>]*>|<verse [^>]*eid=[^>]*/>|<chapter [^>]*eid=[^>]*/>", ""),
         (r'<book [^>]*code="([^"]+)"[^>]*>', r"\\id $1 "), (r"</book>", "\n"),
-        (r'<chapter [^>]*number="([^"]+)"[^>]*/>', r"\\c $1\n"), (r'<verse [^>]*number="([^"]+)"[^>]*/>', r"\\v $1 "),
-        (r'<para [^>]*style="([^"]+)"[^>]*/>', r"\\$1\n"), (r'<para [^>]*style="([^"]+)"[^>]*>', r"\\$1 "), (r"</para>", "\n"),
+        (r'<chapter [^>]*number="([^"]+)"[^>]*/>', "\\\\c $1\n"), (r'<verse [^>]*number="([^"]+)"[^>]*/>', r"\\v $1 "),
+        (r'<para [^>]*style="([^"]+)"[^>]*/>', "\\\\$1\n"), (r'<para [^>]*style="([^"]+)"[^>]*>', r"\\$1 "), (r"</para>", "\n"),
         (r'<ms [^>]*style="([^"]+)"[^>]*/>', r"\\$1\\*"),
         (r'(?s)<note [^>]*style="([^"]+)"[^>]*>(.*?)</note>', r"\\$1 + $2\\$1*"), (r'(?s)<char [^>]*style="([^"]+)"[^>]*>([^<]*)</char>', r"\\$1 $2\\$1*"),
         (r"<optbreak ?/>", "//"), ("<[^>]*>", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"), (r"\n\s*\n", "\n"),
