@@ -2,12 +2,13 @@
 
 Each distinct shingle set is signed once (exact copies are one class, so a text repeated a million
 times costs one signature in what follows). MinHash values give band keys; documents that share a band
-key are candidates. The same values, folded into a parity bitmap (an odd sketch), give a sharp estimate
-of high similarities from the population count of an XOR, which decides whose full texts are compared.
+key are candidates. MinHash samples of 1,024 bins, folded into a parity bitmap (an odd sketch), give a sharp
+estimate of high similarities from the population count of an XOR, which decides whose full texts are compared.
 
-Candidates of a bucket are never expanded into all pairs: every member is compared with the bucket's
-smallest id; only members whose component still differs from that of the bucket's leader are then
-compared with the rest of the bucket, in blocks, so no link between components is lost.
+Candidates of a bucket are never expanded into rows of all pairs. Every member is compared with the bucket's
+smallest id. Members whose component still differs from the leader's then meet the rest of the bucket, in blocks
+of a bounded size that hold sketches and sets; each proposes its best link to every component that it has one to.
+So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ from quire.llm.words import Batch, mix, parts, shingles
 
 #: Bands and rows a band: at a similarity of 0.8 a pair is missed with odds of 5e-8, at 0.85 of 6e-11.
 BANDS, ROWS = 32, 4
-SKETCH_WORDS = 16
+#: Bins of the sketch's MinHash samples, and bits of the sketch.
+BINS, BITS = 1024, 2048
 #: Shingles signed at once, so that the working arrays stay in cache.
 CHUNK = 100_000
-#: Members and strays of an open bucket that meet in one task.
-MEMBERS, STRAYS = 4096, 256
+#: Shingles of all members, and of members apart from the leader, that meet in one group.
+MEMBERS, STRAYS = 1_000_000, 250_000
 
 
-def _sign(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x BANDS) and odd sketches (texts x SKETCH_WORDS) of shingle runs that begin at starts."""
+def _band_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Band keys (texts x BANDS) of shingle runs that begin at starts."""
     k = BANDS * ROWS
     factors = np.random.default_rng(7).integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     low = np.empty((k, len(starts)), np.uint64)
@@ -44,9 +46,30 @@ def _sign(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     keys = np.zeros((BANDS, len(starts)), np.uint64)
     for r in range(ROWS):
         keys = mix(keys + low[r::ROWS])
-    bit = (low >> np.uint64(54)).astype(np.int64) + np.arange(len(starts)) * SKETCH_WORDS * 64
-    odd = np.bincount(bit.ravel(), minlength=len(starts) * SKETCH_WORDS * 64) & 1
-    return keys.T, np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(starts), SKETCH_WORDS)
+    return keys.T
+
+
+def odd_sketch(shingle_set: np.ndarray) -> tuple[int, bytes]:
+    """(bins that aren't empty, parity bitmap) of a sorted set: the smallest value of each bin flips a bit."""
+    bins = shingle_set >> np.uint64(64 - BINS.bit_length() + 1)
+    least = shingle_set[np.concatenate(([True], bins[1:] != bins[:-1]))] if len(shingle_set) else shingle_set
+    bit = mix(least) >> np.uint64(64 - BITS.bit_length() + 1)
+    return len(least), np.packbits((np.bincount(bit.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def likely(odd: np.ndarray, filled: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated similarity, whether it is within five standard deviations of the threshold or above) of pairs.
+
+    odd: set bits of the XOR of two sketches; filled and sizes: sums of both sides' non-empty bins and set sizes.
+    The samples that differ number -BITS / 2 * ln(1 - 2 odd / BITS), and half of the rest are shared.
+    """
+    t = percent / 100
+    differ = -BITS / 2 * np.log(np.maximum(1 - 2 * odd / BITS, 1e-3))
+    shared = (filled - differ) / 2
+    union = sizes / (1 + t)  # at the threshold, as are the bins that the union fills
+    bins = BINS * -np.expm1(-union / BINS)
+    noise = bins * t * (1 - t) * np.maximum(1 - bins / union, 0.05) + (BITS / 4 * np.expm1(4 * differ / BITS) - differ) / 4 + 1
+    return shared / bins, shared >= t * bins - 5 * np.sqrt(noise)
 
 
 def text_sets(texts, size: int) -> list[np.ndarray]:
@@ -59,7 +82,7 @@ def text_sets(texts, size: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, n_shingles, f1, f2, bands, sketch): f1 and f2 name the shingle set, bands are empty for an empty set."""
+    """(id, n_shingles, f1, f2, bands, filled, sketch): f1 and f2 name the shingle set, bands are empty for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -68,7 +91,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
             f2 = np.array([mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
             bands: list = [[] for _ in sets]
-            sketch: list = [[] for _ in sets]
+            filled, sketch = zip(*map(odd_sketch, sets), strict=True) if sets else ((), ())
             full = np.flatnonzero(n)
             ends = np.cumsum(n[full])
             at = 0
@@ -76,30 +99,33 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
                 part = full[at:to]
                 starts = np.concatenate(([0], np.cumsum(n[part])[:-1]))
-                keys, odd = _sign(np.concatenate([sets[i] for i in part]), starts)
-                for i, b, o in zip(part, keys.view(np.int64), odd.view(np.int64), strict=True):
-                    bands[i], sketch[i] = b, o
+                for i, keys in zip(part, _band_keys(np.concatenate([sets[i] for i in part]), starts).astype(np.int64), strict=True):
+                    bands[i] = keys
                 at = to
-            yield pd.DataFrame({"id": pdf["id"], "n_shingles": n, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "bands": bands, "sketch": sketch})
+            yield pd.DataFrame({"id": pdf["id"], "n_shingles": n, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "bands": bands, "filled": filled, "sketch": sketch})
 
     # ids travel as text, as pandas would turn a column with nulls into floats
     rows = docs.select(F.col(key).cast("long").cast("string").alias("id"), F.col(text).alias("text"))
-    made = rows.mapInPandas(run, "id string, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    made = rows.mapInPandas(run, "id string, n_shingles long, f1 long, f2 long, bands array<long>, filled int, sketch binary")
     return made.withColumn("id", F.col("id").cast("long"))
 
 
-def _estimate(x: str, y: str):
-    """Similarity from the odd sketches in columns x and y: 1 + bits / (4 k) * ln(1 - 2 * odd / bits)."""
-    bits = SKETCH_WORDS * 64
-    odd = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    rest = F.greatest(1 - 2 * odd / F.lit(float(bits)), F.lit(1e-3))
-    return 1 + F.log(rest) * (bits / (4.0 * BANDS * ROWS))
+def _bits(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, BITS // 64)
 
 
-def _floor(percent: int) -> float:
-    """Five standard deviations of the estimate below the threshold."""
-    t = percent / 100
-    return t - 5 * float(np.sqrt(t * (1 - t) / (BANDS * ROWS))) - 0.02
+def _likely_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches are near enough."""
+    for end in "ab":
+        pairs = pairs.join(reps.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("size", "filled", "sketch")]), end)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            odd = np.bitwise_count(_bits(p["sketch_a"]) ^ _bits(p["sketch_b"])).sum(axis=1)
+            good = likely(odd, (p["filled_a"] + p["filled_b"]).to_numpy(), (p["size_a"] + p["size_b"]).to_numpy(), percent)[1]
+            yield p.loc[good, ["a", "b"]]
+
+    return pairs.mapInPandas(run, "a long, b long")
 
 
 def confirmed(docs: DataFrame, key: str, text: str, size: int, percent: int, pairs: DataFrame) -> DataFrame:
@@ -141,32 +167,62 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _open_pairs(rows: DataFrame, reps: DataFrame, labels: DataFrame, floor: float) -> DataFrame:
-    """Candidate pairs between components within buckets whose members aren't all of the leader's component."""
+def _links(stray: pd.Series, m: pd.DataFrame, bits: np.ndarray, bands: np.ndarray, percent: int) -> np.ndarray:
+    """Ids of the best link of a stray to each other component among the members m of its bucket."""
+    odd = np.bitwise_count(bits ^ np.frombuffer(stray["sketch"], np.uint64)).sum(axis=1)
+    near = likely(odd, m["filled"].to_numpy() + stray["filled"], m["size"].to_numpy() + stray["size"], percent)[1]
+    hit = np.flatnonzero(near & (m["comp"].to_numpy() != stray["comp"]))
+    if len(hit):  # two documents meet in the bucket of their first shared band alone
+        first = (bands[hit] == np.asarray(stray["bands"])).argmax(axis=1)
+        hit = hit[bands[hit, first] == stray["key"]]
+    if not len(hit):
+        return np.zeros(0, np.int64)
+    own = np.frombuffer(stray["items"], np.uint32)
+    sets = [np.frombuffer(x, np.uint32) for x in m["items"].iloc[hit]]
+    ends = np.cumsum([len(x) for x in sets])
+    items = np.concatenate(sets)
+    found = own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
+    both = np.add.reduceat(found.astype(np.int64), np.concatenate(([0], ends[:-1])))
+    union = len(own) + np.diff(ends, prepend=0) - both
+    good = np.flatnonzero(100 * both >= percent * union)
+    good = good[np.argsort(-(both / union)[good], kind="stable")]
+    return m["id"].to_numpy()[hit[good[np.unique(m["comp"].to_numpy()[hit[good]], return_index=True)[1]]]]
+
+
+def _open_links(docs: DataFrame, key: str, text: str, size: int, percent: int, rows: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between components within buckets whose members aren't all of the leader's component, by 32-bit fingerprints."""
     label = labels.withColumnRenamed("label", "comp")
-    named = rows.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = rows.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(reps.select("id", "size"), "id")
     named = named.join(label.select(F.col("id").alias("lead"), F.col("comp").alias("lead_comp")), "lead", "left")
-    named = cut(named.withColumn("stray", F.col("comp") != F.coalesce("lead_comp", "lead")).select("key", "id", "comp", "stray"), "near-named")
-    opened = named.groupBy("key").agg(F.count("*").alias("n"), F.count_if("stray").alias("s")).where("s > 0")
-    wide = named.join(opened, "key").join(reps.select("id", "sketch"), "id")
+    named = named.withColumn("stray", F.col("comp") != F.coalesce("lead_comp", "lead")).select("key", "id", "comp", "size", "stray")
+    named = cut(named, "near-named")
+    opened = named.groupBy("key").agg(F.sum("size").alias("n"), F.sum(F.when(F.col("stray"), F.col("size"))).alias("s")).where("s > 0")
+    named = cut(named.join(opened, "key"), "near-open")
+    ids = cut(named.select(F.col("id").alias(key)).distinct(), "near-ids")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = text_sets(pdf["text"], size)
+            yield pd.DataFrame({"id": pdf["id"], "items": [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]})
+
+    texts = with_rows_of(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")), ids, key, "left_semi")
+    sets = texts.withColumnRenamed(key, "id").mapInPandas(read, "id long, items binary")
+    wide = named.join(reps.select("id", "bands", "filled", "sketch"), "id").join(sets, "id")
     s_blocks, m_blocks = F.ceil(F.col("s") / STRAYS).cast("int"), F.ceil(F.col("n") / MEMBERS).cast("int")
     part = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), blocks).cast("int")
-    strays = wide.where("stray").select("key", "id", "comp", "sketch", part(s_blocks, 1).alias("x"), F.explode(F.sequence(F.lit(0), m_blocks - 1)).alias("y"), F.lit(True).alias("left"))
-    members = wide.select("key", "id", "comp", "sketch", F.explode(F.sequence(F.lit(0), s_blocks - 1)).alias("x"), part(m_blocks, 2).alias("y"), F.lit(False).alias("left"))
-
-    bits, k = SKETCH_WORDS * 64, BANDS * ROWS
-    odd_most = bits / 2 * (1 - np.exp((floor - 1) * 4 * k / bits))
+    kept = ["key", "id", "comp", "size", "bands", "filled", "sketch", "items"]
+    strays = wide.where("stray").select(*kept, part(s_blocks, 1).alias("x"), F.explode(F.sequence(F.lit(0), m_blocks - 1)).alias("y"), F.lit(True).alias("left"))
+    members = wide.select(*kept, F.explode(F.sequence(F.lit(0), s_blocks - 1)).alias("x"), part(m_blocks, 2).alias("y"), F.lit(False).alias("left"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        l, m = pdf[pdf["left"]], pdf[~pdf["left"]]
-        out = []
-        if len(l) and len(m):
-            ids, comp, sk = m["id"].to_numpy(), m["comp"].to_numpy(), np.stack(m["sketch"].to_numpy()).view(np.uint64)
-            for i, c, s in zip(l["id"], l["comp"], l["sketch"], strict=True):
-                near = np.bitwise_count(sk ^ np.asarray(s).view(np.uint64)).sum(axis=1) <= odd_most
-                hit = ids[near & (comp != c)]
-                out.append(np.stack([np.minimum(hit, i), np.maximum(hit, i)], axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        m = pdf[~pdf["left"]]
+        out = [np.zeros((0, 2), np.int64)]
+        if len(m):
+            bits, bands = _bits(m["sketch"]), np.stack(m["bands"].to_numpy())
+            for _, stray in pdf[pdf["left"]].iterrows():
+                ids = _links(stray, m, bits, bands, percent)
+                out.append(np.stack([np.minimum(ids, stray["id"]), np.maximum(ids, stray["id"])], axis=1))
+        pairs = np.concatenate(out)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return strays.unionByName(members).groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
@@ -183,24 +239,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """
     sig = cut(signatures(docs, key, text, size), "near-sig")
     classes = sig.where("n_shingles > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(
-        F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
-    )
+        F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("bands").alias("bands"),
+        F.any_value("n_shingles").alias("size"), F.any_value("filled").alias("filled"), F.any_value("sketch").alias("sketch"),
+    )
     reps = cut(classes, "near-reps")
     bands = reps.select("id", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1")
     rows = cut(bands.join(shared, "key").select("key", "id", "lead"), "near-buckets")
-    floor = _floor(percent)
     star = rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    for end in "ab":
-        star = star.join(reps.select(F.col("id").alias(end), F.col("sketch").alias(f"s_{end}")), end)
-    pairs = cut(star.where(_estimate("s_a", "s_b") >= floor).select("a", "b"), "near-pairs")
+    pairs = cut(_likely_pairs(star, reps, percent), "near-pairs")
     edges = cut(confirmed(docs, key, text, size, percent, pairs), "near-edges")
     labels = components(edges)
-    more = cut(_open_pairs(rows, reps, labels, floor), "near-more")
-    more = more.join(pairs, ["a", "b"], "left_anti")
+    more = cut(_open_links(docs, key, text, size, percent, rows, reps, labels), "near-more")
     if not more.isEmpty():
-        found = cut(confirmed(docs, key, text, size, percent, cut(more, "near-more")), "near-edges")
-        labels = components(edges.union(found))
+        edges = edges.union(cut(confirmed(docs, key, text, size, percent, more), "near-edges"))
+        labels = components(edges)
     linked = reps.select("f1", "f2", "id", "n").join(labels, "id", "left").where("n > 1 OR label IS NOT NULL")
     linked = linked.select("f1", "f2", F.coalesce("label", "id").alias("component"))
     out = sig.select("id", "n_shingles", "f1", "f2").join(linked, ["f1", "f2"], "left")
