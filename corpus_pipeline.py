@@ -32,7 +32,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: each document as often as the mix takes it."""
-    return mixing.repeated(mixing.mix(docs, "doc_id", "text", "source"))
+    return mixing.repeated(mixing.mix(docs, into="__mix"), "__mix")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

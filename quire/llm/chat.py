@@ -25,6 +25,8 @@ MARKER = r"(?i)^\s*[\[<*#|]*\s*(" + "|".join(SPEAKERS) + r")\s*[\]*|]*\s*[:>]\s*
 #: Messages whose turns share this quotient are decoded together.
 BLOCK_TURNS = 256
 LENGTHS = (8, 40, 160)
+#: Counted beforehand for lines that keep their message's role.
+STAY = 100
 START = len(ROLES)
 
 
@@ -48,7 +50,8 @@ def transcript_lines(messages: DataFrame, conv: str, turn: str, role: str, text:
 
 
 def estimate(messages: DataFrame, lines: DataFrame, conv: str, turn: str, role: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Log chances: steps (states and start x states), and for each feature a matrix states x values. Every count starts at one.
+    """Log chances: steps (within a message or to the next x states and start x states), and for each feature a matrix
+    states x values. Every count starts at one, that of staying within a message at ``STAY``.
 
     Only sums over roles come to the driver.
     """
@@ -58,9 +61,10 @@ def estimate(messages: DataFrame, lines: DataFrame, conv: str, turn: str, role:
         state = F.when(name == word, s).otherwise(state)
     known = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), state.alias("state")).where("state IS NOT NULL")
     before = known.select("conv", (F.col("turn") + 1).alias("turn"), F.col("state").alias("before"))
-    steps = np.ones((len(ROLES) + 1, len(ROLES)))
+    steps = np.ones((2, len(ROLES) + 1, len(ROLES)))
+    steps[0] += STAY * np.eye(len(ROLES) + 1, len(ROLES))
     for row in known.join(before, ["conv", "turn"], "left").groupBy("before", "state").agg(F.count("*").alias("n")).collect():
-        steps[START if row["before"] is None else row["before"], row["state"]] += row["n"]
+        steps[1, START if row["before"] is None else row["before"], row["state"]] += row["n"]
     marked = lines.where("k = 0 AND marker >= 0")
     features = [np.ones((len(ROLES), n)) for n in (len(ROLES) + 1, 2, len(LENGTHS) + 1)]
     for row in marked.groupBy("marker", "asks", "long").agg(F.count("*").alias("n")).collect():
@@ -68,11 +72,14 @@ def estimate(messages: DataFrame, lines: DataFrame, conv: str, turn: str, role:
         features[0][s, s] += row["n"]
         features[1][s, row["asks"]] += row["n"]
         features[2][s, row["long"]] += row["n"]
-    # a line without a marker mostly continues its message
-    for s, n in ((r["marker"], r["n"]) for r in lines.where("k > 0 AND marker < 0").join(marked.select("conv", "turn", "msg", F.col("marker").alias("m")), ["conv", "turn", "msg"]).groupBy(F.col("m").alias("marker")).agg(F.count("*").alias("n")).collect()):
-        features[0][s, len(ROLES)] += n
-        steps[s, s] += n
-    log = lambda x: np.log(x / x.sum(axis=1, keepdims=True))
+    # lines within a message: mostly of its role and without a marker
+    led = marked.select("conv", "turn", "msg", F.col("marker").alias("role"))
+    inner = lines.where("k > 0").join(led, ["conv", "turn", "msg"]).groupBy("role", "marker").agg(F.count("*").alias("n"))
+    for row in inner.collect():
+        s, m = row["role"], row["marker"]
+        features[0][s if m < 0 else m, m if m >= 0 else len(ROLES)] += row["n"]
+        steps[0, s, s if m < 0 else m] += row["n"]
+    log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
     return log(steps), [log(f) for f in features]
 
 
@@ -83,19 +90,22 @@ def emissions(pdf: pd.DataFrame, features: list[np.ndarray]) -> np.ndarray:
     return sum(seen)
 
 
-def block_matrix(e: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Best log chance from each state before the lines (or the start) to each state of the last line."""
-    m = steps + e[0]
-    for row in e[1:]:
-        m = (m[:, :, None] + steps[None, :START]).max(axis=1) + row
+def block_matrix(e: np.ndarray, fresh: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Best log chance from each state before the lines (or the start) to each state of the last line.
+
+    fresh is 1 for a line that begins a message, else 0.
+    """
+    m = steps[fresh[0]] + e[0]
+    for row, f in zip(e[1:], fresh[1:], strict=True):
+        m = (m[:, :, None] + steps[f, None, :START]).max(axis=1) + row
     return m
 
 
-def decode(e: np.ndarray, steps: np.ndarray, enter: int, leave: int) -> np.ndarray:
+def decode(e: np.ndarray, fresh: np.ndarray, steps: np.ndarray, enter: int, leave: int) -> np.ndarray:
     """The best states of the lines between a given state before them and a given last one."""
-    best, back = steps[enter] + e[0], np.zeros(e.shape, np.int64)
+    best, back = steps[fresh[0], enter] + e[0], np.zeros(e.shape, np.int64)
     for i in range(1, len(e)):
-        way = best[:, None] + steps[:START]
+        way = best[:, None] + steps[fresh[i], :START]
         back[i] = way.argmax(axis=0)
         best = way.max(axis=0) + e[i]
     out = np.empty(len(e), np.int64)
@@ -105,6 +115,10 @@ def decode(e: np.ndarray, steps: np.ndarray, enter: int, leave: int) -> np.ndarr
     return out
 
 
+def _fresh(pdf: pd.DataFrame) -> np.ndarray:
+    return (pdf["k"].to_numpy() == 0).astype(np.int64)
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Each group of a sorted stream of batches, whole. A group is bounded by what its key stands for."""
     held = None
@@ -137,10 +151,10 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in whole_groups(batches, ["conv", "block"]):
-            m = block_matrix(emissions(g, features), steps)
+            m = block_matrix(emissions(g, features), _fresh(g), steps)
             yield pd.DataFrame({"conv": g["conv"].iloc[:1].to_numpy(), "block": g["block"].iloc[:1].to_numpy(), "m": [m.ravel()]})
 
-    made = dealt.select("conv", "block", "marker", "asks", "long").mapInPandas(matrices, f"conv {kinds[conv]}, block long, m array<double>")
+    made = dealt.select("conv", "block", "k", "marker", "asks", "long").mapInPandas(matrices, f"conv {kinds[conv]}, block long, m array<double>")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in whole_groups(batches, ["conv"]):
@@ -166,7 +180,7 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
         marker = re.compile(MARKER)
         for g in whole_groups(batches, ["conv", "block"]):
-            states = decode(emissions(g, features), steps, int(g["enter"].iloc[0]), int(g["leave"].iloc[0]))
+            states = decode(emissions(g, features), _fresh(g), steps, int(g["enter"].iloc[0]), int(g["leave"].iloc[0]))
             turn_key = g["turn"].fillna(-(2**53)).to_numpy()
             fresh = np.concatenate(([True], (states[1:] != states[:-1]) | (turn_key[1:] != turn_key[:-1]))) | (g["marker"].to_numpy() >= 0) | (g["k"].to_numpy() == 0)
             cuts = np.append(np.flatnonzero(fresh), len(g))

@@ -38,8 +38,8 @@ def repeated_windows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return salted.join(first, ["h1", "h2", "salt"]).where(F.struct("doc", "pos") > F.col("first")).select("doc", "pos")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeats cut out of ``text``, and line_stats struct(n_lines, n_removed).
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str = "line_stats") -> DataFrame:
+    """``docs`` with the repeats cut out of ``text``, and a column ``into`` (one of that name is replaced), struct(n_lines, n_removed).
 
     Lines end at newline characters and are compared without white space at either end; windows of three blank
     lines don't count. Of equal windows the one with the smallest (id, line) stays. A null text stays null and
@@ -54,7 +54,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     n = F.size(lines).cast("long")
     joined = joined.withColumn("__left", F.when(F.col("__pos").isNotNull(), left))
     stats = F.struct(n.alias("n_lines"), (n - F.coalesce(F.size("__left").cast("long"), n)).alias("n_removed"))
-    joined = joined.withColumn("line_stats", F.when(F.col("__left").isNull(), F.struct(n.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(stats))
+    joined = joined.withColumn(into, F.when(F.col("__left").isNull(), F.struct(n.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(stats))
     kept = F.array_join(let(lines, lambda x: F.transform("__left", lambda i: F.get(x, i))), "\n")
     return joined.withColumn(text, F.when(F.col("__left").isNull(), F.col(text)).otherwise(kept)).drop("__doc", "__pos", "__left")
 

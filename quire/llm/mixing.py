@@ -86,8 +86,9 @@ def mix(
     share: float = 1.5,
     max_epochs: int = 2,
     seed: int = 1,
+    into: str = "mix",
 ) -> DataFrame:
-    """``docs`` with mix struct(size, source_size, target, copies, taken): how often each document goes into the mix.
+    """``docs`` with a column ``into`` (one of that name is replaced), struct(size, source_size, target, copies, taken): how often each document goes into the mix.
 
     size counts the words of a text (null: 0); the budget is ``share`` times all words. A source's copies fill its
     target to within half of one document. Null is a source like others, sorted last. Sources without words have
@@ -112,14 +113,14 @@ def mix(
         F.col("__copies").alias("copies"),
         (F.col("__copies") * F.col("__size")).alias("taken"),
     )
-    return rows.withColumn("mix", made).drop("__size", "__place", "__copies", *plan.columns)
+    return rows.withColumn(into, made).drop("__size", "__place", "__copies", *plan.columns)
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``mix``'s result as often as it is taken, without the mix column."""
-    copies = F.sequence(F.lit(1).cast("long"), F.col("mix.copies"))
-    rows = mixed.where("mix.copies > 0").withColumn("__copy", F.explode(copies))
-    return rows.drop("mix", "__copy")
+def repeated(mixed: DataFrame, into: str = "mix") -> DataFrame:
+    """The mix itself: each row of ``mix``'s result as often as it is taken, without the column of the mix."""
+    copies = F.sequence(F.lit(1).cast("long"), F.col(into)["copies"])
+    rows = mixed.where(F.col(into)["copies"] > 0).withColumn("__copy", F.explode(copies))
+    return rows.drop(into, "__copy")
 
 
 ORACLE = r"""

@@ -105,8 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train(x, got["good"].to_numpy(np.float64), np.array(list(FEATURES.values()), np.float64))
 
 
-def judge(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", least: float = 0.1) -> DataFrame:
-    """``docs`` with quality struct(the counts of BASE, base_failed, probability, kept).
+def judge(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", least: float = 0.1, into: str = "quality") -> DataFrame:
+    """``docs`` with a column ``into`` (one of that name is replaced), struct(the counts of BASE, base_failed, probability, kept).
 
     base_failed: fewer than 20 words, or over 30 % of the words lie in windows of eight words that the text repeats.
     kept: not base_failed, and the trees give at least ``least`` for good. Null and empty texts have no words and fail.
@@ -121,10 +121,10 @@ def judge(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "tex
         p = 1 / (1 + np.exp(-forest.score(x)))
         return pd.DataFrame(base | {"base_failed": failed, "probability": p, "kept": ~failed & (p >= least)})
 
-    return docs.withColumn("quality", measure(F.col(text)))
+    return docs.withColumn(into, measure(F.col(text)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.1) -> DataFrame:
     """``docs`` without the documents that the rules or the trees reject."""
-    rows = judge(docs, fit(docs, labels, key, text), key, text, least)
-    return rows.where("quality.kept").select(*docs.columns)
+    rows = judge(docs, fit(docs, labels, key, text), key, text, least, "__quality")
+    return rows.where("__quality.kept").select(*docs.columns)

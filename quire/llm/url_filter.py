@@ -89,8 +89,8 @@ def reputation(judged: DataFrame) -> DataFrame:
     return above.select("host", "n", "mean", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1)).alias("sd"))
 
 
-def filter_urls(pages: DataFrame, judged: DataFrame, url: str = "url", key: str = "page_id", rules=RULES, limit: float = 0.25, z: float = 1.645) -> DataFrame:
-    """``pages`` with reputation struct(host, path, rule, verdict, bad_bound).
+def filter_urls(pages: DataFrame, judged: DataFrame, url: str = "url", key: str = "page_id", rules=RULES, limit: float = 0.25, z: float = 1.645, into: str = "reputation") -> DataFrame:
+    """``pages`` with a column ``into`` (one of that name is replaced), struct(host, path, rule, verdict, bad_bound).
 
     verdict is the longest fitting rule's; else block where mean - z * sd of the host's posterior is above ``limit``,
     and allow where it isn't or nothing is known. ``judged`` has (key, bad). Null urls have an empty host and path and
@@ -104,4 +104,4 @@ def filter_urls(pages: DataFrame, judged: DataFrame, url: str = "url", key: str
     rule, verdict = rule_columns(F.col("__host"), F.col("__path"), rules)
     learned = F.when(F.col("__bound") > limit, "block").otherwise("allow")
     made = F.struct(F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), F.col("__bound").alias("bad_bound"))
-    return rows.withColumn("reputation", made).drop("__host", "__path", "__known", "__bound")
+    return rows.withColumn(into, made).drop("__host", "__path", "__known", "__bound")

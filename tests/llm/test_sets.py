@@ -112,12 +112,12 @@ def test_decontamination(spark, docs):
 def test_an_item_with_changed_words_is_found(spark):
     w = prose(11, 300).split()
     item = w[100:140]
-    item[0] = item[39] = "changed"
+    item[8] = item[39] = "changed"
     item[20] = "other"
     docs = spark.createDataFrame([(1, " ".join(w)), (2, prose(12, 300))], "doc_id long, text string")
     got = decontaminate.contaminated(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
-    assert not got  # 29 of 36 shingles is above 80 %: 0.805...
-    item[39] = w[139]
+    assert not got  # 25 of 36 shingles
+    item[8] = w[108]
     got = decontaminate.contaminated(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]
 
