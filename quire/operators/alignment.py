@@ -111,3 +111,21 @@ def alignment_state(rows: DataFrame, key: str, marked: Column, sourced: Column)
     found = rows.groupBy(key).agg(F.bool_or(marked).alias("m"), F.bool_or(sourced).alias("s"))
     state = F.when(F.col("m") & F.col("s"), "known").when(F.col("m"), "unknown-source").when(F.col("s"), "detached").otherwise("none")
     return found.select(key, state.alias("state"))
+
+
+def emit_alignment(tokens: DataFrame, targets: DataFrame, key: list[str], order: str, word: str) -> DataFrame:
+    """(key, text, rebuilt): verses with their alignment milestones put back.
+
+    ``targets`` are (key, group, milestone, word, occurrence); each run of neighbouring places of a group is wrapped in its
+    own milestone. A verse with a target that has no token, or two targets on one token, stays plain (rebuilt is false).
+    """
+    placed = resolve_targets(targets, tokens, key, word, order)
+    clash = placed.groupBy(*key, "place").agg(F.count("*").alias("n")).groupBy(*key).agg(F.bool_or((F.col("n") > 1) | F.col("place").isNull()).alias("__bad"))
+    w = W.partitionBy(*key, "group").orderBy("place")
+    runs = placed.where("place IS NOT NULL").withColumns({"first": F.coalesce(F.lag("place").over(w) != F.col("place") - 1, F.lit(True)), "last": F.coalesce(F.lead("place").over(w) != F.col("place") + 1, F.lit(True))})
+    runs = runs.select(*key, F.col("place").alias(order), "first", "last", "milestone")
+    rows = tokens.join(runs, [*key, order], "left").join(clash, key, "left")
+    on = ~F.coalesce("__bad", F.lit(False))
+    piece = F.concat(F.when(on & F.col("first"), F.concat(F.lit("\\zaln-s |"), "milestone", F.lit("\\*"))).otherwise(""), F.when(on & F.col("milestone").isNotNull(), F.concat(F.lit("\\w "), word, F.lit("\\w*"))).otherwise(F.col(word)), F.when(on & F.col("last"), "\\zaln-e\\*").otherwise(""))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order), piece.alias("t"))))
+    return rows.groupBy(*key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"), F.bool_and(on).alias("rebuilt"))

@@ -166,3 +166,111 @@ def encode_words(docs: DataFrame, key: str, words: DataFrame) -> DataFrame:
     rows = words.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("idx"), one.alias("t")))), lambda x: x["t"]), " ").alias("__w"))
     head = F.concat(F.lit("\\id W"), F.col(key).cast("string"), F.lit("\n\\c 1\n\\p\n\\v 1 "))
     return docs.select(key).join(rows, key).select(key, F.concat(head, "__w").alias("text"))
+
+
+def format_usfm(rows: DataFrame, key: str, verse_on_new_line: bool = True, content_on_new_line: bool = False) -> DataFrame:
+    """(key, text): typed tokens as tagged text in a house style.
+
+    Paragraph markers start a line, verses start one or follow a space, spans and notes follow directly; one space (or for
+    paragraphs with ``content_on_new_line`` a line end) stands between a marker and its content, and runs of white space
+    in content are one space. The book line stays on one line.
+    """
+    opens = ~F.col("closing") & (F.col("marker") != "")
+    line = F.when(F.col("style") == "book", "").when(opens & (F.col("kind") == "paragraph"), "\n").when(opens & (F.col("style") == "verse"), "\n" if verse_on_new_line else " ").otherwise("")
+    body = F.regexp_replace("raw", r"\s+", " ")
+    trimmed = F.regexp_replace(body, "^ ", "")
+    lead = F.when(~opens, "").when((F.col("kind") == "paragraph") & (trimmed != "") & F.lit(content_on_new_line) & ~F.col("style").isin("book", "chapter", "heading"), "\n").when(trimmed != "", " ").otherwise("")
+    w = W.partitionBy(key).orderBy("pos")
+    # a line end takes the place of a space before it
+    next_line = F.coalesce(F.lead(line).over(w), F.lit("\n")) != ""
+    content = F.when(opens, trimmed).otherwise(body)
+    content = F.when(next_line, F.regexp_replace(content, r"\s+$", "")).otherwise(content)
+    lead = F.when(content == "", "").otherwise(lead)
+    piece = F.concat(line, F.lit("\\"), F.when(F.col("nested"), "+").otherwise(""), "marker", F.when(F.col("closing"), "*").otherwise(""), lead, content)
+    made = rows.withColumn("__t", piece)
+    return made.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("__t").alias("t")))), lambda x: x["t"]), "").alias("text"))
+
+
+#: How each kind of node is called in the JSON form.
+USJ_TYPE = {"book": "book", "chapter": "chapter", "verse": "verse", "row": "table:row", "cell": "table:cell", "sidebar": "sidebar", "ref": "ref"}
+
+
+def to_usj(node: DataFrame, key: str) -> DataFrame:
+    """(key, usj): each book's nodes nested as JSON. A book is folded by itself, with a stack of what is open."""
+    import json
+
+    import pandas as pd
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        root: list = []
+        para, stack = root, []
+        for r in pdf.sort_values("pos").itertuples(index=False):
+            here = stack[-1][1] if stack else para
+            if r.closing:
+                names = [m for m, _ in stack]
+                if r.marker in names:  # a closer also ends what is open inside
+                    del stack[names.index(r.marker) :]
+                here = stack[-1][1] if stack else para
+            elif r.kind == "paragraph" or r.style == "verse":
+                item = {"type": USJ_TYPE.get(r.style, "para"), "marker": r.marker}
+                if r.number is not None:
+                    item["number"] = r.number
+                if r.style == "verse":
+                    if r.sid is not None:
+                        item["sid"] = r.sid
+                    here.append(item)
+                else:
+                    stack = []
+                    root.append(item)
+                    para = here = root if r.style == "chapter" else item.setdefault("content", [])
+            elif r.marker:
+                kind = "ms" if r.kind == "milestone" else "note" if r.kind == "note" else USJ_TYPE.get(r.style, "char")
+                item = {"type": kind, "marker": r.marker, **dict(r.attrs or {})}
+                if r.style in ("note part", "cell"):
+                    stack = [x for x in stack if x[0] not in ("", r.marker)] if r.style == "note part" else []
+                    here = stack[-1][1] if stack else para
+                here.append(item)
+                if kind != "ms":
+                    here = item["content"] = []
+                    stack.append(("" if r.style in ("note part", "cell") else r.marker, here))
+            if r.text and r.text.strip():
+                here.append(r.text)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "usj": [json.dumps({"type": "USJ", "version": "3.1", "content": root}, ensure_ascii=False)]})
+
+    kind = dict(node.dtypes)[key]
+    columns = [key, "pos", "kind", "style", "marker", "closing", "sid", "number", "text", "attrs"]
+    return node.select(*columns).groupBy(key).applyInPandas(fold, f"{key} {kind}, usj string")
+
+
+def validate_usj(rows: DataFrame, key: str, usj: str) -> DataFrame:
+    """(key, error): what is wrong with the root of each JSON document; none for a good one."""
+    v = F.try_parse_json(usj)
+    get = lambda path: F.try_variant_get(v, path, "string")
+    errors = F.array_compact(
+        F.array(
+            F.when(v.isNull(), "not JSON"),
+            F.when(v.isNotNull() & ~F.coalesce(get("$.type") == "USJ", F.lit(False)), "type is not USJ"),
+            F.when(v.isNotNull() & get("$.version").isNull(), "no version"),
+            F.when(v.isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.content", "variant")).startswith("ARRAY"), F.lit(False)), "content is not an array"),
+        )
+    )
+    return rows.select(key, F.explode(errors).alias("error"))
+
+
+PREAMBLE = (("identification", r"^(id|ide|h\d?|toc\d?|toca\d?|rem|sts|usfm)$"), ("title", r"^(mt|mte|imt|imte)\d?$"), ("introduction", r"^i"))
+
+
+def preamble_part(marker: Column) -> Column:
+    """Which part of a book's preamble a marker belongs to."""
+    out = F.lit("other")
+    for name, pattern in reversed(PREAMBLE):
+        out = F.when(marker.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def chapter_context(selected: DataFrame, key: str, chapter: str, last: str, radius: int) -> DataFrame:
+    """(key, chapter, readonly): selected chapters with ``radius`` more on either side, within 1 and the last."""
+    around = F.sequence(F.greatest(F.col(chapter) - radius, F.lit(1)), F.least(F.col(chapter) + radius, F.col(last)))
+    wide = selected.where(F.col(chapter).between(1, F.col(last))).select(key, F.explode(around).alias(chapter)).distinct()
+    own = selected.select(key, chapter, F.lit(False).alias("readonly")).distinct()
+    return wide.join(own, [key, chapter], "left").select(key, chapter, F.coalesce("readonly", F.lit(True)).alias("readonly"))

@@ -67,13 +67,13 @@ def read_alignment_tsv(rows: DataFrame, key: str, text: str) -> DataFrame:
     return cells.select(key, "n", sid.alias("sid"), _pairs(c(3), c(4)).alias("sources"), F.split(c(5), r"\+").alias("strongs"), _pairs(c(6), c(7)).alias("targets"), c(8).alias("lemmas"), c(9).alias("morphs"))
 
 
-def write_alignment_tsv(groups: DataFrame) -> DataFrame:
-    """(sid, line) from (sid, sources, strongs, targets, lemmas, morphs)."""
+def write_alignment_tsv(groups: DataFrame, keep: tuple[str, ...] = ("sid",)) -> DataFrame:
+    """(keep, line) from (sid, sources, strongs, targets, lemmas, morphs)."""
     sid = lambda k: F.regexp_extract("sid", r"^(\S+) ([^:]+):(.+)$", k)
     word = lambda a: F.array_join(F.transform(a, lambda x: x["word"]), "+")
     occ = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws("/", x["occurrence"].cast("string"), x["occurrences"].cast("string"))), "+")
     fields = [sid(1), sid(2), sid(3), word("sources"), occ("sources"), F.array_join("strongs", "+"), word("targets"), occ("targets"), F.coalesce("lemmas", F.lit("")), F.coalesce("morphs", F.lit(""))]
-    return groups.select("sid", F.concat_ws("\t", *[escape_tsv(f) for f in fields]).alias("line"))
+    return groups.select(*keep, F.concat_ws("\t", *[escape_tsv(f) for f in fields]).alias("line"))
 
 
 def read_alignment_text(rows: DataFrame, key: str, text: str) -> DataFrame:
