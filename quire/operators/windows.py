@@ -49,11 +49,12 @@ def evicted(rows: DataFrame, age: list[str], size: Column, limit: int, share: fl
     that no task sorts more than its range.
     """
     sized = rows.withColumn("__size", size)
-    total = sized.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("__total"))
+    total = sized.agg(F.sum("__size")).first()[0] or 0
+    if total <= limit:
+        return rows.limit(0)
     ranged = sized.repartitionByRange(parts, *age).withColumn("__part", F.spark_partition_id())
     sums = ranged.groupBy("__part").agg(F.sum("__size").alias("__in"))
     before = sums.select("__part", (F.sum("__in").over(W.orderBy("__part")) - F.col("__in")).alias("__before"))
     upto = F.sum("__size").over(W.partitionBy("__part").orderBy(*age)) + F.col("__before") - F.col("__size")
-    rest = ranged.join(F.broadcast(before), "__part").crossJoin(F.broadcast(total)).withColumn("__gone", upto)
-    over = (F.col("__total") > limit) & (F.col("__total") - F.col("__gone") > share * limit)
-    return rest.where(over).select(*rows.columns)
+    rest = ranged.join(F.broadcast(before), "__part").withColumn("__gone", upto)  # before has a row for each part
+    return rest.where(total - F.col("__gone") > share * limit).select(*rows.columns)
