@@ -55,7 +55,7 @@ def outcomes(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("page_id")).agg(bad.cast("long").alias("bad"))
 
 
-def _strength(counts: DataFrame) -> Column:
+def _strength() -> Column:
     """Moment fit of a beta-binomial's a + b from groups (n, bad) whose prior means are ``prior``; between 1 and 1000."""
     p = F.col("prior")
     n, spread = F.sum("n"), F.sum(F.pow(F.col("bad") - F.col("n") * p, 2) / F.greatest(p * (1 - p), F.lit(1e-9)))
@@ -63,7 +63,7 @@ def _strength(counts: DataFrame) -> Column:
     pairs = F.sum(F.col("n") * (F.col("n") - 1))
     r = F.when(pairs > 0, (spread - n) / pairs)
     r = F.least(F.greatest(F.coalesce(r, F.lit(0.0)), F.lit(1 / 1001.0)), F.lit(0.5))
-    return 1 / r - 1
+    return (1 / r - 1).cast("double")
 
 
 def reputation(judged: DataFrame) -> DataFrame:
@@ -75,18 +75,17 @@ def reputation(judged: DataFrame) -> DataFrame:
     domain, suffix = domain_of(F.col("host"))
     hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = cut(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "url-hosts")
-    above = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean"))
-    for i, level in enumerate(LEVELS):
-        up = [LEVELS[i - 1]] if i else []
-        counts = hosts.groupBy(level, *up).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        prior = above.withColumnRenamed("mean", "prior").select(*up, "prior")
-        counts = counts.join(prior, up) if up else counts.crossJoin(F.broadcast(prior))
+    bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
+    above, up = F.lit(((bad or 0) + 1) / ((n or 0) + 2)), None  # the share of all pages, then a table of the level above
+    for level in LEVELS:
+        counts = hosts.groupBy(level, *up or []).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+        counts = counts.join(above, up) if up else counts.withColumn("prior", above)
         counts = cut(counts, "url-level")
-        strength = F.broadcast(counts.agg(_strength(counts).alias("strength")))
-        a = F.col("bad") + F.col("prior") * F.col("strength")
-        total = F.col("n") + F.col("strength")
-        above = counts.crossJoin(strength).select(level, "n", (a / total).alias("mean"), total.alias("total"))
-    return above.select("host", "n", "mean", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1)).alias("sd"))
+        strength = counts.agg(_strength().alias("s")).first()["s"]
+        total = F.col("n") + F.lit(strength)
+        mean = (F.col("bad") + F.col("prior") * F.lit(strength)) / total
+        above, up = counts.select(level, mean.alias("prior")), [level]
+    return counts.select("host", "n", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (total + 1)).alias("sd"))
 
 
 def filter_urls(pages: DataFrame, judged: DataFrame, url: str = "url", key: str = "page_id", rules=RULES, limit: float = 0.25, z: float = 1.645, into: str = "reputation") -> DataFrame:
