@@ -12,42 +12,54 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.scratch import bounded
+from quire.llm.words import tidied
 
 #: A block closes once it has so many tokens; a longer document is a block of its own.
 BLOCK_TOKENS = 100_000
-PART_MB = 16
+PART_MB = 40
 #: Distinct words whose ids a task remembers before it starts afresh.
-MEMORY = 300_000
+MEMORY = 600_000
 END_ID = 1
+#: Texts handled at once.
+SLICE = 250
+#: What stands between pieces that are encoded in one row, and pieces in a row.
+MARK, ROW = "\x01", 500
 
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
 def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of non-negative numbers below 2**32."""
-    code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    wide = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = wide[np.arange(4) <= code[:, None]]
-    four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    four[: len(ranks)] = code
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    code = (ranks > 0xFF).astype(np.uint8)
+    widest = int(ranks.max()) if len(ranks) else 0
+    for limit in (0xFFFF, 0xFFFFFF):
+        if widest > limit:
+            code += ranks > limit
+    width = int(code.max()) + 1 if len(code) else 1
+    wide = np.ascontiguousarray(ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width])
+    data = wide.ravel()[(np.arange(width, dtype=np.uint8) <= code[:, None]).ravel()]
+    four = np.zeros((-(-len(ranks) // 4), 4), np.uint8)
+    four.ravel()[: len(ranks)] = code
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     return control.tobytes(), data.tobytes()
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n numbers that ``encode`` was given."""
     length = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    start = np.cumsum(length) - length
+    start = np.cumsum(length, dtype=np.int64) - length
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
+    out = raw[start].astype(np.uint32)
+    for k in range(1, int(length.max()) if n else 1):
         out |= np.where(length > k, raw[start + k], 0).astype(np.uint32) << np.uint32(8 * k)
     return out
 
@@ -69,56 +81,105 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.vocabulary = max(self.tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1)
+        self.mark = self.tokenizer.encode(f" {MARK} ", add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("the mark has to be one token")
         self.forget()
 
     def forget(self) -> None:
         self.pieces = self._Pieces()
         self.pieces.new = []
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def __call__(self, text: str | None) -> np.ndarray:
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.known = 0
+
+    def _learn(self) -> None:
+        """Encodes the new pieces; room for them doubles when it runs out.
+
+        Pieces go in rows, with a mark between two that is a token of its own; those that hold the mark go one by one.
+        """
+        new = [p.decode() for p in self.pieces.new]
+        row = 1 if any(MARK in p for p in new) else ROW
+        rows = [f" {MARK} ".join([*new[i : i + row], ""]) for i in range(0, len(new), row)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+        if row == 1:
+            lists = [x[: -len(self.mark)] for x in got]
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.uint32, n.sum())
+        else:
+            ids = np.fromiter(chain.from_iterable(got), np.uint32)
+            marks = np.flatnonzero(ids == self.mark[0])
+            n = np.diff(marks, prepend=-1) - 1
+            ids = np.delete(ids, marks)
+        start, known = self.ends[self.known], self.known + len(new)
+        end = start + n.sum()
+        while known >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        while end > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[start:end] = ids
+        self.ends[self.known + 1 : known + 1] = start + np.cumsum(n)
+        self.known, self.pieces.new = known, []
+
+    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The ids of each text (UTF-8), END_ID last."""
         if len(self.pieces) > MEMORY:
             self.forget()
-        at = np.fromiter(map(self.pieces.__getitem__, (text or "").encode().split()), np.int64)
+        words = [(t or b"").split() for t in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
         if self.pieces.new:
-            got = self.tokenizer.encode_batch_fast([p.decode() for p in self.pieces.new], add_special_tokens=False)
-            lists = [e.ids for e in got]
-            self.ids = np.concatenate((self.ids, *[np.array(x, np.uint32) for x in lists]))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in lists])))
-            self.pieces.new = []
+            self._learn()
         n = self.ends[at + 1] - self.ends[at]
-        begin = np.repeat(self.ends[at] - (np.cumsum(n) - n), n)
-        return np.append(self.ids[begin + np.arange(n.sum())], np.uint32(END_ID))
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.repeat(self.ends[at] - upto[:-1], n) + np.arange(upto[-1])]
+        cuts = upto[np.concatenate(([0], np.cumsum(counts)))]
+        return [np.append(ids[i:j], np.uint32(END_ID)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 BLOCKS = "part int, block int, ids array<long>, lengths array<long>, tokens binary"
+#: The block number of the row that holds a part's counts: its ids are token ids, its lengths how often each occurs.
+COUNTS = -1
 
 
-def tokenize(docs: DataFrame, key: str, text: str, tokenizer: str, parts: int) -> DataFrame:
+def tokenize(docs: DataFrame, key: str, text: str, tokenizer: str, n_parts: int) -> DataFrame:
     """Blocks of documents in ascending id order (ties by text, nulls first), with their token ids as 32-bit numbers."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
-    rows = rows.select(F.spark_partition_id().alias("part"), F.col("id").cast("string").alias("id"), "text")
+    rows = rows.repartitionByRange(n_parts, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    rows = rows.select(F.spark_partition_id().alias("part"), "id", F.col("text").cast("binary").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, block, part, ids, lists, size = Encoder(tokenizer), 0, None, [], [], 0
-        for pdf in batches:
-            for part, i, t in zip(pdf["part"], pdf["id"], pdf["text"], strict=True):
-                ids.append(None if i is None else int(i))
-                lists.append(encoder(t))
-                size += len(lists[-1])
-                if size >= BLOCK_TOKENS:
-                    yield _block(part, block, ids, lists)
-                    block, ids, lists, size = block + 1, [], [], 0
+        seen = np.zeros(encoder.vocabulary, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                part = piece["part"][0].as_py()
+                for i, x in zip(piece["id"].to_pylist(), _counted(encoder(piece["text"].to_pylist()), seen), strict=True):
+                    ids.append(i)
+                    lists.append(x)
+                    size += len(x)
+                    if size >= BLOCK_TOKENS:
+                        yield _block(part, block, ids, [len(x) for x in lists], np.concatenate(lists))
+                        block, ids, lists, size = block + 1, [], [], 0
         if ids:
-            yield _block(part, block, ids, lists)
+            yield _block(part, block, ids, [len(x) for x in lists], np.concatenate(lists))
+        if part is not None:
+            found = np.flatnonzero(seen)
+            yield _block(part, COUNTS, found, seen[found], np.zeros(0, np.uint32))
+
+    return rows.mapInArrow(tidied(run), BLOCKS)
+
 
-    return rows.mapInPandas(run, BLOCKS)
+def _block(part: int, block: int, ids, lengths, tokens: np.ndarray) -> pa.RecordBatch:
+    many = pa.list_(pa.int64())
+    columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], many), pa.array([lengths], many), pa.array([tokens.astype("<u4").tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "block", "ids", "lengths", "tokens"])
 
 
-def _block(part: int, block: int, ids: list, lists: list[np.ndarray]) -> pd.DataFrame:
-    tokens = np.concatenate(lists).astype("<u4").tobytes()
-    return pd.DataFrame({"part": [part], "block": [block], "ids": [ids], "lengths": [[len(x) for x in lists]], "tokens": [tokens]})
+def _counted(lists: list[np.ndarray], seen: np.ndarray) -> list[np.ndarray]:
+    seen += np.bincount(np.concatenate(lists), minlength=len(seen))
+    return lists
 
 
 def write(docs: DataFrame, key: str, text: str, tokenizer: str, path: str, work: str, total_mb: float) -> None:
@@ -128,16 +189,23 @@ def write(docs: DataFrame, key: str, text: str, tokenizer: str, path: str, work:
     other by text; null ids come first. No rows give an empty set.
     """
     spark = docs.sparkSession
-    parts = max(2, int(np.ceil(total_mb / PART_MB)))
-    tokenize(docs, key, text, tokenizer, parts).write.option("compression", "zstd").parquet(work)
-    raw = spark.read.schema(BLOCKS).parquet(work)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n = np.bincount(np.concatenate([np.frombuffer(x, "<u4") for x in pdf["tokens"]]).astype(np.int64))
-            yield pd.DataFrame({"id": np.flatnonzero(n), "n": n[n > 0]})
-
-    counts = raw.select("tokens").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    n_parts = max(2, int(np.ceil(total_mb / PART_MB)))
+    tokenize(docs, key, text, tokenizer, n_parts).write.option("compression", "zstd").parquet(work)
+    made = spark.read.schema(BLOCKS).parquet(work)
+    raw = made.where(F.col("block") != COUNTS)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                more = np.bincount(batch["ids"].flatten().to_numpy(), batch["lengths"].flatten().to_numpy())
+                n, small = (more, n) if len(more) > len(n) else (n, more)
+                n[: len(small)] += small
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n[found].astype(np.int64), pa.int64())], ["id", "n"])
+
+    counts = made.where(F.col("block") == COUNTS).select("ids", "lengths").mapInArrow(add, "id long, n long")
+    counts = counts.groupBy("id").agg(F.sum("n").alias("n"))
     # one row for each id that occurs: at most the tokenizer's vocabulary
     ordered = counts.orderBy(F.desc("n"), "id").toPandas()
     ids = ordered["id"].to_numpy(np.int64)
@@ -145,12 +213,15 @@ def write(docs: DataFrame, key: str, text: str, tokenizer: str, path: str, work:
     rank = np.zeros(ids.max() + 1 if len(ids) else 1, np.uint32)
     rank[ids] = np.arange(len(ids))
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [encode(rank[np.frombuffer(x, "<u4")]) for x in pdf["tokens"]]
-            yield pdf.drop(columns="tokens").assign(control=[c for c, _ in made], data=[d for _, d in made])
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                made = encode(rank[np.frombuffer(row["tokens"][0].as_buffer(), "<u4")])
+                columns = [row[c] for c in ("part", "block", "ids", "lengths")] + [pa.array([x], pa.binary()) for x in made]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "block", "ids", "lengths", "control", "data"])
 
-    raw.mapInPandas(code, BLOCKS.replace("tokens binary", "control binary, data binary")).write.parquet(f"{path}/blocks")
+    raw.mapInArrow(tidied(code), BLOCKS.replace("tokens binary", "control binary, data binary")).write.parquet(f"{path}/blocks")
     sizes = raw.select("part", "block", F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
     in_part = F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n")
     whole = sizes.groupBy("part").agg(F.sum("n").alias("n"))
@@ -168,15 +239,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     index = spark.read.schema("part int, block int, start long").parquet(f"{path}/index")
     blocks = blocks.join(bounded(index), ["part", "block"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                n = np.asarray(row.lengths, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                n = row["lengths"].flatten().to_numpy()
                 ends = np.cumsum(n)
-                tokens = ids[decode(row.control, row.data, ends[-1])].astype("<u4").tobytes()
-                cut = [tokens[4 * (e - k) : 4 * e] for e, k in zip(ends, n, strict=True)]
-                names = [None if pd.isna(i) else str(int(i)) for i in row.ids]
-                yield pd.DataFrame({"id": names, "start": row.start + ends - n, "n_tokens": n, "tokens": cut})
+                tokens = ids[decode(row["control"][0].as_buffer(), row["data"][0].as_py(), int(ends[-1]))].astype("<u4")
+                cut = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate(([0], 4 * ends)).astype(np.int32)), pa.py_buffer(tokens)])
+                start = pa.array(row["start"][0].as_py() + ends - n, pa.int64())
+                yield pa.RecordBatch.from_arrays([row["ids"].flatten(), start, row["lengths"].flatten(), cut], ["id", "start", "n_tokens", "tokens"])
 
-    rows = blocks.mapInPandas(run, "id string, start long, n_tokens long, tokens binary")
-    return rows.withColumn("id", F.col("id").cast("long"))
+    return blocks.mapInArrow(tidied(run), "id long, start long, n_tokens long, tokens binary")

@@ -7,12 +7,34 @@ share one with odds of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 
 M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system. Python workers are reused by later stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that tidies up when the task ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit numbers over all bits, one to one."""
     x = x ^ (x >> np.uint64(32))
