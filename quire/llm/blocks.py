@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.scratch import new_path
+from quire.llm.words import tidy
 
 BLOCKS_A_BUCKET = 4
 ASKED = "bucket int, block int, n int, keys binary, multi binary"
@@ -35,17 +36,24 @@ def write_blocks(docs: DataFrame, key: str, text: str, total_mb: float, block_mb
     name = f"quire_blocks_{uuid.uuid4().hex}"
     writer = rows.repartition(n_files, "block").write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "blocks"))
     writer.bucketBy(n_files, "block").saveAsTable(name)
+    spark.sparkContext._jvm.System.gc()  # as in scratch.cut
     return spark.table(name)
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys in planes: the top 16 bits hardly change from key to key, which compresses well."""
-    return b"".join(((keys >> np.uint64(s)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for s in (48, 32, 16, 0))
+    """Numbers in planes of 16 bits, as many as the largest needs, after a byte with their count: of sorted or small numbers
+    the upper planes hardly change, which compresses well."""
+    planes = max(1, -(-int(keys.max()).bit_length() // 16)) if len(keys) else 1
+    parts = [((keys >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for k in range(planes)]
+    return bytes([planes]) + b"".join(parts)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint16).reshape(4, -1).astype(np.uint64)
-    return planes[0] << np.uint64(48) | planes[1] << np.uint64(32) | planes[2] << np.uint64(16) | planes[3]
+    planes = np.frombuffer(blob, np.uint16, offset=1).reshape(blob[0], -1)
+    out = planes[0].astype(np.uint64)
+    for k in range(1, blob[0]):
+        out |= planes[k].astype(np.uint64) << np.uint64(16 * k)
+    return out
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -78,7 +86,7 @@ def answer(asked: DataFrame, number: int) -> DataFrame:
         bits, leads = ([np.packbits(x[e - n : e]).tobytes() for e, n in zip(ends, pdf["n"], strict=True)] for x in (twice, lead))
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "pass": np.int32(number), "bits": bits, "lead": leads})
 
-    return asked.groupBy("bucket").applyInPandas(run, ANSWERED)
+    return by_bucket(asked, run, ANSWERED)
 
 
 def hear(answers: pd.DataFrame, number: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +109,23 @@ def hear(answers: pd.DataFrame, number: int, keys: np.ndarray, buckets: int) ->
 
 def with_answers(table: DataFrame, answers: DataFrame | None, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """run(a block's rows, its answers) for each block."""
+
+    def both(rows: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
+        out = run(rows, heard)
+        tidy()
+        return out
+
     if answers is None:
-        return table.groupBy("block").applyInPandas(lambda rows: run(rows, pd.DataFrame(columns=["pass"])), schema)
-    return table.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+        return table.groupBy("block").applyInPandas(lambda rows: both(rows, pd.DataFrame(columns=["pass"])), schema)
+    return table.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(both, schema)
+
+
+def by_bucket(asked: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run(all that is asked in a bucket) for each bucket."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        out = run(rows)
+        tidy()
+        return out
+
+    return asked.groupBy("bucket").applyInPandas(one, schema)

@@ -1,8 +1,8 @@
 """Language-model scores from a Katz backoff model of words, trained on part of the documents.
 
 Words are counted by block, summed by ranges of their fingerprint into the unigram table, and each block hears
-the counts of its own words. Pairs of neighbours are counted likewise, by ranges of the first word, into the
-bigram table; a block hears the count of each of its pairs and, for each first word, what its discounted mass
+the counts and numbers of its own words (numbers go up as counts go down, so most are short). Pairs of neighbours
+are counted likewise, by the first word's number, into the bigram table; a block hears the count of each of its pairs and, for each first word, what its discounted mass
 and backoff weight follow from. Every document is then scored where its text is.
 
 p(w | v) = d(c) c / C(v) for a pair seen c times, else weight(v) p(w); d is the Good-Turing discount, and
@@ -20,16 +20,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.blocks import bucket_edges, pack, unpack, with_answers, write_blocks
+from quire.llm.blocks import bucket_edges, by_bucket, pack, unpack, with_answers, write_blocks
 from quire.llm.scratch import cut, text_mb
 from quire.llm.words import Batch, parts
 
 #: Counts above this aren't discounted.
 KATZ_K = 5
-START, END = np.uint64(2**64 - 1), np.uint64(0x454E44454E44454E)
-BLOCK_MB = 12
+END = np.uint64(0x454E44454E44454E)
+#: The number of what stands before a text's first token.
+START = 0
+BLOCK_MB = 6
 #: Bytes of text whose words, and whose pairs, meet in one bucket.
 WORD_BUCKET_MB, PAIR_BUCKET_MB = 40, 10
+#: Pairs of a bucket that are summed at once.
+RANGE = 300_000
 
 
 def good_turing(counts: list[int]) -> np.ndarray:
@@ -92,19 +96,29 @@ class Tokens:
         last[self.ends - 1] = True
         self.words[last] = END
         self.words[~last] = np.concatenate(hashes)
-        self.row = np.repeat(np.arange(len(n)), n)
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         self.n = n
         self.held_out = np.array([zlib.crc32((i or "").encode()) % fold[0] == fold[1] for i in rows["id"]])
         self.trained = (~self.held_out).astype(np.float64)
-        self.vocabulary, self.ids = np.unique(self.words, return_inverse=True)
+        self.vocabulary, ids = np.unique(self.words, return_inverse=True)
+        self.ids = ids.astype(np.int32)
+        del self.words
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, second, place): distinct pairs as indices of the vocabulary, sorted (START is one past it), and each token's pair."""
+    def pairs(self, numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, second, place): distinct pairs, sorted by bucket of the first, first and second (as numbers), and each token's
+        pair. first holds numbers, second places in the vocabulary."""
         v = len(self.vocabulary)
-        first = np.concatenate(([v], self.ids[:-1]))
-        first[self.ends[:-1]] = v
-        pair, place = np.unique(first * np.int64(v) + self.ids, return_inverse=True)
-        return pair // v, pair % v, place
+        firsts, rank = np.append(numbers, np.uint64(START)), np.empty(v + 1, np.int64)
+        by_bucket, by_number = np.lexsort((firsts, firsts % np.uint64(buckets))), np.argsort(numbers)
+        rank[by_bucket] = np.arange(v + 1)
+        pair = rank[np.concatenate(([v], self.ids[:-1]))]
+        pair[self.ends[:-1]] = rank[v]
+        rank = rank[:v]
+        rank[by_number] = np.arange(v)
+        pair *= v
+        pair += rank[self.ids]
+        pair, place = np.unique(pair, return_inverse=True)
+        return firsts[by_bucket[pair // v]], by_number[pair % v], place.astype(np.int32)
 
     def sums(self, place: np.ndarray, n: int) -> np.ndarray:
         """Training occurrences of each of n things."""
@@ -127,54 +141,102 @@ def _heard_row(number, bucket, block, a=b"", b=b"", c=b"", d=b"", counts=None):
 _HEARD_NAMES = [x.split()[0] for x in HEARD.replace("array<long>", "x").split(", ")]
 
 
-def _sum_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of words: its part of the unigram table, and the counts for each block that asked."""
+def _sum_words(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """One bucket of words: its part of the unigram table, and counts and numbers for each block that asked."""
     keys, counts = [unpack(k) for k in pdf["keys"]], [unpack(c) for c in pdf["counts"]]
     u, back = np.unique(np.concatenate(keys), return_inverse=True)
     n = np.bincount(back, np.concatenate(counts).astype(np.float64), len(u)).astype(np.uint64)
-    bucket = pdf["bucket"].iloc[0]
+    bucket = int(pdf["bucket"].iloc[0])
+    number = np.empty(len(u), np.uint64)
+    number[np.argsort(-n.astype(np.int64), kind="stable")] = np.arange(len(u), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
     seen = n > 0
-    out = [_heard_row(1, bucket, -1, pack(u[seen]), pack(n[seen]), counts=n)]
+    out = [_heard_row(1, bucket, -1, pack(u[seen]), pack(n[seen]), pack(number[seen]), counts=n)]
     ends = np.cumsum([len(k) for k in keys])
     for block, e, k in zip(pdf["block"], ends, keys, strict=True):
-        out.append(_heard_row(1, bucket, block, pack(n[back[e - len(k) : e]])))
+        at = back[e - len(k) : e]
+        out.append(_heard_row(1, bucket, block, pack(n[at]), pack(number[at])))
     return pd.DataFrame(out, columns=_HEARD_NAMES)
 
 
+class Asked:
+    """The pairs that a block asks about in a bucket, in small types."""
+
+    def __init__(self, row) -> None:
+        self.block, self.firsts = row.block, unpack(row.firsts)
+        self.ends = np.concatenate(([0], np.cumsum(unpack(row.runs).astype(np.int64))))
+        self.seconds, self.counts, self.word_counts = unpack(row.seconds), unpack(row.counts).astype(np.uint32), unpack(row.word_counts)
+        self.totals: list[np.ndarray] = []
+        self.facts: list[np.ndarray] = []
+        self.mass: list[np.ndarray] = []
+
+    def part(self, low: np.uint64, high: np.uint64) -> tuple[np.ndarray, ...]:
+        """(first, second, count, count of the second word) of the pairs whose first word is in a range; the firsts and their pairs."""
+        i, j = np.searchsorted(self.firsts, low), np.searchsorted(self.firsts, high, "right")
+        x, y = self.ends[i], self.ends[j]
+        return np.repeat(self.firsts[i:j], np.diff(self.ends[i : j + 1])), self.seconds[x:y], self.counts[x:y], self.word_counts[x:y], self.firsts[i:j], np.diff(self.ends[i : j + 1])
+
+
+def followers(totals: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """How many of a block's own pairs of each first word were seen in training. Where these are all that were, the block can
+    sum their unigram mass itself, and isn't sent it."""
+    return np.add.reduceat((totals > 0).astype(np.uint64), np.cumsum(runs) - runs) if len(runs) else np.zeros(0, np.uint64)
+
+
 def _sum_pairs(pdf: pd.DataFrame, unigrams: Unigrams) -> pd.DataFrame:
-    """One bucket of first words: its part of the bigram table, and what each block that asked needs."""
-    firsts = [unpack(x) for x in pdf["firsts"]]
-    runs = [unpack(x).astype(np.int64) for x in pdf["runs"]]
-    sizes = np.array([r.sum() for r in runs])
-    first = np.concatenate([np.repeat(f, r) for f, r in zip(firsts, runs, strict=True)])
-    second = np.concatenate([unpack(x) for x in pdf["seconds"]])
-    count = np.concatenate([unpack(x) for x in pdf["counts"]])
-    word = np.concatenate([unpack(x) for x in pdf["word_counts"]])
+    """One bucket of first words: its part of the bigram table, and what each block that asked needs.
+
+    The bucket's first words are worked through in ranges with about ``RANGE`` pairs, so that arrays stay small.
+    """
+    bucket = int(pdf["bucket"].iloc[0])
+    asked = [Asked(r) for r in pdf.sort_values("block").itertuples(index=False)]
+    del pdf
+    firsts, runs = np.concatenate([a.firsts for a in asked]), np.concatenate([np.diff(a.ends) for a in asked])
+    order = np.argsort(firsts, kind="stable")
+    firsts, upto = firsts[order], np.cumsum(runs[order])
+    lasts = np.unique(firsts[np.minimum(np.searchsorted(upto, np.arange(RANGE, upto[-1] + RANGE, RANGE)), len(firsts) - 1)])
+    del runs, order, upto
+    low, out = np.uint64(0), []
+    for last in lasts:
+        out += _sum_range(bucket, asked, low, last, unigrams)
+        low = last + np.uint64(1)
+    for a in asked:
+        facts = pack(np.concatenate(a.facts, axis=1).ravel())
+        out.append(_heard_row(2, bucket, a.block, pack(np.concatenate(a.totals)), facts, np.concatenate(a.mass).tobytes()))
+    return pd.DataFrame(out, columns=_HEARD_NAMES)
+
+
+def _sum_range(bucket: int, asked: list[Asked], low: np.uint64, high: np.uint64, unigrams: Unigrams) -> list[tuple]:
+    """Adds the sums over a range of first words to those who asked; gives the range's row of the bigram table."""
+    parts_ = [a.part(low, high) for a in asked]
+    first, second, count, word = (np.concatenate([p[k] for p in parts_]) for k in range(4))
+    if not len(first):
+        for a in asked:
+            a.totals.append(np.zeros(0, np.uint64))
+            a.facts.append(np.zeros((KATZ_K + 2, 0), np.uint64))
+            a.mass.append(np.zeros(0))
+        return []
     order = np.lexsort((second, first))
     f, s = first[order], second[order]
     new_first = np.concatenate(([True], f[1:] != f[:-1]))
     new_pair = new_first | np.concatenate(([True], s[1:] != s[:-1]))
     at_pair, at_first = np.flatnonzero(new_pair), np.flatnonzero(new_first)
-    total = np.add.reduceat(count[order], at_pair)
+    total = np.add.reduceat(count[order].astype(np.uint64), at_pair)
     pair_of = np.empty(len(order), np.int64)
     pair_of[order] = np.cumsum(new_pair) - 1
     # sums over the pairs of each first word
     starts = np.searchsorted(at_pair, at_first)
     p = np.where(total > 0, unigrams.p(word[order][at_pair].astype(np.int64)), 0.0)
-    size = np.add.reduceat(total, starts)
-    mass = np.add.reduceat(p, starts)
-    small = [np.add.reduceat((total == r).astype(np.uint64), starts) for r in range(1, KATZ_K + 1)]
-    bucket = pdf["bucket"].iloc[0]
-    keep = total > 0
+    mass, keep = np.add.reduceat(p, starts), total > 0
     lengths = np.add.reduceat(keep.astype(np.uint64), starts)
-    out = [_heard_row(2, bucket, -1, pack(f[at_first]), pack(lengths), pack(s[at_pair][keep]), pack(total[keep]), total)]
-    u = f[at_first]
-    ends = np.cumsum(sizes)
-    for block, e, n, asked in zip(pdf["block"], ends, sizes, firsts, strict=True):
-        i = np.searchsorted(u, asked)
-        facts = b"".join(pack(x[i]) for x in (size, *small))
-        out.append(_heard_row(2, bucket, block, pack(total[pair_of[e - n : e]]), facts, mass[i].tobytes()))
-    return pd.DataFrame(out, columns=_HEARD_NAMES)
+    facts = np.stack([lengths, np.add.reduceat(total, starts), *[np.add.reduceat((total == r).astype(np.uint64), starts) for r in range(1, KATZ_K + 1)]])
+    u, n = f[at_first], 0
+    for a, part in zip(asked, parts_, strict=True):
+        a.totals.append(total[pair_of[n : n + len(part[0])]])
+        n += len(part[0])
+        i = np.searchsorted(u, part[4])
+        a.facts.append(facts[:, i])
+        a.mass.append(mass[i][lengths[i] > followers(a.totals[-1], part[5])])
+    return [_heard_row(2, bucket, -1, pack(u), pack(lengths), pack(s[at_pair][keep]), pack(total[keep]), total)]
 
 
 def _totals(heard: DataFrame) -> tuple[int, int, list[int]]:
@@ -212,43 +274,47 @@ def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         out = [(b, block, pack(t.vocabulary[i:j]), pack(n[i:j])) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
         return pd.DataFrame(out, columns=["bucket", "block", "keys", "counts"])
 
-    heard = cut(with_answers(table, None, ask_words, WORDS_ASKED).groupBy("bucket").applyInPandas(_sum_words, HEARD), "katz-words")
+    heard = cut(by_bucket(with_answers(table, None, ask_words, WORDS_ASKED), lambda pdf: _sum_words(pdf, word_buckets), HEARD), "katz-words")
     unigrams = Unigrams(*_totals(heard))
 
-    def word_counts(answers: pd.DataFrame) -> np.ndarray:
-        return np.concatenate([unpack(x) for x in answers[answers["pass"] == 1].sort_values("bucket")["a"]]).astype(np.int64)
+    def own_words(answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and numbers of a block's vocabulary."""
+        mine = answers[answers["pass"] == 1].sort_values("bucket")
+        return np.concatenate([unpack(x) for x in mine["a"]]), np.concatenate([unpack(x) for x in mine["b"]])
 
     def ask_pairs(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         t = Tokens(rows, fold)
-        words = word_counts(answers)
-        first, second, place = t.pairs()
+        words, numbers = own_words(answers)
+        first, second, place = t.pairs(numbers, pair_buckets)
         n = t.sums(place, len(first))
         out = []
-        for b, i, j, firsts, runs in _runs(t, first, pair_buckets):
+        for b, i, j, firsts, runs in _runs(first, pair_buckets):
             w = second[i:j]
-            out.append((b, rows["block"].iloc[0], pack(firsts), pack(runs), pack(t.vocabulary[w]), pack(n[i:j]), pack(words[w].astype(np.uint64))))
+            out.append((b, rows["block"].iloc[0], pack(firsts), pack(runs), pack(numbers[w]), pack(n[i:j]), pack(words[w])))
         return pd.DataFrame(out, columns=["bucket", "block", "firsts", "runs", "seconds", "counts", "word_counts"])
 
     asked = with_answers(table, heard.where("block >= 0"), ask_pairs, PAIRS_ASKED)
-    pairs = cut(asked.groupBy("bucket").applyInPandas(lambda pdf: _sum_pairs(pdf, unigrams), HEARD), "katz-pairs")
+    pairs = cut(by_bucket(asked, lambda pdf: _sum_pairs(pdf, unigrams), HEARD), "katz-pairs")
     d = good_turing(_totals(pairs)[2])
 
     def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         t = Tokens(rows, fold)
-        words = word_counts(answers)
+        words, numbers = own_words(answers)
+        words = words.astype(np.int64)
         c = words[t.ids]
-        first, second, place = t.pairs()
+        first, second, place = t.pairs(numbers, pair_buckets)
         logs = np.empty(len(first))
         mine = answers[answers["pass"] == 2].set_index("bucket")
-        for b, i, j, firsts, runs in _runs(t, first, pair_buckets):
+        for b, i, j, firsts, runs in _runs(first, pair_buckets):
             got = mine.loc[b]
-            wide = 8 * len(firsts)
-            facts = np.stack([unpack(got["b"][k * wide : (k + 1) * wide]) for k in range(KATZ_K + 1)])
-            size, weight = backoff(facts[0].astype(np.float64), facts[1:].astype(np.float64), np.frombuffer(got["c"]), d, unigrams.unknown)
-            runs = runs.astype(np.int64)
-            n = unpack(got["a"]).astype(np.int64)
+            facts = unpack(got["b"]).reshape(KATZ_K + 2, -1)
+            n, runs = unpack(got["a"]).astype(np.int64), runs.astype(np.int64)
+            word_p = unigrams.p(words[second[i:j]])
+            mass = np.add.reduceat(np.where(n > 0, word_p, 0.0), np.cumsum(runs) - runs)
+            mass[facts[0] > followers(n, runs)] = np.frombuffer(got["c"])
+            size, weight = backoff(facts[1].astype(np.float64), facts[2:].astype(np.float64), mass, d, unigrams.unknown)
             seen = d[np.minimum(n, KATZ_K + 1)] * n / np.maximum(np.repeat(size, runs), 1)
-            logs[i:j] = np.log10(np.where(n > 0, seen, np.repeat(weight, runs) * unigrams.p(words[second[i:j]])))
+            logs[i:j] = np.log10(np.where(n > 0, seen, np.repeat(weight, runs) * word_p))
         base = np.log10((c + 1) / (unigrams.total + unigrams.distinct + 1))
         starts = t.ends - t.n
         return pd.DataFrame(
@@ -263,15 +329,15 @@ def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scores = with_answers(table, answers, score, schema).select(F.col("id").cast(kind).alias(key), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     named = lambda df, *names: df.where("block = -1").select("bucket", *[F.col(c).alias(n) for c, n in zip("abcd", names, strict=False)])
-    return Scored(scores, named(heard, "words", "counts"), named(pairs, "firsts", "followers", "seconds", "counts"))
+    return Scored(scores, named(heard, "words", "counts", "numbers"), named(pairs, "firsts", "followers", "seconds", "counts"))
 
 
-def _runs(t: Tokens, first: np.ndarray, buckets: int):
+def _runs(first: np.ndarray, buckets: int):
     """(bucket, from, to, first words, pairs of each) over the sorted distinct pairs of a block."""
-    heads, at = np.unique(first, return_index=True)
+    at = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
     ends = np.append(at[1:], len(first))
-    names = np.append(t.vocabulary, START)[heads]
-    bucket = (names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    names = first[at]
+    bucket = names % np.uint64(buckets)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
         yield int(bucket[i]), at[i], ends[j - 1], names[i:j], (ends - at)[i:j].astype(np.uint64)
