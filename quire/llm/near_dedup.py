@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.scratch import cut, with_rows_of
-from quire.llm.words import Batch, mix, parts, shingles
+from quire.llm.words import Batch, mix, parts, shingles, tidied
 
 #: Bands and rows a band: at a similarity of 0.8 a pair is missed with odds of 5e-8, at 0.85 of 6e-11.
 BANDS, ROWS = 32, 4
@@ -31,6 +31,8 @@ BINS, BITS = 1024, 2048
 CHUNK = 100_000
 #: Shingles of all members, and of members apart from the leader, that meet in one group.
 MEMBERS, STRAYS = 1_000_000, 250_000
+#: Pairs of sketches compared in one step of such a group.
+PAIRS_AT_ONCE = 50_000
 
 
 def _band_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
     # ids travel as text, as pandas would turn a column with nulls into floats
     rows = docs.select(F.col(key).cast("long").cast("string").alias("id"), F.col(text).alias("text"))
-    made = rows.mapInPandas(run, "id string, n_shingles long, f1 long, f2 long, bands array<long>, filled int, sketch binary")
+    made = rows.mapInPandas(tidied(run), "id string, n_shingles long, f1 long, f2 long, bands array<long>, filled int, sketch binary")
     return made.withColumn("id", F.col("id").cast("long"))
 
 
@@ -125,7 +127,7 @@ def _likely_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             good = likely(odd, (p["filled_a"] + p["filled_b"]).to_numpy(), (p["size_a"] + p["size_b"]).to_numpy(), percent)[1]
             yield p.loc[good, ["a", "b"]]
 
-    return pairs.mapInPandas(run, "a long, b long")
+    return pairs.mapInPandas(tidied(run), "a long, b long")
 
 
 def confirmed(docs: DataFrame, key: str, text: str, size: int, percent: int, pairs: DataFrame) -> DataFrame:
@@ -146,7 +148,7 @@ def confirmed(docs: DataFrame, key: str, text: str, size: int, percent: int, pai
             yield pdf.loc[good, ["a", "b"]]
 
     joined = pairs.select("a", "b").join(texts.select(F.col(key).alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.join(texts.select(F.col(key).alias("a"), F.col("text").alias("text_a")), "a").mapInPandas(run, "a long, b long")
+    return joined.join(texts.select(F.col(key).alias("a"), F.col("text").alias("text_a")), "a").mapInPandas(tidied(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,26 +169,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(stray: pd.Series, m: pd.DataFrame, bits: np.ndarray, bands: np.ndarray, percent: int) -> np.ndarray:
-    """Ids of the best link of a stray to each other component among the members m of its bucket."""
-    odd = np.bitwise_count(bits ^ np.frombuffer(stray["sketch"], np.uint64)).sum(axis=1)
-    near = likely(odd, m["filled"].to_numpy() + stray["filled"], m["size"].to_numpy() + stray["size"], percent)[1]
-    hit = np.flatnonzero(near & (m["comp"].to_numpy() != stray["comp"]))
-    if len(hit):  # two documents meet in the bucket of their first shared band alone
-        first = (bands[hit] == np.asarray(stray["bands"])).argmax(axis=1)
-        hit = hit[bands[hit, first] == stray["key"]]
-    if not len(hit):
-        return np.zeros(0, np.int64)
-    own = np.frombuffer(stray["items"], np.uint32)
-    sets = [np.frombuffer(x, np.uint32) for x in m["items"].iloc[hit]]
-    ends = np.cumsum([len(x) for x in sets])
-    items = np.concatenate(sets)
-    found = own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
-    both = np.add.reduceat(found.astype(np.int64), np.concatenate(([0], ends[:-1])))
-    union = len(own) + np.diff(ends, prepend=0) - both
-    good = np.flatnonzero(100 * both >= percent * union)
-    good = good[np.argsort(-(both / union)[good], kind="stable")]
-    return m["id"].to_numpy()[hit[good[np.unique(m["comp"].to_numpy()[hit[good]], return_index=True)[1]]]]
+class Bucket:
+    """Rows of several groups of bucket members as arrays."""
+
+    def __init__(self, pdf: pd.DataFrame) -> None:
+        self.key, self.id, self.comp, self.filled, self.size, self.left = (pdf[c].to_numpy() for c in ("key", "id", "comp", "filled", "size", "left"))
+        self.bits, self.bands, self.items = _bits(pdf["sketch"]), np.stack(pdf["bands"].to_numpy()), pdf["items"].to_numpy()
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        order = np.lexsort((self.left, y, x, self.key))
+        new = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in (self.key, x, y)])
+        self.groups = np.split(order, np.flatnonzero(new) + 1)
+
+    def links(self, group: np.ndarray, percent: int) -> list[np.ndarray]:
+        """(apart, member) ids: the best link of each row apart from the leader to each other component in its group."""
+        apart, m = group[self.left[group]], group[~self.left[group]]
+        out: list[np.ndarray] = []
+        if not len(apart) or not len(m):
+            return out
+        step = max(1, PAIRS_AT_ONCE // len(m))
+        for at in range(0, len(apart), step):
+            s = apart[at : at + step, None]
+            near = likely(np.bitwise_count(self.bits[s] ^ self.bits[m]).sum(axis=2), self.filled[s] + self.filled[m], self.size[s] + self.size[m], percent)[1]
+            x, y = np.nonzero(near & (self.comp[s] != self.comp[m]))
+            x, y = s[x, 0], m[y]
+            # two documents meet in the bucket of their first shared band alone
+            first = (self.bands[x] == self.bands[y]).argmax(axis=1)
+            here = self.bands[x, first] == self.key[x]
+            x, y = x[here], y[here]
+            cuts = np.append(np.flatnonzero(np.diff(x, prepend=-1)), len(x))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                out.append(self._best(x[i], y[i:j], percent))
+        return out
+
+    def _best(self, x: int, y: np.ndarray, percent: int) -> np.ndarray:
+        """The most similar of the rows y of each component, if its set is similar enough to that of x."""
+        own, sets = np.frombuffer(self.items[x], np.uint32), [np.frombuffer(self.items[k], np.uint32) for k in y]
+        ends, theirs = np.cumsum([len(s) for s in sets]), np.concatenate(sets)
+        found = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        both = np.add.reduceat(found.astype(np.int64), np.concatenate(([0], ends[:-1])))
+        union = len(own) + np.diff(ends, prepend=0) - both
+        good = np.flatnonzero(100 * both >= percent * union)
+        good = y[good[np.argsort(-(both / union)[good], kind="stable")]]
+        good = good[np.unique(self.comp[good], return_index=True)[1]]
+        return np.stack([np.full(len(good), self.id[x]), self.id[good]], axis=1)
 
 
 def _open_links(docs: DataFrame, key: str, text: str, size: int, percent: int, rows: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,7 +231,7 @@ def _open_links(docs: DataFrame, key: str, text: str, size: int, percent: int, r
             yield pd.DataFrame({"id": pdf["id"], "items": [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]})
 
     texts = with_rows_of(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")), ids, key, "left_semi")
-    sets = texts.withColumnRenamed(key, "id").mapInPandas(read, "id long, items binary")
+    sets = texts.withColumnRenamed(key, "id").mapInPandas(tidied(read), "id long, items binary")
     wide = named.join(reps.select("id", "bands", "filled", "sketch"), "id").join(sets, "id")
     s_blocks, m_blocks = F.ceil(F.col("s") / STRAYS).cast("int"), F.ceil(F.col("n") / MEMBERS).cast("int")
     part = lambda blocks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), blocks).cast("int")
@@ -215,17 +240,14 @@ def _open_links(docs: DataFrame, key: str, text: str, size: int, percent: int, r
     members = wide.select(*kept, F.explode(F.sequence(F.lit(0), s_blocks - 1)).alias("x"), part(m_blocks, 2).alias("y"), F.lit(False).alias("left"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf[~pdf["left"]]
-        out = [np.zeros((0, 2), np.int64)]
-        if len(m):
-            bits, bands = _bits(m["sketch"]), np.stack(m["bands"].to_numpy())
-            for _, stray in pdf[pdf["left"]].iterrows():
-                ids = _links(stray, m, bits, bands, percent)
-                out.append(np.stack([np.minimum(ids, stray["id"]), np.maximum(ids, stray["id"])], axis=1))
-        pairs = np.concatenate(out)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        rows = Bucket(pdf)
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *[x for g in rows.groups for x in rows.links(g, percent)]])
+        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
-    return strays.unionByName(members).groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
+    # small buckets share a group, as calls to Python have a price
+    total = named.agg(F.sum("size")).first()[0] or 0
+    deal = F.pmod(F.xxhash64("key", "x", "y"), F.lit(int(2 * total // MEMBERS) + 1))
+    return strays.unionByName(members).groupBy(deal.alias("deal")).applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -268,3 +290,16 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     groups = near_duplicates(docs, key, text, size, percent)
     gone = cut(groups.where("NOT kept").select(key).distinct(), "near-gone")
     return with_rows_of(docs, gone, key, "left_anti")
+
+
+#: For shingles of three words and 85 %.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(reached) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id"""

@@ -75,6 +75,8 @@ QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_url_fil
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.ORACLE,
+    "op3_url_filter": url_filter.ORACLE,
+    "op6_near_dups": near_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
