@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.native_words import count_words
 from quire.llm.scratch import cut
+from quire.llm.words import tidied
 
 ROLES = ("system", "user", "assistant")
 SPEAKERS = {"system": 0, "user": 1, "human": 1, "assistant": 2, "ai": 2, "bot": 2}
@@ -27,18 +28,20 @@ BLOCK_TURNS = 256
 LENGTHS = (8, 40, 160)
 #: Counted beforehand for lines that keep their message's role.
 STAY = 100
+#: Counted beforehand for a marker that names another role than its line's.
+WRONG = 1e-4
 START = len(ROLES)
 
 
 def transcript_lines(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conv, block, turn, msg, k, line, marker, asks, long): the lines of each message, the first led by its speaker if known.
+    """(conv as text, block, turn, msg, k, line, marker, asks, long): the lines of each message, the first led by its speaker if known.
 
     marker is the index of the role that a line's speaker marker names, -1 without one. msg tells apart messages
     that share a turn. Null texts are one empty line; null turns come first.
     """
     known = F.lower(F.trim(F.col(role))).isin(*SPEAKERS)
     full = F.concat(F.when(known, F.concat(F.trim(F.col(role)), F.lit(": "))).otherwise(""), F.coalesce(F.col(text), F.lit("")))
-    rows = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.xxhash64(F.col(role), F.col(text)).alias("msg"), F.posexplode(F.split(full, "\n", -1)).alias("k", "line"))
+    rows = messages.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), F.xxhash64(F.col(role), F.col(text)).alias("msg"), F.posexplode(F.split(full, "\n", -1)).alias("k", "line"))
     name = F.lower(F.regexp_extract("line", MARKER, 1))
     marker = F.lit(-1)
     for word, state in SPEAKERS.items():
@@ -50,8 +53,9 @@ def transcript_lines(messages: DataFrame, conv: str, turn: str, role: str, text:
 
 
 def estimate(messages: DataFrame, lines: DataFrame, conv: str, turn: str, role: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Log chances: steps (within a message or to the next x states and start x states), and for each feature a matrix
-    states x values. Every count starts at one, that of staying within a message at ``STAY``.
+    """Log chances: steps (within a message or to the next x states and start x states), and the features: marker (within a
+    message or at its start x states x values), question and length (states x values). Counts start at one, those of staying
+    within a message at ``STAY``.
 
     Only sums over roles come to the driver.
     """
@@ -66,10 +70,12 @@ def estimate(messages: DataFrame, lines: DataFrame, conv: str, turn: str, role:
     for row in known.join(before, ["conv", "turn"], "left").groupBy("before", "state").agg(F.count("*").alias("n")).collect():
         steps[1, START if row["before"] is None else row["before"], row["state"]] += row["n"]
     marked = lines.where("k = 0 AND marker >= 0")
-    features = [np.ones((len(ROLES), n)) for n in (len(ROLES) + 1, 2, len(LENGTHS) + 1)]
+    features = [np.ones(shape) for shape in ((2, len(ROLES), len(ROLES) + 1), (len(ROLES), 2), (len(ROLES), len(LENGTHS) + 1))]
+    features[0][:, :, : len(ROLES)] = np.where(np.eye(len(ROLES)) > 0, 1, WRONG)
+    features[0][0, :, len(ROLES)] = STAY
     for row in marked.groupBy("marker", "asks", "long").agg(F.count("*").alias("n")).collect():
         s = row["marker"]
-        features[0][s, s] += row["n"]
+        features[0][1, s, s] += row["n"]
         features[1][s, row["asks"]] += row["n"]
         features[2][s, row["long"]] += row["n"]
     # lines within a message: mostly of its role and without a marker
@@ -77,17 +83,16 @@ def estimate(messages: DataFrame, lines: DataFrame, conv: str, turn: str, role:
     inner = lines.where("k > 0").join(led, ["conv", "turn", "msg"]).groupBy("role", "marker").agg(F.count("*").alias("n"))
     for row in inner.collect():
         s, m = row["role"], row["marker"]
-        features[0][s if m < 0 else m, m if m >= 0 else len(ROLES)] += row["n"]
+        features[0][0, s if m < 0 else m, m if m >= 0 else len(ROLES)] += row["n"]
         steps[0, s, s if m < 0 else m] += row["n"]
     log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
     return log(steps), [log(f) for f in features]
 
 
-def emissions(pdf: pd.DataFrame, features: list[np.ndarray]) -> np.ndarray:
+def emissions(lines: dict[str, np.ndarray], features: list[np.ndarray]) -> np.ndarray:
     """Lines x states."""
-    marker = pdf["marker"].to_numpy()
-    seen = (features[0].T[np.where(marker < 0, len(ROLES), marker)], features[1].T[pdf["asks"].to_numpy()], features[2].T[pdf["long"].to_numpy()])
-    return sum(seen)
+    marker = np.where(lines["marker"] < 0, len(ROLES), lines["marker"])
+    return features[0][_fresh(lines), :, marker] + features[1].T[lines["asks"]] + features[2].T[lines["long"]]
 
 
 def block_matrix(e: np.ndarray, fresh: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -115,25 +120,32 @@ def decode(e: np.ndarray, fresh: np.ndarray, steps: np.ndarray, enter: int, leav
     return out
 
 
-def _fresh(pdf: pd.DataFrame) -> np.ndarray:
-    return (pdf["k"].to_numpy() == 0).astype(np.int64)
+def _fresh(lines: dict[str, np.ndarray]) -> np.ndarray:
+    return (lines["k"] == 0).astype(np.int64)
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Each group of a sorted stream of batches, whole. A group is bounded by what its key stands for."""
+def changes(column: np.ndarray) -> np.ndarray:
+    """Where a column differs from the row before (the first row does); nulls are equal."""
+    new = column[1:] != column[:-1]
+    if column.dtype.kind == "f":
+        new &= ~(np.isnan(column[1:]) & np.isnan(column[:-1]))
+    return np.concatenate((np.ones(min(len(column), 1), bool), new))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], list[tuple[int, int]]]]:
+    """(columns, (from, to) of each group) from a sorted stream of batches, every group whole."""
     held = None
     for pdf in batches:
         pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         if len(pdf) == 0:
             continue
-        k = pdf[keys].fillna(-(2**53))
-        new = (k != k.shift()).any(axis=1).to_numpy()
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        new = np.logical_or.reduce([changes(columns[k]) for k in keys])
         cuts = np.append(np.flatnonzero(new), len(pdf))
-        for i, j in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield pdf.iloc[i:j]
+        yield columns, list(zip(cuts[:-2], cuts[1:-1], strict=True))
         held = pdf.iloc[cuts[-2] :]
-    if held is not None and len(held):
-        yield held
+    if held is not None:
+        yield {c: held[c].to_numpy() for c in held.columns}, [(0, len(held))]
 
 
 def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -150,27 +162,32 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     dealt = lines.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "msg", "k")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in whole_groups(batches, ["conv", "block"]):
-            m = block_matrix(emissions(g, features), _fresh(g), steps)
-            yield pd.DataFrame({"conv": g["conv"].iloc[:1].to_numpy(), "block": g["block"].iloc[:1].to_numpy(), "m": [m.ravel()]})
+        for lines, groups in whole_groups(batches, ["conv", "block"]):
+            e, fresh = emissions(lines, features), _fresh(lines)
+            at = [i for i, _ in groups]
+            yield pd.DataFrame({"conv": lines["conv"][at], "block": lines["block"][at], "m": [block_matrix(e[i:j], fresh[i:j], steps).ravel() for i, j in groups]})
 
-    made = dealt.select("conv", "block", "k", "marker", "asks", "long").mapInPandas(matrices, f"conv {kinds[conv]}, block long, m array<double>")
+    made = dealt.select("conv", "block", "k", "marker", "asks", "long").mapInPandas(tidied(matrices), "conv string, block long, m array<double>")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in whole_groups(batches, ["conv"]):
-            best, back = np.full(START + 1, -np.inf), []
-            best[START] = 0.0
-            for m in g["m"]:
-                way = best[:, None] + np.asarray(m).reshape(START + 1, START)
-                back.append(way.argmax(axis=0))
-                best = np.append(way.max(axis=0), -np.inf)
-            leave = [int(best.argmax())]
-            for b in back[::-1]:
-                leave.append(int(b[leave[-1]]))
-            yield pd.DataFrame({"conv": g["conv"], "block": g["block"], "enter": leave[:0:-1], "leave": leave[-2::-1]})
+        for blocks, groups in whole_groups(batches, ["conv"]):
+            enter, leave = (np.zeros(len(blocks["conv"]), np.int32) for _ in range(2))
+            for i, j in groups:
+                best, back = np.full(START + 1, -np.inf), []
+                best[START] = 0.0
+                for m in blocks["m"][i:j]:
+                    way = best[:, None] + m.reshape(START + 1, START)
+                    back.append(way.argmax(axis=0))
+                    best = np.append(way.max(axis=0), -np.inf)
+                states = [int(best.argmax())]
+                for b in back[::-1]:
+                    states.append(int(b[states[-1]]))
+                enter[i:j], leave[i:j] = states[:0:-1], states[-2::-1]
+            done = groups[-1][1] if groups else 0
+            yield pd.DataFrame({"conv": blocks["conv"][:done], "block": blocks["block"][:done], "enter": enter[:done], "leave": leave[:done]})
 
     chained = cut(made, "chat-matrices").repartition("conv").sortWithinPartitions("conv", "block")
-    ends = cut(chained.mapInPandas(chain, f"conv {kinds[conv]}, block long, enter int, leave int"), "chat-ends").withColumnsRenamed({"conv": "__conv", "block": "__block"})
+    ends = cut(chained.mapInPandas(tidied(chain), "conv string, block long, enter int, leave int"), "chat-ends").withColumnsRenamed({"conv": "__conv", "block": "__block"})
     # one row for each block joins its lines
     both = lines.join(ends, lines["conv"].eqNullSafe(ends["__conv"]) & (lines["block"] == ends["__block"])).drop("__conv", "__block")
     both = both.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "msg", "k")
@@ -179,18 +196,22 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         import re
 
         marker = re.compile(MARKER)
-        for g in whole_groups(batches, ["conv", "block"]):
-            states = decode(emissions(g, features), _fresh(g), steps, int(g["enter"].iloc[0]), int(g["leave"].iloc[0]))
-            turn_key = g["turn"].fillna(-(2**53)).to_numpy()
-            fresh = np.concatenate(([True], (states[1:] != states[:-1]) | (turn_key[1:] != turn_key[:-1]))) | (g["marker"].to_numpy() >= 0) | (g["k"].to_numpy() == 0)
-            cuts = np.append(np.flatnonzero(fresh), len(g))
-            text_lines = [marker.sub("", x, count=1) if m >= 0 else x for x, m in zip(g["line"], g["marker"], strict=True)]
-            out, part = [], 0
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                part = part + 1 if i and turn_key[i] == turn_key[i - 1] else 0
-                name = ROLES[states[i]]
-                out.append((g["conv"].iloc[i], g["turn"].iloc[i], part, name, j - i, f"<|{name}|>\n" + "\n".join(text_lines[i:j]) + "\n<|end|>"))
-            yield pd.DataFrame(out, columns=["conv", "turn", "part", "role", "n_lines", "rendered"])
-
-    schema = f"conv {kinds[conv]}, turn {kinds[turn]}, part int, role string, n_lines long, rendered string"
-    return both.mapInPandas(render, schema).withColumnsRenamed({"conv": conv, "turn": turn})
+        for lines, groups in whole_groups(batches, ["conv", "block"]):
+            e, fresh = emissions(lines, features), _fresh(lines)
+            turns, marked, text = changes(lines["turn"]), lines["marker"] >= 0, lines["line"]
+            rows = []
+            for i, j in groups:
+                states = decode(e[i:j], fresh[i:j], steps, int(lines["enter"][i]), int(lines["leave"][i]))
+                begins = changes(states) | turns[i:j] | marked[i:j] | fresh[i:j].astype(bool)
+                cuts = np.append(np.flatnonzero(begins), j - i) + i
+                part = 0
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    part = 0 if x == i or turns[x] else part + 1
+                    name = ROLES[states[x - i]]
+                    said = [marker.sub("", t, count=1) if m else t for t, m in zip(text[x:y], marked[x:y], strict=True)]
+                    rows.append((lines["conv"][x], lines["turn"][x], part, name, y - x, f"<|{name}|>\n" + "\n".join(said) + "\n<|end|>"))
+            yield pd.DataFrame(rows, columns=["conv", "turn", "part", "role", "n_lines", "rendered"])
+
+    schema = f"conv string, turn {kinds[turn]}, part int, role string, n_lines long, rendered string"
+    made = both.mapInPandas(tidied(render), schema)
+    return made.select(F.col("conv").cast(kinds[conv]).alias(conv), F.col("turn").alias(turn), "part", "role", "n_lines", "rendered")
