@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.boosting import Forest, train
 from quire.llm.scratch import cut
-from quire.llm.words import Batch, M, mix, parts
+from quire.llm.words import Batch, M, mix, parts, tidied, tidy
 
 #: At most so many labelled documents are used to fit the trees.
 TRAIN_ROWS = 20_000
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "good": pdf["good"], "x": list(statistics(pdf["text"])[1])})
 
-    got = texts.mapInPandas(run, "id long, good long, x array<double>").dropDuplicates(["id"]).toPandas().sort_values("id")
+    got = texts.mapInPandas(tidied(run), "id long, good long, x array<double>").dropDuplicates(["id"]).toPandas().sort_values("id")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return train(x, got["good"].to_numpy(np.float64), np.array(list(FEATURES.values()), np.float64))
 
@@ -119,6 +119,7 @@ def judge(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "tex
         base, x = statistics(texts)
         failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
         p = 1 / (1 + np.exp(-forest.score(x)))
+        tidy()
         return pd.DataFrame(base | {"base_failed": failed, "probability": p, "kept": ~failed & (p >= least)})
 
     return docs.withColumn(into, measure(F.col(text)))

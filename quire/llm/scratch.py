@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has at most this many rows of a few numbers each.
 BROADCAST_ROWS = 500_000
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,11 +40,17 @@ def drop(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` and reads it back: lineage ends here.
 
+    Python on executors gets at most ``BATCH_ROWS`` rows at once meanwhile, as texts may be long.
     Then the driver's JVM is asked to collect its garbage, as only that lets shuffle files of finished steps go.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    batch = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(batch), BATCH_ROWS)))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, batch)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
