@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +39,26 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python on executors gets at most ``BATCH_ROWS`` rows at once from what is run inside, as texts may be long."""
+    batch = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(batch), BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, batch)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` and reads it back: lineage ends here.
 
-    Python on executors gets at most ``BATCH_ROWS`` rows at once meanwhile, as texts may be long.
     Then the driver's JVM is asked to collect its garbage, as only that lets shuffle files of finished steps go.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    batch = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(min(int(batch), BATCH_ROWS)))
-    try:
+    with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(BATCH, batch)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

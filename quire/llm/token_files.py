@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.scratch import bounded
+from quire.llm.scratch import bounded, small_batches
 from quire.llm.words import tidied
 
 #: A block closes once it has so many tokens; a longer document is a block of its own.
 BLOCK_TOKENS = 100_000
 PART_MB = 40
 #: Distinct words whose ids a task remembers before it starts afresh.
-MEMORY = 600_000
+MEMORY = 400_000
 END_ID = 1
 #: Texts handled at once.
 SLICE = 250
@@ -190,7 +190,8 @@ def write(docs: DataFrame, key: str, text: str, tokenizer: str, path: str, work:
     """
     spark = docs.sparkSession
     n_parts = max(2, int(np.ceil(total_mb / PART_MB)))
-    tokenize(docs, key, text, tokenizer, n_parts).write.option("compression", "zstd").parquet(work)
+    with small_batches(spark):
+        tokenize(docs, key, text, tokenizer, n_parts).write.option("compression", "zstd").parquet(work)
     made = spark.read.schema(BLOCKS).parquet(work)
     raw = made.where(F.col("block") != COUNTS)
 
