@@ -17,10 +17,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.blocks import bucket_edges, by_bucket, pack, unpack, with_answers, write_blocks
+from quire.llm import blocks
+from quire.llm.blocks import bucket_edges, by_bucket, with_answers, write_blocks
 from quire.llm.scratch import cut, text_mb
 from quire.llm.words import Batch, parts
 
@@ -36,6 +38,16 @@ WORD_BUCKET_MB, PAIR_BUCKET_MB = 40, 10
 RANGE = 300_000
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """``blocks.pack``, compressed by zstd after its size: most numbers here are small, and the codec of shuffles finds repeats only."""
+    raw = blocks.pack(numbers)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    return blocks.unpack(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+
+
 def good_turing(counts: list[int]) -> np.ndarray:
     """Discounts d[0..KATZ_K+1] from how many things were seen 1, 2, ... KATZ_K + 1 times.
 
