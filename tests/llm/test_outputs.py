@@ -84,6 +84,7 @@ def tokenizer():
 def test_pieces_give_what_whole_texts_give():
     plain, encoder = tokenizer(), token_files.Encoder(queries.tokenizer_path())
     texts = [t for _, t, *_ in odd_documents() if t] + ["it's 'tis can't 'S\u2019s", "a\x0bb\x0cc\x1cd\x85e\u2028f", "ΣΑΣ Σ ςΣ", "I\u0307 İ x\u0301 \u0301y", "a<|endoftext|>b <|startoftext|>", "12345 1st 3.14 --- !!!", "\r\n\r\n", prose(3, 500).upper(), "a\x01b \x01 \x01\x01 c\x01"]
+    texts += ['("ÀÉ")?!. ÉTÉ, été. ((x) (("y', "İ, Å; H\u0331, h\u0331! Ç\u0327. \u05d9\u05b4,", "<|STARTOFTEXT|> x<|startoftext|>.", "ª º µ ß ẞ ÿ Ÿ ×÷ a1, a.b a,b. 日本語. 가."]
     for t, ids in zip(texts, encoder([t.encode() for t in texts]), strict=True):
         assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
     assert [x.tolist() for x in encoder([None, b"", b" "])] == [[1]] * 3 and encoder([]) == []
