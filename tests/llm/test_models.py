@@ -76,6 +76,16 @@ def test_katz_tables(docs):
     assert total == pairs == made.scores.first()["train_tokens"]
 
 
+def test_katz_deals_frequent_first_words_to_several_buckets(spark, docs):
+    want, made = katz.train_and_score(docs), katz.train_and_score(docs, spread=20)
+    buckets = Counter(f for r in made.bigrams.collect() for f in set(katz.unpack(r["firsts"]).tolist()))
+    assert buckets[katz.START] > 1 and max(buckets.values()) > 2 and min(buckets.values()) == 1
+    assert sum(katz.unpack(r["counts"]).sum() for r in made.bigrams.collect()) == want.scores.first()["train_tokens"]
+    for g, w in zip(rows_of(made.scores), rows_of(want.scores), strict=True):
+        assert [g[c] for c in ("doc_id", "held_out", "n_tokens", "n_known")] == [w[c] for c in ("doc_id", "held_out", "n_tokens", "n_known")]
+        assert (g["base_score"], g["score"]) == pytest.approx((w["base_score"], w["score"]), rel=1e-9)
+
+
 def test_katz_without_rows_or_training(spark):
     assert katz.train_and_score(spark.createDataFrame([], SCHEMA)).scores.count() == 0
     i = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
