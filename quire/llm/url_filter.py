@@ -2,8 +2,9 @@
 
 Labelled page outcomes are counted by host. Bad shares are shrunk from the level above: a suffix towards
 all pages, a registered domain towards its suffix, a host towards its domain. The strength of each prior
-(the sum of a beta distribution's parameters) is fitted by moments over that level's counts. A host is
-blocked where the lower bound of its posterior bad share is above a limit.
+(the sum of a beta distribution's parameters) is fitted by moments over that level's counts. A host without labels
+has its domain's share as its posterior mean, or else its suffix's, or that of all pages. A host is blocked where the
+lower bound of its posterior bad share is above a limit.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from quire.llm.scratch import bounded, cut
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Suffixes of more than one label under which names are registered; others are one label.
 LONG_SUFFIXES = ("co.uk", "com.au", "co.jp", "com.br")
+#: First labels of such suffixes under any two-letter country.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "nom", "or", "org", "sch")
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -43,7 +46,7 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 def domain_of(host: Column) -> tuple[Column, Column]:
     """(registered domain, suffix) of a host."""
-    long = "|".join(s.replace(".", r"\.") for s in LONG_SUFFIXES)
+    long = "|".join([*(s.replace(".", r"\.") for s in LONG_SUFFIXES), rf"(?:{'|'.join(SECOND_LEVELS)})\.[a-z][a-z]"])
     suffix = F.regexp_extract(host, rf"(?:^|\.)({long}|[^.]+)$", 1)
     domain = F.regexp_extract(host, rf"([^.]+\.(?:{long})|[^.]+\.[^.]+|[^.]+)$", 1)
     return domain, suffix
@@ -67,13 +70,14 @@ def _strength() -> Column:
 
 
 def reputation(judged: DataFrame) -> DataFrame:
-    """(host, n, mean, sd) from judged pages (host, bad): the posterior of each host's bad share.
+    """(host, n, mean, sd) from pages (host, bad): the posterior of each host's bad share. bad is null where a page isn't
+    judged; a host without judged pages has n = 0, and no row where no page at all is judged.
 
-    Tables below are one row per host at most; pages are counted by host before anything else. Hosts without
-    judged pages have no row. The empty host counts as a host.
+    Tables below are one row per host at most; pages are counted by host before anything else. Groups without judged
+    pages add nothing to the strengths. The empty host counts as a host.
     """
     domain, suffix = domain_of(F.col("host"))
-    hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    hosts = judged.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = cut(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "url-hosts")
     bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
     above, up = F.lit(((bad or 0) + 1) / ((n or 0) + 2)), None  # the share of all pages, then a table of the level above
@@ -85,19 +89,19 @@ def reputation(judged: DataFrame) -> DataFrame:
         total = F.col("n") + F.lit(strength)
         mean = (F.col("bad") + F.col("prior") * F.lit(strength)) / total
         above, up = counts.select(level, mean.alias("prior")), [level]
-    return counts.select("host", "n", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (total + 1)).alias("sd"))
+    return counts.where(F.lit(bool(n))).select("host", "n", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (total + 1)).alias("sd"))
 
 
 def filter_urls(pages: DataFrame, judged: DataFrame, url: str = "url", key: str = "page_id", rules=RULES, limit: float = 0.25, z: float = 1.645, into: str = "reputation") -> DataFrame:
     """``pages`` with a column ``into`` (one of that name is replaced), struct(host, path, rule, verdict, bad_bound).
 
     verdict is the longest fitting rule's; else block where mean - z * sd of the host's posterior is above ``limit``,
-    and allow where it isn't or nothing is known. ``judged`` has (key, bad). Null urls have an empty host and path and
+    and allow where it isn't or no page is judged. ``judged`` has (key, bad). Null urls have an empty host and path and
     are judged like the empty host.
     """
     named = pages.withColumns({"__host": host_of(F.col(url)), "__path": path_of(F.col(url))})
     outcome = judged.select(F.col("page_id").alias("__page"), "bad")
-    known = named.select(key, F.col("__host").alias("host")).join(outcome, F.col(key) == F.col("__page")).select("host", "bad")
+    known = named.select(key, F.col("__host").alias("host")).join(outcome, F.col(key) == F.col("__page"), "left").select("host", "bad")
     scores = bounded(cut(reputation(known), "url-reputation")).select(F.col("host").alias("__known"), (F.col("mean") - z * F.col("sd")).alias("__bound"))
     rows = named.join(scores, F.col("__host") == F.col("__known"), "left")
     rule, verdict = rule_columns(F.col("__host"), F.col("__path"), rules)

@@ -184,6 +184,24 @@ def test_hosts_are_shrunk_and_judged(spark):
     assert verdict["bad.spam.com"] == "block" and verdict["good.fine.com"] == "allow"
 
 
+def test_hosts_without_labels_are_judged_by_domain_and_suffix(spark):
+    rows = []
+    for host, bad, n in (("bad.spam.com", 95, 100), ("bad2.spam.com", 48, 50), ("good.fine.com", 3, 200), ("a.gov.uk", 60, 60), ("b.gov.uk", 0, 60)):
+        rows += [(len(rows) + k, f"http://{host}/{k}", int(k < bad)) for k in range(n)]
+    unseen = {"new.spam.com": "block", "new.fine.com": "allow", "x.a.gov.uk": "block", "x.b.gov.uk": "allow"}
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(1000 + k, f"http://{h}/") for k, h in enumerate([*unseen, "other.com", "other.zz"])], "page_id long, url string")
+    judged = spark.createDataFrame([(r[0], r[2]) for r in rows], "page_id long, bad long")
+    got = {r["h"]: (r["v"], r["b"]) for r in url_filter.filter_urls(pages, judged).selectExpr("reputation.host h", "reputation.verdict v", "reputation.bad_bound b").distinct().collect()}
+    assert {h: got[h][0] for h in unseen} == unseen
+    assert all(b is not None for _, b in got.values())
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.gov.uk": ("b.gov.uk", "gov.uk"), "x.com.cn": ("x.com.cn", "com.cn"), "a.b.co.uk": ("b.co.uk", "co.uk"), "a.com.org": ("com.org", "org"), "q.r.de": ("r.de", "de"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0]: tuple(r[1:]) for r in df.select("host", *url_filter.domain_of(F.col("host"))).collect()} == hosts
+
+
 def test_outcomes(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (3, 1, 1), (None, 0, 0), (4, None, None)], "doc_id long, quality int, toxic int")
     assert {r["page_id"]: r["bad"] for r in url_filter.outcomes(labels).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
