@@ -34,14 +34,15 @@ START = len(ROLES)
 
 
 def transcript_lines(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conv as text, block, turn, msg, k, line, marker, asks, long): the lines of each message, the first led by its speaker if known.
+    """(conv as text, block, turn, msg, copy, k, line, marker, asks, long): the lines of each message, the first led by its speaker if known.
 
     marker is the index of the role that a line's speaker marker names, -1 without one. msg tells apart messages
-    that share a turn. Null texts are one empty line; null turns come first.
+    that share a turn, copy those that are equal. Null texts are one empty line; null turns come first.
     """
     known = F.lower(F.trim(F.col(role))).isin(*SPEAKERS)
     full = F.concat(F.when(known, F.concat(F.trim(F.col(role)), F.lit(": "))).otherwise(""), F.coalesce(F.col(text), F.lit("")))
-    rows = messages.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), F.xxhash64(F.col(role), F.col(text)).alias("msg"), F.posexplode(F.split(full, "\n", -1)).alias("k", "line"))
+    rows = messages.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), F.xxhash64(F.col(role), F.col(text)).alias("msg"), F.monotonically_increasing_id().alias("copy"), F.split(full, "\n", -1).alias("all"))
+    rows = rows.select("conv", "turn", "msg", "copy", F.posexplode("all").alias("k", "line"))
     name = F.lower(F.regexp_extract("line", MARKER, 1))
     marker = F.lit(-1)
     for word, state in SPEAKERS.items():
@@ -49,7 +50,7 @@ def transcript_lines(messages: DataFrame, conv: str, turn: str, role: str, text:
     words = count_words(F.col("line"))
     long = sum((words > n).cast("int") for n in LENGTHS)
     block = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK_TURNS).cast("long")
-    return rows.select("conv", block.alias("block"), "turn", "msg", "k", "line", marker.alias("marker"), F.col("line").rlike(r"\?\s*$").cast("int").alias("asks"), long.alias("long"))
+    return rows.select("conv", block.alias("block"), "turn", "msg", "copy", "k", "line", marker.alias("marker"), F.col("line").rlike(r"\?\s*$").cast("int").alias("asks"), long.alias("long"))
 
 
 def estimate(messages: DataFrame, lines: DataFrame, conv: str, turn: str, role: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -79,8 +80,8 @@ def estimate(messages: DataFrame, lines: DataFrame, conv: str, turn: str, role:
         features[1][s, row["asks"]] += row["n"]
         features[2][s, row["long"]] += row["n"]
     # lines within a message: mostly of its role and without a marker
-    led = marked.select("conv", "turn", "msg", F.col("marker").alias("role"))
-    inner = lines.where("k > 0").join(led, ["conv", "turn", "msg"]).groupBy("role", "marker").agg(F.count("*").alias("n"))
+    led = marked.select("copy", F.col("marker").alias("role"))
+    inner = lines.where("k > 0").join(led, "copy").groupBy("role", "marker").agg(F.count("*").alias("n"))
     for row in inner.collect():
         s, m = row["role"], row["marker"]
         features[0][0, s if m < 0 else m, m if m >= 0 else len(ROLES)] += row["n"]
@@ -159,7 +160,7 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     kinds = dict(messages.dtypes)
     lines = cut(transcript_lines(messages, conv, turn, role, text), "chat-lines")
     steps, features = estimate(messages, lines, conv, turn, role)
-    dealt = lines.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "msg", "k")
+    dealt = lines.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "msg", "copy", "k")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lines, groups in whole_groups(batches, ["conv", "block"]):
@@ -190,7 +191,7 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     ends = cut(chained.mapInPandas(tidied(chain), "conv string, block long, enter int, leave int"), "chat-ends").withColumnsRenamed({"conv": "__conv", "block": "__block"})
     # one row for each block joins its lines
     both = lines.join(ends, lines["conv"].eqNullSafe(ends["__conv"]) & (lines["block"] == ends["__block"])).drop("__conv", "__block")
-    both = both.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "msg", "k")
+    both = both.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "msg", "copy", "k")
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re

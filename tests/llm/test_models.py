@@ -267,3 +267,16 @@ def test_chat_oddities(spark):
     assert long == [(t, "user" if t % 2 == 0 else "assistant") for t in range(700)]
     assert [r["role"] for r in got if r["conv_id"] is None] == ["system"]
     assert chat.parse_chats(df.limit(0)).count() == 0
+
+
+def test_repeated_messages_of_several_lines(spark):
+    rows = [*chats(7, 3), *[(70, 0, "user", "a\nb\nc")] * 3, *[(70, 1, None, "User: d\ne")] * 2, *[(None, None, "assistant", "f\ng")] * 2]
+    got = rows_of(chat.parse_chats(spark.createDataFrame(rows, SCHEMA_CHAT)).where("conv_id = 70 OR conv_id IS NULL"), "part")
+    told = {t: [(r["part"], r["n_lines"], r["rendered"]) for r in got if r["turn"] == t] for t in (0, 1, None)}
+    assert told[0] == [(k, 3, "<|user|>\na\nb\nc\n<|end|>") for k in range(3)]
+    assert told[1] == [(k, 2, "<|user|>\nd\ne\n<|end|>") for k in range(2)]
+    assert told[None] == [(k, 2, "<|assistant|>\nf\ng\n<|end|>") for k in range(2)]
+    lines = cut(chat.transcript_lines(spark.createDataFrame(rows[24:], SCHEMA_CHAT), "conv_id", "turn", "role", "text"), "test-lines")
+    steps, _ = chat.estimate(spark.createDataFrame(rows[24:], SCHEMA_CHAT), lines, "conv_id", "turn", "role")
+    # 3 copies with two inner lines each and 2 with one, all of a user
+    assert np.exp(steps[0, 1]) == pytest.approx(np.array([1, 1 + chat.STAY + 8, 1]) / (chat.STAY + 11))
