@@ -4,7 +4,8 @@ States are the roles; a line's observation is its speaker marker (if any), wheth
 Transition and emission chances are counted from messages whose role is known. Viterbi runs in three steps, so
 that a conversation of any length is spread over tasks: each block of messages becomes a max-plus matrix from
 the state before it to its last state; the matrices of a conversation are chained to find each block's entry and
-exit; each block is then decoded between those two.
+exit; each block is then decoded between those two. Blocks are cut from the sorted messages by their number, so many
+messages of one turn are spread as well.
 """
 
 from __future__ import annotations
@@ -13,18 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.native_words import count_words
-from quire.llm.scratch import cut
+from quire.llm.scratch import bounded, cut
 from quire.llm.words import tidied
 
 ROLES = ("system", "user", "assistant")
 SPEAKERS = {"system": 0, "user": 1, "human": 1, "assistant": 2, "ai": 2, "bot": 2}
 MARKER = r"(?i)^\s*[\[<*#|]*\s*(" + "|".join(SPEAKERS) + r")\s*[\]*|]*\s*[:>]\s*"
-#: Messages whose turns share this quotient are decoded together.
-BLOCK_TURNS = 256
+#: So many messages at most are decoded together.
+BLOCK_MESSAGES = 256
 LENGTHS = (8, 40, 160)
 #: Counted beforehand for lines that keep their message's role.
 STAY = 100
@@ -34,42 +35,58 @@ START = len(ROLES)
 
 
 def transcript_lines(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conv as text, block, turn, msg, copy, k, line, marker, asks, long): the lines of each message, the first led by its speaker if known.
+    """(conv as text, block, turn, pos, state, k, line, marker, asks, long): the lines of each message, the first led by its speaker if known.
 
-    marker is the index of the role that a line's speaker marker names, -1 without one. msg tells apart messages
-    that share a turn, copy those that are equal. Null texts are one empty line; null turns come first.
+    state is the index of the message's role, marker that of the role that a line's speaker marker names, -1 without one.
+    Messages are sorted by conversation, turn and a hash, and numbered in that order by pos; those of a conversation that
+    share the quotient of pos by ``BLOCK_MESSAGES`` are a block. Null texts are one empty line; null turns come first.
     """
-    known = F.lower(F.trim(F.col(role))).isin(*SPEAKERS)
-    full = F.concat(F.when(known, F.concat(F.trim(F.col(role)), F.lit(": "))).otherwise(""), F.coalesce(F.col(text), F.lit("")))
-    rows = messages.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), F.xxhash64(F.col(role), F.col(text)).alias("msg"), F.monotonically_increasing_id().alias("copy"), F.split(full, "\n", -1).alias("all"))
-    rows = rows.select("conv", "turn", "msg", "copy", F.posexplode("all").alias("k", "line"))
-    name = F.lower(F.regexp_extract("line", MARKER, 1))
-    marker = F.lit(-1)
-    for word, state in SPEAKERS.items():
-        marker = F.when(name == word, state).otherwise(marker)
+    name = F.lower(F.trim(F.col(role)))
+    full = F.concat(F.when(name.isin(*SPEAKERS), F.concat(F.trim(F.col(role)), F.lit(": "))).otherwise(""), F.coalesce(F.col(text), F.lit("")))
+    rows = messages.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), _speaker(name).alias("state"), full.alias("full"), F.xxhash64(F.col(role), F.col(text)).alias("msg"), F.monotonically_increasing_id().alias("copy"))
+    # ranges end between any two messages, as copy tells all apart; numbers go up with the range and within it
+    order = ["conv", "turn", "msg", "copy"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
+    rows = rows.select("conv", F.shiftright("pos", BLOCK_MESSAGES.bit_length() - 1).alias("block"), "turn", "pos", "state", F.posexplode(F.split("full", "\n", -1)).alias("k", "line"))
     words = count_words(F.col("line"))
     long = sum((words > n).cast("int") for n in LENGTHS)
-    block = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK_TURNS).cast("long")
-    return rows.select("conv", block.alias("block"), "turn", "msg", "copy", "k", "line", marker.alias("marker"), F.col("line").rlike(r"\?\s*$").cast("int").alias("asks"), long.alias("long"))
+    marker = _speaker(F.lower(F.regexp_extract("line", MARKER, 1)))
+    return rows.select("conv", "block", "turn", "pos", "state", "k", "line", marker.alias("marker"), F.col("line").rlike(r"\?\s*$").cast("int").alias("asks"), long.alias("long"))
+
 
+def _speaker(name: Column) -> Column:
+    """The index of a role by a lower-cased name of it, else -1."""
+    state = F.lit(-1)
+    for word, s in SPEAKERS.items():
+        state = F.when(name == word, s).otherwise(state)
+    return state
 
-def estimate(messages: DataFrame, lines: DataFrame, conv: str, turn: str, role: str) -> tuple[np.ndarray, list[np.ndarray]]:
+
+def transitions(lines: DataFrame) -> DataFrame:
+    """(before, state, n): messages by their known role and that of the message before them, START for a conversation's first.
+
+    A message after one whose role isn't known is left out. Within blocks the message before is the row before; then
+    the last messages of blocks meet the first ones of the next.
+    """
+    heads = lines.where("k = 0").select("conv", "block", "pos", "state")
+    inside = heads.withColumn("before", F.lag("state").over(Window.partitionBy("conv", "block").orderBy("pos")))
+    edges = cut(heads.groupBy("conv", "block").agg(F.min_by("state", "pos").alias("state"), F.max_by("state", "pos").alias("last")), "chat-edges")
+    edges = edges.withColumn("before", F.lag("last", 1, START).over(Window.partitionBy("conv").orderBy("block")))
+    both = inside.where("before IS NOT NULL").select("before", "state").unionByName(edges.select("before", "state"))
+    return both.where("before >= 0 AND state >= 0").groupBy("before", "state").agg(F.count("*").alias("n"))
+
+
+def estimate(lines: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     """Log chances: steps (within a message or to the next x states and start x states), and the features: marker (within a
     message or at its start x states x values), question and length (states x values). Counts start at one, those of staying
     within a message at ``STAY``.
 
     Only sums over roles come to the driver.
     """
-    name = F.lower(F.trim(F.col(role)))
-    state = F.lit(None).cast("int")
-    for word, s in SPEAKERS.items():
-        state = F.when(name == word, s).otherwise(state)
-    known = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), state.alias("state")).where("state IS NOT NULL")
-    before = known.select("conv", (F.col("turn") + 1).alias("turn"), F.col("state").alias("before"))
     steps = np.ones((2, len(ROLES) + 1, len(ROLES)))
     steps[0] += STAY * np.eye(len(ROLES) + 1, len(ROLES))
-    for row in known.join(before, ["conv", "turn"], "left").groupBy("before", "state").agg(F.count("*").alias("n")).collect():
-        steps[1, START if row["before"] is None else row["before"], row["state"]] += row["n"]
+    for row in transitions(lines).collect():
+        steps[1, row["before"], row["state"]] += row["n"]
     marked = lines.where("k = 0 AND marker >= 0")
     features = [np.ones(shape) for shape in ((2, len(ROLES), len(ROLES) + 1), (len(ROLES), 2), (len(ROLES), len(LENGTHS) + 1))]
     features[0][:, :, : len(ROLES)] = np.where(np.eye(len(ROLES)) > 0, 1, WRONG)
@@ -80,8 +97,8 @@ def estimate(messages: DataFrame, lines: DataFrame, conv: str, turn: str, role:
         features[1][s, row["asks"]] += row["n"]
         features[2][s, row["long"]] += row["n"]
     # lines within a message: mostly of its role and without a marker
-    led = marked.select("copy", F.col("marker").alias("role"))
-    inner = lines.where("k > 0").join(led, "copy").groupBy("role", "marker").agg(F.count("*").alias("n"))
+    led = marked.select("pos", F.col("marker").alias("role"))
+    inner = lines.where("k > 0").join(led, "pos").groupBy("role", "marker").agg(F.count("*").alias("n"))
     for row in inner.collect():
         s, m = row["role"], row["marker"]
         features[0][0, s if m < 0 else m, m if m >= 0 else len(ROLES)] += row["n"]
@@ -159,8 +176,8 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """
     kinds = dict(messages.dtypes)
     lines = cut(transcript_lines(messages, conv, turn, role, text), "chat-lines")
-    steps, features = estimate(messages, lines, conv, turn, role)
-    dealt = lines.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "msg", "copy", "k")
+    steps, features = estimate(lines)
+    dealt = lines.repartition("conv", "block").sortWithinPartitions("conv", "block", "pos", "k")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lines, groups in whole_groups(batches, ["conv", "block"]):
@@ -191,7 +208,7 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     ends = cut(chained.mapInPandas(tidied(chain), "conv string, block long, enter int, leave int"), "chat-ends").withColumnsRenamed({"conv": "__conv", "block": "__block"})
     # one row for each block joins its lines
     both = lines.join(ends, lines["conv"].eqNullSafe(ends["__conv"]) & (lines["block"] == ends["__block"])).drop("__conv", "__block")
-    both = both.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "msg", "copy", "k")
+    both = both.repartition("conv", "block").sortWithinPartitions("conv", "block", "pos", "k")
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
@@ -206,13 +223,21 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                 begins = changes(states) | turns[i:j] | marked[i:j] | fresh[i:j].astype(bool)
                 cuts = np.append(np.flatnonzero(begins), j - i) + i
                 part = 0
+                new = np.flatnonzero(turns[i + 1 : j]) + i + 1
+                second, last = (new[0], new[-1]) if len(new) else (j, i)
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     part = 0 if x == i or turns[x] else part + 1
                     name = ROLES[states[x - i]]
                     said = [marker.sub("", t, count=1) if m else t for t, m in zip(text[x:y], marked[x:y], strict=True)]
-                    rows.append((lines["conv"][x], lines["turn"][x], part, name, y - x, f"<|{name}|>\n" + "\n".join(said) + "\n<|end|>"))
-            yield pd.DataFrame(rows, columns=["conv", "turn", "part", "role", "n_lines", "rendered"])
-
-    schema = f"conv string, turn {kinds[turn]}, part int, role string, n_lines long, rendered string"
-    made = both.mapInPandas(tidied(render), schema)
-    return made.select(F.col("conv").cast(kinds[conv]).alias(conv), F.col("turn").alias(turn), "part", "role", "n_lines", "rendered")
+                    rows.append((lines["conv"][x], lines["block"][x], x < second, x < second or x >= last, lines["turn"][x], part, name, y - x, f"<|{name}|>\n" + "\n".join(said) + "\n<|end|>"))
+            yield pd.DataFrame(rows, columns=["conv", "block", "head", "edge", "turn", "part", "role", "n_lines", "rendered"])
+
+    schema = f"conv string, block long, head boolean, edge boolean, turn {kinds[turn]}, part int, role string, n_lines long, rendered string"
+    made = cut(both.mapInPandas(tidied(render), schema), "chat-pieces")
+    # head: a piece of its block's first turn, which may go on from the blocks before; edge: of the first or last turn
+    pieces = made.where("edge").groupBy("conv", "turn", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv", "turn").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = pieces.select(F.col("conv").alias("__conv"), F.col("block").alias("__block"), before.cast("int").alias("__before")).where("__before > 0")
+    made = made.join(bounded(cut(offsets, "chat-offsets")), F.col("head") & F.col("conv").eqNullSafe(F.col("__conv")) & (F.col("block") == F.col("__block")), "left")
+    part = (F.col("part") + F.coalesce("__before", F.lit(0))).alias("part")
+    return made.select(F.col("conv").cast(kinds[conv]).alias(conv), F.col("turn").alias(turn), part, "role", "n_lines", "rendered")

@@ -277,6 +277,22 @@ def test_repeated_messages_of_several_lines(spark):
     assert told[1] == [(k, 2, "<|user|>\nd\ne\n<|end|>") for k in range(2)]
     assert told[None] == [(k, 2, "<|assistant|>\nf\ng\n<|end|>") for k in range(2)]
     lines = cut(chat.transcript_lines(spark.createDataFrame(rows[24:], SCHEMA_CHAT), "conv_id", "turn", "role", "text"), "test-lines")
-    steps, _ = chat.estimate(spark.createDataFrame(rows[24:], SCHEMA_CHAT), lines, "conv_id", "turn", "role")
+    steps, _ = chat.estimate(lines)
     # 3 copies with two inner lines each and 2 with one, all of a user
     assert np.exp(steps[0, 1]) == pytest.approx(np.array([1, 1 + chat.STAY + 8, 1]) / (chat.STAY + 11))
+
+
+def test_many_messages_of_one_turn_are_spread(spark):
+    rows = [(80, 3, "user", f"ask {k}?") for k in range(900)] + [(80, 4, "assistant", f"say {k}\nmore") for k in range(900)] + [(None, None, "user", "same")] * 700 + [(81, 0, "user", "a"), (81, 1, None, "b"), (81, 5, "assistant", "c"), (81, 7, "user", "d")]
+    df = spark.createDataFrame(rows, SCHEMA_CHAT)
+    lines = cut(chat.transcript_lines(df, "conv_id", "turn", "role", "text"), "test-lines")
+    blocks = [r["n"] for r in lines.where("k = 0").groupBy("conv", "block").count().withColumnRenamed("count", "n").collect()]
+    assert sum(blocks) == len(rows) and max(blocks) <= chat.BLOCK_MESSAGES
+    # pairs of neighbours, not of all messages at neighbouring turns; none over the message without a role
+    n = {(r["before"], r["state"]): r["n"] for r in chat.transitions(lines).collect()}
+    assert n == {(chat.START, 1): 3, (1, 1): 899 + 699, (1, 2): 1, (2, 2): 899, (2, 1): 1}
+    got = chat.parse_chats(df).collect()
+    for c, t, role, size, count in ((80, 3, "user", 1, 900), (80, 4, "assistant", 2, 900), (None, None, "user", 1, 700)):
+        mine = [r for r in got if (r["conv_id"], r["turn"]) == (c, t)]
+        assert sorted(r["part"] for r in mine) == list(range(count)) and {(r["role"], r["n_lines"]) for r in mine} == {(role, size)}
+    assert len({r["rendered"] for r in got if r["turn"] == 3}) == 900
