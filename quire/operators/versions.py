@@ -97,5 +97,10 @@ def overlaps(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of operations on the same chapter and the same first two places of their paths (short paths meet all)."""
     x = a.select(*key, F.col("op_id").alias("a_id"), F.col("path").alias("a_path"))
     y = b.select(*key, F.col("op_id").alias("b_id"), F.col("path").alias("b_path"))
-    short = (F.size("a_path") < 2) | (F.size("b_path") < 2)
-    return x.join(y, key).where(short | (F.slice("a_path", 1, 2) == F.slice("b_path", 1, 2))).select(*key, "a_id", "b_id")
+    short = lambda path: F.coalesce(F.size(path) < 2, F.lit(False))
+    x, y = x.withColumn("short", short("a_path")), y.withColumn("short", short("b_path"))
+    names = [*key, "a_id", "b_id"]
+    first = lambda path: F.slice(path, 1, 2).alias("first")
+    same = x.where("NOT short").select("*", first("a_path")).join(y.where("NOT short").select("*", first("b_path")), [*key, "first"]).select(names)
+    a_short, b_short = x.where("short").join(y, key).select(names), x.where("NOT short").join(y.where("short"), key).select(names)
+    return same.unionByName(a_short).unionByName(b_short)

@@ -166,3 +166,13 @@ def test_stream_ingests_once(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     got = stream.run_once(stream.ingest_once(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out")
     assert sorted(r["event_id"] for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_overlaps_join_on_first_places(spark):
+    paths = [None, [], [1], [1, 2], [1, 2, 3], [1, 2, 4], [1, 3], [2, 2, 3]]
+    df = lambda k: spark.createDataFrame([(k, i, p) for i, p in enumerate(paths)], "k long, op_id long, path array<long>")
+    got = versions.overlaps(df(1).unionByName(df(2)), df(1), ["k"])
+    short = lambda p: p is not None and len(p) < 2
+    meet = lambda p, q: short(p) or short(q) or (p is not None and q is not None and p[:2] == q[:2])
+    assert sorted(map(tuple, got.collect())) == sorted((1, i, j) for i, p in enumerate(paths) for j, q in enumerate(paths) if meet(p, q))
+    assert "first#" in got._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1].split("\n")[0]
