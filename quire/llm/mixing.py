@@ -4,7 +4,8 @@ Each source wants a share of the budget by weight, but at most ``max_epochs`` pa
 what it can't use goes to the others by weight, until none is above its limit (capped water-filling).
 Sorted by limit / weight, the sources at their limit are a prefix, so the level comes from running sums
 over the table of sources. Within a source each document is taken as many whole times as the target
-covers the source, and the rest of the target is filled with documents in the order of a seeded hash.
+covers the source, and the rest of the target is filled with documents in the order of a seeded hash of id and
+text, and of their row where these are the same.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ BUCKETS = 4096
 HASH_BITS = 48
 
 
-def _place(key: str, seed: int):
-    """A seeded number below 2**48 for each id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+def _place(key: str, text: str, seed: int):
+    """A seeded number below 2**48 for each id and text."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+#: Rows are numbered within their partition of the scan; the partition is in the upper bits.
+ROW_BITS = 33
+
+
 def _bucket(place):
     return F.floor(place / (2**HASH_BITS // BUCKETS)).cast("int")
 
@@ -57,24 +62,42 @@ def targets(sizes: DataFrame, weights: list[float], share: float, max_epochs: fl
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def _cut(rows: DataFrame, cuts: DataFrame, by: str) -> DataFrame:
+    """For each source of ``cuts`` (source, held, rest): the value of ``by`` whose rows hold the place where ``rest`` words are
+    filled, and the words held before it. ``rows`` has (source, by, words)."""
+    sums = rows.groupBy("source", by).agg(F.sum("words").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy(by))
+    sums = _with(sums.withColumn("upto", upto), cuts.select("source", "held", "rest"), "inner").withColumn("upto", F.col("held") + F.col("upto"))
+    found = sums.where("upto > rest AND upto - words <= rest").select("source", by, (F.col("upto") - F.col("words")).alias("held"), "rest")
+    return bounded(cut(found, f"mix-{by}"))
+
+
 def mix_plan(narrow: DataFrame, weights: list[float], share: float, max_epochs: int) -> DataFrame:
-    """One row per source of ``narrow`` (id, source, size, place): its target, whole passes, and where the last part pass ends."""
-    sums = narrow.groupBy("source", _bucket(F.col("place")).alias("bucket")).agg(F.sum("size").alias("words"))
-    sums = cut(sums, "mix-sums")
+    """One row per source of ``narrow`` (source, words, place, row): its target, whole passes, and where the last part pass ends,
+    ``last`` (place, row).
+
+    The end is looked for in ranges of places, then among the places of one range, among the scan's partitions that
+    have rows of one place, and among the rows of one partition.
+    """
+    narrow = narrow.withColumns({"bucket": _bucket(F.col("place")), "part": F.shiftright("row", ROW_BITS)})
+    sums = cut(narrow.groupBy("source", "bucket").agg(F.sum("words").alias("words")), "mix-sums")
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0)
     goal = goal.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     goal = bounded(cut(goal, "mix-goal"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    cuts = _with(sums.withColumn("upto", upto), goal.select("source", "rest"), "inner").where("upto > rest AND upto - words <= rest")
-    cuts = bounded(cut(cuts.select("source", "bucket", (F.col("upto") - F.col("words")).alias("held"), "rest"), "mix-cuts"))
-    inside = _with(narrow, cuts, "inner").where(_bucket(F.col("place")) == F.col("bucket"))
-    peers = inside.groupBy("source", "place", "id", "held", "rest").agg(F.sum("size").alias("words"))
-    upto = F.col("held") + F.sum("words").over(Window.partitionBy("source").orderBy("place", "id"))
-    taken = peers.withColumn("upto", upto).where("upto <= rest OR upto - words <= rest AND upto - rest <= rest - (upto - words)")
-    last = taken.groupBy("source").agg(F.max(F.struct("place", "id")).alias("last"))
-    edge = _with(cuts.select("source", "bucket"), bounded(cut(last, "mix-last")), "left")
-    return _with(goal, bounded(cut(edge, "mix-edge")), "left")
+    at = goal.select("source", F.lit(0).cast("long").alias("held"), "rest")
+    inside, found = narrow, goal.select("source")
+    for by, rows in (("bucket", sums), ("place", None), ("part", None)):
+        at = _cut(inside if rows is None else rows, at, by)
+        found = _with(found, at.select("source", by), "left")
+        inside = _with(inside, at.select("source", F.col(by).alias("__at")), "inner").where(F.col(by) == F.col("__at")).drop("__at")
+    upto = F.col("held") + F.sum("words").over(Window.partitionBy("source").orderBy("row"))
+    ends = _with(inside, at.select("source", "held", "rest"), "inner").withColumn("upto", upto)
+    taken = ends.where("upto <= rest OR upto - words <= rest AND upto - rest <= rest - (upto - words)")
+    last = bounded(cut(taken.groupBy("source").agg(F.max("row").alias("row")), "mix-last"))
+    edge = F.struct("place", F.coalesce("row", F.shiftleft("part", ROW_BITS) - 1).alias("row"))
+    found = _with(cut(found, "mix-edge"), last, "left").select("source", F.when(F.col("place").isNotNull(), edge).alias("last"))
+    return _with(goal, bounded(cut(found, "mix-found")), "left")
 
 
 def mix(
@@ -92,28 +115,27 @@ def mix(
 
     size counts the words of a text (null: 0); the budget is ``share`` times all words. A source's copies fill its
     target to within half of one document. Null is a source like others, sorted last. Sources without words have
-    target 0 and no copies. Rows with the same id have the same place in the order and are taken together.
-    No rows give no rows. A rerun takes the same documents.
+    target 0 and no copies. Rows with the same id and text are told apart by their place in ``docs``, whose partitions have
+    to come out the same when read again, as those of files do. No rows give no rows. A rerun takes the same documents.
     """
     size = count_words(F.col(text))
-    narrow = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size"), _place(key, seed).alias("place"))
+    here = {"__size": size, "__place": _place(key, text, seed), "__row": F.monotonically_increasing_id()}
+    narrow = docs.select(F.col(source).alias("source"), *[c.alias(n) for n, c in zip(("words", "place", "row"), here.values(), strict=True)])
     plan = bounded(cut(mix_plan(cut(narrow, "mix-narrow"), list(weights), share, max_epochs), "mix-plan"))
-    plan = plan.select([F.col(c).alias(f"__{c}") for c in plan.columns])
-    rows = docs.join(plan, docs[source].eqNullSafe(plan["__source"]), "left").withColumns({"__size": size, "__place": _place(key, seed)})
-    bucket = _bucket(F.col("__place"))
-    early = F.col("__last").isNotNull() & (F.struct(F.col("__place").alias("place"), F.col(key).alias("id")) <= F.col("__last"))
-    once_more = F.when(F.col("__rest") <= 0, False).when(F.col("__bucket").isNull(), True)
-    once_more = once_more.otherwise((bucket < F.col("__bucket")) | ((bucket == F.col("__bucket")) & early))
-    copies = F.least(F.col("__whole") + once_more.cast("long"), F.lit(max_epochs).cast("long"))
+    plan = plan.select([F.col(c).alias(f"__of_{c}") for c in plan.columns])
+    rows = docs.withColumns(here).join(plan, F.col(source).eqNullSafe(F.col("__of_source")), "left")
+    early = F.struct(F.col("__place").alias("place"), F.col("__row").alias("row")) <= F.col("__of_last")
+    once_more = F.when(F.col("__of_rest") <= 0, False).when(F.col("__of_last").isNull(), True).otherwise(early)
+    copies = F.least(F.col("__of_whole") + once_more.cast("long"), F.lit(max_epochs).cast("long"))
     rows = rows.withColumn("__copies", copies)
     made = F.struct(
         F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
+        F.col("__of_source_size").alias("source_size"),
+        F.col("__of_target").alias("target"),
         F.col("__copies").alias("copies"),
         (F.col("__copies") * F.col("__size")).alias("taken"),
     )
-    return rows.withColumn(into, made).drop("__size", "__place", "__copies", *plan.columns)
+    return rows.withColumn(into, made).drop(*here, "__copies", *plan.columns)
 
 
 def repeated(mixed: DataFrame, into: str = "mix") -> DataFrame:
@@ -125,7 +147,7 @@ def repeated(mixed: DataFrame, into: str = "mix") -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                  CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS place FROM documents),
+                  CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) AS place FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
 a AS (SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / w AS ratio FROM w),
