@@ -10,11 +10,7 @@ A file set is a folder with ``blocks`` (runs of documents in id order: ids, leng
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
-from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,23 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.llm.pieces import encoder
 from quire.llm.scratch import bounded, small_batches
 from quire.llm.words import tidied
 
-#: A block closes once it has so many tokens; a longer document is a block of its own.
+#: A block closes after the slice of texts in which it has got so many tokens.
 BLOCK_TOKENS = 100_000
 PART_MB = 40
-#: Distinct pieces, and parts of pieces, whose ids a process remembers before it starts afresh.
-PIECES, PARTS = 400_000, 400_000
-END_ID = 1
 #: Texts handled at once.
 SLICE = 250
-#: What stands between pieces that are encoded in one row, and pieces in a row.
-MARK, ROW = "\x01", 500
-#: Latin-1 letters, alone and with brackets, quotes and punctuation around. Neither normal forms nor case joins or splits them.
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-PLAIN = re.compile("([(\"]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?)\"]*)").fullmatch
-
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
@@ -69,153 +57,6 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-class _Numbers(dict):
-    """Numbers things as they come; ``new`` has those since it was last emptied."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, thing) -> int:
-        self[thing] = n = len(self)
-        self.new.append(thing)
-        return n
-
-
-class _Known:
-    """The ids of things by their number. Room doubles when it runs out."""
-
-    def __init__(self) -> None:
-        self.numbers = _Numbers()
-        self.ids, self.ends, self.known = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-
-    def number(self, things: Iterator, count: int) -> np.ndarray:
-        return np.fromiter(map(self.numbers.__getitem__, things), np.int64, count)
-
-    def add(self, n: np.ndarray, ids: np.ndarray) -> None:
-        """The ids of ``numbers.new``: n[i] of them for the i-th."""
-        start, known = self.ends[self.known], self.known + len(n)
-        end = start + len(ids)
-        while known >= len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        while end > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[start:end] = ids
-        self.ends[self.known + 1 : known + 1] = start + np.cumsum(n)
-        self.known, self.numbers.new = known, []
-
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(how many ids each has, the ids one after the other)."""
-        n = self.ends[at + 1] - self.ends[at]
-        upto = np.cumsum(n)
-        return n, self.ids[np.repeat(self.ends[at] - upto + n, n) + np.arange(upto[-1] if len(n) else 0)]
-
-
-class Encoder:
-    """Ids of texts by a tokenizer that never joins across white space, nor letters with punctuation: each distinct
-    piece is encoded once.
-
-    The pieces between ASCII white space go to the tokenizers library as they are, but for those of Latin-1 letters
-    with quotes or brackets before and punctuation behind: these go as up to three parts, letters in lower case if
-    the tokenizer ignores case.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.vocabulary = max(self.tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1)
-        self.mark = self._encode([f" {MARK} "])[0].ids
-        if len(self.mark) != 1:
-            raise ValueError("the mark has to be one token")
-        # the tokens that end a word, where the vocabulary tells them
-        end, self.last = getattr(self.tokenizer.model, "end_of_word_suffix", None), np.zeros(self.vocabulary, bool)
-        if end:
-            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(end)]] = True
-        # splits are for tokenizers that treat the parts of a piece each for itself and drop case; tried here on one piece
-        whole, parts = (self._encode(x) for x in (['("\u00c9T\u00e9")!'], ['("', "\u00e9t\u00e9", '")!']))
-        self.splits = whole[0].ids == [i for e in parts for i in e.ids]
-        self.pieces, self.parts = _Known(), _Known()
-
-    def _encode(self, rows: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)
-
-    def _learn(self) -> None:
-        """Encodes the new pieces, by their parts."""
-        parts, k = [], []
-        for p in b" ".join(self.pieces.numbers.new).decode().split(" "):
-            m = PLAIN(p) if self.splits else None
-            if m is None:
-                parts.append(p)
-                k.append(1)
-            else:
-                before, letters, behind = m.groups()
-                own = [x for x in (before, letters.lower(), behind) if x] if before else (letters.lower(), behind) if behind else (letters.lower(),)
-                parts += own
-                k.append(len(own))
-        at = self.parts.number(iter(parts), len(parts))
-        if self.parts.numbers.new:
-            self.parts.add(*self._ids(self.parts.numbers.new))
-        n, ids = self.parts.take(at)
-        k = np.array(k)
-        self.pieces.add(np.add.reduceat(n, np.cumsum(k) - k), ids)
-
-    def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(how many ids each has, the ids): runs of letters in rows without marks, as each is a word to the tokenizer."""
-        letters = np.fromiter((LETTERS(x) is not None for x in new), bool, len(new)) & self.splits
-        plain, rest = [x for x, y in zip(new, letters, strict=True) if y], [x for x, y in zip(new, letters, strict=True) if not y]
-        one = self._words(plain)
-        if one is None:
-            return self._marked(new)
-        two = self._marked(rest)
-        n = np.empty(len(new), np.int64)
-        n[letters], n[~letters] = one[0], two[0]
-        ids, of = np.empty(n.sum(), np.uint32), np.repeat(letters, n)
-        ids[of], ids[~of] = one[1], two[1]
-        return n, ids
-
-    def _words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """As ``_ids``, by the tokens that end a word; none where these aren't as many as the words."""
-        got = self._encode([" ".join(new[i : i + ROW]) for i in range(0, len(new), ROW)])
-        ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
-        n = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
-        return (n, ids) if len(n) == len(new) and n.sum() == len(ids) else None
-
-    def _marked(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_ids``, in rows with a mark between two pieces that is a token of its own; if any holds the mark, one by one."""
-        row = 1 if any(MARK in p for p in new) else ROW
-        got = [e.ids for e in self._encode([f" {MARK} ".join([*new[i : i + row], ""]) for i in range(0, len(new), row)])]
-        if row == 1:
-            lists = [x[: -len(self.mark)] for x in got]
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            return n, np.fromiter(chain.from_iterable(lists), np.uint32, n.sum())
-        ids = np.fromiter(chain.from_iterable(got), np.uint32)
-        marks = np.flatnonzero(ids == self.mark[0])
-        return np.diff(marks, prepend=-1) - 1, np.delete(ids, marks)
-
-    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """The ids of each text (UTF-8), END_ID last."""
-        if len(self.pieces.numbers) > PIECES:
-            self.pieces = _Known()
-        if len(self.parts.numbers) > PARTS:
-            self.parts = _Known()
-        words = [(t or b"").split() for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = self.pieces.number(chain.from_iterable(words), counts.sum())
-        if self.pieces.numbers.new:
-            self._learn()
-        n, ids = self.pieces.take(at)
-        cuts = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
-        return [np.append(ids[i:j], np.uint32(END_ID)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
-@cache
-def encoder(path: str) -> Encoder:
-    """One for each Python process: later tasks of a worker go on with what it knows."""
-    return Encoder(path)
-
-
 BLOCKS = "part int, block int, ids array<long>, lengths array<long>, tokens binary"
 #: The block number of the row that holds a part's counts: its ids are token ids, its lengths how often each occurs.
 COUNTS = -1
@@ -228,39 +69,36 @@ def tokenize(docs: DataFrame, key: str, text: str, tokenizer: str, n_parts: int)
     rows = rows.select(F.spark_partition_id().alias("part"), "id", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts, block, part, ids, lists, size = encoder(tokenizer), 0, None, [], [], 0
+        encode_texts, block, part, ids, lengths, tokens, size = encoder(tokenizer), 0, None, [], [], [], 0
         seen = np.zeros(encode_texts.vocabulary, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
                 part = piece["part"][0].as_py()
-                for i, x in zip(piece["id"].to_pylist(), _counted(encode_texts(piece["text"].to_pylist()), seen), strict=True):
-                    ids.append(i)
-                    lists.append(x)
-                    size += len(x)
-                    if size >= BLOCK_TOKENS:
-                        yield _block(part, block, ids, [len(x) for x in lists], np.concatenate(lists))
-                        block, ids, lists, size = block + 1, [], [], 0
+                made, n = encode_texts(piece["text"].to_pylist())
+                seen += np.bincount(made, minlength=len(seen))
+                ids.append(piece["id"].to_numpy(zero_copy_only=False) if piece["id"].null_count == 0 else piece["id"].to_pylist())
+                lengths.append(n)
+                tokens.append(made)
+                size += len(made)
+                if size >= BLOCK_TOKENS:
+                    yield _block(part, block, ids, lengths, tokens)
+                    block, ids, lengths, tokens, size = block + 1, [], [], [], 0
         if ids:
-            yield _block(part, block, ids, [len(x) for x in lists], np.concatenate(lists))
+            yield _block(part, block, ids, lengths, tokens)
         if part is not None:
             found = np.flatnonzero(seen)
-            yield _block(part, COUNTS, found, seen[found], np.zeros(0, np.uint32))
+            yield _block(part, COUNTS, [found], [seen[found]], [np.zeros(0, np.uint32)])
 
     return rows.mapInArrow(tidied(run), BLOCKS)
 
 
-def _block(part: int, block: int, ids, lengths, tokens: np.ndarray) -> pa.RecordBatch:
-    many = pa.list_(pa.int64())
-    columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], many), pa.array([lengths], many), pa.array([tokens.astype("<u4").tobytes()], pa.binary())]
+def _block(part: int, block: int, ids: list, lengths: list[np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
+    one = lambda lists: pa.ListArray.from_arrays([0, sum(map(len, lists))], pa.concat_arrays([pa.array(x, pa.int64()) for x in lists]))
+    columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), one(ids), one(lengths), pa.array([np.concatenate(tokens).astype("<u4").tobytes()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["part", "block", "ids", "lengths", "tokens"])
 
 
-def _counted(lists: list[np.ndarray], seen: np.ndarray) -> list[np.ndarray]:
-    seen += np.bincount(np.concatenate(lists), minlength=len(seen))
-    return lists
-
-
 def write(docs: DataFrame, key: str, text: str, tokenizer: str, path: str, work: str, total_mb: float) -> None:
     """Writes the file set of ``docs`` below ``path``. ``work`` is a folder for the ids until their ranks are known.
 

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import mixing, queries, token_files
+from quire.llm import mixing, pieces, queries, token_files
 from quire.llm.scratch import cut, new_path
 from tests.llm.helpers import SCHEMA, odd_documents, prose, words
 
@@ -48,7 +49,7 @@ def test_mix(docs):
         assert m["size"] == len(words(r["text"])) and m["source_size"] == size[s] and m["target"] == pytest.approx(want[s])
         assert m["copies"] in (0, 1, 2) and m["taken"] == m["copies"] * m["size"]
         taken[s] += m["taken"]
-        largest[s] = max(largest[s], m["size"] * (2 if r["doc_id"] in (8, None) else 1))
+        largest[s] = max(largest[s], m["size"])
     for s in size:
         assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6
     key = lambda df: sorted((repr(r["doc_id"]), r["mix"]["taken"]) for r in df.collect())
@@ -58,6 +59,22 @@ def test_mix(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_taken_each_for_itself(spark):
+    """A third of all rows have a null id and one text, others repeat an id; the sizes differ between sources."""
+    rows = [(None, "a b c d e f g h", "s0")] * 10 + [(5, f"w{k} " * (1 + k % 3), "s0") for k in range(6)] + [(7, "x y", "s1")] * 9 + [(k, "z " * 4, "s2") for k in range(5)] + [(None, None, "s3")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).withColumn("last", F.lit(1)).withColumn("place", F.lit("p"))
+    df = cut(df, "test-mix")
+    got = mixing.mix(df).select("source", "mix.*").collect()
+    assert len(got) == len(rows)
+    for s in {r["source"] for r in got}:
+        mine = [r for r in got if r["source"] == s]
+        assert sum(r["size"] for r in mine) == mine[0]["source_size"]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) / 2 + 1e-6
+        assert max(r["copies"] for r in mine) <= 2
+    again = mixing.mix(df).select("source", "mix.*").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=9), st.floats(0.1, 2))
 @settings(max_examples=8, deadline=None)
 def test_targets_are_feasible(spark, sizes, share):
@@ -82,12 +99,34 @@ def tokenizer():
 
 
 def test_pieces_give_what_whole_texts_give():
-    plain, encoder = tokenizer(), token_files.Encoder(queries.tokenizer_path())
+    plain, encoder = tokenizer(), pieces.Encoder(queries.tokenizer_path())
+    assert encoder.apart and encoder.inner
+
+    def split(texts):
+        ids, n = encoder(texts)
+        return np.split(ids, np.cumsum(n)[:-1]) if texts else []
+
     texts = [t for _, t, *_ in odd_documents() if t] + ["it's 'tis can't 'S\u2019s", "a\x0bb\x0cc\x1cd\x85e\u2028f", "ΣΑΣ Σ ςΣ", "I\u0307 İ x\u0301 \u0301y", "a<|endoftext|>b <|startoftext|>", "12345 1st 3.14 --- !!!", "\r\n\r\n", prose(3, 500).upper(), "a\x01b \x01 \x01\x01 c\x01"]
     texts += ['("ÀÉ")?!. ÉTÉ, été. ((x) (("y', "İ, Å; H\u0331, h\u0331! Ç\u0327. \u05d9\u05b4,", "<|STARTOFTEXT|> x<|startoftext|>.", "ª º µ ß ẞ ÿ Ÿ ×÷ a1, a.b a,b. 日本語. 가."]
-    for t, ids in zip(texts, encoder([t.encode() for t in texts]), strict=True):
-        assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
-    assert [x.tolist() for x in encoder([None, b"", b" "])] == [[1]] * 3 and encoder([]) == []
+    texts += ["x" * 3_000_000 + " end", "y " * 900_000 + "z", "'s's 'S it's's x's.y 's", "<<|x|>> <| <|> a<b", "É<|endoftext|>É 1<|startoftext|>", "Ãª Ã ã Ý×Ý÷ý Þß"]
+    for _ in range(2):
+        for t, ids in zip(texts, split([t.encode() for t in texts]), strict=True):
+            assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
+    assert [x.tolist() for x in split([None, b"", b" "])] == [[1]] * 3 and encoder([])[0].tolist() == []
+    encoder.filled = pieces.POOL + 1
+    assert [x.tolist() for x in split([b"one two"])] == [[*plain.encode("one two", add_special_tokens=False).ids, 1]]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_tokenizers_that_join_across_white_space_get_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(name)
+    plain, encoder = Tokenizer.from_file(path), pieces.Encoder(path)
+    assert not encoder.apart
+    ids, n = encoder([b"The quick  brown\nfox", None, "déjà vu".encode()])
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in ("The quick  brown\nfox", "", "déjà vu")]
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
 
 
 def test_token_files(spark, docs):
