@@ -22,15 +22,20 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _row(key: str, text: str) -> Column:
+    """What tells rows apart: their id and the hash of their text."""
+    return F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"))
+
+
 def repeated_windows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, pos) of each window that has an earlier occurrence."""
+    """(doc, pos) of each window that has an earlier occurrence; doc is (id, hash of the text)."""
     trimmed = F.transform(_lines(F.col(text)), lambda x: F.btrim(x, F.lit(BLANK)))
     places = windows(
         trimmed,
         WINDOW,
         lambda w: F.struct(F.xxhash64(F.lit(1), *w).alias("h1"), F.xxhash64(F.lit(2), *w).alias("h2"), (F.concat(*w) != "").alias("said")),
     )
-    rows = docs.select(F.col(key).alias("doc"), F.posexplode(places).alias("pos", "w")).where("w.said AND doc IS NOT NULL")
+    rows = docs.where(F.col(key).isNotNull()).select(_row(key, text).alias("doc"), F.posexplode(places).alias("pos", "w")).where("w.said")
     rows = cut(rows.select("w.h1", "w.h2", "doc", "pos"), "line-windows")
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", "pos")).alias("last"))
     first = first.where("first < last").select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
@@ -42,21 +47,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", into:
     """``docs`` with the repeats cut out of ``text``, and a column ``into`` (one of that name is replaced), struct(n_lines, n_removed).
 
     Lines end at newline characters and are compared without white space at either end; windows of three blank
-    lines don't count. Of equal windows the one with the smallest (id, line) stays. A null text stays null and
-    counts as one blank line, as an empty one does. Rows with a null id stay as they are; rows that share an id
-    are one document.
+    lines don't count. Of equal windows the one with the smallest (id, hash of the text, line) stays. A null text stays
+    null and counts as one blank line, as an empty one does. Rows with a null id stay as they are. Rows that share an id
+    are documents of their own, unless their texts are the same too: these count once, and all keep what one of them keeps.
     """
     flags = repeated_windows(docs, key, text).groupBy("doc").agg(F.collect_set("pos").alias("__pos"))
+    flags = flags.select(F.col("doc.id").alias("__doc"), F.col("doc.h").alias("__hash"), "__pos")
     lines = _lines(F.col(text))
     covered = F.array_distinct(F.flatten(F.transform("__pos", lambda p: F.sequence(p, p + WINDOW - 1))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    joined = docs.join(flags.withColumnRenamed("doc", "__doc"), F.col(key) == F.col("__doc"), "left")
+    joined = docs.join(flags, (F.col(key) == F.col("__doc")) & (F.xxhash64(F.col(text)) == F.col("__hash")), "left")
     n = F.size(lines).cast("long")
     joined = joined.withColumn("__left", F.when(F.col("__pos").isNotNull(), left))
     stats = F.struct(n.alias("n_lines"), (n - F.coalesce(F.size("__left").cast("long"), n)).alias("n_removed"))
     joined = joined.withColumn(into, F.when(F.col("__left").isNull(), F.struct(n.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(stats))
     kept = F.array_join(let(lines, lambda x: F.transform("__left", lambda i: F.get(x, i))), "\n")
-    return joined.withColumn(text, F.when(F.col("__left").isNull(), F.col(text)).otherwise(kept)).drop("__doc", "__pos", "__left")
+    return joined.withColumn(text, F.when(F.col("__left").isNull(), F.col(text)).otherwise(kept)).drop("__doc", "__hash", "__pos", "__left")
 
 
 ORACLE = r"""

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, line_dedup, near_dedup, substring_dedup
 from quire.llm.blocks import pack, unpack
@@ -122,10 +123,10 @@ def test_an_item_with_changed_words_is_found(spark):
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]
 
 
-def test_repeated_lines(docs):
+def plain_lines(rows):
+    """What each (id, text) keeps, in the order of ids and then of ``hashes``: (lines, removed, text)."""
     seen, want = set(), {}
-    rows = sorted({(i, t) for i, t, *_ in odd_documents() if i is not None})
-    for i, t in rows:
+    for i, t, _ in rows:
         lines = (t or "").split("\n")
         trimmed = [x.strip(" \t\r\x0b\f") for x in lines]
         gone = set()
@@ -135,16 +136,46 @@ def test_repeated_lines(docs):
                 if w in seen:
                     gone |= {k, k + 1, k + 2}
                 seen.add(w)
-        want[i] = (len(lines), len(gone), t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+        want[i, t] = (len(lines), len(gone), t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return want
+
+
+def lines_order(df):
+    """Distinct (id, text, hash) in the operator's order, without null ids."""
+    rows = df.selectExpr("doc_id", "text", "xxhash64(text) AS h").where("doc_id IS NOT NULL").distinct().collect()
+    return sorted(map(tuple, rows), key=lambda r: (r[0], r[2]))
+
+
+def test_repeated_lines(docs):
+    want = plain_lines(lines_order(docs))
     got = line_dedup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "line_stats"]
-    for r in got.collect():
-        if r["doc_id"] is not None:
-            assert (r["line_stats"]["n_lines"], r["line_stats"]["n_removed"], r["text"]) == want[r["doc_id"]]
+    for r in got.select("doc_id", "line_stats").collect():
+        assert r["doc_id"] is not None or r["line_stats"]["n_removed"] == 0
+    before = docs.selectExpr("doc_id", "coalesce(n_chars, -1) AS c", "text AS old")
+    pairs = got.selectExpr("doc_id AS d", "coalesce(n_chars, -1) AS e", "text", "line_stats").join(before, F.expr("d = doc_id AND e = c")).distinct()
+    assert pairs.count() == len(want)
+    for r in pairs.collect():
+        assert (r["line_stats"]["n_lines"], r["line_stats"]["n_removed"], r["text"]) == want[r["doc_id"], r["old"]]
     assert got.where("line_stats.n_removed > 0").count() > 3
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    texts = ["p q r s", "p q r s", "v w x y z", "a b c d e f", "v w x y z", "c d e f g"]
+    ids = [1, 2, 2, 3, 3, 3]
+    rows = [(i, t.replace(" ", "\n"), k, 7, "x") for k, (i, t) in enumerate(zip(ids, texts, strict=True))] + [(None, "p\nq\nr", 8, 7, "x")] * 2 + [(3, "c\nd\ne\nf\ng", 9, 7, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, pos int, h1 string")
+    want = plain_lines(lines_order(df))
+    got = line_dedup.dedup_lines(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i, t, *_ = rows[[x[2] for x in rows].index(r["row"])]
+        assert (r["line_stats"]["n_lines"], r["line_stats"]["n_removed"], r["text"]) == (want[i, t] if i is not None else (3, 0, t))
+    kept = Counter(x for r in got for x in r["text"].split("\n"))
+    assert set(kept) - {""} == set("pqrsvwxyzabcdefg")
+
+
 def plain_spans(texts, length):
     raw = [(t or "").encode() for t in texts]
     n = Counter(x[k : k + length] for x in raw for k in range(len(x) - length + 1))
