@@ -1,11 +1,13 @@
 """Chat formatting: roles of transcript lines by a hidden Markov model, then canonical turns.
 
-States are the roles; a line's observation is its speaker marker (if any), whether it asks, and its length.
-Transition and emission chances are counted from messages whose role is known. Viterbi runs in three steps, so
-that a conversation of any length is spread over tasks: each block of messages becomes a max-plus matrix from
-the state before it to its last state; the matrices of a conversation are chained to find each block's entry and
-exit; each block is then decoded between those two. Blocks are cut from the sorted messages by their number, so many
-messages of one turn are spread as well.
+States are the roles; a line's observation is its speaker marker (if any), whether it asks, its length, and for a
+message's first line the role that the table gives. Transition and emission chances are counted from messages whose
+role is given, those of markers too: how often each role's messages begin with no marker, their own or another's.
+Viterbi runs in three steps, so that a conversation of any length is spread over tasks: each block of messages becomes
+a max-plus matrix from the state before it to its last state; the matrices of a conversation are chained to find each
+block's entry and exit; each block is then decoded between those two. Blocks are cut from the sorted messages by the
+number of lines, so many messages of one turn are spread as well; a message's lines, which are one value of the input,
+stay together.
 """
 
 from __future__ import annotations
@@ -24,34 +26,36 @@ from quire.llm.words import tidied
 ROLES = ("system", "user", "assistant")
 SPEAKERS = {"system": 0, "user": 1, "human": 1, "assistant": 2, "ai": 2, "bot": 2}
 MARKER = r"(?i)^\s*[\[<*#|]*\s*(" + "|".join(SPEAKERS) + r")\s*[\]*|]*\s*[:>]\s*"
-#: So many messages at most are decoded together.
-BLOCK_MESSAGES = 256
+#: Messages whose first lines are among so many are decoded together.
+BLOCK_LINES = 1024
 LENGTHS = (8, 40, 160)
 #: Counted beforehand for lines that keep their message's role.
 STAY = 100
-#: Counted beforehand for a marker that names another role than its line's.
+#: The chance that the table gives another role than a message's, and counted beforehand for a marker that does.
 WRONG = 1e-4
 START = len(ROLES)
 
 
 def transcript_lines(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conv as text, block, turn, pos, state, k, line, marker, asks, long): the lines of each message, the first led by its speaker if known.
+    """(conv as text, block, turn, pos, state, k, line, marker, asks, long): the lines of each message.
 
     state is the index of the message's role, marker that of the role that a line's speaker marker names, -1 without one.
-    Messages are sorted by conversation, turn and a hash, and numbered in that order by pos; those of a conversation that
-    share the quotient of pos by ``BLOCK_MESSAGES`` are a block. Null texts are one empty line; null turns come first.
+    Messages are sorted by conversation, turn and a hash, and their lines numbered in that order; pos is the number of a
+    message's first line, and those of a conversation that share the quotient of pos by ``BLOCK_LINES`` are a block.
+    Null texts are one empty line; null turns come first.
     """
     name = F.lower(F.trim(F.col(role)))
-    full = F.concat(F.when(name.isin(*SPEAKERS), F.concat(F.trim(F.col(role)), F.lit(": "))).otherwise(""), F.coalesce(F.col(text), F.lit("")))
-    rows = messages.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), _speaker(name).alias("state"), full.alias("full"), F.xxhash64(F.col(role), F.col(text)).alias("msg"), F.monotonically_increasing_id().alias("copy"))
+    rows = messages.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), _speaker(name).alias("state"), F.coalesce(F.col(text), F.lit("")).alias("full"), F.xxhash64(F.col(role), F.col(text)).alias("msg"), F.monotonically_increasing_id().alias("copy"))
     # ranges end between any two messages, as copy tells all apart; numbers go up with the range and within it
     order = ["conv", "turn", "msg", "copy"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
-    rows = rows.select("conv", F.shiftright("pos", BLOCK_MESSAGES.bit_length() - 1).alias("block"), "turn", "pos", "state", F.posexplode(F.split("full", "\n", -1)).alias("k", "line"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.select("conv", "turn", "state", F.posexplode(F.split("full", "\n", -1)).alias("k", "line"))
+    rows = rows.withColumn("pos", F.monotonically_increasing_id() - F.col("k"))
     words = count_words(F.col("line"))
     long = sum((words > n).cast("int") for n in LENGTHS)
     marker = _speaker(F.lower(F.regexp_extract("line", MARKER, 1)))
-    return rows.select("conv", "block", "turn", "pos", "state", "k", "line", marker.alias("marker"), F.col("line").rlike(r"\?\s*$").cast("int").alias("asks"), long.alias("long"))
+    block = F.shiftright("pos", BLOCK_LINES.bit_length() - 1)
+    return rows.select("conv", block.alias("block"), "turn", "pos", "state", "k", "line", marker.alias("marker"), F.col("line").rlike(r"\?\s*$").cast("int").alias("asks"), long.alias("long"))
 
 
 def _speaker(name: Column) -> Column:
@@ -78,39 +82,43 @@ def transitions(lines: DataFrame) -> DataFrame:
 
 def estimate(lines: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     """Log chances: steps (within a message or to the next x states and start x states), and the features: marker (within a
-    message or at its start x states x values), question and length (states x values). Counts start at one, those of staying
-    within a message at ``STAY``.
+    message or at its start x states x values), question and length (states x values), given role (states x values).
 
-    Only sums over roles come to the driver.
+    All are counted from messages whose role is given: at a message's first line its role, the marker that it begins
+    with, whether it asks and its length; within it the markers, each of which begins a stretch of the role that it
+    names. Counts start at one, those of staying within a message and of lines within it without a marker at ``STAY``,
+    those of markers that name another role at ``WRONG``, which is also the chance that a given role is wrong. Only sums over roles come to the driver.
     """
-    steps = np.ones((2, len(ROLES) + 1, len(ROLES)))
-    steps[0] += STAY * np.eye(len(ROLES) + 1, len(ROLES))
+    n = len(ROLES)
+    steps = np.ones((2, n + 1, n))
+    steps[0] += STAY * np.eye(n + 1, n)
     for row in transitions(lines).collect():
         steps[1, row["before"], row["state"]] += row["n"]
-    marked = lines.where("k = 0 AND marker >= 0")
-    features = [np.ones(shape) for shape in ((2, len(ROLES), len(ROLES) + 1), (len(ROLES), 2), (len(ROLES), len(LENGTHS) + 1))]
-    features[0][:, :, : len(ROLES)] = np.where(np.eye(len(ROLES)) > 0, 1, WRONG)
-    features[0][0, :, len(ROLES)] = STAY
-    for row in marked.groupBy("marker", "asks", "long").agg(F.count("*").alias("n")).collect():
-        s = row["marker"]
-        features[0][1, s, s] += row["n"]
+    features = [np.ones(shape) for shape in ((2, n, n + 1), (n, 2), (n, len(LENGTHS) + 1))]
+    features[0][:, :, :n] = np.where(np.eye(n) > 0, 1, WRONG)
+    features[0][0, :, n] = STAY
+    known = lines.where("state >= 0")
+    for row in known.where("k = 0").groupBy("state", "marker", "asks", "long").agg(F.count("*").alias("n")).collect():
+        s = row["state"]
+        features[0][1, s, row["marker"] if row["marker"] >= 0 else n] += row["n"]
         features[1][s, row["asks"]] += row["n"]
         features[2][s, row["long"]] += row["n"]
-    # lines within a message: mostly of its role and without a marker
-    led = marked.select("pos", F.col("marker").alias("role"))
-    inner = lines.where("k > 0").join(led, "pos").groupBy("role", "marker").agg(F.count("*").alias("n"))
-    for row in inner.collect():
-        s, m = row["role"], row["marker"]
-        features[0][0, s if m < 0 else m, m if m >= 0 else len(ROLES)] += row["n"]
-        steps[0, s, s if m < 0 else m] += row["n"]
+    for row in known.where("k > 0").groupBy("state", "marker").agg(F.count("*").alias("n")).collect():
+        s, m = row["state"], row["marker"]
+        now = s if m < 0 else m
+        features[0][0, now, n if m < 0 else m] += row["n"]
+        steps[0, s, now] += row["n"]
     log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return log(steps), [log(f) for f in features]
+    given = np.append(np.where(np.eye(n) > 0, 1 - WRONG, WRONG / (n - 1)), np.ones((n, 1)), axis=1)
+    return log(steps), [*(log(f) for f in features), np.log(given)]
 
 
 def emissions(lines: dict[str, np.ndarray], features: list[np.ndarray]) -> np.ndarray:
     """Lines x states."""
+    fresh = _fresh(lines)
     marker = np.where(lines["marker"] < 0, len(ROLES), lines["marker"])
-    return features[0][_fresh(lines), :, marker] + features[1].T[lines["asks"]] + features[2].T[lines["long"]]
+    given = np.where((lines["state"] < 0) | (fresh == 0), len(ROLES), lines["state"])
+    return features[0][fresh, :, marker] + features[1].T[lines["asks"]] + features[2].T[lines["long"]] + features[3].T[given]
 
 
 def block_matrix(e: np.ndarray, fresh: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -151,19 +159,31 @@ def changes(column: np.ndarray) -> np.ndarray:
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], list[tuple[int, int]]]]:
-    """(columns, (from, to) of each group) from a sorted stream of batches, every group whole."""
-    held = None
+    """(columns, (from, to) of each group) from a sorted stream of batches, every group whole; never without groups."""
+    held: list[pd.DataFrame] = []
+
+    def groups(pdf: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        new = np.logical_or.reduce([changes(columns[k]) for k in keys])
+        return columns, np.append(np.flatnonzero(new), len(pdf))
+
     for pdf in batches:
-        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         if len(pdf) == 0:
             continue
-        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
-        new = np.logical_or.reduce([changes(columns[k]) for k in keys])
-        cuts = np.append(np.flatnonzero(new), len(pdf))
-        yield columns, list(zip(cuts[:-2], cuts[1:-1], strict=True))
-        held = pdf.iloc[cuts[-2] :]
-    if held is not None:
-        yield {c: held[c].to_numpy() for c in held.columns}, [(0, len(held))]
+        # where its last group begins; before it, if that goes on from what is held. What is held is joined once
+        _, cuts = groups(pd.concat([held[-1].iloc[-1:], pdf], ignore_index=True) if held else pdf)
+        last = int(cuts[-2]) - bool(held)
+        if last < 0:
+            held.append(pdf)
+            continue
+        whole = pd.concat([*held, pdf.iloc[:last]], ignore_index=True)
+        if len(whole):
+            columns, cuts = groups(whole)
+            yield columns, list(zip(cuts[:-1], cuts[1:], strict=True))
+        held = [pdf.iloc[last:]]
+    if held:
+        columns, cuts = groups(pd.concat(held, ignore_index=True))
+        yield columns, list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -172,7 +192,8 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     A message is cut where the recovered role changes or a line carries a marker; part counts the pieces of the messages of
     a turn. Markers are taken off, and a piece is rendered as <|role|>, a newline, its lines, a newline and <|end|>. Messages with an
     unknown or null role are given one by their lines and neighbours. Null texts are one empty line; null ids and
-    turns are a conversation and a turn of their own. Repeated messages of a turn stay side by side.
+    turns are a conversation and a turn of their own. Repeated messages of a turn stay side by side. Where the given role
+    and a line's own marker disagree, the likelier by the counts wins.
     """
     kinds = dict(messages.dtypes)
     lines = cut(transcript_lines(messages, conv, turn, role, text), "chat-lines")
@@ -185,7 +206,7 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
             at = [i for i, _ in groups]
             yield pd.DataFrame({"conv": lines["conv"][at], "block": lines["block"][at], "m": [block_matrix(e[i:j], fresh[i:j], steps).ravel() for i, j in groups]})
 
-    made = dealt.select("conv", "block", "k", "marker", "asks", "long").mapInPandas(tidied(matrices), "conv string, block long, m array<double>")
+    made = dealt.select("conv", "block", "k", "state", "marker", "asks", "long").mapInPandas(tidied(matrices), "conv string, block long, m array<double>")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for blocks, groups in whole_groups(batches, ["conv"]):
@@ -201,8 +222,7 @@ def parse_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                 for b in back[::-1]:
                     states.append(int(b[states[-1]]))
                 enter[i:j], leave[i:j] = states[:0:-1], states[-2::-1]
-            done = groups[-1][1] if groups else 0
-            yield pd.DataFrame({"conv": blocks["conv"][:done], "block": blocks["block"][:done], "enter": enter[:done], "leave": leave[:done]})
+            yield pd.DataFrame({"conv": blocks["conv"], "block": blocks["block"], "enter": enter, "leave": leave})
 
     chained = cut(made, "chat-matrices").repartition("conv").sortWithinPartitions("conv", "block")
     ends = cut(chained.mapInPandas(tidied(chain), "conv string, block long, enter int, leave int"), "chat-ends").withColumnsRenamed({"conv": "__conv", "block": "__block"})

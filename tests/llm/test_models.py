@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -278,8 +279,94 @@ def test_repeated_messages_of_several_lines(spark):
     assert told[None] == [(k, 2, "<|assistant|>\nf\ng\n<|end|>") for k in range(2)]
     lines = cut(chat.transcript_lines(spark.createDataFrame(rows[24:], SCHEMA_CHAT), "conv_id", "turn", "role", "text"), "test-lines")
     steps, _ = chat.estimate(lines)
-    # 3 copies with two inner lines each and 2 with one, all of a user
-    assert np.exp(steps[0, 1]) == pytest.approx(np.array([1, 1 + chat.STAY + 8, 1]) / (chat.STAY + 11))
+    # 3 copies with two inner lines each, of a user
+    assert np.exp(steps[0, 1]) == pytest.approx(np.array([1, 1 + chat.STAY + 6, 1]) / (chat.STAY + 9))
+
+
+class PlainChat:
+    """The same model, counted and decoded message by message in plain Python."""
+
+    def __init__(self, rows):
+        self.rows = [(c, t, chat.SPEAKERS.get((r or "").strip().lower(), -1), (x or "").split("\n")) for c, t, r, x in rows]
+        n, stay, wrong = 3, chat.STAY, chat.WRONG
+        self.step = [[[1.0 + (stay if f == 0 and a == b else 0) for b in range(n)] for a in range(n + 1)] for f in (0, 1)]
+        self.mark = [[[1.0 if m == s else (1.0 if f else stay) if m == n else wrong for m in range(n + 1)] for s in range(n)] for f in (0, 1)]
+        self.ask, self.long = [[1.0] * 2 for _ in range(n)], [[1.0] * 4 for _ in range(n)]
+        last = {}
+        for c, _, s, lines in self.rows:
+            before, last[c] = last.get(c, n), s
+            if s >= 0 and before >= 0:
+                self.step[1][before][s] += 1
+            for k, line in enumerate(lines):
+                m, asks, long = self.features(line)
+                if s >= 0 and k == 0:
+                    self.mark[1][s][m], self.ask[s][asks], self.long[s][long] = self.mark[1][s][m] + 1, self.ask[s][asks] + 1, self.long[s][long] + 1
+                elif s >= 0:
+                    now = s if m == n else m
+                    self.mark[0][now][m] += 1
+                    self.step[0][s][now] += 1
+
+    @staticmethod
+    def features(line):
+        m = re.match(chat.MARKER, line)
+        long = sum(len(words(line)) > x for x in chat.LENGTHS)
+        return chat.SPEAKERS[m[1].lower()] if m else 3, int(re.search(r"\?\s*$", line) is not None), long
+
+    def decode(self):
+        p = lambda counts, i: math.log(counts[i] / sum(counts))
+        out, at = [], {}
+        for c, t, s, lines in self.rows:
+            best = at.setdefault(c, [[0.0 if a == 3 else -math.inf, []] for a in range(4)])
+            for k, line in enumerate(lines):
+                m, asks, long = self.features(line)
+                fresh, new = int(k == 0), []
+                for b in range(3):
+                    e = p(self.mark[fresh][b], m) + p(self.ask[b], asks) + p(self.long[b], long)
+                    e += math.log(1 - chat.WRONG if b == s else chat.WRONG / 2) if fresh and s >= 0 else 0
+                    a = max(range(len(best)), key=lambda a: best[a][0] + p(self.step[fresh][a], b))
+                    new.append([best[a][0] + p(self.step[fresh][a], b) + e, [*best[a][1], (t, k, line, b, m)]])
+                best = at[c] = new
+        for c, best in at.items():
+            part, before = 0, None
+            for t, k, line, b, m in max(best, key=lambda x: x[0])[1]:
+                if before is None or t != before[0] or k == 0 or m < 3 or b != before[1]:
+                    part = 0 if before is None or t != before[0] else part + 1
+                    out.append([c, t, part, chat.ROLES[b], []])
+                out[-1][4].append(re.sub(chat.MARKER, "", line, count=1) if m < 3 else line)
+                before = (t, b)
+        return [(c, t, part, role, len(x), f"<|{role}|>\n" + "\n".join(x) + "\n<|end|>") for c, t, part, role, x in out]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_chats_as_a_plain_parser_has_them(spark, seed, monkeypatch):
+    r = random.Random(seed)
+    rows = []
+    for c in [None, *range(12)]:
+        for t in sorted(r.sample(range(90), r.randint(1, 8)) if c else range(60)):
+            role = r.choice(["user", "Assistant ", "system", "human", None, "tool"])
+            text = "\n".join(r.choice(["", "User: ", "[assistant]: ", "# system> ", ""]) + " ".join(["word"] * r.randint(0, 50)) + r.choice(["", "?"]) for _ in range(r.randint(1, 5)))
+            rows.append((c, None if t == 0 and c else t, role, r.choice([text, text, text, None])))
+    rows += [(99, 0, "user", "\n".join(["a line", "AI: and more", "?"] * 900))] * (seed + 1)
+    monkeypatch.setattr(chat, "BLOCK_LINES", 16)
+    want = PlainChat(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] is not None, x[1] or 0))).decode()
+    got = chat.parse_chats(spark.createDataFrame(rows, SCHEMA_CHAT).repartition(5)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_one_conversation_alone(spark):
+    got = chat.parse_chats(spark.createDataFrame([(1, 0, "user", "hi?"), (1, 1, None, "Bot: yes\nmore")], SCHEMA_CHAT)).collect()
+    assert [(r["turn"], r["role"], r["n_lines"], r["rendered"]) for r in sorted(got)] == [(0, "user", 1, "<|user|>\nhi?\n<|end|>"), (1, "assistant", 2, "<|assistant|>\nyes\nmore\n<|end|>")]
+
+
+def test_groups_come_whole_from_any_batches():
+    import pandas as pd
+
+    keys = [0] * 3 + [1] + [2] * 7 + [3, 4, 4, 5]
+    for size in range(1, 17):
+        pdf = pd.DataFrame({"key": keys, "x": range(len(keys))})
+        got = [c["x"][i:j].tolist() for c, groups in chat.whole_groups(iter([pdf.iloc[i : i + size] for i in range(0, len(keys), size)]), ["key"]) for i, j in groups]
+        assert got == [[x for x, k in enumerate(keys) if k == g] for g in range(6)]
+    assert list(chat.whole_groups(iter([pdf.iloc[:0]]), ["key"])) == []
 
 
 def test_many_messages_of_one_turn_are_spread(spark):
@@ -287,7 +374,7 @@ def test_many_messages_of_one_turn_are_spread(spark):
     df = spark.createDataFrame(rows, SCHEMA_CHAT)
     lines = cut(chat.transcript_lines(df, "conv_id", "turn", "role", "text"), "test-lines")
     blocks = [r["n"] for r in lines.where("k = 0").groupBy("conv", "block").count().withColumnRenamed("count", "n").collect()]
-    assert sum(blocks) == len(rows) and max(blocks) <= chat.BLOCK_MESSAGES
+    assert sum(blocks) == len(rows) and max(blocks) <= chat.BLOCK_LINES
     # pairs of neighbours, not of all messages at neighbouring turns; none over the message without a role
     n = {(r["before"], r["state"]): r["n"] for r in chat.transitions(lines).collect()}
     assert n == {(chat.START, 1): 3, (1, 1): 899 + 699, (1, 2): 1, (2, 2): 899, (2, 1): 1}
