@@ -2,20 +2,21 @@
 
 Texts are written once, dealt into blocks of a few MB and bucketed by block, so later passes meet the
 answers without moving the texts again. A pass turns each block into sorted 64-bit keys; keys travel packed,
-by ranges of their value (buckets), and the answer for a block is two bits a key in the block's own order:
-whether it occurs twice or more, and whether this block is the first that has it.
-Every block and bucket has a bounded size: more data makes more of them.
+by ranges of their value (buckets), in which they are sorted. The answer for a block has two bits a key in the block's own
+order, whether it occurs twice or more and whether this block is the first that has it, and the rank of each that does.
+Every block and bucket has a bounded size: more data makes more of them, and of the rows between them up to one a key.
 """
 
 from __future__ import annotations
 
+import atexit
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.scratch import new_path
@@ -23,7 +24,7 @@ from quire.llm.words import tidy
 
 BLOCKS_A_BUCKET = 4
 ASKED = "bucket int, block int, n int, keys binary, multi binary"
-ANSWERED = "block int, bucket int, pass int, bits binary, lead binary"
+ANSWERED = "block int, bucket int, pass int, bits binary, lead binary, ranks binary"
 
 
 def write_blocks(docs: DataFrame, key: str, text: str, total_mb: float, block_mb: float) -> DataFrame:
@@ -36,10 +37,22 @@ def write_blocks(docs: DataFrame, key: str, text: str, total_mb: float, block_mb
     name = f"quire_blocks_{uuid.uuid4().hex}"
     writer = rows.repartition(n_files, "block").write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "blocks"))
     writer.bucketBy(n_files, "block").saveAsTable(name)
+    _drop_at_exit(name)
     spark.sparkContext._jvm.System.gc()  # as in scratch.cut
     return spark.table(name)
 
 
+def _drop_at_exit(name: str) -> None:
+    """Takes a table of blocks off the catalog when Python ends; its files go with the driver's JVM."""
+
+    def drop() -> None:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    atexit.register(drop)
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Numbers in planes of 16 bits, as many as the largest needs, after a byte with their count: of sorted or small numbers
     the upper planes hardly change, which compresses well."""
@@ -56,55 +69,64 @@ def unpack(blob: bytes) -> np.ndarray:
     return out
 
 
-def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of values begins in sorted keys (and the end)."""
-    first = [(b * 2**64 + buckets - 1) // buckets for b in range(buckets)]
-    return np.append(np.searchsorted(keys, np.array(first, np.uint64)), len(keys))
+def by_range(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) for the buckets that sorted keys have; each is a range of values."""
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(bucket[i]), i, j
 
 
 def ask(block: int, keys: np.ndarray, buckets: int) -> pd.DataFrame:
     """The rows that ask whether keys occur twice or more in the corpus. keys: all of a block's, in any order."""
     u, n = np.unique(keys, return_counts=True)
-    edges = bucket_edges(u, buckets)
-    rows = [(b, block, j - i, pack(u[i:j]), np.packbits(n[i:j] > 1).tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+    rows = [(b, block, j - i, pack(u[i:j]), np.packbits(n[i:j] > 1).tobytes()) for b, i, j in by_range(u, buckets)]
     return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "multi"])
 
 
 def answer(asked: DataFrame, number: int) -> DataFrame:
-    """For each asking row, two bits for each key: whether it occurs twice or more over all blocks, and nowhere in a smaller block."""
+    """For each asking row, two bits for each key: whether it occurs twice or more over all blocks, and nowhere in a smaller
+    block; and the ranks, from 0, of those that do among all such of the bucket."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         keys = np.concatenate([unpack(k) for k in pdf["keys"]])
         twice = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(pdf["multi"], pdf["n"], strict=True)]).astype(bool)
         order = np.argsort(keys, kind="stable")
-        same = keys[order[1:]] == keys[order[:-1]]
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        lead = np.ones(len(keys), bool)
-        lead[order[1:][same]] = False
+        new = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]]))
+        of = np.cumsum(new) - 1
+        tied = np.logical_or.reduceat(twice[order], np.flatnonzero(new)) | (np.diff(np.append(np.flatnonzero(new), len(keys))) > 1)
+        rank = np.empty(len(keys), np.uint64)
+        rank[order] = (np.cumsum(tied) - 1).astype(np.uint64)[of]
+        twice[order], lead = tied[of], np.zeros(len(keys), bool)
+        lead[order[new]] = True
         ends = np.cumsum(pdf["n"].to_numpy())
-        bits, leads = ([np.packbits(x[e - n : e]).tobytes() for e, n in zip(ends, pdf["n"], strict=True)] for x in (twice, lead))
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "pass": np.int32(number), "bits": bits, "lead": leads})
+        at = [slice(e - n, e) for e, n in zip(ends, pdf["n"], strict=True)]
+        bits, leads = ([np.packbits(x[k]).tobytes() for k in at] for x in (twice, lead))
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "pass": np.int32(number), "bits": bits, "lead": leads, "ranks": [pack(rank[k][twice[k]]) for k in at]})
 
     return by_bucket(asked, run, ANSWERED)
 
 
 def hear(answers: pd.DataFrame, number: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of a block's keys, from the answers to pass ``number``: whether it occurs twice or more, and whether this is
-    its first occurrence (in the first block that has it, and there at the lowest place)."""
-    u, first, back = np.unique(keys, return_index=True, return_inverse=True)
-    edges = bucket_edges(u, buckets)
+    """For each of a block's keys, from the answers to pass ``number``: 0 if it occurs once only, else its rank, from 1, among
+    all keys that don't; and whether this is its first occurrence (in the first block that has it, and there at the lowest
+    place). Equal ranks are equal keys, and greater ones greater keys."""
+    order = np.argsort(keys, kind="stable")
+    new = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]])) if len(keys) else np.zeros(0, bool)
+    u = keys[order[new]]
     mine = answers[answers["pass"] == number]
-    bits = dict(zip(mine["bucket"], zip(mine["bits"], mine["lead"], strict=True), strict=True))
-    both = np.zeros((2, len(u)), np.uint8)
-    for b in range(buckets):
-        i, j = edges[b], edges[b + 1]
-        if j > i:
-            for k in range(2):
-                both[k, i:j] = np.unpackbits(np.frombuffer(bits[b][k], np.uint8), count=j - i)
-    lead = np.zeros(len(keys), bool)
-    lead[first] = both[1].astype(bool)
-    return both[0][back].astype(bool), lead
+    told = dict(zip(mine["bucket"], zip(mine["bits"], mine["lead"], mine["ranks"], strict=True), strict=True))
+    rank, leads = np.zeros(len(u), np.uint64), np.zeros(len(u), bool)
+    for b, i, j in by_range(u, buckets):
+        bits, lead, ranks = told[b]
+        twice = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
+        leads[i:j] = np.unpackbits(np.frombuffer(lead, np.uint8), count=j - i).astype(bool)
+        rank[i:j][twice] = unpack(ranks) + np.uint64((b << 32) + 1)
+    out, first = np.empty(len(keys), np.uint64), np.zeros(len(keys), bool)
+    out[order] = rank[np.cumsum(new) - 1]
+    first[order[new]] = leads
+    return out, first
 
 
 def with_answers(table: DataFrame, answers: DataFrame | None, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import blocks
-from quire.llm.blocks import bucket_edges, by_bucket, with_answers, write_blocks
+from quire.llm.blocks import by_bucket, by_range, with_answers, write_blocks
 from quire.llm.scratch import bounded, cut, text_mb
 from quire.llm.words import Batch, parts
 
@@ -318,9 +318,8 @@ def train_and_score(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         t = Tokens(rows, fold)
         n = t.sums(t.ids, len(t.vocabulary))
         held_out = np.bincount(t.ids, minlength=len(n)).astype(np.uint64) - n
-        edges = bucket_edges(t.vocabulary, word_buckets)
         block = rows["block"].iloc[0]
-        out = [(b, block, pack(t.vocabulary[i:j]), pack(n[i:j]), pack(held_out[i:j])) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+        out = [(b, block, pack(t.vocabulary[i:j]), pack(n[i:j]), pack(held_out[i:j])) for b, i, j in by_range(t.vocabulary, word_buckets)]
         return pd.DataFrame(out, columns=["bucket", "block", "keys", "counts", "held_out"])
 
     heard = cut(by_bucket(with_answers(table, None, ask_words, WORDS_ASKED), lambda pdf: _sum_words(pdf, word_buckets, spread), HEARD), "katz-words")

@@ -1,14 +1,17 @@
 """Removal of repeated byte strings by suffix sorting with a difference cover, one bucket at a time.
 
 A suffix array of the corpus would show every string of 200 bytes that occurs twice as neighbours that share
-200 bytes. Only that tie matters here, so suffixes are compared to that depth, in the order of fingerprints:
+200 bytes. Only that tie matters here, so suffixes are compared to that depth, in the order of fingerprints of their
+bytes, and those that can't tie are never written:
 
 1. Cover sample. Positions whose offset modulo 73 is a power of two form a difference cover: any two offsets
    have a common shift below 73 that takes both into the sample. The sample suffixes are sorted by their first
-   127 bytes. If two strings of 200 bytes are equal, so are two sample suffixes that begin within their first 73
-   bytes; so the ranks of the sample settle nearly all suffixes as untied.
-2. Long ties. Tied sample suffixes are sorted by their first 273 bytes. Those still tied mark these bytes, and the
-   73 suffixes after each are tied with those after the first of its equals, for which they need not be sorted.
+   127 bytes, a bucket (a range of fingerprints) at a time, and those that tie get their rank in that order. If two
+   strings of 200 bytes are equal, so are two sample suffixes that begin within their first 73 bytes; so a suffix
+   without a rank in reach is settled as untied.
+2. Long ties. A sample suffix and those 73 and 146 bytes behind it are in the sample together, so the triple of their
+   ranks stands for 273 bytes; triples are sorted in buckets. Those that tie mark these bytes, and the 73 suffixes
+   after each are tied with those after the first of its equals, for which they need no sorting.
 3. Bucketed sort. What remains, suffixes near the ends of repeats and one of each long tie, is sorted to the full
    depth in buckets of a bounded size.
 
@@ -97,18 +100,26 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def asked(rows: pd.DataFrame, keys: np.ndarray) -> pd.DataFrame:
         return ask(rows["block"].iloc[0], keys, buckets)
 
-    def sample_ties(b: Block, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Tied sample suffixes, and those of them with room for a long tie."""
+    def sample_ties(b: Block, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tied sample suffixes, those of them that may begin a long tie, and the names of these ties."""
         at = b.sample()
-        at = at[hear(answers, 1, b.names(at, b.short), buckets)[0]]
-        return at, at[b.room[at] >= length + PERIOD]
+        rank = np.zeros(b.n + 1, np.uint64)
+        rank[at] = hear(answers, 1, b.names(at, b.short), buckets)[0]
+        at = at[rank[at] > 0]
+        long = at[b.room[at] >= length + PERIOD]
+        triple = [rank[long + k * PERIOD] for k in range(3)]
+        ranked = (triple[1] > 0) & (triple[2] > 0)
+        long, (first, second, third) = long[ranked], (x[ranked] for x in triple)
+        names = mix(mix(mix(first) + second) + third)
+        # where 127 bytes (for other lengths: fewer) don't reach the next of the three, what lies between tells as well
+        return at, long, names if b.short >= PERIOD else mix(names + b.names(long, length + PERIOD))
 
     def open_suffixes(b: Block, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes left to be sorted, and bytes in long ties."""
-        sample, long = sample_ties(b, answers)
-        twice, lead = hear(answers, 2, b.names(long, length + PERIOD), buckets)
-        settled = b.spread(long[twice & ~lead], PERIOD + 1)
-        return b.tied(sample, settled), b.spread(long[twice], length + PERIOD)
+        sample, long, names = sample_ties(b, answers)
+        rank, lead = hear(answers, 2, names, buckets)
+        settled = b.spread(long[(rank > 0) & ~lead], PERIOD + 1)
+        return b.tied(sample, settled), b.spread(long[rank > 0], length + PERIOD)
 
     def first(rows: pd.DataFrame, _) -> pd.DataFrame:
         rows, b = block(rows)
@@ -116,7 +127,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def second(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows, b = block(rows)
-        return asked(rows, b.names(sample_ties(b, answers)[1], length + PERIOD))
+        return asked(rows, sample_ties(b, answers)[2])
 
     def third(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows, b = block(rows)
@@ -125,7 +136,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def final(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows, b = block(rows)
         at, marked = open_suffixes(b, answers)
-        marked |= b.spread(at[hear(answers, 3, b.names(at, length), buckets)[0]], length)
+        marked |= b.spread(at[hear(answers, 3, b.names(at, length), buckets)[0] > 0], length)
         spans, kept = [], []
         for i, raw in enumerate(b.raw):
             m = marked[b.bounds[i] : b.bounds[i + 1]]
