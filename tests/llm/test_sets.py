@@ -69,6 +69,21 @@ def test_near_duplicates_in_a_chain_and_across_a_bucket(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == label
 
 
+def test_links_go_on_below_those_that_chance_may_have_made():
+    import numpy as np
+    import pandas as pd
+
+    own = np.arange(100, dtype=np.uint32)
+    # shares of x's fingerprints: of component 7 in the order 86, 93, 99, 90 of 100, of 8 one below the limit and one at it
+    rows = [(0, 1, 100), (1, 7, 93), (2, 7, 99), (3, 7, 94), (4, 8, 91), (5, 8, 92), (6, 9, 93), (7, 9, 92)]
+    items = [np.concatenate((own[:k], 1000 + 100 * i + own[k:])).astype(np.uint32) for i, _, k in rows]
+    pdf = pd.DataFrame({"key": 0, "id": [r[0] for r in rows], "comp": [r[1] for r in rows], "filled": 100, "size": 100, "left": False, "x": 0, "y": 0})
+    pdf["sketch"], pdf["bands"], pdf["items"] = [near_dedup.odd_sketch(np.sort(x.astype(np.uint64) << np.uint64(32)))[1] for x in items], [[0]] * len(rows), [np.sort(x).tobytes() for x in items]
+    links = near_dedup.Bucket(pdf)._best(0, np.arange(1, 8), 85)
+    # 2 is sure, so 1 and 3 aren't needed; 5 may be by chance and 4 is too far; neither 6 nor 7 is sure
+    assert sorted(map(tuple, links.tolist())) == [(0, 2), (0, 5), (0, 6), (0, 7)]
+
+
 def test_near_duplicates_of_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near_dedup.near_duplicates(none).count() == 0
