@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def let(value: Column, body) -> Column:
@@ -68,10 +72,18 @@ def positional_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(F.aggregate(same, F.lit(0), lambda s, x: s + x) / longest)
 
 
+#: Letters, numbers and marks of the basic plane.
+_WORD = r"[\p{L}\p{N}\p{M}&&[^\x{10000}-\x{10FFFF}]]"
+_LETTER = r"[\p{L}&&[^\x{10000}-\x{10FFFF}]]"
+
+
 def needs_space(left: Column, right: Column) -> Column:
-    """Whether two fragments of running text are joined by a space: not at white space, before closing or after opening marks."""
-    touching = left.rlike(r"\s$") | right.rlike(r"^\s") | right.rlike(r"^[.,;:!?)\]}»”’…]") | left.rlike(r"[(\[{«“‘]$")
-    return (left != "") & (right != "") & ~touching
+    """Whether two fragments of running text would be glued without a space: where both sides are letters, numbers or marks, a
+    closing bracket or quote stands before one of these or an opening one after, or a letter follows . ! ? : ; or a comma."""
+    a, b = F.right(left, F.lit(1)), F.left(right, F.lit(1))
+    before, after = a.rlike(_WORD), b.rlike(_WORD)
+    glued = (before & after) | (a.rlike("[)\\]}\"'»]") & after) | (before & b.rlike("[(\\[{\"'«„]")) | (a.rlike("[.!?:;,]") & b.rlike(_LETTER))
+    return (left != "") & (right != "") & glued
 
 
 def join_fragments(parts: Column) -> Column:
@@ -95,9 +107,10 @@ def tag_names(xml: Column) -> Column:
     return F.regexp_extract_all(xml, F.lit(r"<([A-Za-z][\w:.-]*)"), 1)
 
 
-def slug(name: Column) -> Column:
-    """A name for a repository or branch: lower case, runs of other characters as one dash."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
+def repo_name(language: Column, ident: Column) -> Column:
+    """The name suggested for a repository: language and id in lower case, other characters as dashes, runs of dashes as one."""
+    dashed = lambda x, keep: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), f"[^{keep}]", "-"), "-+", "-")
+    return F.regexp_replace(F.concat(dashed(language, "a-z0-9.-"), F.lit("_"), dashed(ident, "a-z0-9._-")), "-+", "-")
 
 
 def title_from_path(path: Column) -> Column:
@@ -107,6 +120,121 @@ def title_from_path(path: Column) -> Column:
 
 
 def hash31(text: Column) -> Column:
-    """A 32-bit polynomial hash with multiplier 31 over code points, as an unsigned number."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % (2**32))
+    """A 32-bit polynomial hash with multiplier 31 over UTF-16 units, as an unsigned number."""
+    raw = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(0), (F.length(raw) / 4).cast("int")), lambda i: F.conv(F.substr(raw, (4 * i + 1).cast("int"), F.lit(4)), 16, 10).cast("long"))
+    return F.aggregate(F.filter(units, lambda c: c.isNotNull()), F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % (2**32))
+
+
+def base36(number: Column) -> Column:
+    """A non-negative number in base 36, in lower case."""
+    return F.lower(F.conv(number.cast("string"), 10, 36))
+
+
+def conflict_id(path: Column, chapters: Column, ours: Column, theirs: Column) -> Column:
+    """The id of a conflict: path, chapters (0 for none) and short hashes of both sides."""
+    places = F.array_join(F.transform(chapters, lambda c: c.cast("string")), ",")
+    return F.concat(path, F.lit("#"), F.when(places == "", "0").otherwise(places), F.lit("-"), base36(hash31(ours)), F.lit("-"), base36(hash31(theirs)))
+
+
+@F.pandas_udf(StringType())
+def nfd(text: pd.Series) -> pd.Series:
+    """Characters taken apart (NFD); the JVM side of Spark SQL has no function for it."""
+    return pd.Series([None if t is None else unicodedata.normalize("NFD", t) for t in text])
+
+
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Characters put together (NFC)."""
+    return pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in text])
+
+
+def help_text(text: Column) -> Column:
+    """Text of helps for comparison: without Hebrew accents, the maqef as a space, without zero-width characters, composed,
+    white space folded and other signs at the edges taken off. Vowel points stay."""
+    bare = F.regexp_replace(nfd(text), "[\u0591-\u05AF\u05BD]", "")
+    bare = F.regexp_replace(F.replace(bare, F.lit("\u05be"), F.lit(" ")), "[\u200B\u200C\u200D\u2060\uFEFF]", "")
+    folded = F.regexp_replace(nfc(bare), r"\s+", " ")
+    return F.trim(F.regexp_replace(folded, r"^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$", ""))
+
+
+def parse_tsv_field(field: Column) -> Column:
+    """A field of a tab-separated file back from ``escape_tsv``."""
+    inner = F.replace(F.regexp_extract(field, '(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))
+    return F.when(field.rlike('(?s)^".*"$'), inner).otherwise(field)
+
+
+def from_base64(text: Column) -> Column:
+    """UTF-8 text from base64, line ends in it ignored; null where it isn't base64."""
+    return F.try_to_binary(F.regexp_replace(text, r"\s+", ""), F.lit("base64")).cast("string")
+
+
+def first_int(text: Column, fallback: int = 1) -> Column:
+    """The number that a text begins with; ``fallback`` without one and for 0."""
+    n = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("int")
+    return F.when(n.isNull() | (n == 0), fallback).otherwise(n)
+
+
+def fill_path(template: Column, **values: Column) -> Column:
+    """A path template with each {name} replaced."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
+
+
+def host_name(host: Column, default: str) -> Column:
+    """A host without scheme and path, in lower case; ``default`` for a blank one."""
+    bare = F.trim(F.regexp_extract(F.regexp_replace(F.trim(host), r"(?i)^https?://", ""), "^([^/]*)", 1))
+    return F.when(F.coalesce(bare, F.lit("")) == "", default).otherwise(F.lower(bare))
+
+
+def percent_encoded(text: Column) -> Column:
+    """A text as one part of an address: all but letters, digits and - _ . ! ~ * ' ( ) as percent codes."""
+    out = F.url_encode(text)
+    for code, char in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def raw_url(host: Column, owner: Column, repo: Column, ref: Column, path: Column, default_host: str = "localhost") -> Column:
+    """The address of a file of a repository at a branch or tag (blank: master)."""
+    parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), percent_encoded)
+    branch = F.coalesce(F.trim(ref), F.lit("master"))
+    return F.concat(F.lit("https://"), host_name(host, default_host), F.lit("/"), percent_encoded(owner), F.lit("/"), percent_encoded(repo), F.lit("/raw/"), percent_encoded(branch), F.lit("/"), F.array_join(parts, "/"))
+
+
+def without_heading(text: Column, definition: bool = False) -> Column:
+    """A Markdown text without its first main heading, and if asked for without the first definition heading behind it."""
+
+    def place(lines: Column, start: str, after: Column) -> Column:
+        """The first line behind ``after`` that begins so; the number of lines if none does."""
+        hits = F.filter(F.transform(lines, lambda x, i: F.when(F.startswith(F.trim(x), F.lit(start)) & (i > after), i)), lambda i: i.isNotNull())
+        return F.coalesce(F.get(hits, F.lit(0)), F.size(lines))
+
+    def over(lines: Column) -> Column:
+        def cut(first: Column) -> Column:
+            second = place(lines, "## Definition:", first) if definition else F.size(lines)
+            return let(second, lambda k: F.array_join(F.filter(lines, lambda x, i: (i != first) & (i != k)), "\n"))
+
+        return let(place(lines, "# ", F.lit(-1)), cut)
+
+    return let(F.split(text, "\n", -1), over)
+
+
+def sorted_distinct(places: Column) -> Column:
+    """Places in order, each once."""
+    return F.array_sort(F.array_distinct(places))
+
+
+def split_sid(sid: Column) -> Column:
+    """struct(book, chapter, verse) of a verse id like ``TIT 1:2``; nulls where it isn't one."""
+    pattern = r"^\s*(\S+)\s+(\d+):(\S+?)\s*$"
+    part = lambda k: F.nullif(F.regexp_extract(sid, pattern, k), F.lit(""))
+    return F.struct(part(1).alias("book"), part(2).cast("int").alias("chapter"), part(3).alias("verse"))
+
+
+def in_range(chapter: Column, verse: Column, start: tuple[int, int], end: tuple[int, int]) -> Column:
+    """Whether a verse lies in a range of verses that may go over chapters."""
+    at = F.struct(chapter.cast("int").alias("c"), verse.cast("int").alias("v"))
+    edge = lambda e: F.struct(F.lit(e[0]).alias("c"), F.lit(e[1]).alias("v"))
+    return (at >= edge(start)) & (at <= edge(end))

@@ -59,15 +59,112 @@ def progress(covered: Column, total: Column) -> Column:
 
 
 def confidence(matched: Column, total: Column) -> Column:
-    """Tier of a match ratio: exact, high (0.9 on), partial (0.5 on), or low."""
-    ratio = F.when(total == 0, 0.0).otherwise(matched / total)
-    return F.when(ratio >= 1, "exact").when(ratio >= 0.9, "high").when(ratio >= 0.5, "partial").otherwise("low")
+    """Tier of a match ratio: exact (also without anything to match), high (0.9 on), partial (0.5 on), or none."""
+    ratio = F.when(total == 0, 1.0).otherwise(matched / total)
+    return F.when(ratio >= 1, "exact").when(ratio >= 0.9, "high").when(ratio >= 0.5, "partial").otherwise("none")
+
+
+def verse_key(sid: Column) -> Column:
+    """A verse id for comparison: no-break spaces as spaces, runs as one, in upper case."""
+    return F.upper(F.trim(F.regexp_replace(F.replace(sid, F.lit("\u00a0"), F.lit(" ")), r"\s+", " ")))
+
+
+def resolve_verses(wanted: DataFrame, have: DataFrame, sid: str) -> DataFrame:
+    """(sid, found): for each verse id of ``wanted`` that of ``have`` it stands for: the same, else the smallest with the same
+    ``verse_key``, else the only one with the same chapter and verse; null if none."""
+    end = r"(\d+:\d+)\s*$"
+    ids = have.select(F.col(sid).alias("h")).distinct()
+    by_key = ids.groupBy(verse_key(F.col("h")).alias("k")).agg(F.min("h").alias("h_key"))
+    by_end = ids.groupBy(F.nullif(F.regexp_extract("h", end, 1), F.lit("")).alias("e")).agg(F.min("h").alias("h_end"), F.count("*").alias("n")).where("e IS NOT NULL AND n = 1")
+    w = wanted.select(sid).distinct().withColumns({"k": verse_key(F.col(sid)), "e": F.nullif(F.regexp_extract(sid, end, 1), F.lit(""))})
+    rows = w.join(ids, F.col(sid) == F.col("h"), "left").join(by_key, "k", "left").join(by_end, "e", "left")
+    return rows.select(sid, F.coalesce("h", "h_key", "h_end").alias("found"))
+
+
+def source_report(sources: DataFrame, tokens: DataFrame, sid: str = "sid") -> tuple[DataFrame, DataFrame]:
+    """How the source words of alignments (sid, strong, lemma, content, occurrence) match a loaded original (sid, strong, lemma,
+    surface, occurrence): (sid, found, words, matched, reason) for each verse, and one row (confidence, match_ratio,
+    verses_compared, verses_matched).
+
+    A word matches a token of its verse with the same Strong's number, or the same lemma and occurrence, or the same form
+    (edge punctuation aside) and occurrence, or without Strong's numbers the same lemma and form; case is ignored in the first
+    two and in lemmas.
+    """
+    bare = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    own = sources.withColumns({"__row": F.monotonically_increasing_id(), "__s": bare("strong"), "__l": bare("lemma"), "__f": strip_edges(F.trim("content"))})
+    own = own.join(resolve_verses(sources, tokens, sid), sid)
+    tok = tokens.select(F.col(sid).alias("found"), bare("strong").alias("__s"), bare("lemma").alias("__l"), strip_edges(F.trim("surface")).alias("__f"), "occurrence")
+    ways = ((["__s"], "__s <> ''"), (["__l", "occurrence"], "__l <> ''"), (["__f", "occurrence"], "__f <> ''"), (["__s", "__l", "__f"], "__s = '' AND __l <> ''"))
+    hit = None
+    for on, when in ways:
+        got = own.where(when).select("__row", "found", *on).join(tok.where(when).select("found", *on).distinct(), ["found", *on]).select("__row")
+        hit = got if hit is None else hit.union(got)
+    marked = own.join(hit.distinct().withColumn("__hit", F.lit(1)), "__row", "left")
+    verses = marked.groupBy(sid, "found").agg(F.count("*").alias("words"), F.count("__hit").alias("matched"))
+    missing = (F.col("words") - F.col("matched")).cast("string")
+    reason = F.when(F.col("found").isNull(), "No matching verse in the loaded source for this alignment key").when(F.col("matched") < F.col("words"), F.concat(missing, F.lit(" source word(s) did not match the loaded document")))
+    verses = verses.withColumn("reason", reason)
+    total = verses.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("w"), F.coalesce(F.sum("matched"), F.lit(0)).alias("m"), F.count("*").alias("verses_compared"), F.count_if(F.col("found").isNotNull() & (F.col("matched") == F.col("words"))).alias("verses_matched"))
+    ratio = F.when(F.col("w") == 0, 1.0).otherwise(F.col("m") / F.col("w")).alias("match_ratio")
+    return verses, total.select(confidence(F.col("m"), F.col("w")).alias("confidence"), ratio, "verses_compared", "verses_matched")
+
+
+def source_reference(remark: Column) -> Column:
+    """struct(identifier, version) of a remark ``alignment-source: name v1``; nulls where it is none."""
+    rest = F.trim(F.regexp_extract(F.trim(remark), r"(?is)^alignment-source:\s*(.*)$", 1))
+    version = F.nullif(F.regexp_extract(rest, r"(?i)\bv(\d+|[\w.-]+)\s*$", 1), F.lit(""))
+    name = F.nullif(collapse(F.regexp_replace(rest, r"(?i)\bv(\d+|[\w.-]+)\s*$", "")), F.lit(""))
+    return F.struct(name.alias("identifier"), F.when(name.isNotNull(), version).alias("version"))
+
+
+def source_remark(identifier: Column, version: Column) -> Column:
+    """The remark that ``source_reference`` reads."""
+    return F.concat(F.lit("alignment-source: "), identifier, F.when(version.isNotNull(), F.concat(F.lit(" v"), version)).otherwise(""))
+
+
+def compatible_source(wanted: Column, loaded: Column) -> Column:
+    """Whether two source names agree: equal or one within the other, case and spaces aside."""
+    a, b = F.lower(collapse(wanted)), F.lower(collapse(loaded))
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+
+
+def merge_groups(groups: DataFrame, key: list[str], into: DataFrame) -> DataFrame:
+    """Alignment rows (key, group, role, ...) with groups of ``into`` (key, group, target_group) made part of another."""
+    return groups.join(into, [*key, "group"], "left").withColumn("group", F.coalesce("target_group", "group")).drop("target_group")
+
+
+def split_groups(groups: DataFrame, key: list[str], out: DataFrame) -> DataFrame:
+    """Rows (key, group, role, pos, ...) with the targets of ``out`` (key, group, pos) taken into groups of their own, numbered
+    after the verse's last; the sources stay."""
+    picked = out.select(*key, "group", "pos").distinct().withColumn("__out", F.lit(True))
+    rows = groups.join(picked, [*key, "group", "pos"], "left").withColumn("__out", F.coalesce("__out", F.lit(False)) & (F.col("role") == "target"))
+    last = F.max("group").over(W.partitionBy(*key))
+    nth = F.sum(F.col("__out").cast("int")).over(W.partitionBy(*key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("group", F.when(F.col("__out"), last + nth).otherwise(F.col("group")).cast("long")).drop("__out")
+
+
+def remove_groups(groups: DataFrame, key: list[str], gone: DataFrame) -> DataFrame:
+    """Alignment rows without the groups of ``gone`` (key, group): their words are unaligned again."""
+    return groups.join(gone.select(*key, "group").distinct(), [*key, "group"], "left_anti")
+
+
+def reconcile(groups: DataFrame, kept: DataFrame, old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Targets (key, group, target, word, occurrence) after their verse was edited: those whose word stayed, as the new text
+    counts it; groups that lose all targets go.
+
+    old and new: the words (key, place, word) of both texts; kept: (key, old, new), the places of words that stayed. A target
+    is the old word of its form (edge punctuation aside) and occurrence.
+    """
+    placed = resolve_targets(groups.select(*key, "group", "target", "word", "occurrence"), old, key, "word", "place").where("place IS NOT NULL")
+    counted = numbered(new, key, "word", "place").select(*key, F.col("place").alias("new"), F.col("word").alias("__word"), F.col("slot").alias("__slot"), F.count("*").over(W.partitionBy(*key, "norm")).alias("occurrences"))
+    moved = placed.withColumnRenamed("place", "old").join(kept, [*key, "old"]).join(counted, [*key, "new"])
+    return moved.select(*key, "group", "target", F.col("__word").alias("word"), F.col("__slot").alias("occurrence"), "occurrences")
 
 
 def kept_words(pairs: DataFrame, old: str, new: str) -> DataFrame:
     """``pairs`` with kept array<struct<old, new>>: places of a longest common subsequence of two word arrays.
 
-    Ties move on in the old text first. Work is the product of the two lengths, row by row of the table of lengths.
+    Ties move on in the old text first. Work is the product of the two lengths, memory their sum (Hirschberg's halving).
     """
     schema = "array<struct<old: int, new: int>>"
 
@@ -79,22 +176,34 @@ def kept_words(pairs: DataFrame, old: str, new: str) -> DataFrame:
     return pairs.withColumn("kept", run(F.col(old), F.col(new)))
 
 
+def _ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of all of ``a`` and each tail of ``b``."""
+    best = np.zeros(len(b) + 1, np.int32)
+    for x in a[::-1]:
+        hit = np.where(b == x, best[1:] + 1, best[:-1])
+        best[:-1] = np.maximum.accumulate(hit[::-1])[::-1]
+    return best
+
+
 def lcs(a, b) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence."""
-    a, b = np.asarray([] if a is None else a, object), np.asarray([] if b is None else b, object)
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        hit = np.where(b == a[i], best[i + 1, 1:] + 1, best[i + 1, :-1]) if len(b) else best[i, :-1]
-        best[i, :-1] = np.maximum.accumulate(hit[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    """Places of a longest common subsequence, each word of ``a`` at the first place of ``b`` that allows one."""
+    a, b = ([] if x is None else list(x) for x in (a, b))
+    number = {w: k for k, w in enumerate({*a, *b})}
+    a, b = (np.array([number[w] for w in x], np.int64) for x in (a, b))
+    out: list[tuple[int, int]] = []
+    parts = [(0, len(a), 0, len(b))]
+    while parts:
+        i, j, x, y = parts.pop()
+        if j - i == 1:
+            at = np.flatnonzero(b[x:y] == a[i])
+            if len(at):
+                out.append((i, x + int(at[0])))
+        elif j > i and y > x:
+            half = (i + j) // 2
+            tails = _ends(a[half:j], b[x:y])
+            heads = _ends(a[i:half][::-1], b[x:y][::-1])[::-1]
+            cut = x + int(np.argmax(heads + tails))
+            parts += [(half, j, cut, y), (i, half, x, cut)]
     return out
 
 

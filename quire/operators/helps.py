@@ -10,8 +10,9 @@ from quire.functions.text import title_from_path
 
 
 def parse_reference(ref: Column) -> Column:
-    """struct(kind, chapter, verse) of ``front:intro``, ``3:intro`` or ``3:16``; kind is null where it is none of them or a number is 0."""
-    left, right = F.regexp_extract(ref, r"^\s*([^:\s]+):([^:\s]+)\s*$", 1), F.regexp_extract(ref, r"^\s*([^:\s]+):([^:\s]+)\s*$", 2)
+    """struct(kind, chapter, verse) of ``front:intro``, ``3:intro`` or ``3:16`` in any case; kind is null where it is none of them or a number is 0."""
+    pattern = r"^\s*([^:\s]+):([^:\s]+)\s*$"
+    left, right = (F.lower(F.regexp_extract(ref, pattern, k)) for k in (1, 2))
     chapter, verse = left.try_cast("int"), right.try_cast("int")
     kind = F.when((left == "front") & (right == "intro"), "book intro").when((chapter > 0) & (right == "intro"), "chapter intro").when((chapter > 0) & (verse > 0), "verse")
     return F.struct(kind.alias("kind"), F.when(kind != "book intro", chapter).alias("chapter"), F.when(kind == "verse", verse).alias("verse"))
@@ -67,3 +68,50 @@ def match_quotes(quotes: DataFrame, tokens: DataFrame, key: list[str], order: st
 def first_choice(main: DataFrame, fallback: DataFrame, key: list[str]) -> DataFrame:
     """All rows of ``main``, and those of ``fallback`` whose key has none there."""
     return main.unionByName(fallback.join(main.select(*key).distinct(), key, "left_anti"))
+
+
+def annotations_by_token(matches: DataFrame, key: list[str], order: str, ident: str) -> DataFrame:
+    """(key, token, entries): the ids of the helps on each token, in order."""
+    return matches.groupBy(*key, order).agg(F.array_sort(F.collect_set(ident)).alias("entries"))
+
+
+def match_by_alignment(helps_: DataFrame, sources: DataFrame, targets: DataFrame, tokens: DataFrame, key: list[str]) -> DataFrame:
+    """(key, id, place): tokens of the translation that are aligned to the words of each help row's original quote.
+
+    helps_: (key, id, quote, occurrence); sources: (key, flat, group, norm, occurrence), the source words of a verse's groups
+    in order; targets: (key, group, norm, occurrence); tokens: (key, place, norm), in order. norm is ``text.help_text``. A
+    quote's parts between & are looked for each by itself as words in order, gaps allowed; of the first part the row's
+    occurrence counts, of others the first. All parts have to be found. Every group with a source word of the same form
+    and occurrence as a matched one adds its targets, each the token of that form and occurrence.
+    """
+    part = helps_.select(*key, "id", "occurrence", F.posexplode(F.filter(F.transform(F.split("quote", "&"), lambda p: help_words(p)), lambda p: F.size(p) > 0)).alias("part", "words"))
+    parts_of = part.groupBy(*key, "id").agg(F.count("*").alias("__parts"))
+    # a chain from each place of the first word: the next word is the nearest that follows
+    first = sources.select(*key, F.col("flat").alias("start"), F.col("norm").alias("__norm"))
+    verse = sources.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("flat", "norm", "occurrence"))).alias("flat"))
+    hits = part.join(first, [part[k] == first[k] for k in key] + [F.get("words", F.lit(0)) == F.col("__norm")]).select(*[part[k] for k in key], "id", "occurrence", "part", "words", "start")
+    step = lambda s, w: F.when(F.size(s) == 0, F.array(F.col("__at"))).otherwise(F.concat(s, F.array(_next(F.col("flat"), F.element_at(s, -1), w))))
+    chains = hits.join(verse, key).withColumn("__at", F.col("start")).withColumn("chain", F.aggregate("words", F.array().cast("array<int>"), step))
+    whole = chains.where(F.forall("chain", lambda x: x >= 0))
+    rank = F.row_number().over(W.partitionBy(*key, "id", "part").orderBy("start"))
+    wanted = F.when(F.col("part") == 0, F.greatest(F.coalesce("occurrence", F.lit(1)), F.lit(1))).otherwise(1)
+    chosen = whole.withColumn("__k", rank).where(F.col("__k") == wanted)
+    complete = chosen.groupBy(*key, "id").agg(F.count("*").alias("__found")).join(parts_of, [*key, "id"]).where("__found = __parts").select(*key, "id")
+    words = chosen.join(complete, [*key, "id"]).select(*key, "id", F.explode("chain").alias("flat"))
+    said = words.join(sources.select(*key, "flat", "norm", "occurrence"), [*key, "flat"]).select(*key, "id", "norm", "occurrence").distinct()
+    groups = said.join(sources.select(*key, "norm", "occurrence", "group"), [*key, "norm", "occurrence"]).select(*key, "id", "group").distinct()
+    aligned = groups.join(targets, [*key, "group"]).select(*key, "id", "norm", "occurrence")
+    placed = tokens.withColumn("occurrence", F.row_number().over(W.partitionBy(*key, "norm").orderBy("place")))
+    return aligned.join(placed, [*key, "norm", "occurrence"]).select(*key, "id", "place").distinct()
+
+
+def help_words(part: Column) -> Column:
+    """Normal forms of the words of a part of a quote."""
+    bare = F.transform(F.split(part, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$", ""))
+    return F.filter(bare, lambda w: w != "")
+
+
+def _next(flat: Column, after: Column, word: Column) -> Column:
+    """The first place behind ``after`` whose form is ``word``; -1 if there is none, or ``after`` is -1."""
+    found = F.get(F.filter(flat, lambda x: (x["flat"] > after) & (x["norm"] == word)), F.lit(0))["flat"]
+    return F.when(after < 0, -1).otherwise(F.coalesce(found, F.lit(-1))).cast("int")

@@ -58,3 +58,30 @@ def three_way_entries(base: DataFrame, ours: DataFrame, theirs: DataFrame, ident
 
     rows = three_way(base, ours, theirs, ident, content)
     return rows.where(F.col("action") != "conflict").select(ident, content), rows.where(F.col("action") == "conflict").select(ident)
+
+
+def snapshot(entries: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
+    """(key, value): what a journal's entries come to, in place of them."""
+    return fold(entries, key, order, value).select(*key, value)
+
+
+def hydrate(base: DataFrame, entries: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
+    """(key, value): a snapshot (key, value) with later entries over it."""
+    later = snapshot(entries, key, order, value).withColumnRenamed(value, "__later").withColumn("__has", F.lit(True))
+    rows = base.join(later, key, "full")
+    return rows.select(*key, F.when(F.col("__has"), F.col("__later")).otherwise(F.col(value)).alias(value))
+
+
+def exchange(ours: DataFrame, theirs: DataFrame, user: str, sequence: str) -> tuple[DataFrame, DataFrame]:
+    """(entries to push, entries to pull): those above what the other side's clock has of their user."""
+
+    def missing(have: DataFrame, other: DataFrame) -> DataFrame:
+        clock = vector_clock(other, [], user, sequence).withColumnRenamed(sequence, "__known")
+        return have.join(clock, user, "left").where(F.col(sequence) > F.coalesce("__known", F.lit(0))).drop("__known")
+
+    return missing(ours, theirs), missing(theirs, ours)
+
+
+def ingest(own: DataFrame, remote: DataFrame, ident: str, order: list[str]) -> DataFrame:
+    """A journal with a remote one's entries that it doesn't have."""
+    return own.unionByName(dedupe(remote, ident, order).join(own.select(ident).distinct(), ident, "left_anti"))

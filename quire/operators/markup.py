@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.markers import base_marker, dim_marker
+from quire.functions.markers import base_marker, cell_span, dim_marker
 from quire.functions.text import collapse, escape_xml
 from quire.operators.windows import depth
 
@@ -34,8 +34,9 @@ def typed(rows: DataFrame, key: str, extra: list[tuple[str, str, str]] = ()) ->
     w = W.partitionBy(key).orderBy("pos")
     out = rows.withColumns({"__first": F.coalesce(F.lag("raw").over(w).rlike(r"\n\s*$"), F.lit(True)), "__ends": F.coalesce((F.lead("marker").over(w) == "") & F.lead("closing").over(w), F.lit(False))})
     out = out.join(exact, "marker", "left").join(bases, base_marker(F.col("marker")) == F.col("__base"), "left")
-    guess = F.when(F.col("marker") == "", "end").when(F.col("marker").rlike("-[se]$") | F.col("__ends"), "milestone").when(F.col("__first") & ~F.col("closing"), "paragraph").otherwise("character")
-    style = F.when(F.col("marker") == "", "end").otherwise("unknown")
+    cell = cell_span(F.col("marker")).isNotNull()  # cells of any column
+    guess = F.when(F.col("marker") == "", "end").when(cell, "character").when(F.col("marker").rlike("-[se]$") | F.col("__ends"), "milestone").when(F.col("__first") & ~F.col("closing"), "paragraph").otherwise("character")
+    style = F.when(F.col("marker") == "", "end").when(cell, "cell").otherwise("unknown")
     return out.withColumns({"kind": F.coalesce("kind", "__kind", guess), "style": F.coalesce("style", "__style", style), "default_attribute": F.coalesce("default_attribute", "__attr")}).drop("__first", "__ends", "__base", "__kind", "__style", "__attr")
 
 
@@ -242,21 +243,6 @@ def to_usj(node: DataFrame, key: str) -> DataFrame:
     return node.select(*columns).groupBy(key).applyInPandas(fold, f"{key} {kind}, usj string")
 
 
-def validate_usj(rows: DataFrame, key: str, usj: str) -> DataFrame:
-    """(key, error): what is wrong with the root of each JSON document; none for a good one."""
-    v = F.try_parse_json(usj)
-    get = lambda path: F.try_variant_get(v, path, "string")
-    errors = F.array_compact(
-        F.array(
-            F.when(v.isNull(), "not JSON"),
-            F.when(v.isNotNull() & ~F.coalesce(get("$.type") == "USJ", F.lit(False)), "type is not USJ"),
-            F.when(v.isNotNull() & get("$.version").isNull(), "no version"),
-            F.when(v.isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.content", "variant")).startswith("ARRAY"), F.lit(False)), "content is not an array"),
-        )
-    )
-    return rows.select(key, F.explode(errors).alias("error"))
-
-
 PREAMBLE = (("identification", r"^(id|ide|h\d?|toc\d?|toca\d?|rem|sts|usfm)$"), ("title", r"^(mt|mte|imt|imte)\d?$"), ("introduction", r"^i"))
 
 

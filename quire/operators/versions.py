@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.text import conflict_id
+from quire.operators.markup import tokens
+
 #: Operations that add or take away a place, and what they do to later places of the same parent.
 SHIFT = {"insertNode": 1, "removeNode": -1}
 
@@ -47,50 +51,110 @@ def apply_ops(rows: DataFrame, ops: DataFrame, key: list[str], place: str, conte
     both = rows.select(*key, place, content, F.lit(True).alias("__was")).join(change, [*key, place], "full")
     text = F.when(F.col("__op").isin("setText", "insertNode"), F.col("__c")).otherwise(F.col(content))
     left = both.where("__op IS NULL OR __op <> 'removeNode'").select(*key, place, text.alias(content))
-    from pyspark.sql import Window as W
-
     return left.withColumn(place, (F.row_number().over(W.partitionBy(*key).orderBy(place)) - 1).cast("long"))
 
 
-def invert(op: Column) -> Column:
-    """The operation that takes another back, where its old value is known."""
-    return F.when(op == "insertNode", "removeNode").when(op == "removeNode", "insertNode").when(op.isin("setText", "setAttr", "replaceNode", "moveNode"), op)
+OP = "op string, path array<int>, to array<int>, attr string, value string, old string"
+#: Operations on alignments, which leave the tree alone.
+ALIGNMENT_OPS = ("alignWord", "unalignWord", "updateGroup")
+
+
+def invert(ops: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Operations (key, order, op, path, to, attr, value, old) that take others back, in the opposite order.
+
+    value is the new node, text or attribute value, old what it replaces. Removals, replacements and settings whose old
+    value is null, and operations on alignments, can't be taken back and are left out.
+    """
+    op = F.col("op")
+    back = F.when(op == "insertNode", "removeNode").when(op == "removeNode", "insertNode").when(op.isin("setText", "setAttr", "replaceNode", "moveNode"), op)
+    moved = op == "moveNode"
+    rows = ops.where(back.isNotNull() & (op.isin("insertNode", "moveNode") | F.col("old").isNotNull()))
+    return rows.select(
+        *key, (-F.col(order)).alias(order), back.alias("op"), F.when(moved, F.col("to")).otherwise(F.col("path")).alias("path"),
+        F.when(moved, F.col("path")).alias("to"), "attr", F.col("old").alias("value"), F.col("value").alias("old"),
+    )
+
+
+def compose(first: DataFrame, second: DataFrame, key: list[str], order: str) -> DataFrame:
+    """One list of operations: those of ``first``, then those of ``second``, numbered from 0 by key."""
+    both = first.withColumn("__list", F.lit(0)).unionByName(second.withColumn("__list", F.lit(1)))
+    place = F.row_number().over(W.partitionBy(*key).orderBy("__list", order)) - 1
+    return both.withColumn(order, place.cast(dict(first.dtypes)[order])).drop("__list")
+
+
+def by_chapter(ops: DataFrame, key: list[str], order: str) -> DataFrame:
+    """(key, ops): each key's operations in order, as an array."""
+    item = F.struct(order, *[c for c in ops.columns if c not in (*key, order)])
+    return ops.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("ops"))
+
+
+#: What ``transform`` folds: a chapter's operations as an array.
+_OPS = "array<struct<seq: long, op: string, path: array<int>, to: array<int>, attr: string, value: string, old: string>>"
 
 
 def transform(mine: DataFrame, prior: DataFrame, key: list[str]) -> DataFrame:
-    """Operations (key, seq, op, parent, place) after those that others made first: places of the same parent shift, and
-    operations on what others removed or replaced are dropped.
+    """Operations (key, seq, op, path, to, attr, value, old) of ``mine`` as they are after those of ``prior`` were made first.
 
-    Shifts depend on the place reached so far, so the operations of one key are folded in order.
+    Insertions and removals shift later places below the same parent. Dropped are those at or below what others
+    replaced, and settings of the same attribute; a text that others set first is the old text of one's own. A move counts
+    as a removal and an insertion. The key is a chapter, whose operations are few; they are folded in order, since each
+    shift depends on the place reached so far, in Arrow batches of chapters.
     """
-    schema = mine.schema
-    cols = mine.columns
+    names = ["seq", "op", "path", "to", "attr", "value", "old"]
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    @F.pandas_udf(_OPS)
+    def fold(own: pd.Series, others: pd.Series) -> pd.Series:
         out = []
-        earlier = b.sort_values("seq").to_dict("records")
-        for op in a.sort_values("seq").to_dict("records"):
-            if (moved := _after(op, earlier)) is not None:
-                out.append(moved)
-        return pd.DataFrame(out, columns=cols)
-
-    return mine.groupBy(*key).cogroup(prior.groupBy(*key)).applyInPandas(run, schema)
-
-
-def _after(op: dict, earlier: list[dict]) -> dict | None:
-    place = op["place"]
-    for p in earlier:
-        if p["parent"] != op["parent"]:
-            continue
-        if p["op"] == "insertNode" and p["place"] <= place:
-            place += 1
-        elif p["op"] == "removeNode":
-            if p["place"] == place and op["op"] != "insertNode":
-                return None
-            place -= p["place"] < place
-        elif p["place"] == place and p["op"] == op["op"] == "replaceNode":
-            return None
-    return op | {"place": place}
+        for a, b in zip(own, others, strict=True):
+            left = []
+            for op in a:
+                for p in () if b is None else b:
+                    op = None if op is None else _after(p, op)
+                left += [op] if op is not None else []
+            out.append(left)
+        return pd.Series(out)
+
+    listed = lambda ops, name: ops.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias(name))
+    both = listed(mine, "__own").join(listed(prior.select(*key, *names), "__others"), key, "left")
+    made = both.select(*key, F.explode(fold("__own", "__others")).alias("o"))
+    return made.select(*key, *[F.col(f"o.{n}").cast(dict(mine.dtypes)[n]).alias(n) for n in names])
+
+
+def transform_lists(ours: DataFrame, theirs: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both lists, each after the other."""
+    return transform(ours, theirs, key), transform(theirs, ours, key)
+
+
+def _list(path) -> list[int]:
+    return [] if path is None else list(map(int, path))
+
+
+def _shifted(path: list[int], at: list[int], by: int) -> list[int]:
+    """A path after an insertion (by 1) or removal (by -1) at ``at``, if that has the same parent."""
+    if not at or len(path) != len(at) or path[:-1] != at[:-1]:
+        return path
+    hit = path[-1] >= at[-1] if by > 0 else path[-1] > at[-1]
+    return [*path[:-1], path[-1] + by * hit]
+
+
+def _after(prior: dict, op: dict) -> dict | None:
+    """``op`` once ``prior`` was made; None if nothing is left of it."""
+    first, kind = prior["op"], op["op"]
+    if first in ALIGNMENT_OPS or kind in ALIGNMENT_OPS:
+        return op
+    at, path, to = _list(prior["path"]), _list(op["path"]), _list(op["to"])
+    if first == "moveNode":
+        op = _after({"op": "removeNode", "path": at}, op)
+        return _after({"op": "insertNode", "path": _list(prior["to"])}, op)
+    if first in SHIFT:
+        return op | {"path": _shifted(path, at, SHIFT[first]), "to": _shifted(to, at, SHIFT[first]) if kind == "moveNode" else op["to"]}
+    if first == kind == "setText" and at == path:
+        return op | {"old": prior["value"]}
+    if first == kind == "setAttr" and at == path and prior["attr"] == op["attr"]:
+        return None
+    if first == "replaceNode" and (path[: len(at)] == at or kind == "moveNode" and to[: len(at)] == at):
+        return None
+    return op
 
 
 def overlaps(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
@@ -104,3 +168,144 @@ def overlaps(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     same = x.where("NOT short").select("*", first("a_path")).join(y.where("NOT short").select("*", first("b_path")), [*key, "first"]).select(names)
     a_short, b_short = x.where("short").join(y, key).select(names), x.where("NOT short").join(y.where("short"), key).select(names)
     return same.unionByName(a_short).unionByName(b_short)
+
+
+def _cells(files: DataFrame, key: str, side: str) -> DataFrame:
+    """(key, chapter, block, cell, kind, piece) of one side's tagged text: its markers with their text, by chapter, paragraph
+    and place in the paragraph. kind is the paragraph's marker, null but for the first cell."""
+    rows = tokens(files.select(key, side), key, side)
+    opens = ~F.col("closing")
+    chapter = F.when((F.col("marker") == "c") & opens, F.coalesce(F.regexp_extract("raw", r"^\s*(\d+)", 1).try_cast("int"), F.lit(0)))
+    # a paragraph is a marker that opens a line and isn't a verse
+    breaks = F.coalesce(F.lag("raw").over(W.partitionBy(key).orderBy("pos")).rlike(r"\n\s*$"), F.lit(True)) & opens & (F.col("marker") != "v") & ~F.col("marker").rlike("^(w|f|x|zaln-[se])$")
+    upto = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"chapter": F.coalesce(F.last(chapter, ignorenulls=True).over(upto), F.lit(0)), "__breaks": breaks})
+    inside = W.partitionBy(key, "chapter").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("block", F.count_if("__breaks").over(inside))
+    cell = F.row_number().over(W.partitionBy(key, "chapter", "block").orderBy("pos")) - 1
+    piece = F.concat(F.lit("\\"), F.when(F.col("nested"), "+").otherwise(""), "marker", F.when(F.col("closing"), "*").otherwise(""), "raw")
+    return rows.select(key, "chapter", "block", cell.alias("cell"), F.when(F.col("__breaks"), F.col("marker")).alias("kind"), piece.alias("piece"))
+
+
+def merge_tagged(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, kind, text, chapters) from three versions (key, base, ours, theirs) of tagged files.
+
+    Each side's differences from the base are found by chapter, paragraph and place. Where both sides change the same place of
+    a chapter, or one adds, removes or exchanges a paragraph in a chapter that the other changes at all, the file is a conflict
+    (text is null, chapters are those changed by either side); else both sides' changes are made.
+    """
+    on = [key, "chapter", "block", "cell"]
+    sides = [_cells(files, key, c).withColumnsRenamed({"kind": f"k_{c}", "piece": c}) for c in ("base", "ours", "theirs")]
+    rows = sides[0].join(sides[1], on, "full").join(sides[2], on, "full")
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col("base"))
+    whole = lambda c: (F.col("cell") == 0) & differs(c) & ~F.col(f"k_{c}").eqNullSafe(F.col("k_base"))
+    both = differs("ours") & differs("theirs")
+    chapters = rows.groupBy(key, "chapter").agg(*[F.bool_or(f(c)).alias(f"{n}_{c}") for n, f in (("any", differs), ("whole", whole)) for c in ("ours", "theirs")], F.bool_or(both).alias("both"))
+    clash = F.col("both") | (F.col("whole_ours") & F.col("any_theirs")) | (F.col("whole_theirs") & F.col("any_ours"))
+    changed = F.col("any_ours") | F.col("any_theirs")
+    judged = chapters.groupBy(key).agg(F.bool_or(clash).alias("bad"), F.array_sort(F.collect_set(F.when(changed, F.col("chapter")))).alias("chapters"))
+    merged = rows.withColumn("piece", F.when(differs("ours"), F.col("ours")).otherwise(F.col("theirs"))).where("piece IS NOT NULL")
+    parts = F.array_sort(F.collect_list(F.struct("chapter", "block", "cell", "piece")))
+    texts = merged.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["piece"]), "").alias("text"))
+    out = files.select(key).join(judged, key, "left").join(texts, key, "left")
+    bad = F.coalesce("bad", F.lit(False))
+    return out.select(key, F.when(bad, "conflict").otherwise("merged").alias("kind"), F.when(~bad, F.coalesce("text", F.lit(""))).alias("text"), F.when(bad, F.col("chapters")).alias("chapters"))
+
+
+#: Endings of files that are text.
+TEXT_ENDINGS = ("md", "yaml", "yml", "json", "jsonl", "usfm", "sfm", "txt", "tsv", "css", "html")
+
+
+def file_kind(path: Column) -> Column:
+    """How a file is merged: journal, tagged, text, or binary (an ending that isn't known)."""
+    name = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    ending = F.regexp_extract(name, r"\.([^.]*)$", 1)
+    journal = F.startswith(name, F.lit("journal/")) & (ending == "jsonl")
+    binary = F.contains(name, F.lit(".")) & ~ending.isin(*TEXT_ENDINGS)
+    return F.when(journal, "journal").when(binary, "binary").when(ending.isin("usfm", "sfm"), "tagged").otherwise("text")
+
+
+def _json(text: Column) -> Column:
+    """JSON objects and arrays without white space between tokens; null for other text."""
+    bare = F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|\s+', "$1")
+    return F.when(F.try_parse_json(text).isNotNull() & bare.rlike(r"^[\[{]"), bare)
+
+
+def merge_journals(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, kind, text, chapters) from three versions of files with one JSON entry a line: entries are merged by id, in the
+    order of ours and then theirs; an id that both sides change differently is a conflict."""
+    sides = []
+    for n in ("base", "ours", "theirs"):
+        line = files.select(key, F.posexplode(F.split(n, r"\r?\n")).alias("pos", "line")).where("trim(line) <> ''")
+        ident = F.coalesce(F.get_json_object("line", "$.id"), F.when(F.get_json_object("line", "$._journalHeader").isNotNull(), "header"), F.md5("line"))
+        sides.append(line.groupBy(key, ident.alias("id")).agg(F.max_by("line", "pos").alias(n), F.max("pos").alias(f"pos_{n}")))
+    rows = sides[0].join(sides[1], [key, "id"], "full").join(sides[2], [key, "id"], "full")
+    o, t, b = F.col("ours"), F.col("theirs"), F.col("base")
+    clash = ~o.eqNullSafe(t) & ~o.eqNullSafe(b) & ~t.eqNullSafe(b)
+    line = F.when(o.eqNullSafe(b), t).otherwise(o)
+    order = F.struct(F.col("pos_ours").isNull().alias("n"), F.coalesce("pos_ours", "pos_theirs").alias("pos"), line.alias("line"))
+    made = rows.groupBy(key).agg(F.bool_or(clash).alias("bad"), F.array_sort(F.collect_list(F.when(line.isNotNull(), order))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    return files.select(key).join(made, key, "left").select(key, F.when(F.col("bad"), "conflict").otherwise("merged").alias("kind"), F.when(~F.coalesce("bad", F.lit(False)), F.coalesce(text, F.lit(""))).alias("text"), F.when(F.col("bad"), F.array().cast("array<int>")).alias("chapters"))
+
+
+def merge_files(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, kind, text, conflict) from three versions (key, base, ours, theirs) of files.
+
+    A side that equals another or the base gives way to the change. Tagged files and journals are merged by content, JSON
+    files if the versions differ in white space alone; all else that both sides change is a conflict, with its id.
+    """
+    b, o, t = F.col("base"), F.col("ours"), F.col("theirs")
+    easy = F.when(o == t, o).when(b == o, t).when(b == t, o)
+    jb, jo, jt = _json(b), _json(o), _json(t)
+    parsed = jb.isNotNull() & jo.isNotNull() & jt.isNotNull()
+    easy = easy.when((file_kind(F.col(key)) == "text") & parsed & ((jo == jt) | (jb == jt)), o).when((file_kind(F.col(key)) == "text") & parsed & (jb == jo), t)
+    rows = files.withColumns({"__easy": easy, "__way": file_kind(F.col(key))})
+    hard = rows.where("__easy IS NULL").select(key, "base", "ours", "theirs", "__way")
+    made = merge_tagged(hard.where("__way = 'tagged'"), key).unionByName(merge_journals(hard.where("__way = 'journal'"), key))
+    out = rows.join(made.withColumnRenamed("text", "__text"), key, "left")
+    text = F.coalesce("__easy", "__text")
+    conflict = F.when(text.isNull(), conflict_id(F.col(key), F.coalesce("chapters", F.array().cast("array<int>")), o, t))
+    return out.select(key, F.when(text.isNull(), "conflict").otherwise("merged").alias("kind"), text.alias("text"), conflict.alias("conflict"))
+
+
+def replace_chapters(rows: DataFrame, new: DataFrame, key: str, add: bool = False) -> DataFrame:
+    """Rows (key, chapter, place, content) with the chapters of ``new`` in place of theirs; chapters that a book doesn't have
+    are put in by number if ``add``, else left out."""
+    named = new.select(key, "chapter").distinct()
+    have = rows.select(key, "chapter").distinct()
+    more = new if add else new.join(have, [key, "chapter"], "left_semi")
+    return rows.join(named, [key, "chapter"], "left_anti").unionByName(more.select(rows.columns))
+
+
+def delete_chapters(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows without the chapters of ``gone`` (key, chapter)."""
+    return rows.join(gone.select(key, "chapter").distinct(), [key, "chapter"], "left_anti")
+
+
+def merge_into_previous(rows: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
+    """Rows with chapters of ``chapters`` (key, chapter) added to the end of the chapter before, without their first row (the
+    chapter marker). Chapter 0 and first chapters stay. Places are numbered afresh."""
+    before = rows.select(key, "chapter").distinct().withColumn("__before", F.lag("chapter").over(W.partitionBy(key).orderBy("chapter")))
+    marked = before.join(chapters.select(key, "chapter").distinct().withColumn("__on", F.lit(True)), [key, "chapter"], "left")
+    goes = F.coalesce("__on", F.lit(False)) & (F.col("chapter") > 0) & F.col("__before").isNotNull()
+    # several chapters in a row all go to the one before the first of them
+    stays = F.last(F.when(~goes, F.col("chapter")), ignorenulls=True).over(W.partitionBy(key).orderBy("chapter").rowsBetween(W.unboundedPreceding, 0))
+    to = marked.select(key, "chapter", stays.alias("__to"), goes.alias("__goes"))
+    first = F.row_number().over(W.partitionBy(key, "chapter").orderBy("place")) == 1
+    out = rows.join(to, [key, "chapter"]).withColumn("__first", first).where("NOT (__goes AND __first)")
+    place = F.row_number().over(W.partitionBy(key, "__to").orderBy("chapter", "place")) - 1
+    return out.withColumn("place", place.cast(dict(rows.dtypes)["place"])).withColumn("chapter", F.col("__to")).select(rows.columns)
+
+
+def renumber_chapters(rows: DataFrame, moves: DataFrame, key: str) -> DataFrame:
+    """Rows with chapters renumbered by ``moves`` (key, chapter, new): those that exist, to numbers from 1 that aren't taken."""
+    taken = rows.select(key, F.col("chapter").alias("new")).distinct()
+    good = moves.where("chapter >= 1 AND new >= 1").join(taken, [key, "new"], "left_anti")
+    return rows.join(good, [key, "chapter"], "left").withColumn("chapter", F.coalesce("new", "chapter")).select(rows.columns)
+
+
+def edit_verses(rows: DataFrame, edits: DataFrame, key: list[str], content: str) -> DataFrame:
+    """Rows with the content of ``edits`` (key, content) where there is one for their verse."""
+    new = edits.select(*key, F.col(content).alias("__new"))
+    return rows.join(new, key, "left").withColumn(content, F.coalesce("__new", content)).drop("__new")

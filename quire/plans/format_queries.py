@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import alignment, markup, versions
+from quire.operators import alignment, markup, similarity
 from quire.operators.tokens import token_table, with_occurrence
 from quire.sources import files
 from quire.sources.tables import table
@@ -108,11 +108,12 @@ def usj_tree(spark, sf_dir):
 
 
 def usj_errors(spark, sf_dir):
-    """Roots of JSON documents made from parts, a few of them wrong."""
+    """What is wrong with JSON trees made from parts."""
     p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey") % 6
-    usj = F.when(k == 0, "{bad").when(k == 1, '{"type":"X","version":"3.1","content":[]}').when(k == 2, '{"type":"USJ","content":[]}').when(k == 3, '{"type":"USJ","version":"3.1","content":{}}').otherwise('{"type":"USJ","version":"3.1","content":["a"]}')
-    return markup.validate_usj(p.select("p_partkey", usj.alias("usj")), "p_partkey", "usj")
+    root = lambda inner: '{"type":"USJ","version":"3.1","content":' + inner + "}"
+    bad = ("{bad", '{"type":"X","version":"3.1","content":[]}', '{"type":"USJ","content":[]}', root("{}"), root('["a",{"type":"p","content":["b",{"type":""}]},null]'), root('[["x"],{"type":"p","content":7},3,true]'), root('["a"]'))
+    usj = F.get(F.array(*[F.lit(x) for x in bad]), (F.col("p_partkey") % len(bad)).cast("int"))
+    return p.select("p_partkey", F.explode(similarity.usj_errors(usj)).alias("error"))
 
 
 def html_render(spark, sf_dir):
@@ -142,13 +143,6 @@ def kept_words(spark, sf_dir):
     return alignment.kept_words(rows, "old", "new").select("conv_id", "turn", F.size("kept").cast("long").alias("kept"))
 
 
-def ops_transformed(spark, sf_dir):
-    """Edits of an order's even lines after those of its odd lines."""
-    li = table(spark, sf_dir, "lineitem")
-    ops = li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("seq"), F.when(F.col("l_returnflag") == "A", "insertNode").when(F.col("l_returnflag") == "R", "removeNode").otherwise("setText").alias("op"), F.col("l_linestatus").alias("parent"), (F.col("l_quantity").cast("long") % 8).alias("place"))
-    return versions.transform(ops.where("seq % 2 = 0"), ops.where("seq % 2 = 1"), ["l_orderkey"])
-
-
 def stream_ingested(spark, sf_dir):
     """Users' events as a stream in which each id counts once."""
     got = stream.run_once(stream.ingest_once(stream.read_log(spark, sf_dir)), stream.folder(spark, "ingested"))
@@ -164,7 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         help_table, journal_lines, alignment_lines, alignment_sections, usx_import, alignment_groups, alignment_rebuilt, formatted_usfm, usj_tree, usj_errors, html_render, marker_parts, chapters_around,
-        kept_words, ops_transformed, stream_ingested, stream_numbered,
+        kept_words, stream_ingested, stream_numbered,
     )
 }
 
@@ -198,7 +192,9 @@ WITH l AS (SELECT doc_id, {LINES} AS a FROM documents)
 SELECT doc_id, md5('\id D' || doc_id || chr(10) || '\c 1' || chr(10) || '\p' || array_to_string(list_transform(range(1, len(a) + 1), lambda i: ' \v ' || i || ' ' || regexp_replace(a[i], '\s+', ' ', 'g')), '')) AS text FROM l""",
     "usj_tree": f"SELECT doc_id, 'USJ' AS type, '1' AS chapter, CAST(len({LINES}) AS BIGINT) AS verses FROM documents",
     "usj_errors": """
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'type is not USJ' WHEN 2 THEN 'no version' ELSE 'content is not an array' END AS error FROM part WHERE p_partkey % 6 < 4""",
+SELECT p_partkey, unnest(CASE p_partkey % 7 WHEN 0 THEN ['root must be a JSON object'] WHEN 1 THEN ['root.type must be "USJ"'] WHEN 2 THEN ['root.version must be a string'] WHEN 3 THEN ['root.content must be an array']
+  WHEN 4 THEN ['$.content[1].content[1]: missing or invalid "type"', '$.content[2]: unexpected null']
+  WHEN 5 THEN ['$.content[0]: unexpected array (use object nodes or string leaves inside parent content)', '$.content[1].content: expected array or string'] ELSE [] END) AS error FROM part""",
     "html_render": f"SELECT doc_id, 2::BIGINT AS starts, 2::BIGINT AS ends, CAST(len({LINES}) AS BIGINT) AS verses FROM documents",
     "marker_parts": """
 WITH m AS (SELECT ['id', 'mt1', 'ip', 'p', 'toc2', 'imt', 'h'][CAST(p_partkey % 7 AS INT) + 1] AS marker FROM part)

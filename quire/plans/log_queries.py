@@ -88,9 +88,9 @@ def latest_per_key(spark, sf_dir):
 
 
 def updates_available(spark, sf_dir):
-    wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("repo"), F.col("p_size").cast("long").alias("tag"))
-    cached = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("repo"), F.col("l_quantity").cast("long").alias("tag"))
-    return catalog.updates_available(wanted, cached, ["repo", "tag"])
+    """The newest order of each customer, where it isn't among the shipped ones."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), "o_orderdate", F.col("o_orderkey").alias("tag"), "o_orderstatus")
+    return catalog.latest_not_cached(o.drop("o_orderstatus"), o.where("o_orderstatus = 'F'").select("repo", "tag"), ["repo"], "o_orderdate", "tag").select("repo", "tag")
 
 
 def outdated_books(spark, sf_dir):
@@ -122,7 +122,11 @@ def read_through(spark, sf_dir):
 
 
 def language_direction(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("lang", catalog.direction(F.col("lang")).alias("direction")).distinct()
+    """Languages of documents and some more, with a language table that lists two of them as written from right to left."""
+    d = table(spark, sf_dir, "documents").select("lang").distinct()
+    more = table(spark, sf_dir, "nation").select(F.get(F.array(*[F.lit(x) for x in ("HBO", "ar-x-a", "ku", " ku-Arab ", "sd", "")]), (F.col("n_nationkey") % 6).cast("int")).alias("lang")).distinct()
+    names = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "SD").when(F.col("r_regionkey") == 1, "de").otherwise("fr").alias("lc"), F.when(F.col("r_regionkey") < 2, "rtl").alias("ld"))
+    return catalog.with_direction(d.unionByName(more), "lang", names)
 
 
 def bundle_verify(spark, sf_dir):
@@ -220,7 +224,7 @@ def json_field(spark, sf_dir):
 
 def help_references(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem")
-    ref = F.concat(F.when(F.col("l_linenumber") == 7, "front").otherwise((F.col("l_partkey") % 4).cast("string")), F.lit(":"), F.when(F.col("l_quantity") > 45, "intro").otherwise((F.col("l_suppkey") % 5).cast("string")))
+    ref = F.concat(F.when(F.col("l_linenumber") == 7, "Front").otherwise((F.col("l_partkey") % 4).cast("string")), F.lit(":"), F.when(F.col("l_quantity") > 45, "INTRO").otherwise((F.col("l_suppkey") % 5).cast("string")))
     rows = o.select("l_orderkey", "l_linenumber", helps.parse_reference(ref).alias("r"))
     return rows.selectExpr("l_orderkey", "CAST(l_linenumber AS BIGINT) AS l_linenumber", "r.kind AS kind", "CAST(r.chapter AS BIGINT) AS chapter", "CAST(r.verse AS BIGINT) AS verse")
 
@@ -274,7 +278,8 @@ SELECT doc_id FROM s WHERE total > floor(total * 0.9) AND total - (upto - n) > 0
 SELECT conv_id, turn, role FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn % 3 = 2 AND d.turn - 2 = c.turn)""",
     "latest_per_key": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS k FROM orders) WHERE k = 1",
     "updates_available": """
-SELECT p_partkey AS repo, CAST(p_size AS BIGINT) AS tag FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND CAST(l_quantity AS BIGINT) = p_size)""",
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS k FROM orders)
+SELECT o_custkey AS repo, o_orderkey AS tag FROM n WHERE k = 1 AND o_orderstatus <> 'F'""",
     "outdated_books": """
 SELECT DISTINCT o_custkey AS book, o_orderstatus AS version, CASE WHEN c_acctbal > 0 THEN 'O' ELSE 'F' END AS current_version
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> CASE WHEN c_acctbal > 0 THEN 'O' ELSE 'F' END""",
@@ -285,7 +290,9 @@ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> CASE W
 WITH a AS (SELECT o_custkey, CAST(max(o_orderkey) AS VARCHAR) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
 SELECT c_custkey, coalesce(v, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name END) AS value, CAST(CASE WHEN v IS NOT NULL THEN 1 WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 0 END AS BIGINT) AS tier
 FROM customer LEFT JOIN a ON o_custkey = c_custkey""",
-    "language_direction": "SELECT DISTINCT lang, CASE WHEN lang IN ('ar', 'fa', 'he', 'ur') THEN 'rtl' ELSE 'ltr' END AS direction FROM documents",
+    "language_direction": """
+WITH l AS (SELECT DISTINCT lang FROM documents UNION ALL SELECT unnest(['HBO', 'ar-x-a', 'ku', ' ku-Arab ', 'sd', '']))
+SELECT lang, CASE WHEN lang IN ('HBO', 'ar-x-a', ' ku-Arab ', 'sd', 'de', 'ar', 'fa', 'he', 'ur') THEN 'rtl' ELSE 'ltr' END AS direction FROM l""",
     "bundle_verify": "SELECT 'd/' || doc_id AS path FROM documents WHERE doc_id % 10 = 3",
     "three_way_merge": """
 WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_name END AS b,
@@ -311,7 +318,7 @@ SELECT source, count(quality) AS covered, count(*) AS total, CAST(least(floor(co
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
     "match_confidence": """
 WITH r AS (SELECT source, sum(quality)::DOUBLE / count(*) AS ratio FROM documents JOIN labels USING (doc_id) GROUP BY source)
-SELECT source, round(ratio, 6) AS ratio, CASE WHEN ratio >= 1 THEN 'exact' WHEN ratio >= 0.9 THEN 'high' WHEN ratio >= 0.5 THEN 'partial' ELSE 'low' END AS tier FROM r""",
+SELECT source, round(ratio, 6) AS ratio, CASE WHEN ratio >= 1 THEN 'exact' WHEN ratio >= 0.9 THEN 'high' WHEN ratio >= 0.5 THEN 'partial' ELSE 'none' END AS tier FROM r""",
     "target_places": r"""
 WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS a FROM benchmark),
 t AS (SELECT item_id, unnest(a) AS word, unnest(range(len(a))) AS idx FROM w),

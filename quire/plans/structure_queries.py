@@ -16,7 +16,7 @@ def bigram_dice_pairs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     after = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
     pairs = c.select("conv_id", "turn", "text", after.alias("after")).where("after IS NOT NULL")
-    return similarity.dice(pairs, ["conv_id", "turn"], "text", "after").select("conv_id", "turn", F.round("dice", 6).alias("dice"))
+    return pairs.select("conv_id", "turn", F.round(similarity.dice("text", "after"), 6).alias("dice"))
 
 
 def type_histogram(spark, sf_dir):
@@ -87,14 +87,12 @@ def render_usx(spark, sf_dir):
 
 
 def marker_lookup(spark, sf_dir):
-    """Marker names made from part sizes, resolved against the marker dimension by name and base."""
+    """Marker names made from part sizes, each at the start of a line of a book of its own and once in running text, as typed."""
     p = table(spark, sf_dir, "part")
     name = F.concat(F.get(F.array(*[F.lit(x) for x in ("q", "tc", "mt", "zz", "s")]), (F.col("p_partkey") % 5).cast("int")), F.col("p_size").cast("string"))
-    rows = p.select("p_partkey", name.alias("marker"))
-    dim = markers.dim_marker(spark).select(F.col("marker").alias("base"), "kind")
-    base = rows.withColumn("base", markers.base_marker(F.col("marker")))
-    found = base.join(F.broadcast(dim), "base", "left")
-    return found.select("p_partkey", "marker", F.coalesce("kind", F.when(markers.cell_span(F.col("marker")).isNotNull(), "character"), F.lit("unknown")).alias("kind"), markers.cell_span(F.col("marker")).cast("long").alias("span"), markers.cell_align(F.col("marker")).alias("align"))
+    books = p.select("p_partkey", F.concat(F.lit("\\id B\n\\"), name, F.lit(" text \\"), name, F.lit(" more")).alias("text"))
+    rows = markup.typed(markup.tokens(books, "p_partkey", "text"), "p_partkey").where("pos > 0")
+    return rows.select("p_partkey", F.col("pos").cast("long").alias("pos"), "marker", "kind", (F.col("style") == "unknown").alias("inferred"), markers.cell_span(F.col("marker")).cast("long").alias("span"), markers.cell_align(F.col("marker")).alias("align"))
 
 
 QUERIES = {f.__name__: f for f in (bigram_dice_pairs, type_histogram, histogram_cosine, strip_tags, tag_counts, attribute_agreement, parse_verses, chapter_slices, parse_attributes, render_roundtrip, render_usx, marker_lookup)}
@@ -139,6 +137,6 @@ SELECT doc_id, 'W' || doc_id || ' 1:1' AS sid, CAST(idx AS BIGINT) AS idx, surfa
     "render_usx": rf"""
 SELECT doc_id, 2::BIGINT - 0 AS paras, 2::BIGINT AS para_ends, CAST(len({LINES}) AS BIGINT) AS starts, CAST(len({LINES}) AS BIGINT) AS ends FROM documents""",
     "marker_lookup": """
-WITH r AS (SELECT p_partkey, p_size, p_partkey % 5 AS k, ['q', 'tc', 'mt', 'zz', 's'][CAST(p_partkey % 5 AS INT) + 1] || p_size AS marker FROM part)
-SELECT p_partkey, marker, CASE k WHEN 1 THEN 'character' WHEN 3 THEN 'unknown' ELSE 'paragraph' END AS kind, CASE WHEN k = 1 THEN 1::BIGINT END AS span, 'start' AS align FROM r""",
+WITH r AS (SELECT p_partkey, p_size, p_partkey % 5 AS k, ['q', 'tc', 'mt', 'zz', 's'][CAST(p_partkey % 5 AS INT) + 1] || p_size AS marker, unnest([1, 2]) AS pos FROM part)
+SELECT p_partkey, CAST(pos AS BIGINT) AS pos, marker, CASE WHEN k = 1 OR k = 3 AND pos = 2 THEN 'character' ELSE 'paragraph' END AS kind, k = 3 AS inferred, CASE WHEN k = 1 THEN 1::BIGINT END AS span, 'start' AS align FROM r""",
 }

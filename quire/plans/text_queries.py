@@ -37,11 +37,20 @@ def char_similarity(spark, sf_dir):
 
 
 def text_reference_status(spark, sf_dir):
+    """A place quoted from each document, looked for in a changed one; every fifth is quoted over two verses."""
     d = table(spark, sf_dir, "documents")
-    changed = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("New. "), "text")).when(F.col("doc_id") % 4 == 2, F.concat(F.substr("text", F.lit(1), F.lit(12)), F.lit("#"), F.substr("text", F.lit(14))))
-    changed = changed.when(F.col("doc_id") % 4 == 3, F.reverse("text")).otherwise(F.col("text"))
-    rows = d.select("doc_id", changed.alias("now"), F.substr("text", F.lit(6), F.lit(20)).alias("quote"))
-    return rows.select("doc_id", similarity.reference_status(F.col("now"), F.lit(5), F.col("quote")).alias("status"))
+    k = F.col("doc_id") % 4
+    changed = F.when(k == 1, F.concat(F.lit("New. "), "text")).when(k == 2, F.concat(F.substr("text", F.lit(1), F.lit(12)), F.lit("#"), F.substr("text", F.lit(14)))).when(k == 3, F.reverse("text")).otherwise(F.col("text"))
+    short = F.col("doc_id") % 3 == 0
+    start = F.lit(5)
+    now = F.when(short, F.substr(changed, F.lit(1), F.lit(26))).otherwise(changed)
+    rows = d.select("doc_id", now.alias("now"), F.substr("text", F.lit(1), F.lit(26)).alias("was"), F.substr("text", F.lit(6), F.lit(20)).alias("quote"))
+    one, two = F.array("now"), F.array(F.lit("x"), F.col("now"))
+    current = F.when(F.col("doc_id") % 5 == 0, two).otherwise(one)
+    snapshots = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("x"), F.col("was"))).otherwise(F.array("was"))
+    r = similarity.resolve_reference(snapshots, current, F.col("quote"), start, F.lit(25))
+    rows = rows.select("doc_id", r.alias("r"))
+    return rows.select("doc_id", "r.status", F.col("r.start").cast("long").alias("begins"), F.col("r.end").cast("long").alias("ends"))
 
 
 def quote_match_tokens(spark, sf_dir):
@@ -76,7 +85,7 @@ def escaped_text(spark, sf_dir):
 
 def content_hashes(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.git_blob_id(F.col("text")).alias("git"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.base64(F.encode("source", "UTF-8")).alias("source64"), T.hash31(F.col("source")).alias("short_hash"))
+    return d.select("doc_id", T.git_blob_id(F.col("text")).alias("git"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.base64(F.encode("source", "UTF-8")).alias("source64"), T.hash31(F.col("source")).alias("short_hash"), T.base36(T.hash31(F.col("source"))).alias("base36"), T.from_base64(F.base64(F.encode("lang", "UTF-8"))).alias("lang"))
 
 
 def fragments_joined(spark, sf_dir):
@@ -86,7 +95,7 @@ def fragments_joined(spark, sf_dir):
 
 def slugs(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", T.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"), T.title_from_path(F.concat(F.lit("/bible/kt/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")), F.lit(".md"))).alias("title"))
+    return p.select("p_partkey", T.repo_name(F.col("p_brand"), F.concat_ws("._ ", "p_name", "p_type")).alias("slug"), T.title_from_path(F.concat(F.lit("/bible/kt/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")), F.lit(".md"))).alias("title"))
 
 
 QUERIES = {f.__name__: f for f in (token_occurrence, edge_punct_norm, nth_substring, char_similarity, text_reference_status, quote_match_tokens, joined_spans, joined_phrases, collapsed_text, escaped_text, content_hashes, fragments_joined, slugs)}
@@ -114,12 +123,15 @@ SELECT conv_id, turn, round(CASE WHEN greatest(length(text), length(after)) = 0
   len(list_filter(range(1, least(length(text), length(after)) + 1), lambda i: substr(text, i, 1) = substr(after, i, 1)))::DOUBLE / greatest(length(text), length(after)) END, 6) AS similarity
 FROM p WHERE after IS NOT NULL""",
     "text_reference_status": """
-WITH r AS (SELECT doc_id, substr(text, 6, 20) AS quote,
-  CASE doc_id % 4 WHEN 1 THEN 'New. ' || text WHEN 2 THEN substr(text, 1, 12) || '#' || substr(text, 14) WHEN 3 THEN reverse(text) ELSE text END AS now FROM documents),
-h AS (SELECT *, substr(now, 6, length(quote)) AS here FROM r)
-SELECT doc_id, CASE WHEN here = quote THEN 'exact' WHEN contains(now, quote) THEN 'relocated'
-  WHEN greatest(length(here), length(quote)) = 0 OR len(list_filter(range(1, least(length(here), length(quote)) + 1), lambda i: substr(here, i, 1) = substr(quote, i, 1)))::DOUBLE / greatest(length(here), length(quote)) >= 0.7 THEN 'approximate'
-  ELSE 'stale' END AS status FROM h""",
+WITH r AS (SELECT doc_id, substr(text, 6, 20) AS quote, substr(text, 1, 26) AS was, doc_id % 5 = 0 AS two,
+  CASE doc_id % 4 WHEN 1 THEN 'New. ' || text WHEN 2 THEN substr(text, 1, 12) || '#' || substr(text, 14) WHEN 3 THEN reverse(text) ELSE text END AS c FROM documents),
+n AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN substr(c, 1, 26) ELSE c END AS v FROM r),
+h AS (SELECT *, CASE WHEN two THEN 'x ' || v ELSE v END AS now, CASE WHEN two THEN 'x ' || was ELSE quote END AS old FROM n),
+k AS (SELECT *, instr(now, quote) - 1 AS k0, substr(now, 6, 20) = quote AS here,
+  CASE WHEN greatest(length(old), length(now)) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(range(1, least(length(old), length(now)) + 1), lambda i: substr(old, i, 1) = substr(now, i, 1)))::DOUBLE / greatest(length(old), length(now)) END AS sim FROM h),
+z AS (SELECT *, CASE WHEN NOT two AND here THEN 'exact' WHEN k0 >= 0 THEN 'relocated' WHEN sim >= 0.7 THEN 'approximate' ELSE 'stale' END AS status FROM k)
+SELECT doc_id, status, CAST(CASE status WHEN 'exact' THEN 5 WHEN 'relocated' THEN k0 WHEN 'approximate' THEN 0 END AS BIGINT) AS begins,
+  CAST(CASE status WHEN 'exact' THEN 25 WHEN 'relocated' THEN k0 + length(quote) WHEN 'approximate' THEN least(length(now), length(quote)) END AS BIGINT) AS ends FROM z""",
     "quote_match_tokens": rf"""
 WITH w AS (SELECT item_id, {WORDS.format("text")} AS a FROM benchmark),
 q AS (SELECT item_id, a, array_to_string(a, ' ') AS joined, a[5] || ' ' || a[6] AS quote FROM w),
@@ -145,10 +157,13 @@ SELECT page_id,
   md5(CASE WHEN regexp_matches(html, '[\\t"\\n\\r]') THEN '"' || replace(html, '"', '""') || '"' ELSE html END) AS tsv FROM pages""",
     "content_hashes": """
 SELECT doc_id, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS git, sha256(text) AS sha256, base64(encode(source)) AS source64,
-  CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length(source) + 1), lambda i: unicode(substr(source, i, 1))::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS BIGINT) AS short_hash FROM documents""",
+  CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length(source) + 1), lambda i: unicode(substr(source, i, 1))::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS BIGINT) AS short_hash,
+  lower(to_base(list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length(source) + 1), lambda i: unicode(substr(source, i, 1))::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296), 36)) AS base36, lang FROM documents""",
     "fragments_joined": r"""
-SELECT item_id, md5(list_reduce(list_prepend('', string_split(text, ' ')), lambda s, x: s || CASE WHEN s <> '' AND x <> '' AND NOT (regexp_matches(s, '\s$') OR regexp_matches(x, '^\s') OR regexp_matches(x, '^[.,;:!?)\]}»”’…]') OR regexp_matches(s, '[(\[{«“‘]$')) THEN ' ' ELSE '' END || x)) AS joined FROM benchmark""",
+WITH d AS (SELECT item_id, list_prepend('', string_split(text, ' ')) AS w FROM benchmark)
+SELECT item_id, md5(list_reduce(w, lambda s, x: s || CASE WHEN s = '' OR x = '' THEN '' WHEN regexp_matches(right(s, 1), '[\p{L}\p{N}\p{M}]') AND regexp_matches(left(x, 1), '[\p{L}\p{N}\p{M}(\[{"''«„]') THEN ' '
+  WHEN regexp_matches(right(s, 1), '[)\]}"''»]') AND regexp_matches(left(x, 1), '[\p{L}\p{N}\p{M}]') THEN ' ' WHEN regexp_matches(right(s, 1), '[.!?:;,]') AND regexp_matches(left(x, 1), '\p{L}') THEN ' ' ELSE '' END || x)) AS joined FROM d""",
     "slugs": r"""
-SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
+SELECT p_partkey, regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9.-]', '-', 'g') || '_' || regexp_replace(lower(p_name || '._ ' || p_type), '[^a-z0-9._-]', '-', 'g'), '-+', '-', 'g') AS slug,
   array_to_string(list_transform(string_split(replace(lower(p_type), ' ', '-'), '-'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS title FROM part""",
 }

@@ -22,12 +22,23 @@ def test_nth_place_allows_overlaps(spark, text, part, n, want):
 
 def test_text_functions(spark):
     assert one(spark, T.strip_edges(F.lit("«Word's,»"))) == "Word's"
-    assert one(spark, T.join_fragments(F.array(*map(F.lit, ("He", "said", ",", "(", "well", ")", "no", "."))))) == "He said, (well) no."
+    assert one(spark, T.join_fragments(F.array(*map(F.lit, ("He", "said", ",", "(", "well", ")", "no", "."))))) == "He said,(well) no."
+    join = lambda *x: one(spark, T.join_fragments(F.array(*map(F.lit, x))))
+    assert join("end.", "Next") == "end. Next" and join("a", "—", "b") == "a—b" and join("3", "men") == "3 men" and join("x", " y") == "x y"
+    assert join("said", "«Go") == "said «Go" and join("”", "a") == "”a" and join("'", "a") == "' a" and join("a,", "b") == "a, b" and join("a", "'s") == "a 's"
     assert one(spark, T.git_blob_id(F.lit("hello\n"))) == "ce013625030ba8dba906f756967f9e9ca394464a"
     assert one(spark, T.positional_similarity(F.lit("abcd"), F.lit("abXd"))) == 0.75 and one(spark, T.positional_similarity(F.lit(""), F.lit(""))) == 1
     assert one(spark, T.strip_tags(F.lit("a<b c='1'>d</b> < e"))) == "a d  < e"
     assert one(spark, T.escape_xml(F.lit("<a & 'b'>"))) == "&lt;a &amp; &apos;b&apos;&gt;"
-    assert one(spark, T.slug(F.lit(" My Book: v2! "))) == "my-book-v2"
+    assert one(spark, T.repo_name(F.lit(" es-419 "), F.lit("My_Book: v2.1!"))) == "es-419_my_book-v2.1-"
+    assert one(spark, T.hash31(F.lit("ab"))) == 97 * 31 + 98
+    units = [0x61, 0xD83D, 0xDE00]
+    assert one(spark, T.hash31(F.lit("a😀"))) == ((units[0] * 31 + units[1]) * 31 + units[2]) % 2**32
+    assert one(spark, T.base36(F.lit(123456789).cast("long"))) == "21i3v9"
+    assert one(spark, T.help_text(F.lit(" דְּבַר־יְהוָ֖ה, "))) == "דְּבַר יְהוָה" and one(spark, T.help_text(F.lit("“Amitai,”"))) == "Amitai"
+    assert one(spark, T.parse_tsv_field(T.escape_tsv(F.lit('a\t"b"')))) == 'a\t"b"' and one(spark, T.parse_tsv_field(F.lit("x"))) == "x"
+    assert [one(spark, T.first_int(F.lit(x).cast("string"))) for x in ("3rd", "0", "x", None, "-2")] == [3, 1, 1, 1, -2]
+    assert one(spark, T.sorted_distinct(F.array(F.lit(3), F.lit(1), F.lit(3)))) == [1, 3] and one(spark, T.from_base64(F.lit("w6k=\n"))) == "é"
 
 
 @given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
@@ -50,7 +61,7 @@ def test_kept_words(spark):
 
 def test_dice_edges(spark):
     rows = spark.createDataFrame([(1, "", ""), (2, "", "long text"), (3, "a", "a"), (4, "night", "nacht"), (5, "aaaa", "aa")], "k long, a string, b string")
-    got = {r["k"]: r["dice"] for r in similarity.dice(rows, ["k"], "a", "b").collect()}
+    got = {r["k"]: r["dice"] for r in rows.select("k", similarity.dice("a", "b").alias("dice")).collect()}
     assert got == pytest.approx({1: 1, 2: 0, 3: 1, 4: 0.25, 5: 0.5})
 
 
@@ -61,7 +72,7 @@ def test_cosine_of_nothing_is_one(spark):
     assert got == pytest.approx({1: 0.6, 2: 1.0})
 
 
-@pytest.mark.parametrize(("ref", "want"), [("front:intro", ("book intro", None, None)), ("3:intro", ("chapter intro", 3, None)), ("3:16", ("verse", 3, 16)), ("0:1", (None,)), ("1:0", (None,)), ("x", (None,)), ("a:b", (None,)), (None, (None,))])
+@pytest.mark.parametrize(("ref", "want"), [("front:intro", ("book intro", None, None)), ("FRONT:Intro", ("book intro", None, None)), ("3:intro", ("chapter intro", 3, None)), ("3:16", ("verse", 3, 16)), ("0:1", (None,)), ("1:0", (None,)), ("x", (None,)), ("a:b", (None,)), (None, (None,))])
 def test_references(spark, ref, want):
     got = one(spark, helps.parse_reference(F.lit(ref).cast("string")))
     assert tuple(got)[: len(want)] == want
@@ -99,12 +110,51 @@ def test_a_difference_applied_gives_the_new_version(spark, old, new):
     assert [r["c"] for r in made] == new
 
 
-def test_transform_shifts_and_drops(spark):
-    schema = "doc int, seq long, op string, parent string, place long"
-    mine = spark.createDataFrame([(1, 1, "setText", "0", 3), (1, 2, "setText", "0", 1), (1, 3, "setText", "1", 3), (1, 4, "replaceNode", "0", 5), (2, 1, "setText", "0", 0)], schema)
-    prior = spark.createDataFrame([(1, 1, "insertNode", "0", 0), (1, 2, "removeNode", "0", 2), (1, 3, "replaceNode", "0", 5)], schema)
-    got = sorted((r["doc"], r["seq"], r["place"]) for r in versions.transform(mine, prior, ["doc"]).collect())
-    assert got == [(1, 1, 3), (1, 3, 3), (2, 1, 0)]
+OPS = f"doc int, seq long, {versions.OP}"
+
+
+def op(seq, kind, path, to=None, attr=None, value=None, old=None, doc=1):
+    return (doc, seq, kind, path, to, attr, value, old)
+
+
+@pytest.mark.parametrize(
+    ("prior", "mine", "want"),
+    [
+        (op(1, "insertNode", [0, 1]), op(1, "setText", [0, 1]), ([0, 2], None)),
+        (op(1, "insertNode", [0, 1]), op(1, "setText", [0, 0]), ([0, 0], None)),
+        (op(1, "insertNode", [0, 1]), op(1, "setText", [1, 1]), ([1, 1], None)),
+        (op(1, "insertNode", [0]), op(1, "setText", [0, 1]), ([0, 1], None)),
+        (op(1, "removeNode", [0, 1]), op(1, "setText", [0, 1]), ([0, 1], None)),
+        (op(1, "removeNode", [0, 1]), op(1, "setText", [0, 3]), ([0, 2], None)),
+        (op(1, "setText", [2], value="x"), op(1, "setText", [2], value="y", old="a"), ([2], "x")),
+        (op(1, "setText", [2], value="x"), op(1, "setText", [3], value="y", old="a"), ([3], "a")),
+        (op(1, "replaceNode", [2]), op(1, "replaceNode", [2]), None),
+        (op(1, "replaceNode", [2]), op(1, "setText", [2, 4]), None),
+        (op(1, "replaceNode", [2, 4]), op(1, "setText", [2]), ([2], None)),
+        (op(1, "replaceNode", [2]), op(1, "moveNode", [5], [2, 0]), None),
+        (op(1, "setAttr", [2], attr="k"), op(1, "setAttr", [2], attr="k"), None),
+        (op(1, "setAttr", [2], attr="k"), op(1, "setAttr", [2], attr="m"), ([2], None)),
+        (op(1, "moveNode", [0], [3]), op(1, "setText", [2]), ([1], None)),
+        (op(1, "moveNode", [5], [0]), op(1, "setText", [2]), ([3], None)),
+        (op(1, "alignWord", [0]), op(1, "insertNode", [0]), ([0], None)),
+    ],
+)
+def test_transform_rules(prior, mine, want):
+    names = ["doc", "seq", "op", "path", "to", "attr", "value", "old"]
+    got = versions._after(dict(zip(names, prior, strict=True)), dict(zip(names, mine, strict=True)))
+    assert (None if got is None else (got["path"], got["old"])) == want
+
+
+def test_transform_folds_lists(spark):
+    df = lambda rows: spark.createDataFrame(rows, OPS)
+    mine = df([op(1, "setText", [0, 3]), op(2, "moveNode", [0, 1], [0, 2]), op(3, "replaceNode", [0, 5]), op(1, "setText", [0, 0], doc=2)])
+    prior = df([op(2, "removeNode", [0, 2]), op(1, "insertNode", [0, 0]), op(3, "replaceNode", [0, 5])])
+    got = {(r["doc"], r["seq"]): (r["path"], r["to"]) for r in versions.transform(mine, prior, ["doc"]).collect()}
+    assert got == {(1, 1): ([0, 3], None), (1, 2): ([0, 2], [0, 2]), (2, 1): ([0, 0], None)}
+    ours, theirs = versions.transform_lists(mine, prior, ["doc"])
+    assert ours.count() == 3 and theirs.columns == mine.columns
+    back = versions.invert(df([op(1, "setText", [1], value="n", old="o"), op(2, "moveNode", [1], [4]), op(3, "removeNode", [2]), op(4, "insertNode", [2], value="v")]), ["doc"], "seq")
+    assert [(r["op"], r["path"], r["to"], r["value"], r["old"]) for r in back.orderBy("seq").collect()] == [("removeNode", [2], None, None, "v"), ("moveNode", [4], [1], None, None), ("setText", [1], None, "o", "n")]
 
 
 def test_clocks(spark):
@@ -145,7 +195,8 @@ def test_checking(spark):
 def test_formats_and_tiers(spark):
     files = spark.createDataFrame([("a", "metadata.json"), ("a", "x.usfm"), ("b", "manifest.yaml"), ("c", "01-GEN.usfm"), ("d", "x")], "repo string, path string")
     assert {r["repo"]: r["format"] for r in catalog.repo_format(files, "repo", "path").collect()} == {"a": "scripture-burrito", "b": "resource-container", "c": "raw-usfm", "d": "unknown"}
-    assert [one(spark, alignment.confidence(F.lit(m), F.lit(10))) for m in (10, 9, 5, 4)] == ["exact", "high", "partial", "low"]
+    assert [one(spark, alignment.confidence(F.lit(m), F.lit(10))) for m in (10, 9, 5, 4)] == ["exact", "high", "partial", "none"]
+    assert one(spark, alignment.confidence(F.lit(0), F.lit(0))) == "exact"
     assert [one(spark, alignment.progress(F.lit(m), F.lit(n))) for m, n in ((0, 0), (1, 3), (2, 3), (7, 5))] == [0, 33, 67, 100]
 
 
@@ -176,3 +227,84 @@ def test_overlaps_join_on_first_places(spark):
     meet = lambda p, q: short(p) or short(q) or (p is not None and q is not None and p[:2] == q[:2])
     assert sorted(map(tuple, got.collect())) == sorted((1, i, j) for i, p in enumerate(paths) for j, q in enumerate(paths) if meet(p, q))
     assert "first#" in got._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1].split("\n")[0]
+
+
+def test_references_to_text(spark):
+    def resolve(then, now, quote, start, end):
+        arrays = [F.array(*map(F.lit, x)) if x is not None else F.lit(None).cast("array<string>") for x in (then, now)]
+        return tuple(one(spark, similarity.resolve_reference(*arrays, F.lit(quote), F.lit(start), F.lit(end))))
+
+    assert resolve(["In the beginning"], ["In the beginning"], "the", 3, 6) == ("exact", 3, 6)
+    assert resolve(["In the beginning"], ["So in the beginning"], "the", 3, 6) == ("relocated", 6, 9)
+    assert resolve(["abcdefghij"], ["abXdefghij"], "abcdefghij", 0, 10) == ("approximate", 0, 10)
+    assert resolve(["abcdefghij"], ["zzz"], "cde", 2, 5) == ("stale", None, None)
+    assert resolve(["a"], None, "a", 0, 1) == ("stale", None, None)
+    assert resolve(["one", "two"], ["one", "two"], "one two", 0, 3) == ("exact", 0, 7)
+    assert resolve(["one", "two"], ["one", "two"], "e t", 2, 1) == ("relocated", 2, 5)
+    assert resolve(["one", "two"], ["one", "twX"], "one two", 0, 3) == ("approximate", 0, 7)
+
+
+def test_trees_of_xml_and_json(spark):
+    rows = spark.createDataFrame([(1, "<a x='1'><b/><c/></a>", "<a x='1'><b/><c/></a>"), (2, "<a x='1'><b/><c/></a>", "<a x='2' y='3'><b/></a>"), (3, "<a>", "<a/>"), (4, "<p:a xmlns:p='u'/>", "<a/>"), (5, "<a/>", "<b/>"), (6, None, "")], "k int, a string, b string")
+    got = {r["k"]: r["s"] for r in similarity.usx_similarity(rows, "a", "b", "s").collect()}
+    assert (got[1]["ok"], got[1]["score"]) == (True, pytest.approx(1)) and got[1]["messages"] == []
+    # one of two attributes shared and different; one of two children paired
+    assert got[2]["structure"] == pytest.approx(2 / 3 * (0.35 * 0 + 0.65 * 1)) and got[2]["attributes"] == pytest.approx(0.5) and got[2]["tags"] == pytest.approx(2 / (3**0.5 * 2**0.5))
+    assert got[3]["messages"] == ["Our USX string could not be parsed as XML."] and not got[3]["ok"]
+    assert got[4]["ok"] and got[5]["structure"] == 0 and got[5]["messages"][0] == "USX structure similarity 0.000 below threshold 0.63." and len(got[6]["messages"]) == 2
+    tree = '{"type":"USJ","content":[{"type":"para","content":["a  b",{"type":"char","content":"c"}]},"d"]}'
+    rows = spark.createDataFrame([(1, tree, tree), (2, tree, '{"type":"USJ","content":[]}'), (3, "{", tree)], "k int, a string, b string")
+    got = {r["k"]: r["s"] for r in similarity.usj_similarity(rows, "a", "b", "s").collect()}
+    assert got[1]["ok"] and got[1]["score"] == pytest.approx(1) and got[3]["score"] is None
+    assert got[2]["messages"] == ["Oracle USJ has no extractable text; comparison may be unreliable.", "Text similarity 0.000 below threshold 0.79 (ours 7 chars, oracle 0 chars).", "Structure similarity 0.577 below threshold 0.67.", "Combined score 0.219 (min 0.84)."]
+    deep = '{"type":"a","content":[' * 258 + "]}" * 258
+    assert similarity._usj_errors('{"type":"USJ","version":"3","content":[' + deep + "]}")[-1].endswith("nesting exceeds 256 levels")
+
+
+def book(*verses, head="\\id TIT\n\\c 1\n\\p\n"):
+    return head + "".join(f"\\v {k} {v}\n" for k, v in enumerate(verses, 1))
+
+
+def test_tagged_files_are_merged(spark):
+    base = book("one", "two") + "\\c 2\n\\p\n\\v 1 three\n"
+    cases = {
+        "a.usfm": (base, base.replace("one", "ONE"), base.replace("three", "THREE"), base.replace("one", "ONE").replace("three", "THREE")),
+        "b.usfm": (base, base.replace("one", "ONE"), base.replace("two", "TWO"), base.replace("one", "ONE").replace("two", "TWO")),
+        "c.usfm": (base, base.replace("one", "ONE"), base.replace("one", "UNO"), None),
+        "d.usfm": (base, base.replace("one", "ONE"), base.replace("\\v 2 two\n", "\\q\n\\v 2 two\n"), None),
+        "e.usfm": (base, base + "\\c 3\n\\p\n\\v 1 four\n", base.replace("one", "UNO"), base.replace("one", "UNO") + "\\c 3\n\\p\n\\v 1 four\n"),
+        "f.sfm": (base, base, base + "x", base + "x"),
+        "journal/j.jsonl": ('{"id":"1"}\n', '{"id":"1"}\n{"id":"2"}\n', '{"id":"1"}\n{"id":"3"}\n', '{"id":"1"}\n{"id":"2"}\n{"id":"3"}\n'),
+        "journal/k.jsonl": ('{"id":"1"}\n', '{"id":"1","a":1}\n', '{"id":"1","a":2}\n', None),
+        "x.json": ('{"a": 1}', '{ "a":1 }', '{"a":2}', '{"a":2}'),
+        "y.json": ('{"a": 1}', '{"a":3}', '{"a":2}', None),
+        "z.png": ("1", "2", "3", None),
+        "README.md": ("1", "2", "2", "2"),
+    }
+    files = spark.createDataFrame([(k, *v[:3]) for k, v in cases.items()], "path string, base string, ours string, theirs string")
+    got = {r["path"]: r for r in versions.merge_files(files).collect()}
+    assert {k: r["text"] for k, r in got.items()} == {k: v[3] for k, v in cases.items()}
+    assert all((r["kind"] == "conflict") == (r["conflict"] is not None) == (r["text"] is None) for r in got.values())
+    assert got["c.usfm"]["conflict"].startswith("c.usfm#1-")
+
+
+def test_helps_are_found_through_an_alignment(spark):
+    sources = spark.createDataFrame([("v", 0, 0, "λόγος", 1), ("v", 1, 1, "θεοῦ", 1), ("v", 2, 2, "λόγος", 2), ("v", 3, 3, "καὶ", 1), ("v", 4, 4, "θεοῦ", 2), ("v", 5, 5, "λόγος", 2)], "sid string, flat int, group int, norm string, occurrence int")
+    targets = spark.createDataFrame([("v", 0, "word", 1), ("v", 1, "God", 1), ("v", 2, "word", 2), ("v", 4, "God", 2), ("v", 5, "message", 1)], "sid string, group int, norm string, occurrence int")
+    tokens = spark.createDataFrame([("v", i, w) for i, w in enumerate("the word of God and word of God message".split())], "sid string, place int, norm string")
+    helps_ = spark.createDataFrame([("v", "first", "λόγος θεοῦ", 1), ("v", "second", "λόγος θεοῦ,", 2), ("v", "parts", "καὶ & λόγος", 1), ("v", "none", "λόγος ἄλλος", 1), ("v", "third", "θεοῦ", 3)], "sid string, id string, quote string, occurrence int")
+    got = {}
+    for r in helps.match_by_alignment(helps_, sources, targets, tokens, ["sid"]).collect():
+        got.setdefault(r["id"], set()).add(r["place"])
+    # the second word has two groups, which count together
+    assert got == {"first": {1, 3}, "second": {5, 7, 8}, "parts": {1}}
+
+
+def test_verses_are_resolved(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "sid string")
+    got = {r["sid"]: r["found"] for r in alignment.resolve_verses(ids("TIT 1:1", "tit\u00a0 1:2", "X 1:3", "X 1:4", "none"), ids("TIT 1:1", "TIT 1:2", "TIT 1:3", "A 1:4", "B 1:4"), "sid").collect()}
+    assert got == {"TIT 1:1": "TIT 1:1", "tit\u00a0 1:2": "TIT 1:2", "X 1:3": "TIT 1:3", "X 1:4": None, "none": None}
+    assert tuple(one(spark, alignment.source_reference(F.lit("Alignment-Source:  unfolding  Greek v0.30")))) == ("unfolding Greek", "0.30")
+    assert tuple(one(spark, alignment.source_reference(F.lit("something else")))) == (None, None)
+    assert one(spark, alignment.source_remark(F.lit("a b"), F.lit("3"))) == "alignment-source: a b v3"
+    assert one(spark, alignment.compatible_source(F.lit("TIT  Greek"), F.lit("greek"))) and not one(spark, alignment.compatible_source(F.lit(""), F.lit("x")))
