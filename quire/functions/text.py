@@ -227,14 +227,15 @@ def sorted_distinct(places: Column) -> Column:
 
 
 def split_sid(sid: Column) -> Column:
-    """struct(book, chapter, verse) of a verse id like ``TIT 1:2``; nulls where it isn't one."""
-    pattern = r"^\s*(\S+)\s+(\d+):(\S+?)\s*$"
-    part = lambda k: F.nullif(F.regexp_extract(sid, pattern, k), F.lit(""))
-    return F.struct(part(1).alias("book"), part(2).cast("int").alias("chapter"), part(3).alias("verse"))
+    """struct(book, chapter, verse) of a verse id like ``TIT 1:2`` or ``1:2``; all of another text is the verse."""
+    whole, bare = r"^\s*(\S+)\s+(\d+):(\d+)\s*$", r"^\s*()(\d+):(\d+)\s*$"
+    made = lambda *parts: F.struct(*[p.alias(n) for n, p in zip(("book", "chapter", "verse"), parts, strict=True)])
+    of = lambda pattern: made(*[F.regexp_extract(sid, pattern, k) for k in (1, 2, 3)])
+    return F.when(sid.rlike(whole), of(whole)).when(sid.rlike(bare), of(bare)).otherwise(made(F.lit(""), F.lit(""), sid))
 
 
 def in_range(chapter: Column, verse: Column, start: tuple[int, int], end: tuple[int, int]) -> Column:
     """Whether a verse lies in a range of verses that may go over chapters."""
-    at = F.struct(chapter.cast("int").alias("c"), verse.cast("int").alias("v"))
+    at = F.struct(chapter.try_cast("int").alias("c"), verse.try_cast("int").alias("v"))
     edge = lambda e: F.struct(F.lit(e[0]).alias("c"), F.lit(e[1]).alias("v"))
-    return (at >= edge(start)) & (at <= edge(end))
+    return F.when(at["c"].isNotNull() & at["v"].isNotNull(), (at >= edge(start)) & (at <= edge(end))).otherwise(False)

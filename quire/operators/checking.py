@@ -41,6 +41,46 @@ def upsert(rows: DataFrame, more: DataFrame, key: list[str]) -> DataFrame:
     return latest(both, key, [F.col("__new").desc()]).drop("__new")
 
 
+def read_stages(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, id, label, order, description, checklists) of the valid stages of JSON workflows: with id, label and order."""
+    kind = "stages array<struct<id: string, label: string, order: double, description: string, defaultChecklists: array<string>>>"
+    r = rows.select(key, F.explode(F.from_json(text, kind)["stages"]).alias("s"))
+    r = r.select(key, F.trim("s.id").alias("id"), F.trim("s.label").alias("label"), F.col("s.order").alias("order"), F.col("s.description").alias("description"), F.col("s.defaultChecklists").alias("checklists"))
+    return r.where("id <> '' AND label <> '' AND order IS NOT NULL")
+
+
 def ordered_stages(stages: DataFrame) -> DataFrame:
-    """Valid stages in order (order, then id)."""
-    return stages.where("id IS NOT NULL AND trim(id) <> '' AND name IS NOT NULL AND order IS NOT NULL").orderBy("order", "id")
+    """Stages in order (order, then id)."""
+    return stages.orderBy("order", "id")
+
+
+def stage_by_id(stages: DataFrame, ident: str) -> DataFrame:
+    return stages.where(F.col("id") == ident)
+
+
+def read_threads(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, book, id, ref, resolved, comments) of JSON comment files; files without a book have no rows."""
+    kind = "book string, threads array<struct<id: string, ref: string, resolved: boolean, comments: array<struct<author: string, text: string, timestamp: string>>>>"
+    r = rows.select(key, F.from_json(text, kind).alias("d")).where("d.book <> ''")
+    return r.select(key, F.upper("d.book").alias("book"), F.explode("d.threads").alias("t")).select(key, "book", "t.*")
+
+
+def read_decisions(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, book, id, ref, decision, author, timestamp) of JSON decision files; files without a book have no rows."""
+    kind = "book string, decisions array<struct<id: string, ref: string, decision: string, author: string, timestamp: string>>"
+    r = rows.select(key, F.from_json(text, kind).alias("d")).where("d.book <> ''")
+    return r.select(key, F.upper("d.book").alias("book"), F.explode("d.decisions").alias("t")).select(key, "book", "t.*")
+
+
+def write_file(rows: DataFrame, key: list[str], items: str) -> DataFrame:
+    """(key, text): each book's rows as one JSON file, ``book`` and the list ``items``, in order of id."""
+    item = F.struct("id", *[c for c in rows.columns if c not in ("id", "book", *key)])
+    return rows.groupBy(*key, "book").agg(F.array_sort(F.collect_list(item)).alias(items)).select(*key, F.concat(F.to_json(F.struct("book", items)), F.lit("\n")).alias("text"))
+
+
+def instantiate(templates: DataFrame, session: str, stage: str) -> DataFrame:
+    """(session, stage, template, label, item_type, id, item_label, criteria, status) from JSON checklist templates (text): a
+    pending item for each of a template's."""
+    kind = "id string, label string, itemType string, termRef string, templateItems array<struct<id: string, label: string, criteria: string>>"
+    t = templates.select(F.from_json("text", kind).alias("t")).select("t.*", F.explode("t.templateItems").alias("i"))
+    return t.select(F.lit(session).alias("session"), F.lit(stage).alias("stage"), F.col("id").alias("template"), "label", F.col("itemType").alias("item_type"), F.col("termRef").alias("term_ref"), F.col("i.id").alias("item"), F.col("i.label").alias("item_label"), F.col("i.criteria").alias("criteria"), F.lit("pending").alias("status"))

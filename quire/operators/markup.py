@@ -6,11 +6,17 @@ place where it is unknown. Chapter, verse, paragraph and nesting are running val
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from xml.sax.saxutils import escape, quoteattr
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.markers import base_marker, cell_span, dim_marker
+from quire.functions.markers import base_marker, cell_span, dim_marker, well_formed
 from quire.functions.text import collapse, escape_xml
 from quire.operators.windows import depth
 
@@ -64,7 +70,7 @@ def nodes(books: DataFrame, key: str, text: str, extra: list[tuple[str, str, str
     body = body.when(F.col("kind").isin("character", "milestone") & opens & F.col("raw").contains("|"), F.regexp_extract("raw", r"(?s)^\s?([^|]*)", 1))
     body = body.when(F.col("kind").isin("note") & opens, F.regexp_replace("raw", r"^\s?\S(\s|$)", "")).when(opens, F.regexp_replace("raw", r"^\s", "")).otherwise(F.col("raw"))
     has_attrs = F.col("kind").isin("character", "milestone") & opens
-    rows = rows.withColumns({"number": number, "text": F.regexp_replace(body, r"\s+", " "), "attrs": F.when(has_attrs, attributes(F.col("raw"), F.col("default_attribute"))).otherwise(F.create_map().cast("map<string,string>"))})
+    rows = rows.withColumns({"number": number, "text": F.regexp_replace(body, r"\s+", " "), "attrs": F.when(has_attrs, attributes(F.col("raw"), F.col("default_attribute"))).when((F.col("kind") == "note") & opens, F.create_map(F.lit("caller"), F.regexp_extract("raw", r"^\s*(\S?)", 1))).otherwise(F.create_map().cast("map<string,string>"))})
     w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("book", F.last(F.when(is_("id"), F.upper(F.regexp_extract("raw", r"^\s*(\S+)", 1))), ignorenulls=True).over(w))
     rows = rows.withColumn("chapter", F.last(F.when(is_("c"), F.col("number")), ignorenulls=True).over(w)).withColumn("__c", F.count(F.when(is_("c"), 1)).over(w))
@@ -86,6 +92,8 @@ def verse_texts(node: DataFrame, key: str, notes: bool = False) -> DataFrame:
     rows = node.where("verse IS NOT NULL")
     if not notes:
         rows = rows.where("NOT in_note AND style <> 'figure'")
+    # alternative and published numbers aren't text
+    rows = rows.where("NOT (style = 'number' AND NOT closing)")
     parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
     whole = collapse(F.array_join(F.transform(parts, lambda x: x["text"]), ""))
     return rows.groupBy(key, "book", "chapter", "verse", "sid").agg(whole.alias("text"))
@@ -144,7 +152,7 @@ def render_xml(node: DataFrame, key: str, html: bool = False) -> DataFrame:
         milestone = F.concat(F.lit("<ms"), style, _attribute_text(F.col("attrs")), F.lit("/>"))
         numbered = lambda name: F.concat(F.lit(f'<{name} number="'), "number", F.lit('"'), style, F.when(F.col("sid").isNotNull() & F.lit(name == "verse"), F.concat(F.lit(' sid="'), "sid", F.lit('"'))).otherwise(""), F.lit("/>"))
         start = F.when(paragraph, F.concat(tag("para", style), inner)).when((F.col("style") == "chapter") & opens, numbered("chapter")).when((F.col("style") == "verse") & opens, F.concat(numbered("verse"), inner))
-        start = start.when((F.col("kind") == "note") & opens, F.concat(tag("note", style), inner)).when(F.col("kind") == "note", F.concat(F.lit("</note>"), inner))
+        start = start.when((F.col("kind") == "note") & opens, F.concat(tag("note", style, _attribute_text(F.col("attrs"))), inner)).when(F.col("kind") == "note", F.concat(F.lit("</note>"), inner))
         start = start.when(part & opens, F.concat(F.when(F.col("style") == "cell", tag("cell", style)).otherwise(tag("char", style)), inner, F.when(F.col("style") == "cell", "</cell>").otherwise("</char>"))).when(part, inner)
         start = start.when((F.col("kind") == "milestone") & opens, F.concat(milestone, inner)).when((F.col("kind") == "character") & opens, F.concat(tag("char", style, _attribute_text(F.col("attrs"))), inner)).when(F.col("kind") == "character", F.concat(F.lit("</char>"), inner)).otherwise(inner)
         closes = F.concat(eid, F.when((F.col("kind") == "paragraph") & opens & F.col("__open"), "</para>").otherwise(""))
@@ -196,15 +204,18 @@ def format_usfm(rows: DataFrame, key: str, verse_on_new_line: bool = True, conte
 USJ_TYPE = {"book": "book", "chapter": "chapter", "verse": "verse", "row": "table:row", "cell": "table:cell", "sidebar": "sidebar", "ref": "ref"}
 
 
-def to_usj(node: DataFrame, key: str) -> DataFrame:
-    """(key, usj): each book's nodes nested as JSON. A book is folded by itself, with a stack of what is open."""
-    import json
+#: Markers that are attributes of the chapter or verse before them.
+ABSORBED = {"ca": "altnumber", "va": "altnumber", "cp": "pubnumber", "vp": "pubnumber"}
 
-    import pandas as pd
 
+def to_usj(node: DataFrame, key: str) -> DataFrame:
+    """(key, usj): each book's nodes nested as JSON: rows in tables, sidebars around their paragraphs, // as optional breaks,
+    alternative and published numbers and categories as attributes. A book is folded by itself, with a stack of what is open."""
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         root: list = []
-        para, stack = root, []
+        outer = para = root
+        stack: list = []
+        counted, holder = {}, {}  # the last chapter or verse; the sidebar or note whose category comes next
         for r in pdf.sort_values("pos").itertuples(index=False):
             here = stack[-1][1] if stack else para
             if r.closing:
@@ -212,21 +223,50 @@ def to_usj(node: DataFrame, key: str) -> DataFrame:
                 if r.marker in names:  # a closer also ends what is open inside
                     del stack[names.index(r.marker) :]
                 here = stack[-1][1] if stack else para
+            elif r.marker in ABSORBED and counted:
+                counted[ABSORBED[r.marker]] = r.text.strip()
+                continue
+            elif r.marker == "cat" and holder:
+                holder["category"] = r.text.strip()
+                continue
             elif r.kind == "paragraph" or r.style == "verse":
                 item = {"type": USJ_TYPE.get(r.style, "para"), "marker": r.marker}
                 if r.number is not None:
                     item["number"] = r.number
+                if r.style == "chapter" and r.book is not None:
+                    item["sid"] = f"{r.book} {r.number}"
+                if r.style == "book":
+                    item["code"], _, said = r.text.partition(" ")
+                counted = item if r.style in ("chapter", "verse") else {} if r.kind == "paragraph" and r.marker != "cp" else counted
+                holder = item if r.style == "sidebar" else {} if r.style == "chapter" else holder
                 if r.style == "verse":
                     if r.sid is not None:
                         item["sid"] = r.sid
                     here.append(item)
+                elif r.marker == "esbe":
+                    stack, outer = [], root
+                    para = here = root
                 else:
                     stack = []
-                    root.append(item)
-                    para = here = root if r.style == "chapter" else item.setdefault("content", [])
+                    if r.style == "chapter":
+                        outer = root
+                    if r.style == "row":
+                        table = outer[-1] if outer and isinstance(outer[-1], dict) and outer[-1]["type"] == "table" else None
+                        if table is None:
+                            table = {"type": "table", "content": []}
+                            outer.append(table)
+                        table["content"].append(item)
+                    else:
+                        (root if r.style == "sidebar" else outer).append(item)
+                    para = here = outer if r.style == "chapter" else item.setdefault("content", [])
+                    if r.style == "sidebar":
+                        outer = para
             elif r.marker:
                 kind = "ms" if r.kind == "milestone" else "note" if r.kind == "note" else USJ_TYPE.get(r.style, "char")
                 item = {"type": kind, "marker": r.marker, **dict(r.attrs or {})}
+                holder = item if kind == "note" else holder
+                if r.style == "cell":
+                    item["align"] = {"r": "end", "c": "center"}.get(r.marker[2:3], "start")
                 if r.style in ("note part", "cell"):
                     stack = [x for x in stack if x[0] not in ("", r.marker)] if r.style == "note part" else []
                     here = stack[-1][1] if stack else para
@@ -234,15 +274,75 @@ def to_usj(node: DataFrame, key: str) -> DataFrame:
                 if kind != "ms":
                     here = item["content"] = []
                     stack.append(("" if r.style in ("note part", "cell") else r.marker, here))
-            if r.text and r.text.strip():
-                here.append(r.text)
+            said = r.text if r.style != "book" or r.closing else said
+            if said and said.strip():
+                for k, piece in enumerate(said.split("//")):
+                    here += [{"type": "optbreak"}] if k else []
+                    here += [piece] if piece.strip() else []
         return pd.DataFrame({key: pdf[key].iloc[:1], "usj": [json.dumps({"type": "USJ", "version": "3.1", "content": root}, ensure_ascii=False)]})
 
     kind = dict(node.dtypes)[key]
-    columns = [key, "pos", "kind", "style", "marker", "closing", "sid", "number", "text", "attrs"]
+    columns = [key, "pos", "kind", "style", "marker", "closing", "book", "sid", "number", "text", "attrs"]
     return node.select(*columns).groupBy(key).applyInPandas(fold, f"{key} {kind}, usj string")
 
 
+#: XML elements of the nodes whose type has another name.
+USX_TAG = {"table:row": "row", "table:cell": "cell"}
+#: Paragraphs that hold no verse text.
+HEADING = re.compile(r"^(s|ms|mr|r|d|sp|sr|qa|rem|cl|cd|mt|mte|imt|h|toc|toca)\d*$")
+
+
+def to_usx(trees: DataFrame, key: str) -> DataFrame:
+    """(key, usx): JSON trees (key, usj) of ``to_usj`` as XML books. A verse's end stands behind its last text, before the next
+    verse or at the end of a paragraph, a chapter's before the next chapter or at the end of the book."""
+    kind = dict(trees.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "usx": [None if t is None else _usx(json.loads(t)) for t in pdf["usj"]]})
+
+    return trees.select(key, "usj").mapInPandas(run, f"{key} {kind}, usx string")
+
+
+def _usx(tree: dict) -> str:
+    out: list[str] = []
+    open_ = {"verse": None, "chapter": None, "spot": 0}
+
+    def end(level: str) -> None:
+        if open_[level] is not None:
+            at = open_["spot"] if level == "verse" else len(out)
+            out.insert(at, f'<{level} eid="{escape(open_[level])}"/>')
+            open_[level] = None
+
+    def walk(node, text: bool) -> None:
+        if isinstance(node, str):
+            out.append(escape(node))
+        else:
+            kind, marker = node["type"], node.get("marker")
+            if kind in ("chapter", "verse"):
+                end("verse")
+                if kind == "chapter":
+                    end("chapter")
+            named = {**({"style": marker} if marker else {}), **{k: v for k, v in node.items() if k not in ("type", "marker", "content")}}
+            head = "<" + USX_TAG.get(kind, kind) + "".join(f" {k}={quoteattr(str(v))}" for k, v in named.items())
+            if kind in ("chapter", "verse"):
+                open_[kind] = node.get("sid")
+            inner = node.get("content") or []
+            out.append(head + (">" if inner else "/>"))
+            said = text or kind == "para" and not HEADING.match(marker or "")
+            for x in inner:
+                walk(x, said and kind in ("para", "table", "table:row", "table:cell"))
+            out.extend([f"</{USX_TAG.get(kind, kind)}>"] if inner else [])
+        if text:
+            open_["spot"] = len(out)
+
+    for node in tree["content"]:
+        walk(node, False)
+    end("verse")
+    end("chapter")
+    return f'<?xml version="1.0" encoding="utf-8"?>\n<usx version="{tree["version"]}">' + "".join(out) + "</usx>"
+
+
 PREAMBLE = (("identification", r"^(id|ide|h\d?|toc\d?|toca\d?|rem|sts|usfm)$"), ("title", r"^(mt|mte|imt|imte)\d?$"), ("introduction", r"^i"))
 
 
@@ -254,6 +354,79 @@ def preamble_part(marker: Column) -> Column:
     return out
 
 
+def numbers(node: DataFrame, key: str) -> DataFrame:
+    """(key, pos, marker, number, sid, alternative, published): each chapter and verse with the numbers that ca and cp, or va and
+    vp, give it until the next one."""
+    opens = ~F.col("closing")
+    own = F.col("style").isin("chapter", "verse") & opens
+    rows = node.withColumn("__owner", F.last(F.when(own, F.col("pos")), ignorenulls=True).over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    said = lambda *names: F.first(F.when(F.col("marker").isin(*names) & opens, F.trim("text")), ignorenulls=True)
+    of = lambda c: F.max(F.when(own, F.col(c))).alias(c)
+    return rows.where("__owner IS NOT NULL").groupBy(key, F.col("__owner").alias("pos")).agg(of("marker"), of("number"), of("sid"), said("ca", "va").alias("alternative"), said("cp", "vp").alias("published"))
+
+
+def inferred_markers(rows: DataFrame, key: str) -> DataFrame:
+    """(key, marker, kind, n): markers of typed tokens that aren't listed, with the kind they were taken for."""
+    return rows.where("style = 'unknown' AND NOT closing").groupBy(key, "marker", "kind").agg(F.count("*").alias("n"))
+
+
+def parse_log(rows: DataFrame, key: str) -> DataFrame:
+    """(key, pos, level, message): what is odd about typed tokens: badly formed and unlisted markers, chapters and verses without a
+    number, closers without an opener in their paragraph, notes that their paragraph leaves open."""
+    opens = ~F.col("closing")
+    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("__para", F.count_if((F.col("kind") == "paragraph") & opens).over(w))
+    same = W.partitionBy(key, "__para", "marker")
+    step = F.when(F.col("kind").isin("character", "note"), F.when(opens, 1).otherwise(-1)).otherwise(0)
+    rows = rows.withColumn("__open", F.sum(step).over(same.orderBy("pos").rowsBetween(W.unboundedPreceding, 0))).withColumn("__last", F.row_number().over(same.orderBy(F.desc("pos"))) == 1)
+    name = F.concat(F.lit("\\"), "marker")
+    found = F.array(
+        F.when((F.col("marker") != "") & ~well_formed(F.col("marker")), F.struct(F.lit("error"), F.concat(name, F.lit(": badly formed marker")))),
+        F.when((F.col("style") == "unknown") & opens, F.struct(F.lit("warn"), F.concat(name, F.lit(": unlisted marker taken as "), "kind"))),
+        F.when(F.col("style").isin("chapter", "verse") & opens & ~F.col("raw").rlike(r"^\s*\d"), F.struct(F.lit("error"), F.concat(name, F.lit(": no number")))),
+        F.when(F.col("closing") & (F.col("marker") != "") & F.col("kind").isin("character", "note") & (F.col("__open") < 0), F.struct(F.lit("warn"), F.concat(name, F.lit("*: nothing to close")))),
+        F.when((F.col("kind") == "note") & F.col("__last") & (F.col("__open") > 0), F.struct(F.lit("warn"), F.concat(name, F.lit(": note isn't closed")))),
+    )
+    made = rows.select(key, "pos", F.explode(F.array_compact(found)).alias("f"))
+    return made.select(key, "pos", F.col("f.col1").alias("level"), F.col("f.col2").alias("message"))
+
+
+def sidebars(node: DataFrame, key: str) -> DataFrame:
+    """(key, sidebar, first, last, category): sidebars from esb to esbe, or to the next one or the end of the book."""
+    opens = ~F.col("closing")
+    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    begins, ends = (F.col("marker") == "esb") & opens, (F.col("marker") == "esbe") & opens
+    rows = node.withColumn("sidebar", F.count_if(begins).over(w)).where("sidebar > 0")
+    inside = W.partitionBy(key, "sidebar").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__past", F.coalesce(F.count_if(ends).over(inside), F.lit(0))).where("__past = 0")
+    category = F.first(F.when((F.col("marker") == "cat") & opens, F.trim("text")), ignorenulls=True)
+    return rows.groupBy(key, "sidebar").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), category.alias("category"))
+
+
+def matching_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Typed tokens with the rule (name, priority, before, after) that fits them best: rules are (name, marker, kind, style,
+    priority, before, after) in which null fits all; the highest priority wins, then the first name.
+
+    Rules meet the distinct kinds of tokens, of which there are as many as markers; these join the tokens.
+    """
+    kinds = rows.select("marker", "kind", "style").distinct()
+    r = rules.select("name", "priority", "before", "after", *[F.col(c).alias(f"__{c}") for c in ("marker", "kind", "style")])
+    fits = [F.col(f"__{c}").isNull() | (F.col(f"__{c}") == F.col(c)) for c in ("marker", "kind", "style")]
+    best = F.min_by(F.struct("name", "priority", "before", "after"), F.struct(-F.col("priority"), "name"))
+    chosen = kinds.join(r, fits[0] & fits[1] & fits[2]).groupBy("marker", "kind", "style").agg(best.alias("rule"))
+    return rows.join(chosen, ["marker", "kind", "style"], "left")
+
+
+def breaches(rows: DataFrame, key: str) -> DataFrame:
+    """(key, pos, rule): tokens of ``matching_rules`` whose white space isn't the rule's: ``before`` is what the text before the
+    marker has to end with, ``after`` what follows the marker; null asks for nothing."""
+    w = W.partitionBy(key).orderBy("pos")
+    behind = F.regexp_extract(F.lag("raw").over(w), r"(\s*)$", 1)
+    ahead = F.regexp_extract("raw", r"^(\s*)", 1)
+    bad = (F.col("rule.before").isNotNull() & behind.isNotNull() & (behind != F.col("rule.before"))) | (F.col("rule.after").isNotNull() & (ahead != F.col("rule.after")))
+    return rows.withColumn("__bad", F.coalesce(bad, F.lit(False))).where("__bad AND NOT closing AND marker <> ''").select(key, "pos", F.col("rule.name").alias("rule"))
+
+
 def chapter_context(selected: DataFrame, key: str, chapter: str, last: str, radius: int) -> DataFrame:
     """(key, chapter, readonly): selected chapters with ``radius`` more on either side, within 1 and the last."""
     around = F.sequence(F.greatest(F.col(chapter) - radius, F.lit(1)), F.least(F.col(chapter) + radius, F.col(last)))

@@ -42,19 +42,48 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def evicted(rows: DataFrame, age: list[str], size: Column, limit: int, share: float, parts: int = 64) -> DataFrame:
+#: Rows whose sizes are summed in one range.
+RANGE_ROWS = 1_000_000
+
+
+def evicted(rows: DataFrame, age: list[str], size: Column, limit: int, share: float, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows to delete, oldest first, until what is left is within ``share`` of the limit; none if all are within the limit.
 
-    The running sum is in two steps: sums of ranges of age, then within the one range where the limit is passed, so
-    that no task sorts more than its range.
+    Two narrow passes find the age up to which rows go, then they are filtered by it: sums of ranges of age (a row for
+    each comes to the driver), and the running sum within the one range where the limit is passed. Rows of the same age go
+    together.
     """
-    sized = rows.withColumn("__size", size)
-    total = sized.agg(F.sum("__size")).first()[0] or 0
+    narrow = rows.select(F.struct(*age).alias("age"), size.alias("size"))
+    total, n = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if total <= limit:
         return rows.limit(0)
-    ranged = sized.repartitionByRange(parts, *age).withColumn("__part", F.spark_partition_id())
-    sums = ranged.groupBy("__part").agg(F.sum("__size").alias("__in"))
-    before = sums.select("__part", (F.sum("__in").over(W.orderBy("__part")) - F.col("__in")).alias("__before"))
-    upto = F.sum("__size").over(W.partitionBy("__part").orderBy(*age)) + F.col("__before") - F.col("__size")
-    rest = ranged.join(F.broadcast(before), "__part").withColumn("__gone", upto)  # before has a row for each part
-    return rest.where(total - F.col("__gone") > share * limit).select(*rows.columns)
+    ranged = narrow.repartitionByRange(max(1, -(-n // range_rows)), "age")
+    ranges = sorted(ranged.groupBy(F.spark_partition_id()).agg(F.sum("size").alias("size"), F.max("age").alias("last")).drop("SPARK_PARTITION_ID()").collect(), key=lambda r: r["last"])
+    kinds = rows.schema
+
+    def literal(row) -> Column:
+        return F.struct(*[F.lit(row[a]).cast(kinds[a].dataType).alias(a) for a in age])
+
+    gone, low, at = 0, None, ranges[-1]
+    for r in ranges:
+        at = r
+        if total - (gone + r["size"]) <= share * limit:
+            break
+        gone, low = gone + r["size"], r["last"]
+    inside = narrow.where(F.col("age") <= literal(at["last"]))
+    inside = inside.where(F.col("age") > literal(low)) if low is not None else inside
+    before = F.sum("size").over(W.orderBy("age").rowsBetween(W.unboundedPreceding, -1))  # one range
+    left = F.lit(total - gone) - F.coalesce(before, F.lit(0))
+    last = inside.withColumn("left", left).where(F.col("left") > share * limit).agg(F.max("age").alias("age")).first()["age"]
+    return rows.where(F.struct(*age) <= literal(last)) if last is not None else rows.limit(0)
+
+
+def section_numbers(rows: DataFrame, key: list[str], order: str, marker: str, name: str = "section") -> DataFrame:
+    """Numbers of translators' sections from 0: each marker that isn't an end (-e) takes the next; an end has the number of the
+    start (-s) that is open, else that of the next."""
+    w = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    ends, starts = F.endswith(marker, F.lit("-e")), F.endswith(marker, F.lit("-s"))
+    rows = rows.withColumn("__n", F.coalesce(F.count_if(~ends).over(w), F.lit(0)))
+    state = F.when(starts, F.struct(F.col("__n").alias("n"))).when(ends, F.struct(F.lit(None).cast("long").alias("n")))
+    open_ = F.last(state, ignorenulls=True).over(w)["n"]
+    return rows.withColumn(name, F.when(ends, F.coalesce(open_, F.col("__n"))).otherwise(F.col("__n"))).drop("__n")

@@ -65,9 +65,9 @@ def headings_removed(spark, sf_dir):
 def sid_ranges(spark, sf_dir):
     """Verse ids made from order lines, taken apart, and whether they lie between 1:3 and 3:2."""
     li = table(spark, sf_dir, "lineitem")
-    sid = F.when(F.col("l_suppkey") % 9 == 0, "no sid").otherwise(F.concat(F.lit("TIT "), (F.col("l_partkey") % 5).cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")))
+    sid = F.when(F.col("l_suppkey") % 9 == 0, "no sid").when(F.col("l_suppkey") % 9 == 1, F.concat((F.col("l_partkey") % 5).cast("string"), F.lit(":"), F.col("l_linenumber").cast("string"))).otherwise(F.concat(F.lit("TIT "), (F.col("l_partkey") % 5).cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")))
     rows = li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), T.split_sid(sid).alias("s"))
-    return rows.select("l_orderkey", "line", "s.book", F.col("s.chapter").cast("long").alias("chapter"), "s.verse", F.coalesce(T.in_range(F.col("s.chapter"), F.col("s.verse"), (1, 3), (3, 2)), F.lit(False)).alias("inside"))
+    return rows.select("l_orderkey", "line", "s.book", "s.chapter", "s.verse", T.in_range(F.col("s.chapter"), F.col("s.verse"), (1, 3), (3, 2)).alias("inside"))
 
 
 def books_of_codes(spark, sf_dir):
@@ -305,8 +305,8 @@ SELECT p_partkey, 'https://' || CASE p_size % 3 WHEN 0 THEN 'git.example.org' WH
 WITH t AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN '# Second' || chr(10) ELSE '' END || substr(text, 1, 20) || chr(10) || '## Definition: y', chr(10)) AS rest FROM documents)
 SELECT doc_id, 'intro' || chr(10) || '## Definition: x' || chr(10) || array_to_string(rest, chr(10)) AS heading, 'intro' || chr(10) || array_to_string(rest, chr(10)) AS definition FROM t""",
     "sid_ranges": """
-WITH s AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_suppkey % 9 <> 0 THEN l_partkey % 5 END AS c FROM lineitem)
-SELECT l_orderkey, line, CASE WHEN c IS NOT NULL THEN 'TIT' END AS book, c AS chapter, CASE WHEN c IS NOT NULL THEN CAST(line AS VARCHAR) END AS verse,
+WITH s AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_suppkey % 9 AS k, CASE WHEN l_suppkey % 9 <> 0 THEN l_partkey % 5 END AS c FROM lineitem)
+SELECT l_orderkey, line, CASE WHEN k > 1 THEN 'TIT' ELSE '' END AS book, coalesce(CAST(c AS VARCHAR), '') AS chapter, CASE WHEN c IS NOT NULL THEN CAST(line AS VARCHAR) ELSE 'no sid' END AS verse,
   coalesce(c = 1 AND line >= 3 OR c = 2 OR c = 3 AND line <= 2, false) AS inside FROM s""",
     "books_of_codes": """
 WITH c AS (SELECT n_nationkey, ['gen', ' TIT ', '3JN', 'XXA', 'mal', 'MAT'][CAST(n_nationkey % 6 AS INT) + 1] AS code, n_nationkey % 6 AS k FROM nation)

@@ -85,6 +85,25 @@ def read_alignment_text(rows: DataFrame, key: str, text: str) -> DataFrame:
     return r.select(key, "n", "sid", side(1).alias("sources"), side(2).alias("targets"))
 
 
+def write_alignment_text(groups: DataFrame, key: str) -> DataFrame:
+    """(key, text) from (key, sid, n, sources, targets): the sections that ``read_alignment_text`` reads, verses in order of their
+    first line."""
+    line = F.concat(F.array_join("sources", " "), F.lit(" → "), F.array_join("targets", " "))
+    verse = groups.groupBy(key, "sid").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("n"), line.alias("t")))).alias("l"))
+    part = F.concat(F.lit("== "), "sid", F.lit(" ==\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n"), F.lit("\n"))
+    return verse.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def write_alignment_json(groups: DataFrame, key: str, translation: str, source: str) -> DataFrame:
+    """(key, text) from (key, sid, group, sources, targets): JSON documents that ``alignment.groups_json`` reads."""
+    verse = groups.groupBy(key, "sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("group", "sources", "targets"))), lambda x: F.struct(x["sources"].alias("sources"), x["targets"].alias("targets"))).alias("g"))
+    verses = verse.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sid", "g")))).alias("verses"))
+    ident = lambda c: F.struct(F.col(c).alias("id"))
+    about = groups.groupBy(key).agg(F.first(translation).alias(translation), F.first(source).alias(source))
+    document = F.struct(F.lit("usfm-alignment").alias("format"), F.lit("1.0").alias("version"), ident(translation).alias("translation"), ident(source).alias("source"), "verses")
+    return verses.join(about, key).select(key, F.concat(F.to_json(document), F.lit("\n")).alias("text"))
+
+
 ENTRY = "id string, userId string, timestamp bigint, sequence bigint, vectorClock map<string, bigint>, chapter int, layer string, operations string, baseSnapshotId string"
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import alignment, catalog, checking, helps, journal, similarity, versions
-from quire.operators.windows import depth, evicted, joined_runs
+from quire.operators.windows import depth, evicted, joined_runs, section_numbers
+from quire.sources import files
 from quire.streaming import windows as stream
 
 
@@ -308,3 +309,43 @@ def test_verses_are_resolved(spark):
     assert tuple(one(spark, alignment.source_reference(F.lit("something else")))) == (None, None)
     assert one(spark, alignment.source_remark(F.lit("a b"), F.lit("3"))) == "alignment-source: a b v3"
     assert one(spark, alignment.compatible_source(F.lit("TIT  Greek"), F.lit("greek"))) and not one(spark, alignment.compatible_source(F.lit(""), F.lit("x")))
+
+
+def test_eviction_over_several_ranges(spark):
+    rows = spark.createDataFrame([(i % 7, i, 10 + i % 3) for i in range(200)], "day int, at int, n long")
+    total = sum(10 + i % 3 for i in range(200))
+    left, want = total, set()
+    for day, at, n in sorted((i % 7, i, 10 + i % 3) for i in range(200)):
+        if left > 0.8 * (total - 1):
+            want.add(at)
+        left -= n
+    for size in (7, 50, 1000):
+        assert {r["at"] for r in evicted(rows, ["day", "at"], F.col("n"), total - 1, 0.8, range_rows=size).collect()} == want
+
+
+def test_sections_are_numbered(spark):
+    names = ["ts", "ts-e", "ts-s", "ts", "ts-e", "ts-e", "ts-s", "ts-s", "ts-e"]
+    rows = spark.createDataFrame([(1, i, m) for i, m in enumerate(names)], "k int, i int, marker string")
+    section, open_, want = 0, None, []
+    for m in names:
+        if m == "ts-e":
+            want.append(section if open_ is None else open_)
+            open_ = None
+        else:
+            want.append(section)
+            open_ = section if m == "ts-s" else open_
+            section += 1
+    assert [r["section"] for r in section_numbers(rows, ["k"], "i", "marker").orderBy("i").collect()] == want
+
+
+def test_alignment_text_is_read_back(spark):
+    rows = spark.createDataFrame([("d", "A 1:2", 0, ["a", "b"], ["x"]), ("d", "A 1:2", 1, ["c"], ["y", "z"]), ("d", "A 1:1", 2, ["e"], ["f"])], "doc string, sid string, n int, sources array<string>, targets array<string>")
+    text = files.write_alignment_text(rows, "doc")
+    got = files.read_alignment_text(text, "doc", "text").orderBy("n").collect()
+    assert [(r["sid"], r["sources"], r["targets"]) for r in got] == [("A 1:2", ["a", "b"], ["x"]), ("A 1:2", ["c"], ["y", "z"]), ("A 1:1", ["e"], ["f"])]
+
+
+def test_snapshots_are_aligned(spark):
+    want = spark.createDataFrame([(1, 0, 3, 1), (1, 1, 3, 2), (2, 0, 3, 9)], "k int, place int, chapter int, verse int")
+    have = spark.createDataFrame([(1, 3, 2, "b"), (1, 3, 1, "a"), (2, 3, 1, "c")], "k int, chapter int, verse int, text string")
+    assert [tuple(r) for r in similarity.aligned_snapshots(want, have, ["k"]).collect()] == [(1, ["a", "b"])]
