@@ -100,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "good": pdf["good"], "x": list(statistics(pdf["text"])[1])})
 
-    got = texts.mapInPandas(tidied(run), "id long, good long, x array<double>").dropDuplicates(["id"]).toPandas().sort_values("id")
+    # of rows that share an id, that with the least features, so that reruns give the same trees
+    got = texts.mapInPandas(tidied(run), "id long, good long, x array<double>").groupBy("id").agg(F.min("good").alias("good"), F.min("x").alias("x")).toPandas().sort_values("id")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return train(x, got["good"].to_numpy(np.float64), np.array(list(FEATURES.values()), np.float64))
 

@@ -1,7 +1,7 @@
 """Mixing, token files and the pipeline."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -13,6 +13,8 @@ import corpus_pipeline
 from quire.llm import mixing, pieces, queries, token_files
 from quire.llm.scratch import cut, new_path
 from tests.llm.helpers import SCHEMA, odd_documents, prose, words
+from tests.llm.test_models import plain_statistics
+from tests.llm.test_sets import plain_components, shingle_set
 
 
 @pytest.fixture(scope="module")
@@ -148,18 +150,60 @@ def test_token_files_of_no_rows(spark):
 
 
 def test_pipeline(spark):
+    """Each stage against a plain version on its own input."""
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    at = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = at
-        at = cut(stage(spark, at, sf), "test-stage")
-        assert at.columns == docs.columns, name
-        assert at.select("doc_id").distinct().join(before, "doc_id", "left_anti").count() == 0
-    tokens = corpus_pipeline.STAGES[-1][1](spark, at, sf)
-    whole = corpus_pipeline.run(spark, sf)
-    key = lambda df: sorted(map(tuple, df.collect()))
-    rows = key(tokens)
-    assert rows == key(whole) and len(rows) == at.count()
-    starts = sorted((r[1], r[2]) for r in rows)
-    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    stages, at = dict(corpus_pipeline.STAGES), docs
+
+    def after(name):
+        got = cut(stages[name](spark, at, sf), "test-stage")
+        assert got.columns == docs.columns
+        return got
+
+    before, at = texts(at), after("quality rules")
+    failed = {i for i, t in before.items() if (s := plain_statistics(t))[0] < 20 or 100 * s[4] > 30 * s[0]}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = texts(at)
+    assert not failed & set(kept) and all(i in kept for i, q in labels.items() if q == 1 and i in before and i not in failed)
+
+    before, at = kept, after("near duplicates")
+    label, _ = plain_components(before, 5, 80)
+    assert set(texts(at)) == {i for i in before if label[i] == i}
+
+    before, at = texts(at), after("benchmark leaks")
+    sets = lambda t: shingle_set(t, 5) if len(words(t)) >= 5 else set()
+    items = [s for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (s := sets(r["text"]))]
+    leaky = {i for i, t in before.items() if any(100 * len(s & sets(t)) >= 80 * len(s) for s in items)}
+    assert set(texts(at)) == set(before) - leaky
+
+    source, before = {r["doc_id"]: r["source"] for r in at.collect()}, texts(at)
+    at = after("mix")
+    copies, size = Counter(r["doc_id"] for r in at.collect()), Counter()
+    for i, t in before.items():
+        size[source[i]] += len(words(t))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    want = plain_targets(size, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, 1.5, 2)
+    for s in size:
+        mine = [i for i in before if source[i] == s]
+        assert abs(sum(copies[i] * len(words(before[i])) for i in mine) - want[s]) <= max(len(words(before[i])) for i in mine) / 2 + 1e-6
+    assert max(copies.values()) <= 2
+
+    plain, place, tokens = tokenizer(), 0, []
+    for i in sorted(copies.elements()):
+        ids = [*plain.encode(before[i] or "", add_special_tokens=False).ids, 1]
+        tokens.append((i, place, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        place += len(ids)
+    assert sorted(map(tuple, stages["token files"](spark, at, sf).collect())) == tokens
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == tokens
+
+
+def test_pipeline_of_no_rows_and_of_nulls(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    odd = cut(spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", None, 0), (3, prose(1, 80), "en", "s", 9), (3, prose(1, 80), "en", "s", 9)], SCHEMA), "test-docs")
+    for start in (docs, odd):
+        at = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = cut(stage(spark, at, "/root/testdata/sf0.001"), "test-stage")
+            assert at.columns == docs.columns, name
+        assert corpus_pipeline.STAGES[-1][1](spark, at, "/root/testdata/sf0.001").count() == at.count()
