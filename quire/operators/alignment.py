@@ -117,6 +117,20 @@ def source_reference(remark: Column) -> Column:
     return F.struct(name.alias("identifier"), F.when(name.isNotNull(), version).alias("version"))
 
 
+def document_source(node: DataFrame, key: str) -> DataFrame:
+    """(key, identifier, version): what each document's last remark about its alignment source says."""
+    rows = node.where("marker = 'rem' AND NOT closing").select(key, "pos", source_reference(F.col("text")).alias("s")).where("s.identifier IS NOT NULL")
+    return rows.groupBy(key).agg(F.max_by("s", "pos").alias("s")).select(key, "s.identifier", "s.version")
+
+
+def original_tokens(node: DataFrame, key: str) -> DataFrame:
+    """(key, sid, place, surface, strong, lemma, morph, occurrence, occurrences): the marked words of an original text in order."""
+    attr = lambda *names: F.coalesce(*[F.try_element_at("attrs", F.lit(n)) for n in names], F.lit(""))
+    rows = node.where("marker = 'w' AND NOT closing AND sid IS NOT NULL").select(key, "sid", "pos", collapse(F.col("text")).alias("surface"), attr("strong", "x-strong").alias("strong"), attr("lemma", "x-lemma").alias("lemma"), attr("x-morph", "morph").alias("morph"))
+    verse, same = W.partitionBy(key, "sid").orderBy("pos"), W.partitionBy(key, "sid", "surface")
+    return rows.select(key, "sid", (F.row_number().over(verse) - 1).alias("place"), "surface", "strong", "lemma", "morph", F.row_number().over(same.orderBy("pos")).alias("occurrence"), F.count("*").over(same).alias("occurrences"))
+
+
 def source_remark(identifier: Column, version: Column) -> Column:
     """The remark that ``source_reference`` reads."""
     return F.concat(F.lit("alignment-source: "), identifier, F.when(version.isNotNull(), F.concat(F.lit(" v"), version)).otherwise(""))

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.markers import base_marker, cell_span, dim_marker, well_formed
-from quire.functions.text import collapse, escape_xml
+from quire.functions.text import collapse, escape_xml, join_fragments
 from quire.operators.windows import depth
 
 TOKEN = r"\\(\+?)([^\s\\*]*)(\*?)([^\\]*)"
@@ -87,15 +87,23 @@ def nodes(books: DataFrame, key: str, text: str, extra: list[tuple[str, str, str
     return rows.select(key, *names, (F.col("__note") > 0).alias("in_note"), "number", "text", "attrs")
 
 
+def fragment_nodes(rows: DataFrame, key: str, text: str, book: str, chapter: str) -> DataFrame:
+    """As ``nodes``, of pieces of a chapter without a book line, whose book and chapter are in columns."""
+    head = F.concat(F.lit("\\id "), F.col(book), F.lit("\n\\c "), F.col(chapter).cast("string"), F.lit("\n"))
+    whole = nodes(rows.select(key, F.concat(head, F.col(text)).alias(text)), key, text)
+    return whole.where("pos > 1").withColumn("pos", F.col("pos") - 2)
+
+
 def verse_texts(node: DataFrame, key: str, notes: bool = False) -> DataFrame:
-    """(key, book, chapter, verse, sid, text): running text of each verse; notes and figures only if asked for."""
+    """(key, book, chapter, verse, sid, text): running text of each verse; notes and figures only if asked for, and
+    then with spaces where fragments would be glued."""
     rows = node.where("verse IS NOT NULL")
     if not notes:
         rows = rows.where("NOT in_note AND style <> 'figure'")
     # alternative and published numbers aren't text
     rows = rows.where("NOT (style = 'number' AND NOT closing)")
-    parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    whole = collapse(F.array_join(F.transform(parts, lambda x: x["text"]), ""))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    whole = collapse(join_fragments(parts) if notes else F.array_join(parts, ""))
     return rows.groupBy(key, "book", "chapter", "verse", "sid").agg(whole.alias("text"))
 
 
@@ -385,6 +393,7 @@ def parse_log(rows: DataFrame, key: str) -> DataFrame:
         F.when((F.col("style") == "unknown") & opens, F.struct(F.lit("warn"), F.concat(name, F.lit(": unlisted marker taken as "), "kind"))),
         F.when(F.col("style").isin("chapter", "verse") & opens & ~F.col("raw").rlike(r"^\s*\d"), F.struct(F.lit("error"), F.concat(name, F.lit(": no number")))),
         F.when(F.col("closing") & (F.col("marker") != "") & F.col("kind").isin("character", "note") & (F.col("__open") < 0), F.struct(F.lit("warn"), F.concat(name, F.lit("*: nothing to close")))),
+        F.when((F.col("marker") == "usfm") & opens & ~F.col("raw").rlike(r"^\s*[1-3](\.\d+)*\s*$"), F.struct(F.lit("warn"), F.concat(name, F.lit(": version isn't known")))),
         F.when((F.col("kind") == "note") & F.col("__last") & (F.col("__open") > 0), F.struct(F.lit("warn"), F.concat(name, F.lit(": note isn't closed")))),
     )
     made = rows.select(key, "pos", F.explode(F.array_compact(found)).alias("f"))

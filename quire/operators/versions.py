@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,17 +23,19 @@ def changes(local: DataFrame, known: DataFrame, key: str, digest: str) -> DataFr
     return both.select(key, change.alias("change")).where("change IS NOT NULL")
 
 
-def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str, content: str) -> DataFrame:
+def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str, content: str, choose: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """(key, action, content): what a merge makes of each key. Null content counts as absent.
 
-    action is same, ours, theirs (one side changed, added or deleted it, or both alike), or conflict (content is ours).
+    action is same, ours, theirs (one side changed, added or deleted it, or both alike), or conflict. Of a conflict content is
+    ours, or what ``choose`` (base, ours, theirs) makes of it.
     """
     sides = [df.select(key, F.col(content).alias(n)) for df, n in ((base, "b"), (ours, "o"), (theirs, "t"))]
     rows = sides[0].join(sides[1], key, "full").join(sides[2], key, "full")
     b, o, t = F.col("b"), F.col("o"), F.col("t")
     action = F.when(o.eqNullSafe(t) & o.eqNullSafe(b), "same").when(o.eqNullSafe(t) | t.eqNullSafe(b), "ours").when(o.eqNullSafe(b), "theirs").otherwise("conflict")
-    rows = rows.withColumn("action", action)
-    return rows.select(key, "action", F.when(F.col("action") == "theirs", t).otherwise(o).alias(content))
+    made = F.when(F.col("action") == "theirs", t)
+    made = made.when(F.col("action") == "conflict", choose(b, o, t)) if choose else made
+    return rows.withColumn("action", action).select(key, "action", made.otherwise(o).alias(content))
 
 
 def diff(old: DataFrame, new: DataFrame, key: list[str], place: str, content: str) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import alignment, catalog, checking, helps, journal, similarity, versions
+from quire.operators import alignment, catalog, checking, helps, journal, markup, similarity, versions
 from quire.operators.windows import depth, evicted, joined_runs, section_numbers
 from quire.sources import files
 from quire.streaming import windows as stream
@@ -349,3 +349,23 @@ def test_snapshots_are_aligned(spark):
     want = spark.createDataFrame([(1, 0, 3, 1), (1, 1, 3, 2), (2, 0, 3, 9)], "k int, place int, chapter int, verse int")
     have = spark.createDataFrame([(1, 3, 2, "b"), (1, 3, 1, "a"), (2, 3, 1, "c")], "k int, chapter int, verse int, text string")
     assert [tuple(r) for r in similarity.aligned_snapshots(want, have, ["k"]).collect()] == [(1, ["a", "b"])]
+
+
+def test_conflicts_may_be_resolved_by_a_rule(spark):
+    df = lambda rows: spark.createDataFrame(rows, "k int, c string")
+    sides = [df([(1, x), (2, "s")]) for x in ("a", "b", "c")]
+    got = lambda choose: {r["k"]: (r["action"], r["c"]) for r in versions.three_way(*sides, "k", "c", choose).collect()}
+    assert got(None)[1] == ("conflict", "b") and got(lambda b, o, t: t)[1] == ("conflict", "c") and got(lambda b, o, t: F.concat(o, t)) == {1: ("conflict", "bc"), 2: ("same", "s")}
+
+
+def test_fragments_and_originals(spark):
+    rows = spark.createDataFrame([(1, "\\p\n\\v 3 a \\w b|lemma=\"l\" strong=\"G1\"\\w*\\w b\\w*\\f + \\ft note\\f*", "TIT", 2)], "k int, text string, book string, chapter int")
+    node = markup.fragment_nodes(rows, "k", "text", "book", "chapter")
+    assert [(r["pos"], r["marker"], r["sid"]) for r in node.where("NOT closing").orderBy("pos").collect()][:2] == [(0, "p", None), (1, "v", "TIT 2:3")]
+    assert markup.verse_texts(node, "k").first()["text"] == "a bb" and markup.verse_texts(node, "k", notes=True).first()["text"] == "a b b note"
+    words = [tuple(r)[2:] for r in alignment.original_tokens(node, "k").orderBy("place").collect()]
+    assert words == [(0, "b", "G1", "l", "", 1, 2), (1, "b", "", "", "", 2, 2)]
+    books = spark.createDataFrame([(1, "\\id A\n\\usfm 3.0\n\\rem other\n\\rem alignment-source: Greek v1\n\\rem alignment-source: UGNT v0.9\n"), (2, "\\id B\n\\usfm x")], "k int, text string")
+    assert [tuple(r) for r in alignment.document_source(markup.nodes(books, "k", "text"), "k").collect()] == [(1, "UGNT", "0.9")]
+    log = markup.parse_log(markup.typed(markup.tokens(books, "k", "text"), "k"), "k").collect()
+    assert [(r["k"], r["message"]) for r in log] == [(2, "\\usfm: version isn't known")]
