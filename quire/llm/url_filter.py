@@ -45,11 +45,13 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def domain_of(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host."""
+    """(registered domain, suffix) of a host, its port aside; an IP address is both itself."""
+    name = F.regexp_replace(host, r":\d*$", "")
     long = "|".join([*(s.replace(".", r"\.") for s in LONG_SUFFIXES), rf"(?:{'|'.join(SECOND_LEVELS)})\.[a-z][a-z]"])
-    suffix = F.regexp_extract(host, rf"(?:^|\.)({long}|[^.]+)$", 1)
-    domain = F.regexp_extract(host, rf"([^.]+\.(?:{long})|[^.]+\.[^.]+|[^.]+)$", 1)
-    return domain, suffix
+    address = name.rlike(r"^\d+\.\d+\.\d+\.\d+$|^\[.*\]$")
+    suffix = F.regexp_extract(name, rf"(?:^|\.)({long}|[^.]+)$", 1)
+    domain = F.regexp_extract(name, rf"([^.]+\.(?:{long})|[^.]+\.[^.]+|[^.]+)$", 1)
+    return F.when(address, name).otherwise(domain), F.when(address, name).otherwise(suffix)
 
 
 def outcomes(labels: DataFrame, key: str = "doc_id") -> DataFrame:

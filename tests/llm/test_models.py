@@ -228,8 +228,17 @@ def test_hosts_without_labels_are_judged_by_domain_and_suffix(spark):
     assert all(b is not None for _, b in got.values())
 
 
+def test_pages_with_nulls_and_repeats(spark):
+    rows = [(None, "http://a.b.com/"), (1, "http://a.b.com/x"), (1, "http://a.b.com/x"), (2, None), (None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("bad", F.lit("mine"))
+    judged = spark.createDataFrame([(1, 1), (2, 0)], "page_id long, bad long")
+    got = url_filter.filter_urls(pages, judged)
+    assert got.columns == [*pages.columns, "reputation"] and got.count() == len(rows) and {r["bad"] for r in got.collect()} == {"mine"}
+    assert url_filter.filter_urls(pages.limit(0), judged).count() == 0 and url_filter.filter_urls(pages, judged.limit(0)).where("reputation.verdict = 'allow'").count() == len(rows)
+
+
 def test_registered_domains(spark):
-    hosts = {"a.b.gov.uk": ("b.gov.uk", "gov.uk"), "x.com.cn": ("x.com.cn", "com.cn"), "a.b.co.uk": ("b.co.uk", "co.uk"), "a.com.org": ("com.org", "org"), "q.r.de": ("r.de", "de"), "": ("", "")}
+    hosts = {"a.b.gov.uk": ("b.gov.uk", "gov.uk"), "x.com.cn": ("x.com.cn", "com.cn"), "a.b.co.uk": ("b.co.uk", "co.uk"), "a.com.org": ("com.org", "org"), "q.r.de": ("r.de", "de"), "": ("", ""), "x.y.de:8080": ("y.de", "de"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:8": ("[::1]", "[::1]")}
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
     assert {r[0]: tuple(r[1:]) for r in df.select("host", *url_filter.domain_of(F.col("host"))).collect()} == hosts
 
