@@ -21,8 +21,8 @@ END_ID = 1
 SLOTS, POOL = 1 << 21, 8_000_000
 #: Bytes cut into units at once, unless a single piece is longer.
 CHUNK = 1 << 20
-#: What stands between units that are encoded in one row, and units in a row.
-MARK, ROW = "\x01", 500
+#: What stands between units that are encoded in one row, units in a row, and rows that the library is given at once.
+MARK, ROW, ROWS = "\x01", 500, 20
 SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
 LATIN = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
 
@@ -102,6 +102,11 @@ class Encoder:
     def _encode(self, rows: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)
 
+    def _flat(self, rows: list[str]) -> np.ndarray:
+        """The ids of all rows."""
+        some = (self._encode(rows[i : i + ROWS]) for i in range(0, len(rows), ROWS))
+        return np.concatenate([np.zeros(0, np.uint32), *(np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32) for got in some)])
+
     def _same(self, whole: list[str], parts: list[list[str]]) -> bool:
         made = (e.ids for e in self._encode(list(chain.from_iterable(parts))))
         return all(e.ids == list(chain.from_iterable(next(made) for _ in p)) for e, p in zip(self._encode(whole), parts, strict=True))
@@ -139,20 +144,17 @@ class Encoder:
 
     def _words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """As ``_ids``, by the tokens that end a word; none where these aren't as many as the words."""
-        got = self._encode([" ".join(new[i : i + ROW]) for i in range(0, len(new), ROW)])
-        ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
+        ids = self._flat([" ".join(new[i : i + ROW]) for i in range(0, len(new), ROW)])
         n = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
         return (n, ids) if len(n) == len(new) and n.sum() == len(ids) else None
 
     def _marked(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_ids``, in rows with a mark between two units that is a token of its own; if any holds the mark, one by one."""
-        row = 1 if any(MARK in p for p in new) else ROW
-        got = [e.ids for e in self._encode([f" {MARK} ".join([*new[i : i + row], ""]) for i in range(0, len(new), row)])]
-        if row == 1:
-            lists = [x[: -len(self.mark)] for x in got]
+        if any(MARK in p for p in new):
+            lists = [e.ids for e in self._encode(new)]
             n = np.fromiter(map(len, lists), np.int64, len(lists))
             return n, np.fromiter(chain.from_iterable(lists), np.uint32, n.sum())
-        ids = np.fromiter(chain.from_iterable(got), np.uint32)
+        ids = self._flat([f" {MARK} ".join([*new[i : i + ROW], ""]) for i in range(0, len(new), ROW)])
         marks = np.flatnonzero(ids == self.mark[0])
         return np.diff(marks, prepend=-1) - 1, np.delete(ids, marks)
 

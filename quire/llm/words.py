@@ -67,7 +67,7 @@ def prefix_hash(data: np.ndarray, power: np.ndarray, seed: int = 1) -> np.ndarra
 
 
 #: Characters fingerprinted at once: working arrays take some 60 bytes for each byte of text.
-PART = 1_000_000
+PART = 600_000
 
 
 def parts(texts) -> list[tuple[int, int]]:
