@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.text import collapse, strip_edges
+from quire.functions.text import collapse, first_int, strip_edges
 from quire.operators.windows import depth
 
 GROUP = "array<struct<sources: array<struct<strong: string, lemma: string, content: string, occurrence: int, occurrences: int>>, targets: array<struct<word: string, occurrence: int, occurrences: int>>>>"
@@ -30,7 +30,7 @@ def strip_alignment(node: DataFrame, key: str) -> DataFrame:
     whole = F.max((end & (F.col("__level") == 0)).cast("int")).over(W.partitionBy(key, "para", "__group"))
     rows = rows.withColumn("__closed", whole).where("__closed = 1")
     target = (F.col("marker") == "w") & ~F.col("closing") & (F.col("__level") > 0)
-    number = lambda name: F.coalesce(F.try_element_at("attrs", F.lit(name)).try_cast("int"), F.lit(1))
+    number = lambda name: first_int(F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit("")))
     attr = lambda name: F.try_element_at("attrs", F.lit(name))
     rows = rows.withColumn("role", F.when(start, "source").when(target, "target")).where("role IS NOT NULL")
     rows = rows.withColumn("group", F.dense_rank().over(W.partitionBy(key, "sid").orderBy("para", "__group")) - 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,8 +46,12 @@ def read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a stream's progress or output, in the shared folder that the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quire-streams"
+    """A fresh folder for a stream's progress or output, in the shared folder that the session names; a temporary one only
+    where that is unset and one process is all there is."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or f"file://{tempfile.gettempdir()}/quire-streams"
     return f"{root.rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
 
 
