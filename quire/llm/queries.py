@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, katz, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files, url_filter
+from quire.llm import chat, decontaminate, katz, lexical, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files, url_filter
 from quire.llm.scratch import new_path, text_mb
 from quire.sources.tables import table
 
@@ -71,7 +71,12 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_url_filter, op4_quality, op5_katz_score, op6_near_dups, op7_token_files, op8_substring_dedup, op9_line_dedup, op10_decontaminate)}
+def op12_lexical_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_url_filter, op4_quality, op5_katz_score, op6_near_dups, op7_token_files, op8_substring_dedup, op9_line_dedup, op10_decontaminate, op12_lexical_search)}
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.ORACLE,
@@ -79,4 +84,5 @@ ORACLE_SQL = {
     "op6_near_dups": near_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
 }
