@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, katz, lexical, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files, url_filter
-from quire.llm.scratch import new_path, text_mb
+from quire.llm import chat, decontaminate, katz, language, lexical, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files, url_filter
+from quire.llm.scratch import cut, new_path, text_mb
 from quire.sources.tables import table
 
 
@@ -76,7 +76,14 @@ def op12_lexical_search(spark, sf_dir):
     return lexical.search(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_url_filter, op4_quality, op5_katz_score, op6_near_dups, op7_token_files, op8_substring_dedup, op9_line_dedup, op10_decontaminate, op12_lexical_search)}
+def op13_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out()))
+    got = cut(language.identify(docs, model, keep=["doc_id"]), "languages")
+    return got.select("doc_id", language.held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", F.size("language.spans").alias("n_spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_url_filter, op4_quality, op5_katz_score, op6_near_dups, op7_token_files, op8_substring_dedup, op9_line_dedup, op10_decontaminate, op12_lexical_search, op13_language_id)}
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.ORACLE,
