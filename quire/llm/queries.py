@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, katz, language, lexical, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files, url_filter
+from quire.llm import chat, decontaminate, katz, language, lexical, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files, trie, url_filter
 from quire.llm.scratch import cut, new_path, text_mb
 from quire.sources.tables import table
 
@@ -71,6 +71,11 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    turns = trie.numbered(table(spark, sf_dir, "conversations"))
+    return trie.nodes(*trie.with_heads(turns)).drop("a", "b")
+
+
 def op12_lexical_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lexical.search(docs, table(spark, sf_dir, "benchmark"))
@@ -83,7 +88,7 @@ def op13_language_id(spark, sf_dir):
     return got.select("doc_id", language.held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", F.size("language.spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_url_filter, op4_quality, op5_katz_score, op6_near_dups, op7_token_files, op8_substring_dedup, op9_line_dedup, op10_decontaminate, op12_lexical_search, op13_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_url_filter, op4_quality, op5_katz_score, op6_near_dups, op7_token_files, op8_substring_dedup, op9_line_dedup, op10_decontaminate, op11_prefix_trie, op12_lexical_search, op13_language_id)}
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.ORACLE,
@@ -91,5 +96,6 @@ ORACLE_SQL = {
     "op6_near_dups": near_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
     "op12_lexical_search": lexical.ORACLE,
 }
