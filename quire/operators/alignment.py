@@ -102,7 +102,7 @@ def source_report(sources: DataFrame, tokens: DataFrame, sid: str = "sid") -> tu
     marked = own.join(hit.distinct().withColumn("__hit", F.lit(1)), "__row", "left")
     verses = marked.groupBy(sid, "found").agg(F.count("*").alias("words"), F.count("__hit").alias("matched"))
     missing = (F.col("words") - F.col("matched")).cast("string")
-    reason = F.when(F.col("found").isNull(), "No matching verse in the loaded source for this alignment key").when(F.col("matched") < F.col("words"), F.concat(missing, F.lit(" source word(s) did not match the loaded document")))
+    reason = F.when(F.col("found").isNull(), "the source has no such verse").when(F.col("matched") < F.col("words"), F.concat(missing, F.lit(" words of the source have no match")))
     verses = verses.withColumn("reason", reason)
     total = verses.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("w"), F.coalesce(F.sum("matched"), F.lit(0)).alias("m"), F.count("*").alias("verses_compared"), F.count_if(F.col("found").isNotNull() & (F.col("matched") == F.col("words"))).alias("verses_matched"))
     ratio = F.when(F.col("w") == 0, 1.0).otherwise(F.col("m") / F.col("w")).alias("match_ratio")

@@ -20,15 +20,31 @@ from quire.functions.markers import base_marker, cell_span, dim_marker, well_for
 from quire.functions.text import collapse, escape_xml, join_fragments
 from quire.operators.windows import depth
 
-TOKEN = r"\\(\+?)([^\s\\*]*)(\*?)([^\\]*)"
+#: Tells rows of a key apart that hold different texts.
+DOC = "doc_hash"
 
 
 def tokens(books: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, nested, marker, closing, raw): one row for each marker with the text up to the next one."""
+    """(key, doc_hash, pos, nested, marker, closing, raw): one row for each marker with the text up to the next one.
+
+    Rows that share a key, null included, are documents of their own, told apart by ``doc_hash`` in all that follows; rows
+    equal in key and text are one (``typed`` leaves the repeats out).
+    """
     found = F.regexp_extract_all(F.col(text), F.lit(r"(\\[^\\]*)"), 1)
-    rows = books.select(key, F.posexplode(found).alias("pos", "token"))
-    part = lambda k: F.regexp_extract("token", r"(?s)^" + TOKEN + "$", k)
-    return rows.select(key, "pos", (part(1) == "+").alias("nested"), part(2).alias("marker"), (part(3) == "*").alias("closing"), part(4).alias("raw"))
+    rows = books.select(key, F.xxhash64(F.lit("document"), text).alias(DOC), F.posexplode(found).alias("pos", "token"))
+    # marker names hold neither backslashes nor stars nor white space: the name ends at the first of these
+    name = F.regexp_extract("token", r"^\\\+?([^\s\\*]*)", 1)
+    nested = F.substr("token", F.lit(2), F.lit(1)) == "+"
+    after = F.length(name) + F.when(nested, 3).otherwise(2)
+    rows = rows.select(key, DOC, "pos", "token", nested.alias("nested"), name.alias("marker"), after.alias("__after"))
+    closing = F.substr("token", "__after", F.lit(1)) == "*"
+    raw = F.substr("token", F.col("__after") + closing.cast("int"), F.length("token"))
+    return rows.select(key, DOC, "pos", "nested", "marker", closing.alias("closing"), raw.alias("raw"))
+
+
+def by(rows: DataFrame, key: str) -> list[str]:
+    """The columns that tell documents apart: the key, and ``doc_hash`` where rows come from ``tokens``."""
+    return [key, DOC] if DOC in rows.columns else [key]
 
 
 def typed(rows: DataFrame, key: str, extra: list[tuple[str, str, str]] = ()) -> DataFrame:
@@ -37,26 +53,53 @@ def typed(rows: DataFrame, key: str, extra: list[tuple[str, str, str]] = ()) ->
     markers = dim_marker(rows.sparkSession, list(extra))  # a few hundred rows
     exact = F.broadcast(markers)
     bases = F.broadcast(markers.select(F.col("marker").alias("__base"), F.col("kind").alias("__kind"), F.col("style").alias("__style"), F.col("default_attribute").alias("__attr")))
-    w = W.partitionBy(key).orderBy("pos")
+    w = W.partitionBy(*by(rows, key)).orderBy("pos")
+    rows = rows.withColumn("__again", F.lag("pos").over(w).eqNullSafe(F.col("pos"))).where("NOT __again").drop("__again")
     out = rows.withColumns({"__first": F.coalesce(F.lag("raw").over(w).rlike(r"\n\s*$"), F.lit(True)), "__ends": F.coalesce((F.lead("marker").over(w) == "") & F.lead("closing").over(w), F.lit(False))})
     out = out.join(exact, "marker", "left").join(bases, base_marker(F.col("marker")) == F.col("__base"), "left")
     cell = cell_span(F.col("marker")).isNotNull()  # cells of any column
     guess = F.when(F.col("marker") == "", "end").when(cell, "character").when(F.col("marker").rlike("-[se]$") | F.col("__ends"), "milestone").when(F.col("__first") & ~F.col("closing"), "paragraph").otherwise("character")
     style = F.when(F.col("marker") == "", "end").when(cell, "cell").otherwise("unknown")
-    return out.withColumns({"kind": F.coalesce("kind", "__kind", guess), "style": F.coalesce("style", "__style", style), "default_attribute": F.coalesce("default_attribute", "__attr")}).drop("__first", "__ends", "__base", "__kind", "__style", "__attr")
+    out = out.withColumns({"kind": F.coalesce("kind", "__kind", guess), "style": F.coalesce("style", "__style", style), "default_attribute": F.coalesce("default_attribute", "__attr")}).drop("__first", "__ends", "__base", "__kind", "__style", "__attr")
+    return _note_closers(out, key)
+
+
+#: Parts of notes whose end may be written as the note's own closer, with more of the note to follow.
+CLOSED_BY_NOTE = ("fqa", "fdc")
+
+
+def _note_closers(rows: DataFrame, key: str) -> DataFrame:
+    """A note's closer ends the part that is open, and with it the note. After ``CLOSED_BY_NOTE`` the note goes on if the line has
+    another closer of it and no opener before that: such a closer becomes the part's own.
+
+    The open part is a running value, what follows on the line the next note marker of that name and a running count of line ends.
+    """
+    opens, note = ~F.col("closing"), F.col("kind") == "note"
+    w = W.partitionBy(*by(rows, key)).orderBy("pos")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    part = F.when(F.col("style") == "note part", F.when(opens, F.col("marker")).otherwise("")).when(note, "")
+    line = F.coalesce(F.sum(F.regexp_count("raw", F.lit(r"\n"))).over(before), F.lit(0))
+    rows = rows.withColumns({"__part": F.last(part, ignorenulls=True).over(before), "__line": line})
+    same = W.partitionBy(*by(rows, key), "__name").orderBy("pos")
+    rows = rows.withColumn("__name", F.when(note, F.col("marker")))  # among other rows the lead means nothing
+    goes_on = F.lead("closing").over(same) & (F.lead("__line").over(same) == F.col("__line"))
+    inner = note & ~opens & F.col("__part").isin(*CLOSED_BY_NOTE) & F.coalesce(goes_on, F.lit(False))
+    rows = rows.withColumn("__inner", inner)
+    changed = {"marker": F.when(F.col("__inner"), F.col("__part")).otherwise(F.col("marker")), "kind": F.when(F.col("__inner"), "character").otherwise(F.col("kind")), "style": F.when(F.col("__inner"), "note part").otherwise(F.col("style"))}
+    return rows.withColumns(changed).drop("__part", "__line", "__name", "__inner")
 
 
 def attributes(raw: Column, default: Column) -> Column:
     """The map after the first bar: key="value" pairs, or a bare value under the default attribute. Empty values are left out."""
     part = F.regexp_extract(raw, r"(?s)^[^|]*\|(.*)$", 1)
     pairs = F.regexp_extract_all(part, F.lit(r'([\w-]+\s*=\s*"[^"]*")'), 1)
-    named = F.map_from_entries(F.filter(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^([\w-]+)", 1), F.regexp_replace(F.regexp_extract(p, r'(?s)"(.*)"$', 1), "\n", " "))), lambda e: e["col2"] != ""))
+    named = F.map_from_entries(F.filter(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^([\w-]+)", 1), F.regexp_replace(F.regexp_extract(p, r'(?s)"(.*)"$', 1), r"\s+", " "))), lambda e: e["col2"] != ""))
     bare = F.trim(part)
     return F.when(part.contains("="), named).when((bare != "") & default.isNotNull(), F.create_map(default, bare)).otherwise(F.create_map().cast("map<string,string>"))
 
 
 def nodes(books: DataFrame, key: str, text: str, extra: list[tuple[str, str, str]] = ()) -> DataFrame:
-    """(key, pos, kind, style, marker, nested, closing, book, chapter, verse, sid, para, depth, in_note, number, text, attrs).
+    """(key, doc_hash, pos, kind, style, marker, nested, closing, book, chapter, verse, sid, para, depth, in_note, number, text, attrs).
 
     text is the token's own text without numbers and attributes, white space folded; book, chapter and verse are those
     in force (a new chapter has no verse yet); para counts paragraphs; depth counts open character spans. A null text has
@@ -71,20 +114,21 @@ def nodes(books: DataFrame, key: str, text: str, extra: list[tuple[str, str, str
     body = body.when(F.col("kind").isin("note") & opens, F.regexp_replace("raw", r"^\s?\S(\s|$)", "")).when(opens, F.regexp_replace("raw", r"^\s", "")).otherwise(F.col("raw"))
     has_attrs = F.col("kind").isin("character", "milestone") & opens
     rows = rows.withColumns({"number": number, "text": F.regexp_replace(body, r"\s+", " "), "attrs": F.when(has_attrs, attributes(F.col("raw"), F.col("default_attribute"))).when((F.col("kind") == "note") & opens, F.create_map(F.lit("caller"), F.regexp_extract("raw", r"^\s*(\S?)", 1))).otherwise(F.create_map().cast("map<string,string>"))})
-    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    doc = by(rows, key)
+    w = W.partitionBy(*doc).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("book", F.last(F.when(is_("id"), F.upper(F.regexp_extract("raw", r"^\s*(\S+)", 1))), ignorenulls=True).over(w))
     rows = rows.withColumn("chapter", F.last(F.when(is_("c"), F.col("number")), ignorenulls=True).over(w)).withColumn("__c", F.count(F.when(is_("c"), 1)).over(w))
-    in_chapter = W.partitionBy(key, "__c").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    in_chapter = W.partitionBy(*doc, "__c").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("verse", F.last(F.when(is_("v"), F.col("number")), ignorenulls=True).over(in_chapter))
     sid = F.when(F.col("book").isNotNull() & F.col("verse").isNotNull(), F.concat("book", F.lit(" "), "chapter", F.lit(":"), "verse"))
     rows = rows.withColumns({"sid": sid, "para": F.count(F.when((F.col("kind") == "paragraph") & opens, 1)).over(w)})
     span = (F.col("kind") == "character") & ~F.col("style").isin("verse", "cell", "note part")
     step = F.when(span & opens, 1).when(span, -1).otherwise(0)
-    rows = depth(rows, [key, "para"], ["pos"], step)
+    rows = depth(rows, [*doc, "para"], ["pos"], step)
     note = F.when((F.col("kind") == "note") & opens, 1).when(F.col("kind") == "note", -1).otherwise(0)
-    rows = depth(rows, [key, "para"], ["pos"], note, "__note")
+    rows = depth(rows, [*doc, "para"], ["pos"], note, "__note")
     names = "pos kind style marker nested closing book chapter verse sid para depth".split()
-    return rows.select(key, *names, (F.col("__note") > 0).alias("in_note"), "number", "text", "attrs")
+    return rows.select(*doc, *names, (F.col("__note") > 0).alias("in_note"), "number", "text", "attrs")
 
 
 def fragment_nodes(rows: DataFrame, key: str, text: str, book: str, chapter: str) -> DataFrame:
@@ -95,16 +139,16 @@ def fragment_nodes(rows: DataFrame, key: str, text: str, book: str, chapter: str
 
 
 def verse_texts(node: DataFrame, key: str, notes: bool = False) -> DataFrame:
-    """(key, book, chapter, verse, sid, text): running text of each verse; notes and figures only if asked for, and
-    then with spaces where fragments would be glued."""
+    """(key, book, chapter, verse, sid, text): running text of each verse, with spaces where fragments would be glued; notes
+    and figures only if asked for."""
     rows = node.where("verse IS NOT NULL")
     if not notes:
         rows = rows.where("NOT in_note AND style <> 'figure'")
     # alternative and published numbers aren't text
     rows = rows.where("NOT (style = 'number' AND NOT closing)")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
-    whole = collapse(join_fragments(parts) if notes else F.array_join(parts, ""))
-    return rows.groupBy(key, "book", "chapter", "verse", "sid").agg(whole.alias("text"))
+    whole = collapse(join_fragments(parts))
+    return rows.groupBy(*by(rows, key), "book", "chapter", "verse", "sid").agg(whole.alias("text")).drop(DOC)
 
 
 def word_attributes(node: DataFrame, key: str) -> DataFrame:
@@ -117,13 +161,13 @@ def chapters(node: DataFrame, key: str) -> DataFrame:
     """(key, book, chapter, n_nodes, n_verses): a slice of the book; chapter 0 stands for what is before the first."""
     chapter = F.coalesce(F.col("chapter"), F.lit("0")).alias("chapter")
     verses = F.count_if((F.col("marker") == "v") & ~F.col("closing"))
-    return node.groupBy(key, chapter).agg(F.coalesce(F.max("book"), F.lit("UNK")).alias("book"), F.count("*").alias("n_nodes"), verses.alias("n_verses"))
+    return node.groupBy(*by(node, key), chapter).agg(F.coalesce(F.max("book"), F.lit("UNK")).alias("book"), F.count("*").alias("n_nodes"), verses.alias("n_verses")).drop(DOC)
 
 
 def render_usfm(rows: DataFrame, key: str) -> DataFrame:
     """(key, text): tokens back as tagged text, marker by marker."""
     one = F.concat(F.lit("\\"), F.when(F.col("nested"), "+").otherwise(""), "marker", F.when(F.col("closing"), "*").otherwise(""), "raw")
-    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos"), one.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    return rows.groupBy(*by(rows, key)).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(F.col("pos"), one.alias("t")))), lambda x: x["t"]), "").alias("text")).drop(DOC)
 
 
 def _attribute_text(attrs: Column) -> Column:
@@ -132,10 +176,10 @@ def _attribute_text(attrs: Column) -> Column:
 
 def render_xml(node: DataFrame, key: str, html: bool = False) -> DataFrame:
     """(key, text): the nodes as XML (para, char, note, chapter, verse with sid and eid, ms), or as plain HTML."""
-    w = W.partitionBy(key).orderBy("pos")
+    w = W.partitionBy(*by(node, key)).orderBy("pos")
     open_para = F.last(F.when((F.col("kind") == "paragraph") & ~F.col("closing"), F.col("style") != "chapter"), ignorenulls=True)
     before, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
-    last = F.row_number().over(W.partitionBy(key).orderBy(F.desc("pos"))) == 1
+    last = F.lead("pos").over(w).isNull()
     rows = node.withColumns({"__open": F.coalesce(open_para.over(before), F.lit(False)), "__left": F.coalesce(open_para.over(upto), F.lit(False)), "__sid": F.last("sid", ignorenulls=True).over(before), "__last": last})
     # the verse that is open before a row: none once a chapter has begun, until its first verse
     rows = rows.withColumn("__sid", F.when(F.lag("sid").over(w).isNotNull(), F.col("__sid")))
@@ -166,7 +210,7 @@ def render_xml(node: DataFrame, key: str, html: bool = False) -> DataFrame:
         closes = F.concat(eid, F.when((F.col("kind") == "paragraph") & opens & F.col("__open"), "</para>").otherwise(""))
         ends = F.when(F.col("__last"), F.concat(end_of(F.col("sid")), F.when(F.col("__left"), "</para>").otherwise(""))).otherwise("")
     pieces = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.concat(closes, start, ends).alias("t"))))
-    return rows.groupBy(key).agg(F.array_join(F.transform(pieces, lambda x: x["t"]), "").alias("text"))
+    return rows.groupBy(*by(rows, key)).agg(F.array_join(F.transform(pieces, lambda x: x["t"]), "").alias("text")).drop(DOC)
 
 
 def encode_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -197,7 +241,7 @@ def format_usfm(rows: DataFrame, key: str, verse_on_new_line: bool = True, conte
     body = F.regexp_replace("raw", r"\s+", " ")
     trimmed = F.regexp_replace(body, "^ ", "")
     lead = F.when(~opens, "").when((F.col("kind") == "paragraph") & (trimmed != "") & F.lit(content_on_new_line) & ~F.col("style").isin("book", "chapter", "heading"), "\n").when(trimmed != "", " ").otherwise("")
-    w = W.partitionBy(key).orderBy("pos")
+    w = W.partitionBy(*by(rows, key)).orderBy("pos")
     # a line end takes the place of a space before it
     next_line = F.coalesce(F.lead(line).over(w), F.lit("\n")) != ""
     content = F.when(opens, trimmed).otherwise(body)
@@ -205,7 +249,7 @@ def format_usfm(rows: DataFrame, key: str, verse_on_new_line: bool = True, conte
     lead = F.when(content == "", "").otherwise(lead)
     piece = F.concat(line, F.lit("\\"), F.when(F.col("nested"), "+").otherwise(""), "marker", F.when(F.col("closing"), "*").otherwise(""), lead, content)
     made = rows.withColumn("__t", piece)
-    return made.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("__t").alias("t")))), lambda x: x["t"]), "").alias("text"))
+    return made.groupBy(*by(made, key)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col("__t").alias("t")))), lambda x: x["t"]), "").alias("text")).drop(DOC)
 
 
 #: How each kind of node is called in the JSON form.
@@ -219,6 +263,12 @@ ABSORBED = {"ca": "altnumber", "va": "altnumber", "cp": "pubnumber", "vp": "pubn
 def to_usj(node: DataFrame, key: str) -> DataFrame:
     """(key, usj): each book's nodes nested as JSON: rows in tables, sidebars around their paragraphs, // as optional breaks,
     alternative and published numbers and categories as attributes. A book is folded by itself, with a stack of what is open."""
+
+    def trim(content: list) -> None:
+        """No white space at the end of a paragraph."""
+        if content and isinstance(content[-1], str):
+            content[-1] = content[-1].rstrip()
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         root: list = []
         outer = para = root
@@ -226,10 +276,14 @@ def to_usj(node: DataFrame, key: str) -> DataFrame:
         counted, holder = {}, {}  # the last chapter or verse; the sidebar or note whose category comes next
         for r in pdf.sort_values("pos").itertuples(index=False):
             here = stack[-1][1] if stack else para
+            if r.marker == "usfm":
+                continue
+            if r.kind == "paragraph" and not r.closing and r.marker not in ABSORBED:
+                trim(para)
             if r.closing:
-                names = [m for m, _ in stack]
+                names = [m for m, _, _ in stack]
                 if r.marker in names:  # a closer also ends what is open inside
-                    del stack[names.index(r.marker) :]
+                    del stack[len(names) - 1 - names[::-1].index(r.marker) :]
                 here = stack[-1][1] if stack else para
             elif r.marker in ABSORBED and counted:
                 counted[ABSORBED[r.marker]] = r.text.strip()
@@ -244,7 +298,8 @@ def to_usj(node: DataFrame, key: str) -> DataFrame:
                 if r.style == "chapter" and r.book is not None:
                     item["sid"] = f"{r.book} {r.number}"
                 if r.style == "book":
-                    item["code"], _, said = r.text.partition(" ")
+                    item["code"], _, said = r.text.strip().partition(" ")
+                    said = said.strip()
                 counted = item if r.style in ("chapter", "verse") else {} if r.kind == "paragraph" and r.marker != "cp" else counted
                 holder = item if r.style == "sidebar" else {} if r.style == "chapter" else holder
                 if r.style == "verse":
@@ -271,27 +326,31 @@ def to_usj(node: DataFrame, key: str) -> DataFrame:
                         outer = para
             elif r.marker:
                 kind = "ms" if r.kind == "milestone" else "note" if r.kind == "note" else USJ_TYPE.get(r.style, "char")
-                item = {"type": kind, "marker": r.marker, **dict(r.attrs or {})}
+                item = {"type": kind, **({} if kind == "ref" else {"marker": r.marker}), **dict(r.attrs or {})}
                 holder = item if kind == "note" else holder
                 if r.style == "cell":
                     item["align"] = {"r": "end", "c": "center"}.get(r.marker[2:3], "start")
+                    first, _, to = r.marker.partition("-")
+                    if to:
+                        item |= {"marker": first, "colspan": str(int(to) - int(first.lstrip("thcr")) + 1)}
                 if r.style in ("note part", "cell"):
-                    stack = [x for x in stack if x[0] not in ("", r.marker)] if r.style == "note part" else []
+                    stack = stack[: next((k for k, x in enumerate(stack) if x[2]), len(stack))] if r.style == "note part" else []
                     here = stack[-1][1] if stack else para
                 here.append(item)
                 if kind != "ms":
                     here = item["content"] = []
-                    stack.append(("" if r.style in ("note part", "cell") else r.marker, here))
+                    stack.append((r.marker, here, r.style in ("note part", "cell")))
             said = r.text if r.style != "book" or r.closing else said
             if said and said.strip():
                 for k, piece in enumerate(said.split("//")):
                     here += [{"type": "optbreak"}] if k else []
                     here += [piece] if piece.strip() else []
+        trim(para)
         return pd.DataFrame({key: pdf[key].iloc[:1], "usj": [json.dumps({"type": "USJ", "version": "3.1", "content": root}, ensure_ascii=False)]})
 
     kind = dict(node.dtypes)[key]
     columns = [key, "pos", "kind", "style", "marker", "closing", "book", "sid", "number", "text", "attrs"]
-    return node.select(*columns).groupBy(key).applyInPandas(fold, f"{key} {kind}, usj string")
+    return node.select(*columns, *by(node, key)[1:]).groupBy(*by(node, key)).applyInPandas(fold, f"{key} {kind}, usj string")
 
 
 #: XML elements of the nodes whose type has another name.
@@ -367,10 +426,10 @@ def numbers(node: DataFrame, key: str) -> DataFrame:
     vp, give it until the next one."""
     opens = ~F.col("closing")
     own = F.col("style").isin("chapter", "verse") & opens
-    rows = node.withColumn("__owner", F.last(F.when(own, F.col("pos")), ignorenulls=True).over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    rows = node.withColumn("__owner", F.last(F.when(own, F.col("pos")), ignorenulls=True).over(W.partitionBy(*by(node, key)).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
     said = lambda *names: F.first(F.when(F.col("marker").isin(*names) & opens, F.trim("text")), ignorenulls=True)
     of = lambda c: F.max(F.when(own, F.col(c))).alias(c)
-    return rows.where("__owner IS NOT NULL").groupBy(key, F.col("__owner").alias("pos")).agg(of("marker"), of("number"), of("sid"), said("ca", "va").alias("alternative"), said("cp", "vp").alias("published"))
+    return rows.where("__owner IS NOT NULL").groupBy(*by(node, key), F.col("__owner").alias("pos")).agg(of("marker"), of("number"), of("sid"), said("ca", "va").alias("alternative"), said("cp", "vp").alias("published")).drop(DOC)
 
 
 def inferred_markers(rows: DataFrame, key: str) -> DataFrame:
@@ -382,18 +441,18 @@ def parse_log(rows: DataFrame, key: str) -> DataFrame:
     """(key, pos, level, message): what is odd about typed tokens: badly formed and unlisted markers, chapters and verses without a
     number, closers without an opener in their paragraph, notes that their paragraph leaves open."""
     opens = ~F.col("closing")
-    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*by(rows, key)).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("__para", F.count_if((F.col("kind") == "paragraph") & opens).over(w))
-    same = W.partitionBy(key, "__para", "marker")
+    same = W.partitionBy(*by(rows, key), "__para", "marker")
     step = F.when(F.col("kind").isin("character", "note"), F.when(opens, 1).otherwise(-1)).otherwise(0)
-    rows = rows.withColumn("__open", F.sum(step).over(same.orderBy("pos").rowsBetween(W.unboundedPreceding, 0))).withColumn("__last", F.row_number().over(same.orderBy(F.desc("pos"))) == 1)
+    rows = rows.withColumn("__open", F.sum(step).over(same.orderBy("pos").rowsBetween(W.unboundedPreceding, 0))).withColumn("__last", F.lead("pos").over(same.orderBy("pos")).isNull())
     name = F.concat(F.lit("\\"), "marker")
     found = F.array(
         F.when((F.col("marker") != "") & ~well_formed(F.col("marker")), F.struct(F.lit("error"), F.concat(name, F.lit(": badly formed marker")))),
         F.when((F.col("style") == "unknown") & opens, F.struct(F.lit("warn"), F.concat(name, F.lit(": unlisted marker taken as "), "kind"))),
         F.when(F.col("style").isin("chapter", "verse") & opens & ~F.col("raw").rlike(r"^\s*\d"), F.struct(F.lit("error"), F.concat(name, F.lit(": no number")))),
         F.when(F.col("closing") & (F.col("marker") != "") & F.col("kind").isin("character", "note") & (F.col("__open") < 0), F.struct(F.lit("warn"), F.concat(name, F.lit("*: nothing to close")))),
-        F.when((F.col("marker") == "usfm") & opens & ~F.col("raw").rlike(r"^\s*[1-3](\.\d+)*\s*$"), F.struct(F.lit("warn"), F.concat(name, F.lit(": version isn't known")))),
+        F.when((F.col("marker") == "usfm") & opens & ~F.col("raw").rlike(r"^\s*3\.1\s*$"), F.struct(F.lit("warn"), F.concat(name, F.lit(": version isn't 3.1")))),
         F.when((F.col("kind") == "note") & F.col("__last") & (F.col("__open") > 0), F.struct(F.lit("warn"), F.concat(name, F.lit(": note isn't closed")))),
     )
     made = rows.select(key, "pos", F.explode(F.array_compact(found)).alias("f"))
@@ -403,13 +462,13 @@ def parse_log(rows: DataFrame, key: str) -> DataFrame:
 def sidebars(node: DataFrame, key: str) -> DataFrame:
     """(key, sidebar, first, last, category): sidebars from esb to esbe, or to the next one or the end of the book."""
     opens = ~F.col("closing")
-    w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*by(node, key)).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     begins, ends = (F.col("marker") == "esb") & opens, (F.col("marker") == "esbe") & opens
     rows = node.withColumn("sidebar", F.count_if(begins).over(w)).where("sidebar > 0")
-    inside = W.partitionBy(key, "sidebar").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*by(node, key), "sidebar").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("__past", F.coalesce(F.count_if(ends).over(inside), F.lit(0))).where("__past = 0")
     category = F.first(F.when((F.col("marker") == "cat") & opens, F.trim("text")), ignorenulls=True)
-    return rows.groupBy(key, "sidebar").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), category.alias("category"))
+    return rows.groupBy(*by(node, key), "sidebar").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), category.alias("category")).drop(DOC)
 
 
 def matching_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -429,7 +488,7 @@ def matching_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
 def breaches(rows: DataFrame, key: str) -> DataFrame:
     """(key, pos, rule): tokens of ``matching_rules`` whose white space isn't the rule's: ``before`` is what the text before the
     marker has to end with, ``after`` what follows the marker; null asks for nothing."""
-    w = W.partitionBy(key).orderBy("pos")
+    w = W.partitionBy(*by(rows, key)).orderBy("pos")
     behind = F.regexp_extract(F.lag("raw").over(w), r"(\s*)$", 1)
     ahead = F.regexp_extract("raw", r"^(\s*)", 1)
     bad = (F.col("rule.before").isNotNull() & behind.isNotNull() & (behind != F.col("rule.before"))) | (F.col("rule.after").isNotNull() & (ahead != F.col("rule.after")))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import conflict_id
-from quire.operators.markup import tokens
+from quire.operators.markup import by, tokens
 
 #: Operations that add or take away a place, and what they do to later places of the same parent.
 SHIFT = {"insertNode": 1, "removeNode": -1}
@@ -181,7 +181,7 @@ def _cells(files: DataFrame, key: str, side: str) -> DataFrame:
     opens = ~F.col("closing")
     chapter = F.when((F.col("marker") == "c") & opens, F.coalesce(F.regexp_extract("raw", r"^\s*(\d+)", 1).try_cast("int"), F.lit(0)))
     # a paragraph is a marker that opens a line and isn't a verse
-    breaks = F.coalesce(F.lag("raw").over(W.partitionBy(key).orderBy("pos")).rlike(r"\n\s*$"), F.lit(True)) & opens & (F.col("marker") != "v") & ~F.col("marker").rlike("^(w|f|x|zaln-[se])$")
+    breaks = F.coalesce(F.lag("raw").over(W.partitionBy(*by(rows, key)).orderBy("pos")).rlike(r"\n\s*$"), F.lit(True)) & opens & (F.col("marker") != "v") & ~F.col("marker").rlike("^(w|f|x|zaln-[se])$")
     upto = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumns({"chapter": F.coalesce(F.last(chapter, ignorenulls=True).over(upto), F.lit(0)), "__breaks": breaks})
     inside = W.partitionBy(key, "chapter").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)

@@ -192,9 +192,9 @@ WITH l AS (SELECT doc_id, {LINES} AS a FROM documents)
 SELECT doc_id, md5('\id D' || doc_id || chr(10) || '\c 1' || chr(10) || '\p' || array_to_string(list_transform(range(1, len(a) + 1), lambda i: ' \v ' || i || ' ' || regexp_replace(a[i], '\s+', ' ', 'g')), '')) AS text FROM l""",
     "usj_tree": f"SELECT doc_id, 'USJ' AS type, '1' AS chapter, CAST(len({LINES}) AS BIGINT) AS verses FROM documents",
     "usj_errors": """
-SELECT p_partkey, unnest(CASE p_partkey % 7 WHEN 0 THEN ['root must be a JSON object'] WHEN 1 THEN ['root.type must be "USJ"'] WHEN 2 THEN ['root.version must be a string'] WHEN 3 THEN ['root.content must be an array']
-  WHEN 4 THEN ['$.content[1].content[1]: missing or invalid "type"', '$.content[2]: unexpected null']
-  WHEN 5 THEN ['$.content[0]: unexpected array (use object nodes or string leaves inside parent content)', '$.content[1].content: expected array or string'] ELSE [] END) AS error FROM part""",
+SELECT p_partkey, unnest(CASE p_partkey % 7 WHEN 0 THEN ['no JSON object'] WHEN 1 THEN ['$.type: not "USJ"'] WHEN 2 THEN ['$.version: no string'] WHEN 3 THEN ['$.content: no list']
+  WHEN 4 THEN ['$.content[1].content[1].type: no name', '$.content[2]: null']
+  WHEN 5 THEN ['$.content[0]: a list in a list', '$.content[1].content: neither list nor text'] ELSE [] END) AS error FROM part""",
     "html_render": f"SELECT doc_id, 2::BIGINT AS starts, 2::BIGINT AS ends, CAST(len({LINES}) AS BIGINT) AS verses FROM documents",
     "marker_parts": """
 WITH m AS (SELECT ['id', 'mt1', 'ip', 'p', 'toc2', 'imt', 'h'][CAST(p_partkey % 7 AS INT) + 1] AS marker FROM part)

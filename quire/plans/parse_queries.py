@@ -124,8 +124,8 @@ QUERIES = {
 
 #: The tree of ``BOOK``.
 TREE = (
-    '{"type": "USJ", "version": "3.1", "content": [{"type": "book", "marker": "id", "code": "TIT", "content": ["@ "]}, {"type": "para", "marker": "mt1", "content": ["Title "]}, '
-    '{"type": "chapter", "marker": "c", "number": "1", "sid": "TIT 1", "altnumber": "2", "pubnumber": "A"}, {"type": "para", "marker": "s", "content": ["Head "]}, '
+    '{"type": "USJ", "version": "3.1", "content": [{"type": "book", "marker": "id", "code": "TIT", "content": ["@"]}, {"type": "para", "marker": "mt1", "content": ["Title"]}, '
+    '{"type": "chapter", "marker": "c", "number": "1", "sid": "TIT 1", "altnumber": "2", "pubnumber": "A"}, {"type": "para", "marker": "s", "content": ["Head"]}, '
     '{"type": "para", "marker": "p", "content": [{"type": "verse", "marker": "v", "number": "1", "sid": "TIT 1:1", "altnumber": "3"}, " First ", {"type": "char", "marker": "nd", "content": ["LORD"]}, " said", '
     '{"type": "note", "marker": "f", "caller": "+", "content": [{"type": "char", "marker": "fr", "content": ["1:1 "]}, {"type": "char", "marker": "ft", "content": ["See "]}, {"type": "char", "marker": "fq", "content": ["this"]}, '
     '{"type": "char", "marker": "ft", "content": [" or that"]}]}, " so ", {"type": "optbreak"}, " then ", {"type": "char", "marker": "add", "content": ["one ", {"type": "char", "marker": "nd", "content": ["two"]}, " three"]}, ". ", '
@@ -133,20 +133,20 @@ TREE = (
     '{"type": "table", "content": [{"type": "table:row", "marker": "tr", "content": [{"type": "table:cell", "marker": "th1", "align": "start", "content": ["Day "]}, {"type": "table:cell", "marker": "tcr2", "align": "end", "content": ["Sum "]}]}, '
     '{"type": "table:row", "marker": "tr", "content": [{"type": "table:cell", "marker": "tc1", "align": "start", "content": ["One "]}, {"type": "table:cell", "marker": "tcr2", "align": "end", "content": ["# "]}]}]}, '
     '{"type": "para", "marker": "q", "content": [{"type": "ms", "marker": "qt-s", "sid": "#"}, "Speech", {"type": "ms", "marker": "qt-e"}]}, '
-    '{"type": "sidebar", "marker": "esb", "content": [{"type": "para", "marker": "ms", "content": ["Who "]}, {"type": "para", "marker": "p", "content": ["@ was "]}], "category": "People"}, {"type": "para", "marker": "p", "content": ["After "]}, '
+    '{"type": "sidebar", "marker": "esb", "content": [{"type": "para", "marker": "ms", "content": ["Who"]}, {"type": "para", "marker": "p", "content": ["@ was"]}], "category": "People"}, {"type": "para", "marker": "p", "content": ["After"]}, '
     '{"type": "chapter", "marker": "c", "number": "2", "sid": "TIT 2"}, {"type": "para", "marker": "p", "content": [{"type": "verse", "marker": "v", "number": "1", "sid": "TIT 2:1"}, "Last ", {"type": "char", "marker": "zz", "content": ["odd"]}, '
-    '{"type": "ms", "marker": "xyz-s"}, "end "]}]}'
+    '{"type": "ms", "marker": "xyz-s"}, "end"]}]}'
 )
 
 #: The XML form of ``BOOK``.
 XML = (
-    '<?xml version="1.0" encoding="utf-8"?>\n<usx version="3.1"><book style="id" code="TIT">@ </book><para style="mt1">Title </para><chapter style="c" number="1" sid="TIT 1" altnumber="2" pubnumber="A"/><para style="s">Head </para>'
+    '<?xml version="1.0" encoding="utf-8"?>\n<usx version="3.1"><book style="id" code="TIT">@</book><para style="mt1">Title</para><chapter style="c" number="1" sid="TIT 1" altnumber="2" pubnumber="A"/><para style="s">Head</para>'
     '<para style="p"><verse style="v" number="1" sid="TIT 1:1" altnumber="3"/> First <char style="nd">LORD</char> said<note style="f" caller="+"><char style="fr">1:1 </char><char style="ft">See </char><char style="fq">this</char>'
     '<char style="ft"> or that</char></note> so <optbreak/> then <char style="add">one <char style="nd">two</char> three</char>. <verse eid="TIT 1:1"/><verse style="v" number="2" sid="TIT 1:2" pubnumber="2b"/>'
     '<char style="w" lemma="#" strong="G1">@</char><char style="jmp" link-href="x">here</char></para><table><row style="tr"><cell style="th1" align="start">Day </cell><cell style="tcr2" align="end">Sum </cell></row>'
     '<row style="tr"><cell style="tc1" align="start">One </cell><cell style="tcr2" align="end"># </cell></row></table><para style="q"><ms style="qt-s" sid="#"/>Speech<ms style="qt-e"/></para>'
-    '<sidebar style="esb" category="People"><para style="ms">Who </para><para style="p">@ was </para></sidebar><para style="p">After <verse eid="TIT 1:2"/></para><chapter eid="TIT 1"/><chapter style="c" number="2" sid="TIT 2"/>'
-    '<para style="p"><verse style="v" number="1" sid="TIT 2:1"/>Last <char style="zz">odd</char><ms style="xyz-s"/>end <verse eid="TIT 2:1"/></para><chapter eid="TIT 2"/></usx>'
+    '<sidebar style="esb" category="People"><para style="ms">Who</para><para style="p">@ was</para></sidebar><para style="p">After<verse eid="TIT 1:2"/></para><chapter eid="TIT 1"/><chapter style="c" number="2" sid="TIT 2"/>'
+    '<para style="p"><verse style="v" number="1" sid="TIT 2:1"/>Last <char style="zz">odd</char><ms style="xyz-s"/>end<verse eid="TIT 2:1"/></para><chapter eid="TIT 2"/></usx>'
 )
 
 ORACLE_SQL = {
