@@ -52,6 +52,18 @@ def escape_xml(text: Column) -> Column:
     return out
 
 
+def unescape_xml(text: Column) -> Column:
+    """Text of XML: the five named entities and characters by their numbers, decimal or hexadecimal; others stay as they are."""
+    parts = F.split(F.regexp_replace(text, r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", "\u0001&#$1\u0001"), "\u0001")
+    number = lambda x: F.when(F.lower(F.substr(x, F.lit(3), F.lit(1))) == "x", F.conv(F.substring(x, 4, 6), 16, 10)).otherwise(F.substring(x, 3, 7)).try_cast("int")
+    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(number(x)), 8, "0")), "UTF-32")
+    out = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^&#([0-9]+|[xX][0-9a-fA-F]+)$"), char(x)).otherwise(x)), "")
+    out = F.when(F.contains(text, F.lit("&#")), out).otherwise(text)
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return out
+
+
 def escape_tsv(field: Column) -> Column:
     """A field for a tab-separated file: quoted, with doubled quotes, if it holds a tab, a quote or a line end."""
     quoted = F.concat(F.lit('"'), F.replace(field, F.lit('"'), F.lit('""')), F.lit('"'))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import escape_tsv
-from quire.operators import helps
+from quire.operators import helps, trees
 
 # Fixed column names of the alignment table format.
 ALIGNMENT_COLUMNS = ("Book", "Chapter", "Verse", "Source", "SourceOcc", "SourceStrong", "Target", "TargetOcc", "Lemma", "Morph")
@@ -146,17 +146,5 @@ def read_container(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def read_usx(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text): XML books as tagged text: paragraphs, chapters, verses, spans and notes by their styles."""
-    steps = (
-        (r"(?s)<\?xml.*?\?>|</?usx[^>]*>|<verse [^>]*eid=[^>]*/>|<chapter [^>]*eid=[^>]*/>", ""),
-        (r'<book [^>]*code="([^"]+)"[^>]*>', r"\\id $1 "), (r"</book>", "\n"),
-        (r'<chapter [^>]*number="([^"]+)"[^>]*/>', "\\\\c $1\n"), (r'<verse [^>]*number="([^"]+)"[^>]*/>', r"\\v $1 "),
-        (r'<para [^>]*style="([^"]+)"[^>]*/>', "\\\\$1\n"), (r'<para [^>]*style="([^"]+)"[^>]*>', r"\\$1 "), (r"</para>", "\n"),
-        (r'<ms [^>]*style="([^"]+)"[^>]*/>', r"\\$1\\*"),
-        (r'(?s)<note [^>]*style="([^"]+)"[^>]*>(.*?)</note>', r"\\$1 + $2\\$1*"), (r'(?s)<char [^>]*style="([^"]+)"[^>]*>([^<]*)</char>', r"\\$1 $2\\$1*"),
-        (r"<optbreak ?/>", "//"), ("<[^>]*>", ""), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"), (r"\n\s*\n", "\n"),
-    )
-    out = F.regexp_replace(text, r">\s*\n\s*<", "><")
-    for pattern, by in steps:
-        out = F.regexp_replace(out, pattern, by)
-    return rows.select(key, F.trim(out).alias("text"))
+    """(key, text): XML books as tagged text, by their tree tables (``trees.read_xml``, ``trees.to_tagged``)."""
+    return trees.to_tagged(trees.read_xml(rows, key, text), key).select(key, F.regexp_replace("text", r"\s+$", "").alias("text"))
