@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when it was counted and has at most this many rows of a few numbers each.
 BROADCAST_ROWS = 500_000
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,15 +45,25 @@ def drop(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Python on executors gets at most ``BATCH_ROWS`` rows at once from what is run inside, as texts may be long."""
+    """Python on executors gets at most ``BATCH_ROWS`` rows and some ``BATCH_BYTES`` at once from what is run inside, as texts may
+    be long."""
     batch = spark.conf.get(BATCH)
     spark.conf.set(BATCH, str(min(int(batch), BATCH_ROWS)))
+    lower_bytes(spark)
     try:
         yield
     finally:
         spark.conf.set(BATCH, batch)
 
 
+def lower_bytes(spark: SparkSession) -> None:
+    """From now on Python on executors gets some ``BATCH_BYTES`` at once in this session, also from what runs after a function has
+    returned. A lower limit stays."""
+    now = spark.sql(f"SET {BYTES}").first()["value"]
+    if not re.fullmatch(r"\d+b?", now, re.I) or int(now.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(BYTES, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` and reads it back: lineage ends here.
 

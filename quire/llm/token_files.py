@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.pieces import encoder
-from quire.llm.scratch import bounded, small_batches
+from quire.llm.scratch import bounded, lower_bytes, small_batches
 from quire.llm.words import tidied
 
 #: A block closes after the slice of texts in which it has got so many tokens.
@@ -139,6 +139,7 @@ def write(docs: DataFrame, key: str, text: str, tokenizer: str, path: str, work:
                 columns = [row[c] for c in ("part", "block", "ids", "lengths")] + [pa.array([x], pa.binary()) for x in made]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "block", "ids", "lengths", "control", "data"])
 
+    lower_bytes(spark)
     raw.mapInArrow(tidied(code), BLOCKS.replace("tokens binary", "control binary, data binary")).write.parquet(f"{path}/blocks")
     sizes = raw.select("part", "block", F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
     in_part = F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n")
@@ -151,6 +152,7 @@ def write(docs: DataFrame, key: str, text: str, tokenizer: str, path: str, work:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, tokens) for each document of a file set: tokens holds its ids as little-endian 32-bit numbers."""
+    lower_bytes(spark)
     ranks = spark.read.schema("rank long, id long").parquet(f"{path}/ranks").orderBy("rank").toPandas()
     ids = ranks["id"].to_numpy(np.uint32)
     blocks = spark.read.schema(BLOCKS.replace("tokens binary", "control binary, data binary")).parquet(f"{path}/blocks")
