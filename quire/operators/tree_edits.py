@@ -12,8 +12,9 @@ join by the deepest list on their path that was touched.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ class _New:
     """A node that an operation has put in."""
 
     def __init__(self, rows) -> None:
-        rows = sorted(((tuple(map(int, r["path"])), r) for r in rows), key=lambda x: x[0])
+        rows = sorted(((tuple(r["path"]), r) for r in rows), key=lambda x: x[0])
         self.name, self.attrs, self.text, holds = self._of(rows[0][1])
         self.content = [] if holds else None
         below = defaultdict(list)
@@ -181,17 +182,23 @@ class _Lists:
         return out + [("set", path, n, n, None, None, (attr, {attr: value} if value is not None else {}, None, False)) for n, (path, attr, value) in enumerate(self.settings)]
 
 
-def _folded(counts: pd.DataFrame, ops: pd.DataFrame, key: list[str], names: list[str]) -> pd.DataFrame:
-    columns = [*key, "kind", "list", "lo", "hi", "parent", "shift", *names]
-    if not len(ops):
-        return pd.DataFrame(columns=columns)
-    ints = lambda x: [] if x is None else [int(i) for i in x]
-    lists = _Lists({(): 0} | {tuple(ints(p)): int(n) for p, n in zip(counts["list"], counts["n"], strict=True)})
-    for op in ops.sort_values("seq").to_dict("records"):
-        lists.apply(op | {"path": ints(op["path"]), "to": ints(op["to"])})
-    own = [ops[k].iloc[0] for k in key]
-    rows = [[*own, kind, list(path), lo, hi, None if parent is None else list(parent), shift, *(node or (None,) * 4)] for kind, path, lo, hi, parent, shift, node in lists.result()]
-    return pd.DataFrame(rows, columns=columns).astype({"lo": "Int64", "hi": "Int64", "shift": "Int64"})
+#: What ``_Lists.result`` gives, with the number of the chapter's row first.
+_RESULT = [("__row", pa.int64()), ("kind", pa.string()), ("list", pa.list_(pa.int32())), ("lo", pa.int64()), ("hi", pa.int64()), ("parent", pa.list_(pa.int32())), ("shift", pa.int64())]
+_RESULT += [("name", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("holds", pa.bool_())]
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The results of chapters (key, ops, counts), a row each."""
+    for b in batches:
+        rows = []
+        for i, (ops, counts) in enumerate(zip(b.column("ops").to_pylist(), b.column("counts").to_pylist(), strict=True)):
+            lists = _Lists({(): 0} | {tuple(c["list"]): c["n"] for c in counts or []})
+            for op in sorted(ops, key=lambda o: o["seq"]):
+                lists.apply(op)
+            rows += [(i, kind, path, lo, hi, parent, shift, *((node[0], list(node[1].items()), *node[2:]) if node else (None,) * 4)) for kind, path, lo, hi, parent, shift, node in lists.result()]
+        made = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_RESULT)]
+        keys = [c for c in b.schema.names if c not in ("ops", "counts")]
+        yield pa.RecordBatch.from_arrays([*[b.column(k).take(made[0]) for k in keys], *made[1:]], [*keys, *[n for n, _ in _RESULT[1:]]])
 
 
 def apply_tree_ops(nodes: DataFrame, ops: DataFrame, key: list[str]) -> DataFrame:
@@ -205,14 +212,16 @@ def apply_tree_ops(nodes: DataFrame, ops: DataFrame, key: list[str]) -> DataFram
     aren't null.
     """
     names = ["name", "attrs", "text", "holds"]
-    touched = ops.select(*key).distinct()
+    touched = ops.select(*[F.col(k).alias(k) for k in key]).distinct()
     mine = nodes.join(touched, key, "left_semi").select(*key, "path", *names)
     listed = mine.select(*key, F.slice("path", 1, F.size("path") - 1).alias("list"), F.lit(1).alias("n")).unionByName(mine.where("holds").select(*key, F.col("path").alias("list"), F.lit(0).alias("n")))
     counts = listed.groupBy(*key, "list").agg(F.sum("n").alias("n"))
     kinds = dict(nodes.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + f", kind string, list array<int>, lo long, hi long, parent array<int>, shift long, {NODE}"
-    wanted = ops.select(*key, "seq", "op", "path", "to", "attr", "value", "node")
-    made = counts.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInPandas(lambda c, o: _folded(c, o, key, names), schema)
+    listed = ops.groupBy(*key).agg(F.collect_list(F.struct("seq", "op", "path", "to", "attr", "value", "node")).alias("ops"))
+    counted = counts.groupBy(*key).agg(F.collect_list(F.struct("list", F.col("n").cast("long").alias("n"))).alias("counts"))
+    listed = listed.select(*[F.col(k).alias(k) for k in key], "ops")
+    made = listed.join(counted, key, "left").mapInArrow(_folded, schema)
     runs = made.where("kind = 'run' AND hi > lo").select(*key, F.col("list").alias("__list"), "parent", "shift", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("__i"))
     # each node by the deepest touched list on its path
     steps = _prefixes(mine.select(*key, "path"), 1, F.size("path")).select(*key, "path", "__k", F.slice("path", 1, F.col("__k") - 1).alias("__list"), F.element_at("path", F.col("__k")).cast("long").alias("__i"))

@@ -196,7 +196,7 @@ def merge_tagged(files: DataFrame, key: str = "path") -> DataFrame:
 
     Each side's differences from the base are found by chapter, paragraph and place. Where both sides change the same place of
     a chapter, or one adds, removes or exchanges a paragraph in a chapter that the other changes at all, the file is a conflict
-    (text is null, chapters are those changed by either side); else both sides' changes are made.
+    (text is null, chapters are 0, which stands for the file, and those changed by either side); else both sides' changes are made.
     """
     on = [key, "chapter", "block", "cell"]
     sides = [_cells(files, key, c).withColumnsRenamed({"kind": f"k_{c}", "piece": c}) for c in ("base", "ours", "theirs")]
@@ -207,7 +207,7 @@ def merge_tagged(files: DataFrame, key: str = "path") -> DataFrame:
     chapters = rows.groupBy(key, "chapter").agg(*[F.bool_or(f(c)).alias(f"{n}_{c}") for n, f in (("any", differs), ("whole", whole)) for c in ("ours", "theirs")], F.bool_or(both).alias("both"))
     clash = F.col("both") | (F.col("whole_ours") & F.col("any_theirs")) | (F.col("whole_theirs") & F.col("any_ours"))
     changed = F.col("any_ours") | F.col("any_theirs")
-    judged = chapters.groupBy(key).agg(F.bool_or(clash).alias("bad"), F.array_sort(F.collect_set(F.when(changed, F.col("chapter")))).alias("chapters"))
+    judged = chapters.groupBy(key).agg(F.bool_or(clash).alias("bad"), F.array_sort(F.array_union(F.array(F.lit(0)), F.collect_set(F.when(changed, F.col("chapter"))))).alias("chapters"))
     merged = rows.withColumn("piece", F.when(differs("ours"), F.col("ours")).otherwise(F.col("theirs"))).where("piece IS NOT NULL")
     parts = F.array_sort(F.collect_list(F.struct("chapter", "block", "cell", "piece")))
     texts = merged.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["piece"]), "").alias("text"))
@@ -254,23 +254,30 @@ def merge_journals(files: DataFrame, key: str = "path") -> DataFrame:
 
 
 def merge_files(files: DataFrame, key: str = "path") -> DataFrame:
-    """(key, kind, text, conflict) from three versions (key, base, ours, theirs) of files.
+    """(key, kind, text, conflict) from three versions (key, base, ours, theirs) of files; null where a version hasn't the file.
 
-    A side that equals another or the base gives way to the change. Tagged files and journals are merged by content, JSON
-    files if the versions differ in white space alone; all else that both sides change is a conflict, with its id.
+    A side that equals another or the base gives way to the change. A file that one side has taken away is ``deleted`` if the
+    other left it as it was, a conflict if the other changed it, and taken over if only one side ever had it; one that both have
+    taken away has no row. Of files that all sides have, or that both have made, tagged ones and journals are merged by content,
+    JSON files if the versions differ in white space alone; all else that both sides change is a conflict, with its id.
     """
     b, o, t = F.col("base"), F.col("ours"), F.col("theirs")
+    absent = o.isNull() | t.isNull()
+    kind = F.when(absent & b.isNull(), "merged").when(absent & (F.coalesce(o, t) == b), "deleted").when(absent, "conflict")
+    rows = files.where("ours IS NOT NULL OR theirs IS NOT NULL").withColumns({"__kind": kind, "__side": F.when(absent & b.isNull(), F.coalesce(o, t))})
+    rows = rows.withColumns({"base": F.coalesce(b, F.lit("")), "ours": F.coalesce(o, F.lit("")), "theirs": F.coalesce(t, F.lit(""))})
     easy = F.when(o == t, o).when(b == o, t).when(b == t, o)
     jb, jo, jt = _json(b), _json(o), _json(t)
     parsed = jb.isNotNull() & jo.isNotNull() & jt.isNotNull()
     easy = easy.when((file_kind(F.col(key)) == "text") & parsed & ((jo == jt) | (jb == jt)), o).when((file_kind(F.col(key)) == "text") & parsed & (jb == jo), t)
-    rows = files.withColumns({"__easy": easy, "__way": file_kind(F.col(key))})
+    rows = rows.withColumns({"__easy": F.when(F.col("__kind").isNull(), easy).otherwise(F.col("__side")), "__way": F.when(F.col("__kind").isNull(), file_kind(F.col(key)))})
     hard = rows.where("__easy IS NULL").select(key, "base", "ours", "theirs", "__way")
     made = merge_tagged(hard.where("__way = 'tagged'"), key).unionByName(merge_journals(hard.where("__way = 'journal'"), key))
     out = rows.join(made.withColumnRenamed("text", "__text"), key, "left")
     text = F.coalesce("__easy", "__text")
-    conflict = F.when(text.isNull(), conflict_id(F.col(key), F.coalesce("chapters", F.array().cast("array<int>")), o, t))
-    return out.select(key, F.when(text.isNull(), "conflict").otherwise("merged").alias("kind"), text.alias("text"), conflict.alias("conflict"))
+    kind = F.coalesce("__kind", F.when(text.isNull(), "conflict").otherwise("merged"))
+    conflict = F.when(kind == "conflict", conflict_id(F.col(key), F.coalesce("chapters", F.array().cast("array<int>")), o, t))
+    return out.select(key, kind.alias("kind"), text.alias("text"), conflict.alias("conflict"))
 
 
 def replace_chapters(rows: DataFrame, new: DataFrame, key: str, add: bool = False) -> DataFrame:

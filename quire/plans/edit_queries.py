@@ -117,7 +117,9 @@ def merged_files(spark, sf_dir):
     base = body('"}')
     ours = F.when(k % 3 == 0, base).when(k % 3 == 1, body('o"}')).otherwise(body('" }'))
     theirs = F.when(k % 5 == 0, base).when(k % 5 == 1, body('o"}')).when(k % 5 == 2, body(' x"}')).otherwise(body('"\n}'))
-    files = c.select(path.alias("path"), base.alias("base"), ours.alias("ours"), theirs.alias("theirs"))
+    # some versions haven't the file at all
+    there = lambda side, gone: F.when(k % 11 != gone, side)
+    files = c.select(path.alias("path"), F.when(~(k % 11).isin(1, 2), base).alias("base"), F.when(k % 7 > 0, there(ours, 2)).alias("ours"), F.when(k % 13 > 0, there(theirs, 3)).alias("theirs"))
     return versions.merge_files(files)
 
 
@@ -328,14 +330,17 @@ SELECT project, p.repo, pinned, available, coalesce(free, 0) AS free FROM p LEFT
 WITH f AS (SELECT c_custkey AS k, 'f' || c_custkey || ['.md', '.json', '.png', '/LICENSE'][CAST(c_custkey % 4 AS INT) + 1] AS path, CASE WHEN c_custkey % 4 = 1 THEN '{"a": "' ELSE '' END || c_name AS s FROM customer),
 v AS (SELECT *, s || '"}' AS b, s || CASE k % 3 WHEN 0 THEN '"}' WHEN 1 THEN 'o"}' ELSE '" }' END AS o, s || CASE WHEN k % 5 = 0 THEN '"}' WHEN k % 5 = 1 THEN 'o"}' WHEN k % 5 = 2 THEN ' x"}' ELSE '"' || chr(10) || '}' END AS t FROM f),
 j AS (SELECT *, k % 4 = 1 AS js, CASE k % 3 WHEN 1 THEN 'o' ELSE '' END AS jo, CASE k % 5 WHEN 1 THEN 'o' WHEN 2 THEN ' x' ELSE '' END AS jt FROM v),
-m AS (SELECT *, CASE WHEN o = t THEN o WHEN b = o THEN t WHEN b = t THEN o WHEN js AND (jo = jt OR jt = '') THEN o WHEN js AND jo = '' THEN t END AS text FROM j),
-h AS (SELECT *, list_transform([o, t], lambda x: lower(to_base(list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length(x) + 1), lambda i: unicode(substr(x, i, 1))::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296), 36))) AS ids FROM m)
-SELECT path, CASE WHEN text IS NULL THEN 'conflict' ELSE 'merged' END AS kind, text, CASE WHEN text IS NULL THEN path || '#0-' || ids[1] || '-' || ids[2] END AS conflict FROM h""",
+g AS (SELECT * REPLACE (CASE WHEN k % 11 NOT IN (1, 2) THEN b END AS b, CASE WHEN k % 7 > 0 AND k % 11 <> 2 THEN o END AS o, CASE WHEN k % 13 > 0 AND k % 11 <> 3 THEN t END AS t) FROM j),
+m AS (SELECT * REPLACE (coalesce(o, '') AS o, coalesce(t, '') AS t), CASE WHEN o IS NULL OR t IS NULL THEN CASE WHEN b IS NULL THEN 'merged' WHEN coalesce(o, t) = b THEN 'deleted' ELSE 'conflict' END END AS way,
+  CASE WHEN o IS NULL OR t IS NULL THEN CASE WHEN b IS NULL THEN coalesce(o, t) END WHEN o = t THEN o WHEN b = o THEN t WHEN b = t THEN o WHEN b IS NULL THEN NULL WHEN js AND (jo = jt OR jt = '') THEN o WHEN js AND jo = '' THEN t END AS text FROM g WHERE o IS NOT NULL OR t IS NOT NULL),
+h AS (SELECT *, list_transform([o, t], lambda x: CASE x WHEN '' THEN '0' ELSE lower(to_base(list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length(x) + 1), lambda i: unicode(substr(x, i, 1))::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296), 36)) END) AS ids FROM m)
+SELECT path, coalesce(way, CASE WHEN text IS NULL THEN 'conflict' ELSE 'merged' END) AS kind, text,
+  CASE WHEN coalesce(way, CASE WHEN text IS NULL THEN 'conflict' END) = 'conflict' THEN path || '#0-' || ids[1] || '-' || ids[2] END AS conflict FROM h""",
     "merged_books": """
 SELECT 'b' || c_custkey || '.usfm' AS path, CASE WHEN c_custkey % 3 = 0 THEN 'conflict' ELSE 'merged' END AS kind,
   CASE WHEN c_custkey % 3 > 0 THEN '\\id TIT' || chr(10) || '\\c 1' || chr(10) || '\\p' || chr(10) || '\\v 1 ' || c_name || '!' || chr(10) || '\\v 2 second' || chr(10) || '\\c 2' || chr(10) || '\\p' || chr(10) || '\\v 1 '
     || CASE c_custkey % 3 WHEN 1 THEN 'theirs' || chr(10) ELSE c_name || chr(10) || '\\q' || chr(10) || '\\v 2 more' || chr(10) END END AS text,
-  CASE WHEN c_custkey % 3 = 0 THEN '1' END AS chapters FROM customer""",
+  CASE WHEN c_custkey % 3 = 0 THEN '0,1' END AS chapters FROM customer""",
     "ops_transformed": """
 WITH o AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS seq, ['insertNode', 'removeNode', 'replaceNode', 'setText', 'setAttr', 'alignWord'][CAST(l_partkey % 6 AS INT) + 1] AS op, l_suppkey % 3 AS place, l_returnflag AS v FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)),
 j AS (SELECT m.*, p.op AS pop, p.place AS pp, p.v AS pv FROM o m LEFT JOIN o p ON p.l_orderkey = m.l_orderkey AND p.seq = 1 WHERE m.seq > 1)

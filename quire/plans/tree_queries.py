@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import escape_xml
-from quire.operators import markup, trees
+from quire.operators import markup, tree_edits, trees
 from quire.sources import files
 from quire.sources.tables import table
+from quire.streaming import sync, windows
 
 
 def _lines(spark, sf_dir):
@@ -87,7 +88,69 @@ def tagged_round_trip(spark, sf_dir):
     return rows.select("doc_id", *[long(c) for c in ("pos", "level", "idx", "last")], "name", at("style"), at("number"), at("lemma"), at("caller"), "text")
 
 
-QUERIES = {f.__name__: f for f in (tree_numbers, tree_spans, xml_books, tagged_round_trip)}
+def _paragraphs(rows):
+    """(doc_id, chapter, path, name, attrs, text, holds): lines (doc_id, n, name, a, line) as paragraphs of a text and, where the line
+    is long, a span of it; ten lines a chapter."""
+    node = lambda path, name, attrs, text, holds: F.struct(path.alias("path"), F.lit(name).cast("string").alias("name") if not hasattr(name, "alias") else name.alias("name"), attrs.alias("attrs"), text.alias("text"), F.lit(holds).alias("holds"))
+    place = ((F.col("n") - 1) % 10).cast("int")
+    none, null = F.create_map().cast("map<string,string>"), F.lit(None).cast("string")
+    at = lambda *more: F.array(place, *[F.lit(x) for x in more])
+    span = F.when(F.length("line") > 40, F.array(node(at(1), "char", none, null, True), node(at(1, 0), None, none, F.col("line"), False)))
+    parts = F.concat(F.array(node(at(), F.col("name"), F.create_map(F.lit("sid"), F.col("a")), null, True), node(at(0), None, none, F.col("line"), False)), F.coalesce(span, F.array()))
+    chapter = (F.floor((F.col("n") - 1) / 10) + 1).cast("int")
+    return rows.select("doc_id", chapter.alias("chapter"), F.explode(parts).alias("p")).select("doc_id", "chapter", "p.*")
+
+
+def _told(nodes):
+    return nodes.select("doc_id", F.col("chapter").cast("long").alias("chapter"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "name", F.element_at("attrs", F.lit("sid")).alias("sid"), "text", "holds")
+
+
+def tree_diff_applied(spark, sf_dir):
+    """Two versions of documents as chapters of paragraphs, the second with other texts, other paragraphs, fewer and more lines in a
+    chapter; the first one after the operations that turn it into the second."""
+    lines = _lines(spark, sf_dir).withColumn("a", F.col("n").cast("string"))
+    old = lines.withColumn("name", F.lit("p"))
+    n, size = F.col("n"), F.length("line")
+    kind = F.when(size % 5 == 0, "q").otherwise("p")
+    text = F.when(size % 3 == 0, F.concat("line", F.lit(" new"))).when(size % 7 == 0, F.substr("line", F.lit(1), F.lit(30))).otherwise(F.col("line"))
+    new = lines.withColumns({"name": kind, "line": text}).where((n % 10 != 0) | (F.col("doc_id") % 2 == 0))
+    old = old.where((n % 10 != 9) & (n % 10 != 0) | (F.col("doc_id") % 3 > 0))
+    a, b = _paragraphs(old), _paragraphs(new)
+    ops = tree_edits.diff_trees(a, b, ["doc_id"], "chapter")
+    return _told(tree_edits.apply_tree_ops(a, ops, ["doc_id", "chapter"]).join(b.select("doc_id", "chapter").distinct(), ["doc_id", "chapter"], "left_semi"))
+
+
+def tree_ops_applied(spark, sf_dir):
+    """Six operations of each kind on every chapter of five lines or more: a move, a removal, an insertion, an attribute, a text inside a
+    paragraph and a replacement."""
+    lines = _lines(spark, sf_dir).withColumns({"a": F.col("n").cast("string"), "name": F.lit("p")})
+    nodes = _paragraphs(lines)
+    chapters = nodes.where("size(path) = 1").groupBy("doc_id", "chapter").agg(F.count("*").alias("n")).where("n > 4")
+    made = lambda name: F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit(name).alias("name"), F.create_map(F.lit("sid"), F.lit("new")).alias("attrs"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("holds")), F.struct(F.array(F.lit(0)).alias("path"), F.lit(None).cast("string").alias("name"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit("made").alias("text"), F.lit(False).alias("holds")))
+    op = lambda seq, kind, path, to=None, attr=None, value=None, node=None: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("op"), F.array(*map(F.lit, path)).alias("path"), (F.array(*map(F.lit, to)) if to else F.lit(None).cast("array<int>")).alias("to"), F.lit(attr).cast("string").alias("attr"), F.lit(value).cast("string").alias("value"), (node if node is not None else F.lit(None)).cast(tree_edits.SUBTREE).alias("node"))
+    todo = F.array(op(0, "moveNode", [0], [2]), op(1, "removeNode", [1]), op(2, "insertNode", [1], node=made("q")), op(3, "setAttr", [0], attr="sid", value="set"), op(4, "setText", [0, 0], value="said"), op(5, "replaceNode", [2], node=made("m")))
+    ops = chapters.select("doc_id", "chapter", F.explode(todo).alias("o")).select("doc_id", "chapter", "o.*")
+    return _told(tree_edits.apply_tree_ops(nodes, ops, ["doc_id", "chapter"]))
+
+
+def stream_merged(spark, sf_dir):
+    """Each user's events as a document that two replicas edit: one has an insertion pending, the other's entries come as a stream and
+    each of them twice; every tenth document has alignments only."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("doc"), "user_id", "event_id")
+    op = lambda place: F.array(F.struct(F.lit("insertNode").alias("op"), F.array(place.cast("int")).alias("path"), F.lit(None).cast("array<int>").alias("to"), F.lit(None).cast("string").alias("attr"), F.lit("x").alias("value"), F.lit(None).cast("string").alias("old")))
+    sequence = F.row_number().over(W.partitionBy("doc").orderBy("event_id")).cast("long")
+    layer = F.when(F.col("user_id") % 10 == 0, "alignment").otherwise("content")
+    other = e.withColumn("sequence", sequence).select("doc", F.lit(1).alias("chapter"), F.lit("b").alias("user"), "sequence", layer.alias("layer"), op(3 * F.col("sequence")).alias("ops"))
+    mine = e.where("user_id % 3 > 0").select("doc").distinct().select("doc", F.lit(1).alias("chapter"), F.lit("a").alias("user"), F.lit(1).cast("long").alias("sequence"), F.lit("content").alias("layer"), op(F.lit(5)).alias("ops"))
+    folder = windows.folder(spark, "entries")
+    mine.unionByName(other).unionByName(other).coalesce(1).write.parquet(folder)
+    sync.use_rocks(spark)
+    stream = spark.readStream.schema(mine.schema).parquet(folder)
+    got = windows.run_once(sync.merge_entries(stream, "a"), windows.folder(spark, "merged"))
+    return got.select("doc", "user", "sequence", "status", F.get(F.get("ops", F.lit(0))["path"], F.lit(0)).cast("long").alias("place"), "pending")
+
+
+QUERIES = {f.__name__: f for f in (tree_numbers, tree_spans, xml_books, tagged_round_trip, tree_diff_applied, tree_ops_applied, stream_merged)}
 
 _LINES = r"""l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\p{L}\p{N}.,&<]+', ' ', 'g'))), lambda x: x <> '') AS a FROM documents),
 x AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS n FROM l)"""
@@ -132,4 +195,32 @@ SELECT doc_id, pos, CAST(r.level AS BIGINT) AS level, CAST(r.idx AS BIGINT) AS i
 UNION ALL SELECT doc_id, 0, 0, 0, c + 2, 'USJ', NULL, NULL, NULL, NULL, NULL FROM d
 UNION ALL SELECT doc_id, 1, 1, 0, 1, 'book', 'id', NULL, NULL, NULL, NULL FROM d
 UNION ALL SELECT doc_id, 2, 1, 1, 2, 'chapter', 'c', '1', NULL, NULL, NULL FROM d""",
+    "tree_diff_applied": f"""
+WITH {_LINES},
+v AS (SELECT doc_id, n, CASE WHEN length(line) % 5 = 0 THEN 'q' ELSE 'p' END AS name, CASE WHEN length(line) % 3 = 0 THEN line || ' new' WHEN length(line) % 7 = 0 THEN substr(line, 1, 30) ELSE line END AS t FROM x WHERE n % 10 <> 0 OR doc_id % 2 = 0),
+o AS (SELECT doc_id, n, line FROM x WHERE n % 10 NOT IN (0, 9) OR doc_id % 3 > 0),
+c AS (SELECT DISTINCT doc_id, (n - 1) // 10 AS c FROM o),
+p AS (SELECT v.doc_id, (v.n - 1) // 10 + 1 AS chapter, (v.n - 1) % 10 AS i, v.name, CAST(v.n AS VARCHAR) AS a, t FROM v JOIN c ON c.doc_id = v.doc_id AND c.c = (v.n - 1) // 10)
+SELECT doc_id, chapter, CAST(i AS VARCHAR) AS path, name, a AS sid, NULL AS text, true AS holds FROM p
+UNION ALL SELECT doc_id, chapter, i || '/0', NULL, NULL, t, false FROM p
+UNION ALL SELECT doc_id, chapter, i || '/1', 'char', NULL, NULL, true FROM p WHERE length(t) > 40
+UNION ALL SELECT doc_id, chapter, i || '/1/0', NULL, NULL, t, false FROM p WHERE length(t) > 40""",
+    "tree_ops_applied": f"""
+WITH {_LINES},
+p AS (SELECT doc_id, (n - 1) // 10 + 1 AS chapter, (n - 1) % 10 AS i, CAST(n AS VARCHAR) AS a, line FROM x),
+s AS (SELECT *, count(*) OVER (PARTITION BY doc_id, chapter) > 4 AS big FROM p),
+m AS (SELECT doc_id, chapter, big, CASE WHEN NOT big THEN i WHEN i = 1 THEN 0 ELSE i END AS i, CASE WHEN big AND i = 1 THEN 'set' ELSE a END AS a, CASE WHEN big AND i = 1 THEN 'said' ELSE line END AS t, line FROM s WHERE NOT big OR i NOT IN (0, 2)),
+n AS (SELECT DISTINCT doc_id, chapter, k AS i, v AS name FROM s, (VALUES (1, 'q'), (2, 'm')) w(k, v) WHERE big)
+SELECT doc_id, chapter, CAST(i AS VARCHAR) AS path, 'p' AS name, a AS sid, NULL AS text, true AS holds FROM m
+UNION ALL SELECT doc_id, chapter, i || '/0', NULL, NULL, t, false FROM m
+UNION ALL SELECT doc_id, chapter, i || '/1', 'char', NULL, NULL, true FROM m WHERE length(line) > 40
+UNION ALL SELECT doc_id, chapter, i || '/1/0', NULL, NULL, line, false FROM m WHERE length(line) > 40
+UNION ALL SELECT doc_id, chapter, CAST(i AS VARCHAR), name, 'new', NULL, true FROM n
+UNION ALL SELECT doc_id, chapter, i || '/0', NULL, NULL, 'made', false FROM n""",
+    "stream_merged": """
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events),
+o AS (SELECT user_id, s, user_id % 10 = 0 AS other, user_id % 3 > 0 AS mine FROM e)
+SELECT CAST(user_id AS VARCHAR) AS doc, 'b' AS "user", s AS sequence, CASE WHEN other THEN 'recorded' ELSE 'merged' END AS status,
+  CASE WHEN NOT other THEN 3 * s + CASE WHEN mine AND s > 1 THEN 1 ELSE 0 END END AS place, CASE WHEN mine THEN 1::BIGINT ELSE 0 END AS pending FROM o
+UNION ALL SELECT DISTINCT CAST(user_id AS VARCHAR), 'a', 1, 'local', 5, 1 FROM o WHERE mine""",
 }

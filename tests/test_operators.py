@@ -281,12 +281,24 @@ def test_tagged_files_are_merged(spark):
         "y.json": ('{"a": 1}', '{"a":3}', '{"a":2}', None),
         "z.png": ("1", "2", "3", None),
         "README.md": ("1", "2", "2", "2"),
+        "same.txt": ("same", "same", "updated", "updated"),
+        "ours.usfm": (None, base, None, base),
+        "theirs.usfm": (None, None, base, base),
+        "both.md": (None, "1", "1", "1"),
+        "two.md": (None, "1", "2", None),
+        "gone.usfm": (base, base, None, None),
+        "gone.md": ("1", None, "1", None),
+        "kept.usfm": (base, None, base + "x", None),
+        "kept.md": ("1", "2", None, None),
+        "none.md": ("1", None, None, None),
     }
     files = spark.createDataFrame([(k, *v[:3]) for k, v in cases.items()], "path string, base string, ours string, theirs string")
     got = {r["path"]: r for r in versions.merge_files(files).collect()}
+    del cases["none.md"]
     assert {k: r["text"] for k, r in got.items()} == {k: v[3] for k, v in cases.items()}
-    assert all((r["kind"] == "conflict") == (r["conflict"] is not None) == (r["text"] is None) for r in got.values())
-    assert got["c.usfm"]["conflict"].startswith("c.usfm#1-")
+    assert {k for k, r in got.items() if r["kind"] == "deleted"} == {"gone.usfm", "gone.md"}
+    assert all((r["kind"] == "conflict") == (r["conflict"] is not None) == (r["text"] is None) for r in got.values() if r["kind"] != "deleted")
+    assert got["c.usfm"]["conflict"].startswith("c.usfm#0,1-") and got["kept.md"]["conflict"] == "kept.md#0-1e-0" and got["kept.usfm"]["conflict"].startswith("kept.usfm#0-0-")
 
 
 def test_helps_are_found_through_an_alignment(spark):

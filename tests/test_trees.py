@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import markup, tree_edits, trees
 from quire.sources import files
+from quire.streaming import sync, windows
 
 
 def outlines(seed, docs=5, n=40):
@@ -220,3 +221,58 @@ def test_paths(spark):
     got = {x["pos"]: x["path"] for x in tree_edits.with_paths(rows, "k").collect()}
     assert got == {0: [0], 1: [0, 0], 2: [0, 0, 0], 3: [0, 1], 4: [1], 5: [1, 0]}
     assert tree_edits.with_paths(rows.where(F.lit(False)), "k").count() == 0
+
+
+def merged_stream(spark, batches, me, policy="manual"):
+    """What a replica makes of entries that come in several triggers."""
+    folder = windows.folder(spark, "test-entries")
+    for rows in batches:
+        spark.createDataFrame(rows, sync.ENTRY).coalesce(1).write.mode("append").parquet(folder)
+    sync.use_rocks(spark)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return windows.run_once(sync.merge_entries(stream, me, policy), windows.folder(spark, "test-merged"))
+
+
+def entry(doc, user, sequence, *ops, layer="content"):
+    return doc, 1, user, sequence, layer, [(*o, *[None] * (6 - len(o))) for o in ops]
+
+
+def test_entries_are_merged_in_order_and_once(spark):
+    b1, b2 = entry("d", "b", 1, ("insertNode", [0])), entry("d", "b", 2, ("setText", [7], None, None, "z"))
+    first = [entry("d", "me", 1, ("insertNode", [3])), b2, b2, entry("e", "b", 1, ("alignWord", [0]))]
+    got = {(r["doc"], r["user"], r["sequence"]): r for r in merged_stream(spark, [first, [b1, entry("e", "b", 2, layer="alignment"), entry("e", "b", 4)], [b1, b2]], "me").collect()}
+    assert set(got) == {("d", "me", 1), ("d", "b", 1), ("d", "b", 2), ("e", "b", 1), ("e", "b", 2)}
+    paths = {k: ([o["path"] for o in r["ops"]], r["status"], r["pending"]) for k, r in got.items()}
+    # the pending insertion at 3 moves what comes after it, and is moved by what comes before it
+    assert paths["d", "b", 1] == ([[0]], "merged", 1) and paths["d", "b", 2] == ([[8]], "merged", 1)
+    assert paths["e", "b", 1] == ([], "merged", 0) and paths["e", "b", 2] == ([], "recorded", 0)
+
+
+@pytest.mark.parametrize(("policy", "status", "made", "pending"), [("manual", "conflict", 0, 1), ("accept-local", "kept local", 0, 1), ("accept-remote", "took remote", 1, 0)])
+def test_conflicts_by_policy(spark, policy, status, made, pending):
+    rows = [entry("d", "me", 1, ("setAttr", [2], None, "sid", "mine")), entry("d", "b", 1, ("setAttr", [2], None, "sid", "theirs"))]
+    got = [r for r in merged_stream(spark, [rows], "me", policy).collect() if r["user"] == "b"]
+    # with manual both lose their setting to the other's
+    assert [(r["status"], len(r["ops"]), r["pending"]) for r in got] == [(status, made, pending if policy != "manual" else 0)]
+    with pytest.raises(ValueError, match="policy"):
+        sync.merge_entries(None, "me", "other")
+
+
+def test_replicas_come_to_the_same_trees(spark):
+    """Two replicas with edits of their own at different places get each other's entries."""
+    r = random.Random(9)
+    starts, mine, theirs = {}, {}, {}
+    for doc in range(80):
+        starts[doc] = [f"t{doc}-{i}" for i in range(8)]
+        at = r.sample(range(7), 2)
+        for side, i in ((mine, at[0]), (theirs, at[1])):
+            kind = r.choice(["insertNode", "removeNode", "setText"])
+            side[doc] = (kind, [i], None, None, f"{kind} {i}")
+    plain = lambda o: {"op": o[0], "path": list(o[1]), "to": None, "attr": None, "value": o[4], "made": o[4]}
+    ends = []
+    for me, own, other in (("a", mine, theirs), ("b", theirs, mine)):
+        you = "b" if me == "a" else "a"
+        rows = [[entry(str(d), me, 1, own[d]) for d in own], [entry(str(d), you, 1, other[d]) for d in own]]
+        done = {int(x["doc"]): x["ops"] for x in merged_stream(spark, rows, me).where(F.col("user") == you).collect()}
+        ends.append({d: plain_apply(plain_apply(list(starts[d]), [plain(own[d])]), [plain((o["op"], o["path"], None, None, o["value"])) for o in done[d]]) for d in own})
+    assert ends[0] == ends[1]
