@@ -113,14 +113,17 @@ def filter_urls(pages: DataFrame, judged: DataFrame, url: str = "url", key: str
 
 
 _STRENGTH = """(SELECT 1 / least(greatest(coalesce(CASE WHEN sum(n * (n - 1)) > 0 THEN (sum(pow(bad - n * prior, 2) / greatest(prior * (1 - prior), 1e-9)) - sum(n)) / sum(n * (n - 1)) END, 0), 1 / 1001.0::DOUBLE), 0.5::DOUBLE) - 1 FROM {0})"""
+_LONG = "|".join([*(x.replace(".", r"\.") for x in LONG_SUFFIXES), rf"(?:{'|'.join(SECOND_LEVELS)})\.[a-z][a-z]"])
 _COUNTS = "CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad"
 
 ORACLE = rf"""
 WITH o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-k AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM p JOIN o USING (page_id) GROUP BY host),
-h AS (SELECT *, regexp_extract(host, '([^.]+\.(?:co\.uk|com\.au|co\.jp|com\.br)|[^.]+\.[^.]+|[^.]+)$', 1) AS domain, regexp_extract(host, '(?:^|\.)(co\.uk|com\.au|co\.jp|com\.br|[^.]+)$', 1) AS suffix FROM k),
+k AS (SELECT host, regexp_replace(host, ':\d*$', '') AS name, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+a AS (SELECT *, regexp_matches(name, '^\d+\.\d+\.\d+\.\d+$|^\[.*\]$') AS address FROM k),
+h AS (SELECT host, n, bad, CASE WHEN address THEN name ELSE regexp_extract(name, '([^.]+\.(?:{_LONG})|[^.]+\.[^.]+|[^.]+)$', 1) END AS domain,
+             CASE WHEN address THEN name ELSE regexp_extract(name, '(?:^|\.)({_LONG}|[^.]+)$', 1) END AS suffix FROM a),
 g AS (SELECT (coalesce(sum(bad), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS prior FROM h),
 s0 AS (SELECT suffix, {_COUNTS} FROM h GROUP BY suffix), s1 AS (SELECT *, (SELECT prior FROM g) AS prior FROM s0),
 s2 AS (SELECT *, {_STRENGTH.format("s1")} AS st FROM s1), s3 AS (SELECT suffix, (bad + prior * st) / (n + st) AS prior FROM s2),
@@ -128,7 +131,7 @@ d0 AS (SELECT domain, suffix, {_COUNTS} FROM h GROUP BY domain, suffix), d1 AS (
 d2 AS (SELECT *, {_STRENGTH.format("d1")} AS st FROM d1), d3 AS (SELECT domain, (bad + prior * st) / (n + st) AS prior FROM d2),
 h0 AS (SELECT host, domain, {_COUNTS} FROM h GROUP BY host, domain), h1 AS (SELECT h0.*, d3.prior FROM h0 JOIN d3 USING (domain)),
 h2 AS (SELECT *, {_STRENGTH.format("h1")} AS st FROM h1), h3 AS (SELECT host, n + st AS total, (bad + prior * st) / (n + st) AS mean FROM h2),
-b AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) AS bound FROM h3),
+b AS (SELECT host, CASE WHEN (SELECT sum(n) FROM h) > 0 THEN mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) END AS bound FROM h3),
 r AS (SELECT page_id, host, path, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
