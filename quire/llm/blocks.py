@@ -33,7 +33,8 @@ def write_blocks(docs: DataFrame, key: str, text: str, total_mb: float, block_mb
     n_blocks = max(8, math.ceil(total_mb / block_mb))
     n_files = max(2, n_blocks // BLOCKS_A_BUCKET)
     rows = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
+    # by the row's number as well, so that a row which is repeated often goes to many blocks
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
     name = f"quire_blocks_{uuid.uuid4().hex}"
     writer = rows.repartition(n_files, "block").write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "blocks"))
     writer.bucketBy(n_files, "block").saveAsTable(name)
