@@ -252,3 +252,44 @@ def emit_alignment(tokens: DataFrame, targets: DataFrame, key: list[str], order:
     piece = F.concat(F.when(on & F.col("first"), F.concat(F.lit("\\zaln-s |"), "milestone", F.lit("\\*"))).otherwise(""), F.when(on & F.col("milestone").isNotNull(), F.concat(F.lit("\\w "), word, F.lit("\\w*"))).otherwise(F.col(word)), F.when(on & F.col("last"), "\\zaln-e\\*").otherwise(""))
     parts = F.array_sort(F.collect_list(F.struct(F.col(order), piece.alias("t"))))
     return rows.groupBy(*key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"), F.bool_and(on).alias("rebuilt"))
+
+
+def emit_groups(tokens: DataFrame, sources: DataFrame, targets: DataFrame, key: list[str], order: str, word: str) -> DataFrame:
+    """(key, text, rebuilt): verses with their alignment groups put back, nested where they lie in each other.
+
+    tokens: (key, order, word), words as they stand, with punctuation; sources: (key, group, n, attrs), a milestone for each in order
+    of n; targets: (key, group, word, occurrence, occurrences). A group reaches from its first target to its last and stays open
+    over words of others between them. Of groups that begin together the longest opens first, of those that end together the
+    shortest closes first. Words that are targets carry their occurrences; what stands around a word's letters stays outside.
+
+    A verse stays plain (rebuilt is false) where a target has no token, two targets claim one token, a group has no source, or two groups
+    cross: the ends of milestones don't name their group, so a crossing one would be read back as another. Crossings show in
+    the levels of the ends: in the order of all beginnings and ends the next event of a group's level has to be its own end.
+    """
+    placed = resolve_targets(targets, tokens, key, word, order)
+    groups = placed.groupBy(*key, "group").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.bool_or(F.col("place").isNull()).alias("lost"))
+    marks = F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(F.lit("x-"), e["key"], F.lit('="'), e["value"], F.lit('"')))
+    one = F.concat(F.lit("\\zaln-s |"), F.array_join(marks, " "), F.lit("\\*"))
+    opened = sources.groupBy(*key, "group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", one.alias("t")))), lambda x: x["t"]), "").alias("opening"), F.count("*").alias("n"))
+    groups = groups.join(opened, [*key, "group"], "left").withColumn("span", F.col("last") - F.col("first"))
+    twice = placed.groupBy(*key, "place").agg((F.count("*") > 1).alias("twice")).groupBy(*key).agg(F.bool_or("twice").alias("twice"))
+    event = lambda place, phase, near: F.struct(place.alias("place"), F.lit(phase).alias("phase"), near.alias("near"), F.when(F.lit(phase == 0), F.col("group")).otherwise(-F.col("group")).alias("tie"))
+    events = groups.where("NOT lost").select(*key, "group", F.explode(F.array(event(F.col("first"), 0, -F.col("span")), event(F.col("last"), 1, F.col("span")))).alias("e"))
+    in_order = W.partitionBy(*key).orderBy("e")
+    step = F.when(F.col("e.phase") == 0, 1).otherwise(-1)
+    level = F.sum(step).over(in_order.rowsBetween(W.unboundedPreceding, 0)) + (F.col("e.phase") == 1).cast("int")
+    own = F.lead("group").over(W.partitionBy(*key, "level").orderBy("e")) == F.col("group")
+    crossed = events.withColumn("level", level).withColumn("own", own).where("e.phase = 0").groupBy(*key).agg(F.bool_or(~F.coalesce("own", F.lit(False))).alias("crossed"))
+    odd = groups.groupBy(*key).agg(F.bool_or(F.col("lost") | F.col("n").isNull()).alias("lost"))
+    bad = odd.join(twice, key, "left").join(crossed, key, "left").select(*key, (F.col("lost") | F.coalesce("twice", F.lit(False)) | F.coalesce("crossed", F.lit(False))).alias("__bad"))
+    starts = groups.groupBy(*key, F.col("first").alias(order)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("span")).alias("s"), "group", "opening"))), lambda x: x["opening"]), "").alias("__start"))
+    stops = groups.groupBy(*key, F.col("last").alias(order)).agg(F.sum("n").cast("int").alias("__stop"))
+    held = placed.where("place IS NOT NULL").select(*key, F.col("place").alias(order), F.col("occurrence").alias("__o"), F.col("occurrences").alias("__of")).dropDuplicates([*key, order])
+    rows = tokens.join(held, [*key, order], "left").join(starts, [*key, order], "left").join(stops, [*key, order], "left").join(bad, key, "left")
+    on = ~F.coalesce("__bad", F.lit(False))
+    core = strip_edges(F.col(word))
+    at = F.call_function("locate", core, F.col(word))
+    marked = F.concat(F.substr(word, F.lit(1), at - 1), F.lit("\\w "), core, F.lit('|x-occurrence="'), F.col("__o").cast("string"), F.lit('" x-occurrences="'), F.col("__of").cast("string"), F.lit('"\\w*'), F.substr(word, at + F.length(core), F.length(word)))
+    piece = F.concat(F.when(on, F.coalesce("__start", F.lit(""))).otherwise(""), F.when(on & F.col("__o").isNotNull(), marked).otherwise(F.col(word)), F.when(on, F.repeat(F.lit("\\zaln-e\\*"), F.coalesce("__stop", F.lit(0)))).otherwise(""))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order), piece.alias("t"))))
+    return rows.groupBy(*key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"), F.bool_and(on).alias("rebuilt"))

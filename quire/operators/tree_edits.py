@@ -274,3 +274,18 @@ def diff_trees(old: DataFrame, new: DataFrame, key: list[str], chapter: str) ->
     found = found.join(trees, [*on, "path"], "left")
     none = F.lit(None)
     return found.select(*on, seq.cast("long").alias("seq"), "op", "path", none.cast("array<int>").alias("to"), none.cast("string").alias("attr"), F.when(F.col("op") == "setText", b["text"]).alias("value"), F.when(F.col("node").isNotNull(), F.col("node")).cast(SUBTREE).alias("node"))
+
+
+def hydrate_trees(snapshot: DataFrame, entries: DataFrame, key: list[str], clock: DataFrame | None = None) -> DataFrame:
+    """The nodes of a snapshot after the operations of a journal's entries (key, user, sequence, ops), in order of sequence and user.
+
+    ops: array of structs as ``apply_tree_ops`` takes them. ``clock`` (user, sequence) says what the snapshot already has of
+    each user; entries that come twice count once. So replicas that got the same entries in any order come to the same nodes.
+    """
+    rows = entries.dropDuplicates([*key, "user", "sequence"])
+    if clock is not None:
+        known = clock.select("user", F.col("sequence").alias("__known"))
+        rows = rows.join(known, "user", "left").where("sequence > coalesce(__known, -1)").drop("__known")
+    ops = rows.select(*key, "user", "sequence", F.posexplode("ops").alias("__n", "o"))
+    seq = F.row_number().over(W.partitionBy(*key).orderBy("sequence", "user", "__n")).cast("long")
+    return apply_tree_ops(snapshot, ops.select(*key, seq.alias("seq"), "o.*"), key)

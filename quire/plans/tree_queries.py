@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.text import escape_xml
-from quire.operators import markup, tree_edits, trees
+from quire.functions.text import escape_xml, strip_edges
+from quire.operators import alignment, markup, ranges, tree_edits, trees
+from quire.operators.tokens import token_table
 from quire.sources import files
 from quire.sources.tables import table
 from quire.streaming import sync, windows
@@ -150,7 +151,33 @@ def stream_merged(spark, sf_dir):
     return got.select("doc", "user", "sequence", "status", F.get(F.get("ops", F.lit(0))["path"], F.lit(0)).cast("long").alias("place"), "pending")
 
 
-QUERIES = {f.__name__: f for f in (tree_numbers, tree_spans, xml_books, tagged_round_trip, tree_diff_applied, tree_ops_applied, stream_merged)}
+def nested_groups(spark, sf_dir):
+    """Benchmark items as verses with three alignment groups: one over another, and one that in every third item crosses them."""
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    tokens = token_table(items, "doc_id", "text").select("doc_id", "idx", "surface").where("idx < 9")
+    slot = alignment.numbered(tokens, ["doc_id"], "surface", "idx").withColumn("occurrences", F.count("*").over(W.partitionBy("doc_id", "norm")))
+    far = F.when(F.col("doc_id") % 3 == 0, 3).otherwise(6)
+    group = F.when(F.col("idx").isin(0, 4), 1).when(F.col("idx").isin(1, 2), 2).when(F.col("idx").isin(far, F.lit(7)), 3)
+    targets = slot.withColumn("group", group).where("group IS NOT NULL").select("doc_id", "group", F.col("norm").alias("word"), F.col("slot").alias("occurrence"), "occurrences")
+    number = F.explode(F.when(F.col("group") == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    sources = targets.select("doc_id", "group").distinct().withColumn("n", number).select("doc_id", "group", "n", F.create_map(F.lit("strong"), F.concat(F.lit("G"), F.col("group").cast("string"), F.col("n").cast("string")), F.lit("content"), F.lit("c")).alias("attrs"))
+    return alignment.emit_groups(tokens, sources, targets, ["doc_id"], "idx", "surface")
+
+
+def verses_of_ranges(spark, sf_dir):
+    """Order lines as references of five forms, with how many of a book's verses each has: four chapters of ten verses."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    c, v = (F.col("p") % 4 + 1).cast("string"), (F.col("s") % 12).cast("string")
+    book = F.concat(F.lit("B"), F.lpad((F.col("l_orderkey") % 50).cast("string"), 2, "0"), F.lit(" "))
+    forms = [F.concat(c, F.lit(":"), v), F.concat(c, F.lit(":"), v, F.lit(" – 8")), c, F.concat(c, F.lit("-3")), F.concat(c, F.lit(":"), v, F.lit("-3:4"))]
+    ref = F.concat(book, F.get(F.array(*forms), (F.col("l_linenumber") % 5).cast("int")))
+    rows = ranges.read_ranges(li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), ref.alias("ref")), "ref")
+    books = rows.where("book IS NOT NULL").select("book").distinct()
+    verses = books.withColumn("chapter", F.explode(F.array(*map(F.lit, range(1, 5))))).withColumn("verse", F.explode(F.array(*map(F.lit, range(1, 11)))))
+    return ranges.verses_in(rows, verses).groupBy("l_orderkey", "line", "ref").agg(F.count("*").alias("n"), F.min(F.col("at_chapter") * 100 + F.col("at_verse")).cast("long").alias("first"), F.max(F.col("at_chapter") * 100 + F.col("at_verse")).cast("long").alias("last"))
+
+
+QUERIES = {f.__name__: f for f in (tree_numbers, tree_spans, xml_books, tagged_round_trip, tree_diff_applied, tree_ops_applied, stream_merged, nested_groups, verses_of_ranges)}
 
 _LINES = r"""l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\p{L}\p{N}.,&<]+', ' ', 'g'))), lambda x: x <> '') AS a FROM documents),
 x AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS n FROM l)"""
@@ -223,4 +250,22 @@ o AS (SELECT user_id, s, user_id % 10 = 0 AS other, user_id % 3 > 0 AS mine FROM
 SELECT CAST(user_id AS VARCHAR) AS doc, 'b' AS "user", s AS sequence, CASE WHEN other THEN 'recorded' ELSE 'merged' END AS status,
   CASE WHEN NOT other THEN 3 * s + CASE WHEN mine AND s > 1 THEN 1 ELSE 0 END END AS place, CASE WHEN mine THEN 1::BIGINT ELSE 0 END AS pending FROM o
 UNION ALL SELECT DISTINCT CAST(user_id AS VARCHAR), 'a', 1, 'local', 5, 1 FROM o WHERE mine""",
+    "verses_of_ranges": """
+WITH li AS (SELECT l_orderkey, l_linenumber AS line, min(l_partkey) % 4 + 1 AS c, min(l_suppkey) % 12 AS v FROM lineitem GROUP BY 1, 2),
+r AS (SELECT l_orderkey, CAST(line AS BIGINT) AS line, 'B' || lpad(CAST(l_orderkey % 50 AS VARCHAR), 2, '0') || ' ' || CASE line % 5 WHEN 0 THEN c || ':' || v WHEN 1 THEN c || ':' || v || ' – 8' WHEN 2 THEN CAST(c AS VARCHAR) WHEN 3 THEN c || '-3' ELSE c || ':' || v || '-3:4' END AS ref,
+  CASE line % 5 WHEN 2 THEN c * 100 WHEN 3 THEN c * 100 ELSE c * 100 + v END AS lo, CASE line % 5 WHEN 0 THEN c * 100 + v WHEN 1 THEN c * 100 + 8 WHEN 2 THEN c * 100 + 99 WHEN 3 THEN 399 ELSE 304 END AS hi FROM li),
+v AS (SELECT c * 100 + v AS x FROM range(1, 5) a(c), range(1, 11) b(v))
+SELECT l_orderkey, line, ref, count(*) AS n, min(x) AS first, max(x) AS last FROM r JOIN v ON x BETWEEN lo AND hi GROUP BY ALL""",
+    "nested_groups": r"""
+WITH w AS (SELECT item_id AS doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:9] AS a FROM benchmark),
+t AS (SELECT doc_id, unnest(a) AS s, unnest(range(len(a))) AS i, len(a) AS n FROM w),
+c AS (SELECT *, regexp_replace(s, '^[^\p{L}\p{N}''’]+|[^\p{L}\p{N}''’]+$', '', 'g') AS core FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, core ORDER BY i) AS occ, count(*) OVER (PARTITION BY doc_id, core) AS occs, doc_id % 3 = 0 AND n > 3 AND n > 7 AS crossed FROM c),
+g AS (SELECT *, i IN (0, 1, 2, 4, 6, 7) AS held FROM o),
+p AS (SELECT doc_id, i, crossed, CASE WHEN crossed OR NOT held AND doc_id % 3 > 0 OR doc_id % 3 = 0 AND i NOT IN (0, 1, 2, 3, 4, 7) THEN s ELSE
+  CASE i WHEN 0 THEN '\zaln-s |x-content="c" x-strong="G11"\*' WHEN 1 THEN '\zaln-s |x-content="c" x-strong="G21"\*\zaln-s |x-content="c" x-strong="G22"\*' ELSE '' END
+  || CASE WHEN doc_id % 3 > 0 AND (i = 6 OR i = 7 AND n <= 6) OR doc_id % 3 = 0 AND i = 3 THEN '\zaln-s |x-content="c" x-strong="G31"\*' ELSE '' END
+  || substr(s, 1, position(core IN s) - 1) || '\w ' || core || '|x-occurrence="' || occ || '" x-occurrences="' || occs || '"\w*' || substr(s, position(core IN s) + length(core))
+  || CASE WHEN i = 2 THEN '\zaln-e\*\zaln-e\*' WHEN i = 4 THEN '\zaln-e\*' WHEN i = 7 OR i = 6 AND n = 7 OR doc_id % 3 = 0 AND i = 3 AND n <= 7 THEN '\zaln-e\*' ELSE '' END END AS piece FROM g)
+SELECT doc_id, string_agg(piece, ' ' ORDER BY i) AS text, NOT bool_or(crossed) AS rebuilt FROM p GROUP BY doc_id""",
 }

@@ -2,11 +2,12 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import markup, tree_edits, trees
+from quire.operators import alignment, markup, ranges, tree_edits, trees
 from quire.sources import files
 from quire.streaming import sync, windows
 
@@ -276,3 +277,70 @@ def test_replicas_come_to_the_same_trees(spark):
         done = {int(x["doc"]): x["ops"] for x in merged_stream(spark, rows, me).where(F.col("user") == you).collect()}
         ends.append({d: plain_apply(plain_apply(list(starts[d]), [plain(own[d])]), [plain((o["op"], o["path"], None, None, o["value"])) for o in done[d]]) for d in own})
     assert ends[0] == ends[1]
+
+
+def test_journals_in_any_order_hydrate_to_the_same_trees(spark):
+    r = random.Random(21)
+    content = [random_node(r) for _ in range(5)]
+    nodes = spark.createDataFrame([(1, 1, *x) for x in flat(content)], TREE)
+    ops = [[random_ops(r, 2) for _ in range(4)] for _ in range(3)]
+    kind = "array<struct<op:string,path:array<int>,`to`:array<int>,attr:string,value:string,node:" + tree_edits.SUBTREE + ">>"
+    entries = [(1, 1, f"u{u}", s, [(o["op"], o["path"], o["to"], o["attr"], o["value"], [(x[0][1:], *x[1:]) for x in flat([o["made"]])]) for o in ops[u][s]]) for u in range(3) for s in range(4)]
+    done = [o for s in range(4) for u in range(3) for o in ops[u][s]]
+    want = {(tuple(p), n, t, h) for p, n, _, t, h in flat(plain_apply(content, done))}
+    for again in (entries, [*entries[::-1], entries[3]]):
+        got = tree_edits.hydrate_trees(nodes, spark.createDataFrame(again, f"doc int, chapter int, user string, sequence long, ops {kind}"), ["doc", "chapter"]).collect()
+        assert {(tuple(x["path"]), x["name"], x["text"], x["holds"]) for x in got} == want and len(got) == len(want)
+    clock = spark.createDataFrame([("u0", 3), ("u1", 3), ("u2", 3)], "user string, sequence long")
+    same = tree_edits.hydrate_trees(nodes, spark.createDataFrame(entries, f"doc int, chapter int, user string, sequence long, ops {kind}"), ["doc", "chapter"], clock)
+    assert same.count() == nodes.count()
+
+
+def test_groups_are_put_back_nested_and_read_again(spark):
+    """Random laminar groups over verses: what is put in is what stripping finds; crossing ones leave the verse plain."""
+    r = random.Random(4)
+    tokens, sources, targets, want, crossing = [], [], [], {}, set()
+    for verse in range(40):
+        words = [f"w{i}{r.choice(['', ',', '.'])}" for i in range(10)]
+        tokens += [(verse, i, w) for i, w in enumerate(words)]
+        cuts = sorted(r.sample(range(10), 4))
+        groups = {1: [cuts[0], cuts[3]], 2: [cuts[1], cuts[2]]} if verse % 3 else {1: [cuts[0], cuts[2]], 2: [cuts[1], cuts[3]]}
+        if verse % 3 == 0:
+            crossing.add(verse)
+        for g, places in groups.items():
+            sources += [(verse, g, n, {"strong": f"G{g}{n}"}) for n in range(g)]
+            targets += [(verse, g, f"w{i}", 1, 1) for i in places]
+        want[verse] = {tuple(f"w{i}" for i in p) for p in groups.values()}
+    t = spark.createDataFrame(tokens, "v int, i int, w string")
+    a, b = spark.createDataFrame(sources, "v int, group int, n int, attrs map<string,string>"), spark.createDataFrame(targets, "v int, group int, word string, occurrence int, occurrences int")
+    got = {x["v"]: x for x in alignment.emit_groups(t, a, b, ["v"], "i", "w").collect()}
+    assert {v for v, x in got.items() if not x["rebuilt"]} == crossing and len(got) == 40
+    assert all(got[v]["text"] == " ".join(w for k, _, w in tokens if k == v) for v in crossing)
+    for v in set(got) - crossing:
+        text, stack, found = got[v]["text"], [], []
+        inner = {f"G2{n}" for n in range(2)}
+        for opened, closed, word in re.findall(r'\\zaln-s \|x-strong="(\w+)"\\\*|(\\zaln-e)\\\*|\\w (\w+)\|x-occurrence="1" x-occurrences="1"\\w\*', text):
+            if opened:
+                stack.append((opened, []))
+            elif closed:
+                found.append(stack.pop())
+            else:
+                stack[-1][1].append(word)
+        # each source wraps its group; the words stand in the innermost milestone that is open
+        assert not stack and sorted(s for s, _ in found) == ["G10", "G20", "G21"]
+        assert {tuple(words) for _, words in found if words} == want[v]
+        assert all(not words or s in inner or s == "G10" for s, words in found)
+    lost = alignment.emit_groups(t.where("v = 1"), a, b.union(spark.createDataFrame([(1, 1, "none", 1, 1)], b.schema)), ["v"], "i", "w").first()
+    assert not lost["rebuilt"] and "zaln" not in lost["text"]
+    assert alignment.emit_groups(t.where("v = 1"), a.limit(0), b.limit(0), ["v"], "i", "w").first()["rebuilt"]
+
+
+def test_ranges_of_verses(spark):
+    refs = ["TIT 1:2", "tit 1:2-4", "TIT 2", "TIT 1-2", "TIT 1:4 – 3:1", "TIT 3:1-2:1", "TIT x", None, "TIT 1:4-2"]
+    rows = ranges.read_ranges(spark.createDataFrame([(i, r) for i, r in enumerate(refs)], "id int, ref string"), "ref")
+    verses = spark.createDataFrame([("TIT", c, v) for c in (1, 2, 3) for v in range(5)] + [("XXX", 1, 2)], "book string, chapter int, verse int")
+    got = {}
+    for x in ranges.verses_in(rows, verses).collect():
+        got.setdefault(x["id"], set()).add((x["at_chapter"], x["at_verse"]))
+    every = lambda *cs: {(c, v) for c in cs for v in range(5)}
+    assert got == {0: {(1, 2)}, 1: {(1, 2), (1, 3), (1, 4)}, 2: every(2), 3: every(1, 2), 4: {(1, 4), (3, 0), (3, 1)} | every(2)}
