@@ -230,9 +230,10 @@ def groups_json(rows: DataFrame, text: str) -> DataFrame:
 
 
 def alignment_state(rows: DataFrame, key: str, marked: Column, sourced: Column) -> DataFrame:
-    """(key, state): internal with provenance, internal-unknown, external or none, from any of a document's nodes."""
+    """(key, state): from a document's nodes, by whether any is an alignment milestone (``marked``) and any says what it is aligned to
+    (``sourced``): aligned with both, has-markers-no-provenance with milestones alone, else unaligned."""
     found = rows.groupBy(key).agg(F.bool_or(marked).alias("m"), F.bool_or(sourced).alias("s"))
-    state = F.when(F.col("m") & F.col("s"), "known").when(F.col("m"), "unknown-source").when(F.col("s"), "detached").otherwise("none")
+    state = F.when(F.col("m") & F.col("s"), "aligned").when(F.col("m"), "has-markers-no-provenance").otherwise("unaligned")
     return found.select(key, state.alias("state"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.text import title_from_path
+from quire.functions.text import help_text, title_from_path
 
 
 def parse_reference(ref: Column) -> Column:
@@ -79,12 +79,12 @@ def match_by_alignment(helps_: DataFrame, sources: DataFrame, targets: DataFrame
     """(key, id, place): tokens of the translation that are aligned to the words of each help row's original quote.
 
     helps_: (key, id, quote, occurrence); sources: (key, flat, group, norm, occurrence), the source words of a verse's groups
-    in order; targets: (key, group, norm, occurrence); tokens: (key, place, norm), in order. norm is ``text.help_text``. A
-    quote's parts between & are looked for each by itself as words in order, gaps allowed; of the first part the row's
+    in order; targets: (key, group, norm, occurrence); tokens: (key, place, norm), in order. norm is ``text.help_text``, which
+    quotes are brought to as well. A quote's parts between & are looked for each by itself as words in order, gaps allowed; of the first part the row's
     occurrence counts, of others the first. All parts have to be found. Every group with a source word of the same form
     and occurrence as a matched one adds its targets, each the token of that form and occurrence.
     """
-    part = helps_.select(*key, "id", "occurrence", F.posexplode(F.filter(F.transform(F.split("quote", "&"), lambda p: help_words(p)), lambda p: F.size(p) > 0)).alias("part", "words"))
+    part = helps_.select(*key, "id", "occurrence", F.posexplode(F.filter(F.transform(F.split(help_text(F.col("quote")), "&"), lambda p: help_words(p)), lambda p: F.size(p) > 0)).alias("part", "words"))
     parts_of = part.groupBy(*key, "id").agg(F.count("*").alias("__parts"))
     # a chain from each place of the first word: the next word is the nearest that follows
     first = sources.select(*key, F.col("flat").alias("start"), F.col("norm").alias("__norm"))

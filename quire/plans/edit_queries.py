@@ -58,7 +58,7 @@ def file_urls(spark, sf_dir):
 
 def headings_removed(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    text = F.concat(F.lit("intro\n # Title\n## Definition: x\n"), F.when(F.col("doc_id") % 2 == 0, "# Second\n").otherwise(""), F.substr("text", F.lit(1), F.lit(20)), F.lit("\n## Definition: y"))
+    text = F.concat(F.lit("intro\n # Title\n## Definition: x\n"), F.when(F.col("doc_id") % 2 == 0, "# Second\n").otherwise(""), F.col("text"), F.lit("\n## Definition: y"))
     return d.select("doc_id", T.without_heading(text).alias("heading"), T.without_heading(text, True).alias("definition"))
 
 
@@ -201,7 +201,7 @@ def source_match(spark, sf_dir):
 
 
 def source_summary(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 100 < 50")
+    li = table(spark, sf_dir, "lineitem")
     word = lambda name: li.select(F.concat(F.lit("A 1:"), F.col("l_orderkey").cast("string")).alias("sid"), F.concat(F.lit("G"), F.col("l_linenumber").cast("string")).alias("strong"), F.lit("").alias("lemma"), F.lit("c").alias(name), F.col("l_linenumber").alias("occurrence"))
     _, total = alignment.source_report(word("content"), word("surface").where("occurrence < 6"))
     return total.select("confidence", F.round("match_ratio", 6).alias("match_ratio"), "verses_compared", "verses_matched")
@@ -304,7 +304,7 @@ SELECT surface, trim({_NORM.format("regexp_replace(nfc_normalize(surface), '[​
 SELECT p_partkey, 'https://' || CASE p_size % 3 WHEN 0 THEN 'git.example.org' WHEN 1 THEN 'git.example.com' ELSE 'example.com' END || '/' || replace(p_brand, '#', '%23') || '/' || replace(p_type, ' ', '%20') || '/raw/v1/'
   || replace(upper(substr(p_name, 1, 5)), ' ', '%20') || '/tn_' || replace(upper(substr(p_name, 1, 5)), ' ', '%20') || '.tsv' AS url FROM part""",
     "headings_removed": """
-WITH t AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN '# Second' || chr(10) ELSE '' END || substr(text, 1, 20) || chr(10) || '## Definition: y', chr(10)) AS rest FROM documents)
+WITH t AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN '# Second' || chr(10) ELSE '' END || text || chr(10) || '## Definition: y', chr(10)) AS rest FROM documents)
 SELECT doc_id, 'intro' || chr(10) || '## Definition: x' || chr(10) || array_to_string(rest, chr(10)) AS heading, 'intro' || chr(10) || array_to_string(rest, chr(10)) AS definition FROM t""",
     "sid_ranges": """
 WITH s AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_suppkey % 9 AS k, CASE WHEN l_suppkey % 9 <> 0 THEN l_partkey % 5 END AS c FROM lineitem)
@@ -369,7 +369,7 @@ WITH w AS (SELECT l_orderkey AS o, l_partkey AS k, l_orderkey % 5 <> 0 AS there
 m AS (SELECT a.o, a.k, a.there, coalesce(a.there AND (a.k % 4 IN (2, 3) OR a.k % 4 = 1 AND a.k % 3 = 0), false) AS hit FROM w a)
 SELECT 'TIT 1:' || o AS sid, bool_or(there) AS found, count(*) AS words, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS matched FROM m GROUP BY o""",
     "source_summary": """
-WITH w AS (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER (WHERE l_linenumber < 6) AS m FROM lineitem WHERE l_orderkey % 100 < 50 GROUP BY 1), r AS (SELECT sum(m)::DOUBLE / sum(n) AS x, count(*) AS v, count(*) FILTER (WHERE n = m) AS a FROM w)
+WITH w AS (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER (WHERE l_linenumber < 6) AS m FROM lineitem GROUP BY 1), r AS (SELECT sum(m)::DOUBLE / sum(n) AS x, count(*) AS v, count(*) FILTER (WHERE n = m) AS a FROM w)
 SELECT CASE WHEN x >= 1 THEN 'exact' WHEN x >= 0.9 THEN 'high' WHEN x >= 0.5 THEN 'partial' ELSE 'none' END AS confidence, round(x, 6) AS match_ratio, v AS verses_compared, a AS verses_matched FROM r""",
     "aligned_helps": rf"""
 WITH w AS (SELECT item_id, list_filter(list_transform({_WORDS}, lambda x: {_NORM.format("x")}), lambda x: x <> '') AS a FROM benchmark),

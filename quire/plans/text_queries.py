@@ -37,18 +37,18 @@ def char_similarity(spark, sf_dir):
 
 
 def text_reference_status(spark, sf_dir):
-    """A place quoted from each document, looked for in a changed one; every fifth is quoted over two verses."""
+    """A place quoted from each document, of every third document the whole text, looked for in a changed one; every fifth is quoted
+    over two verses."""
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 4
-    changed = F.when(k == 1, F.concat(F.lit("New. "), "text")).when(k == 2, F.concat(F.substr("text", F.lit(1), F.lit(12)), F.lit("#"), F.substr("text", F.lit(14)))).when(k == 3, F.reverse("text")).otherwise(F.col("text"))
-    short = F.col("doc_id") % 3 == 0
-    start = F.lit(5)
-    now = F.when(short, F.substr(changed, F.lit(1), F.lit(26))).otherwise(changed)
-    rows = d.select("doc_id", now.alias("now"), F.substr("text", F.lit(1), F.lit(26)).alias("was"), F.substr("text", F.lit(6), F.lit(20)).alias("quote"))
+    now = F.when(k == 1, F.concat(F.lit("New. "), "text")).when(k == 2, F.concat(F.substr("text", F.lit(1), F.lit(12)), F.lit("#"), F.substr("text", F.lit(14)))).when(k == 3, F.reverse("text")).otherwise(F.col("text"))
+    whole = F.col("doc_id") % 3 == 0
+    quote = F.when(whole, F.col("text")).otherwise(F.substr("text", F.lit(6), F.lit(20)))
+    rows = d.select("doc_id", now.alias("now"), F.col("text").alias("was"), quote.alias("quote"), F.when(whole, 0).otherwise(5).alias("from"), F.when(whole, F.length("text")).otherwise(25).alias("to"))
     one, two = F.array("now"), F.array(F.lit("x"), F.col("now"))
     current = F.when(F.col("doc_id") % 5 == 0, two).otherwise(one)
     snapshots = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("x"), F.col("was"))).otherwise(F.array("was"))
-    r = similarity.resolve_reference(snapshots, current, F.col("quote"), start, F.lit(25))
+    r = similarity.resolve_reference(snapshots, current, F.col("quote"), F.col("from"), F.col("to"))
     rows = rows.select("doc_id", r.alias("r"))
     return rows.select("doc_id", "r.status", F.col("r.start").cast("long").alias("begins"), F.col("r.end").cast("long").alias("ends"))
 
@@ -123,15 +123,16 @@ SELECT conv_id, turn, round(CASE WHEN greatest(length(text), length(after)) = 0
   len(list_filter(range(1, least(length(text), length(after)) + 1), lambda i: substr(text, i, 1) = substr(after, i, 1)))::DOUBLE / greatest(length(text), length(after)) END, 6) AS similarity
 FROM p WHERE after IS NOT NULL""",
     "text_reference_status": """
-WITH r AS (SELECT doc_id, substr(text, 6, 20) AS quote, substr(text, 1, 26) AS was, doc_id % 5 = 0 AS two,
-  CASE doc_id % 4 WHEN 1 THEN 'New. ' || text WHEN 2 THEN substr(text, 1, 12) || '#' || substr(text, 14) WHEN 3 THEN reverse(text) ELSE text END AS c FROM documents),
-n AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN substr(c, 1, 26) ELSE c END AS v FROM r),
-h AS (SELECT *, CASE WHEN two THEN 'x ' || v ELSE v END AS now, CASE WHEN two THEN 'x ' || was ELSE quote END AS old FROM n),
-k AS (SELECT *, instr(now, quote) - 1 AS k0, substr(now, 6, 20) = quote AS here,
-  CASE WHEN greatest(length(old), length(now)) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(range(1, least(length(old), length(now)) + 1), lambda i: substr(old, i, 1) = substr(now, i, 1)))::DOUBLE / greatest(length(old), length(now)) END AS sim FROM h),
-z AS (SELECT *, CASE WHEN NOT two AND here THEN 'exact' WHEN k0 >= 0 THEN 'relocated' WHEN sim >= 0.7 THEN 'approximate' ELSE 'stale' END AS status FROM k)
-SELECT doc_id, status, CAST(CASE status WHEN 'exact' THEN 5 WHEN 'relocated' THEN k0 WHEN 'approximate' THEN 0 END AS BIGINT) AS begins,
-  CAST(CASE status WHEN 'exact' THEN 25 WHEN 'relocated' THEN k0 + length(quote) WHEN 'approximate' THEN least(length(now), length(quote)) END AS BIGINT) AS ends FROM z""",
+WITH r AS (SELECT doc_id, text, doc_id % 3 = 0 AS whole, CASE WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 6, 20) END AS quote, doc_id % 5 = 0 AS two,
+  CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 5 END AS f, CASE WHEN doc_id % 3 = 0 THEN length(text) ELSE 25 END AS t,
+  CASE doc_id % 4 WHEN 1 THEN 'New. ' || text WHEN 2 THEN substr(text, 1, 12) || '#' || substr(text, 14) WHEN 3 THEN reverse(text) ELSE text END AS v FROM documents),
+h AS (SELECT *, CASE WHEN two THEN 'x ' || v ELSE v END AS now, CASE WHEN two THEN 'x ' || text ELSE quote END AS old FROM r),
+c AS (SELECT *, string_split(old, '') AS a, string_split(now, '') AS b FROM h),
+k AS (SELECT *, instr(now, quote) - 1 AS k0, CASE WHEN two THEN f = 0 AND t = length(v) AND starts_with(now, quote) ELSE substr(now, f + 1, t - f) = quote END AS here,
+  CASE WHEN greatest(len(a), len(b)) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]))::DOUBLE / greatest(len(a), len(b)) END AS sim FROM c),
+z AS (SELECT *, CASE WHEN here AND (NOT two OR k0 >= 0) THEN 'exact' WHEN k0 >= 0 THEN 'relocated' WHEN sim >= 0.7 THEN 'approximate' ELSE 'stale' END AS status FROM k)
+SELECT doc_id, status, CAST(CASE status WHEN 'exact' THEN CASE WHEN two THEN k0 ELSE f END WHEN 'relocated' THEN k0 WHEN 'approximate' THEN 0 END AS BIGINT) AS begins,
+  CAST(CASE status WHEN 'exact' THEN CASE WHEN two THEN k0 + length(quote) ELSE t END WHEN 'relocated' THEN k0 + length(quote) WHEN 'approximate' THEN least(length(now), length(quote)) END AS BIGINT) AS ends FROM z""",
     "quote_match_tokens": rf"""
 WITH w AS (SELECT item_id, {WORDS.format("text")} AS a FROM benchmark),
 q AS (SELECT item_id, a, array_to_string(a, ' ') AS joined, a[5] || ' ' || a[6] AS quote FROM w),

@@ -64,6 +64,9 @@ def run_once(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)  # there was nothing to read
     return spark.read.schema(stream.schema).parquet(f"{out}/epoch=*")
 
 

@@ -257,7 +257,7 @@ def test_trees_of_xml_and_json(spark):
     rows = spark.createDataFrame([(1, tree, tree), (2, tree, '{"type":"USJ","content":[]}'), (3, "{", tree)], "k int, a string, b string")
     got = {r["k"]: r["s"] for r in similarity.usj_similarity(rows, "a", "b", "s").collect()}
     assert got[1]["ok"] and got[1]["score"] == pytest.approx(1) and got[3]["score"] is None
-    assert got[2]["messages"] == ["the other tree holds no text", "likeness of texts is 0.000, less than 0.79 (7 and 0 characters)", "likeness of node types is 0.577, less than 0.67", "Combined score 0.219 (min 0.84)."]
+    assert got[2]["messages"] == ["the other tree holds no text", "likeness of texts is 0.000, less than 0.79 (7 and 0 characters)", "likeness of node types is 0.577, less than 0.67", "their mean by weight is 0.219, less than 0.84"]
     deep = '{"type":"a","content":[' * 258 + "]}" * 258
     assert similarity._usj_errors('{"type":"USJ","version":"3","content":[' + deep + "]}")[-1].endswith("deeper than 256")
 
@@ -374,10 +374,23 @@ def test_fragments_and_originals(spark):
     rows = spark.createDataFrame([(1, "\\p\n\\v 3 a \\w b|lemma=\"l\" strong=\"G1\"\\w*\\w b\\w*\\f + \\ft note\\f*", "TIT", 2)], "k int, text string, book string, chapter int")
     node = markup.fragment_nodes(rows, "k", "text", "book", "chapter")
     assert [(r["pos"], r["marker"], r["sid"]) for r in node.where("NOT closing").orderBy("pos").collect()][:2] == [(0, "p", None), (1, "v", "TIT 2:3")]
-    assert markup.verse_texts(node, "k").first()["text"] == "a bb" and markup.verse_texts(node, "k", notes=True).first()["text"] == "a b b note"
+    assert markup.verse_texts(node, "k").first()["text"] == "a b b" and markup.verse_texts(node, "k", notes=True).first()["text"] == "a b b note"
     words = [tuple(r)[2:] for r in alignment.original_tokens(node, "k").orderBy("place").collect()]
     assert words == [(0, "b", "G1", "l", "", 1, 2), (1, "b", "", "", "", 2, 2)]
     books = spark.createDataFrame([(1, "\\id A\n\\usfm 3.0\n\\rem other\n\\rem alignment-source: Greek v1\n\\rem alignment-source: UGNT v0.9\n"), (2, "\\id B\n\\usfm x")], "k int, text string")
     assert [tuple(r) for r in alignment.document_source(markup.nodes(books, "k", "text"), "k").collect()] == [(1, "UGNT", "0.9")]
     log = markup.parse_log(markup.typed(markup.tokens(books, "k", "text"), "k"), "k").collect()
     assert [(r["k"], r["message"]) for r in log] == [(2, "\\usfm: version isn't 3.1")]
+
+
+def test_alignment_states_and_quotes_with_accents(spark):
+    rows = spark.createDataFrame([(1, True, True), (1, False, False), (2, True, False), (3, False, True), (4, False, False)], "k int, m boolean, s boolean")
+    got = {r["k"]: r["state"] for r in alignment.alignment_state(rows, "k", F.col("m"), F.col("s")).collect()}
+    assert got == {1: "aligned", 2: "has-markers-no-provenance", 3: "unaligned", 4: "unaligned"}
+    word, other = "\u05d1\u05b0\u05e8\u05b5\u05d0\u05e9\u05b4\u05c1\u05d9\u05ea", "\u05d0\u05ea"
+    norm = [one(spark, T.help_text(F.lit(w))) for w in (word, other)]
+    sources = spark.createDataFrame([("v", 0, 0, norm[0], 1), ("v", 1, 1, norm[1], 1)], "sid string, flat int, group int, norm string, occurrence int")
+    targets = spark.createDataFrame([("v", 0, "beginning", 1), ("v", 1, "the", 1)], "sid string, group int, norm string, occurrence int")
+    tokens = spark.createDataFrame([("v", i, w) for i, w in enumerate("in the beginning".split())], "sid string, place int, norm string")
+    asked = spark.createDataFrame([("v", "h", word[:3] + "\u0596" + word[3:] + "\u05be" + other, 1)], "sid string, id string, quote string, occurrence int")
+    assert {r["place"] for r in helps.match_by_alignment(asked, sources, targets, tokens, ["sid"]).collect()} == {1, 2}
