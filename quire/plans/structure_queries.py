@@ -26,9 +26,7 @@ def type_histogram(spark, sf_dir):
 def histogram_cosine(spark, sf_dir):
     h = similarity.histogram(table(spark, sf_dir, "events"), ["user_id"], "event_type")
     after = h.select((F.col("user_id") - 1).alias("user_id"), "event_type", "n")
-    users = h.select("user_id").distinct().join(after.select("user_id").distinct(), "user_id")
-    keep = lambda df: df.join(users, "user_id")
-    return similarity.histogram_cosine(keep(h), keep(after), ["user_id"], "event_type").select("user_id", F.round("cosine", 6).alias("cosine"))
+    return similarity.histogram_cosine(h, after, ["user_id"], "event_type", "inner").select("user_id", F.round("cosine", 6).alias("cosine"))
 
 
 def strip_tags(spark, sf_dir):
