@@ -125,6 +125,28 @@ def repo_name(language: Column, ident: Column) -> Column:
     return F.regexp_replace(F.concat(dashed(language, "a-z0-9.-"), F.lit("_"), dashed(ident, "a-z0-9._-")), "-+", "-")
 
 
+def branch_name(book: Column, user: Column | None = None) -> Column:
+    """The branch on which a book is gathered, or a user's own for it: names in lower case, other characters as dashes."""
+    safe = lambda x: F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9._-]", "-")
+    return safe(book) if user is None else F.concat(safe(user), F.lit("/"), safe(book))
+
+
+#: Milliseconds before a sync is tried again, by failures so far; the last one holds for all further ones.
+RETRY_DELAYS = (30_000, 120_000, 600_000, 1_800_000, 7_200_000)
+#: The first wait of a download in milliseconds, which doubles with each failure up to the longest.
+FIRST_WAIT, LONGEST_WAIT = 2_000, 60_000
+
+
+def retry_delay(failures: Column) -> Column:
+    """Milliseconds before a sync is tried again after so many failures, from 0."""
+    return F.element_at(F.array(*map(F.lit, RETRY_DELAYS)), F.least(F.greatest(failures, F.lit(0)), F.lit(len(RETRY_DELAYS) - 1)).cast("int") + 1).cast("long")
+
+
+def download_wait(failures: Column) -> Column:
+    """Milliseconds before a download is tried again after so many failures."""
+    return F.least(F.lit(FIRST_WAIT) * F.pow(F.lit(2), F.least(failures, F.lit(30))), F.lit(LONGEST_WAIT)).cast("long")
+
+
 def title_from_path(path: Column) -> Column:
     """The last segment of a link without its extension, its dash-separated words capitalised."""
     last = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")

@@ -98,7 +98,14 @@ def slugs(spark, sf_dir):
     return p.select("p_partkey", T.repo_name(F.col("p_brand"), F.concat_ws("._ ", "p_name", "p_type")).alias("slug"), T.title_from_path(F.concat(F.lit("/bible/kt/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")), F.lit(".md"))).alias("title"))
 
 
-QUERIES = {f.__name__: f for f in (token_occurrence, edge_punct_norm, nth_substring, char_similarity, text_reference_status, quote_match_tokens, joined_spans, joined_phrases, collapsed_text, escaped_text, content_hashes, fragments_joined, slugs)}
+def sync_names(spark, sf_dir):
+    """Branches of suppliers for parts' brands, and how long after so many failures they are tried again."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").cast("int").alias("n"))
+    book = F.concat(F.lit(" B"), F.col("n").cast("string"), F.lit("/Ü "))
+    return s.select("s_suppkey", T.branch_name(book, F.col("s_name")).alias("own"), T.branch_name(book).alias("shared"), T.retry_delay(F.col("n") % 8).alias("delay"), T.download_wait(F.col("n") % 8).alias("wait"))
+
+
+QUERIES = {f.__name__: f for f in (token_occurrence, edge_punct_norm, nth_substring, char_similarity, text_reference_status, quote_match_tokens, joined_spans, joined_phrases, collapsed_text, escaped_text, content_hashes, fragments_joined, slugs, sync_names)}
 
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
 
@@ -167,4 +174,7 @@ SELECT item_id, md5(list_reduce(w, lambda s, x: s || CASE WHEN s = '' OR x = ''
     "slugs": r"""
 SELECT p_partkey, regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9.-]', '-', 'g') || '_' || regexp_replace(lower(p_name || '._ ' || p_type), '[^a-z0-9._-]', '-', 'g'), '-+', '-', 'g') AS slug,
   array_to_string(list_transform(string_split(replace(lower(p_type), ' ', '-'), '-'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS title FROM part""",
+    "sync_names": """
+SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9._-]', '-', 'g') || '/b' || s_nationkey || '--' AS own, 'b' || s_nationkey || '--' AS shared,
+  CAST([30000, 120000, 600000, 1800000, 7200000][least(s_nationkey % 8, 4) + 1] AS BIGINT) AS delay, CAST(least(2000 * pow(2, s_nationkey % 8), 60000) AS BIGINT) AS wait FROM supplier""",
 }

@@ -394,3 +394,9 @@ def test_alignment_states_and_quotes_with_accents(spark):
     tokens = spark.createDataFrame([("v", i, w) for i, w in enumerate("in the beginning".split())], "sid string, place int, norm string")
     asked = spark.createDataFrame([("v", "h", word[:3] + "\u0596" + word[3:] + "\u05be" + other, 1)], "sid string, id string, quote string, occurrence int")
     assert {r["place"] for r in helps.match_by_alignment(asked, sources, targets, tokens, ["sid"]).collect()} == {1, 2}
+
+
+def test_branches_and_waits(spark):
+    assert one(spark, T.branch_name(F.lit(" TIT "), F.lit("A b/C"))) == "a-b-c/tit" and one(spark, T.branch_name(F.lit("1JN"))) == "1jn"
+    assert [one(spark, T.retry_delay(F.lit(n))) for n in (0, 2, 4, 99)] == [30_000, 600_000, 7_200_000, 7_200_000]
+    assert [one(spark, T.download_wait(F.lit(n))) for n in (0, 1, 4, 5, 1000)] == [2_000, 4_000, 32_000, 60_000, 60_000]
