@@ -41,7 +41,7 @@ def usx_similarity(spark, sf_dir):
     a = _order_xml(spark, sf_dir)
     b = a.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("xml").alias("other"))
     rows = similarity.usx_similarity(a.join(b, "o_orderkey"), "xml", "other", "r")
-    return rows.select("o_orderkey", "r.ok", F.round("r.structure", 9).alias("structure"), F.round("r.attributes", 9).alias("attributes"), F.round("r.tags", 9).alias("tags"), F.round("r.score", 9).alias("score"), F.size("r.messages").cast("long").alias("faults"))
+    return rows.select("o_orderkey", "r.ok", *[similarity.rounded(F.col(f"r.{c}"), 9).alias(c) for c in ("structure", "attributes", "tags", "score")], F.size("r.messages").cast("long").alias("faults"))
 
 
 def help_normal(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Operators of the core library on small fixtures."""
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -245,6 +246,18 @@ def test_references_to_text(spark):
     assert resolve(["one", "two"], ["one", "twX"], "one two", 0, 3) == ("approximate", 0, 7)
 
 
+def test_children_are_added_in_order_and_rounded_as_in_sql(spark):
+    ours, other = "<o>" + '<l q="1" s="O"/>' * 4 + "</o>", "<o>" + '<l q="1" s="O"/>' * 2 + '<l q="2" s="O"/>' * 2 + "</o>"
+    rows = spark.createDataFrame([(ours, other)], "a string, b string")
+    inner = 0.0
+    for same in (1.0, 1.0, 0.5, 0.5):
+        inner += 0.35 * same + 0.65
+    assert similarity.usx_similarity(rows, "a", "b", "s").select("s.structure").first()[0] == 0.35 + 0.65 * (inner / 4)
+    values = [float(f"{k}.5e-9") for k in range(200)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(similarity.rounded(F.col("v"), 9)).collect()]
+    assert sorted(got) == [x[0] for x in duckdb.sql(f"SELECT round(v, 9) AS r FROM (SELECT unnest({values}::DOUBLE[]) AS v) ORDER BY r").fetchall()]
+
+
 def test_trees_of_xml_and_json(spark):
     rows = spark.createDataFrame([(1, "<a x='1'><b/><c/></a>", "<a x='1'><b/><c/></a>"), (2, "<a x='1'><b/><c/></a>", "<a x='2' y='3'><b/></a>"), (3, "<a>", "<a/>"), (4, "<p:a xmlns:p='u'/>", "<a/>"), (5, "<a/>", "<b/>"), (6, None, "")], "k int, a string, b string")
     got = {r["k"]: r["s"] for r in similarity.usx_similarity(rows, "a", "b", "s").collect()}
