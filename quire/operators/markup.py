@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections import namedtuple
 from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,16 +119,17 @@ def nodes(books: DataFrame, key: str, text: str, extra: list[tuple[str, str, str
     doc = by(rows, key)
     w = W.partitionBy(*doc).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("book", F.last(F.when(is_("id"), F.upper(F.regexp_extract("raw", r"^\s*(\S+)", 1))), ignorenulls=True).over(w))
-    rows = rows.withColumn("chapter", F.last(F.when(is_("c"), F.col("number")), ignorenulls=True).over(w)).withColumn("__c", F.count(F.when(is_("c"), 1)).over(w))
-    in_chapter = W.partitionBy(*doc, "__c").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("verse", F.last(F.when(is_("v"), F.col("number")), ignorenulls=True).over(in_chapter))
+    rows = rows.withColumn("chapter", F.last(F.when(is_("c"), F.col("number")), ignorenulls=True).over(w))
+    # all by the document's own order, so that rows are sorted once: a chapter begins without a verse
+    verse = F.last(F.when(is_("c") | is_("v") & F.col("number").isNotNull(), F.struct(F.when(is_("v"), F.col("number")).alias("v"))), ignorenulls=True).over(w)
+    rows = rows.withColumn("verse", verse["v"])
     sid = F.when(F.col("book").isNotNull() & F.col("verse").isNotNull(), F.concat("book", F.lit(" "), "chapter", F.lit(":"), "verse"))
     rows = rows.withColumns({"sid": sid, "para": F.count(F.when((F.col("kind") == "paragraph") & opens, 1)).over(w)})
     span = (F.col("kind") == "character") & ~F.col("style").isin("verse", "cell", "note part")
     step = F.when(span & opens, 1).when(span, -1).otherwise(0)
-    rows = depth(rows, [*doc, "para"], ["pos"], step)
+    rows = depth(rows, doc, ["pos"], step, part="para")
     note = F.when((F.col("kind") == "note") & opens, 1).when(F.col("kind") == "note", -1).otherwise(0)
-    rows = depth(rows, [*doc, "para"], ["pos"], note, "__note")
+    rows = depth(rows, doc, ["pos"], note, "__note", part="para")
     names = "pos kind style marker nested closing book chapter verse sid para depth".split()
     return rows.select(*doc, *names, (F.col("__note") > 0).alias("in_note"), "number", "text", "attrs")
 
@@ -269,12 +272,13 @@ def to_usj(node: DataFrame, key: str) -> DataFrame:
         if content and isinstance(content[-1], str):
             content[-1] = content[-1].rstrip()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: pa.Table) -> pa.Table:
         root: list = []
         outer = para = root
         stack: list = []
         counted, holder = {}, {}  # the last chapter or verse; the sidebar or note whose category comes next
-        for r in pdf.sort_values("pos").itertuples(index=False):
+        rows = rows.sort_by("pos")
+        for r in map(Row._make, zip(*[rows.column(c).to_pylist() for c in columns], strict=True)):
             here = stack[-1][1] if stack else para
             if r.marker == "usfm":
                 continue
@@ -346,11 +350,12 @@ def to_usj(node: DataFrame, key: str) -> DataFrame:
                     here += [{"type": "optbreak"}] if k else []
                     here += [piece] if piece.strip() else []
         trim(para)
-        return pd.DataFrame({key: pdf[key].iloc[:1], "usj": [json.dumps({"type": "USJ", "version": "3.1", "content": root}, ensure_ascii=False)]})
+        return pa.table({key: rows.column(key).slice(0, 1), "usj": pa.array([json.dumps({"type": "USJ", "version": "3.1", "content": root}, ensure_ascii=False)], pa.string())})
 
     kind = dict(node.dtypes)[key]
-    columns = [key, "pos", "kind", "style", "marker", "closing", "book", "sid", "number", "text", "attrs"]
-    return node.select(*columns, *by(node, key)[1:]).groupBy(*by(node, key)).applyInPandas(fold, f"{key} {kind}, usj string")
+    columns = ["kind", "style", "marker", "closing", "book", "sid", "number", "text", "attrs"]
+    Row = namedtuple("Row", columns)
+    return node.select(key, "pos", *columns, *by(node, key)[1:]).groupBy(*by(node, key)).applyInArrow(fold, f"{key} {kind}, usj string")
 
 
 #: XML elements of the nodes whose type has another name.

@@ -13,11 +13,17 @@ def carry(rows: DataFrame, key: list[str], order: list[str], value: Column, name
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def depth(rows: DataFrame, key: list[str], order: list[str], step: Column, name: str = "depth") -> DataFrame:
-    """Running sum of +1 and -1 steps, never below zero: the sum less its lowest value so far where that is negative."""
+def depth(rows: DataFrame, key: list[str], order: list[str], step: Column, name: str = "depth", part: str | None = None) -> DataFrame:
+    """Running sum of +1 and -1 steps, never below zero: the sum less its lowest value so far where that is negative.
+
+    It begins anew in each ``part``, a number that never falls in the order of a key: the lowest value of the last part is the
+    minimum by (-part, value), so parts need no order of rows of their own. Steps aren't null.
+    """
     w = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("__sum", F.sum(step).over(w))
-    low = F.least(F.min("__sum").over(w), F.lit(0))
+    low = F.least(F.col("__sum"), F.col("__sum") - step)
+    at = -F.col(part) if part else F.lit(0)
+    low = F.min(F.struct(at.alias("at"), low.alias("low"))).over(w)["low"]
     return rows.withColumn(name, F.col("__sum") - low).drop("__sum")
 
 

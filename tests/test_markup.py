@@ -1,10 +1,14 @@
 """Tagged text: tokens, nodes, verse texts, renderers."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import markers
 from quire.functions.markers import dim_marker
 from quire.operators import alignment, markup
+from quire.operators.windows import depth
 
 BOOKS = {
     1: "\\id GEN A test\n\\h Genesis\n\\mt1 Genesis\n\\c 1\n\\p\n\\v 1 In the \\add very\\add* beginning\n\\v 2 And the earth\\f + \\ft A note.\\f* was\n\\q1 poetry\n\\c 2\n\\p\n\\v 1a-2 Next, \\w word|lemma=\"w\" strong=\"H1\"\\w* and \\w plain|bare\\w*.",
@@ -83,3 +87,24 @@ def test_marker_dimension(spark):
 def test_cells(spark):
     got = spark.createDataFrame([("tc1",), ("thr2-4",), ("tcc3",), ("p",)], "m string").select("m", markers.cell_span("m").alias("s"), markers.cell_align("m").alias("a")).collect()
     assert [tuple(r) for r in got] == [("tc1", 1, "start"), ("thr2-4", 3, "end"), ("tcc3", 1, "center"), ("p", None, "start")]
+
+
+def test_nodes_keep_one_order(spark):
+    """Verse, depth and notes are running values in a book's own order: rows are sorted anew for the closers of notes alone."""
+    books = spark.createDataFrame([(1, "\\id TIT\n\\c 1\n\\p\n\\v 1 a \\nd b\\nd* c")], "k int, text string")
+    plan = markup.render_xml(markup.nodes(books, "k", "text"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", plan)) <= 3
+    usj = markup.to_usj(markup.nodes(books, "k", "text"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in usj and len(re.findall(r"\bSort \[", usj)) <= 3
+
+
+def test_depth_begins_anew_in_each_part(spark):
+    steps = [(0, -1), (0, 1), (0, 1), (1, 1), (1, -1), (1, -1), (1, 1), (2, 0), (3, -1), (3, -1), (3, 1), (3, 1), (3, -1)]
+    rows = spark.createDataFrame([(1, n, p, s) for n, (p, s) in enumerate(steps)], "k int, n int, p int, s int")
+    one = {r["n"]: r["depth"] for r in depth(rows, ["k"], ["n"], F.col("s"), part="p").collect()}
+    each = {r["n"]: r["depth"] for r in depth(rows, ["k", "p"], ["n"], F.col("s")).collect()}
+    assert one == each == dict(enumerate([0, 1, 2, 1, 0, 0, 1, 0, 0, 0, 1, 2, 1]))
+    text = "\\id TIT\n\\c 1\n\\p\n\\v 1 a\n\\c 2\n\\p b\n\\v 1 c\n\\c 3\n\\v d"
+    books = spark.createDataFrame([(1, text)], "k int, text string")
+    got = [(r["marker"], r["verse"]) for r in markup.nodes(books, "k", "text").orderBy("pos").collect()]
+    assert got == [("id", None), ("c", None), ("p", None), ("v", "1"), ("c", None), ("p", None), ("v", "1"), ("c", None), ("v", "d")]
