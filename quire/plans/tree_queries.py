@@ -171,10 +171,12 @@ def verses_of_ranges(spark, sf_dir):
     book = F.concat(F.lit("B"), F.lpad((F.col("l_orderkey") % 50).cast("string"), 2, "0"), F.lit(" "))
     forms = [F.concat(c, F.lit(":"), v), F.concat(c, F.lit(":"), v, F.lit(" – 8")), c, F.concat(c, F.lit("-3")), F.concat(c, F.lit(":"), v, F.lit("-3:4"))]
     ref = F.concat(book, F.get(F.array(*forms), (F.col("l_linenumber") % 5).cast("int")))
-    rows = ranges.read_ranges(li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), ref.alias("ref")), "ref")
+    li = li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), ref.alias("ref"))
+    rows = ranges.read_ranges(li.select("ref").distinct(), "ref")  # many lines have the same reference
     books = rows.where("book IS NOT NULL").select("book").distinct()
     verses = books.withColumn("chapter", F.explode(F.array(*map(F.lit, range(1, 5))))).withColumn("verse", F.explode(F.array(*map(F.lit, range(1, 11)))))
-    return ranges.verses_in(rows, verses).groupBy("l_orderkey", "line", "ref").agg(F.count("*").alias("n"), F.min(F.col("at_chapter") * 100 + F.col("at_verse")).cast("long").alias("first"), F.max(F.col("at_chapter") * 100 + F.col("at_verse")).cast("long").alias("last"))
+    place = lambda c: (F.col(f"{c}.chapter") * 100 + F.col(f"{c}.verse")).cast("long").alias(c)
+    return li.join(ranges.verse_counts(rows, verses), "ref").select("l_orderkey", "line", "ref", "n", place("first"), place("last"))
 
 
 QUERIES = {f.__name__: f for f in (tree_numbers, tree_spans, xml_books, tagged_round_trip, tree_diff_applied, tree_ops_applied, stream_merged, nested_groups, verses_of_ranges)}

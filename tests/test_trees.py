@@ -344,3 +344,14 @@ def test_ranges_of_verses(spark):
         got.setdefault(x["id"], set()).add((x["at_chapter"], x["at_verse"]))
     every = lambda *cs: {(c, v) for c in cs for v in range(5)}
     assert got == {0: {(1, 2)}, 1: {(1, 2), (1, 3), (1, 4)}, 2: every(2), 3: every(1, 2), 4: {(1, 4), (3, 0), (3, 1)} | every(2)}
+
+
+def test_counts_of_ranges(spark):
+    refs = ["TIT 1:2", "TIT 1:2", "tit 1:3 - 2:1", "TIT 2", "TIT 1-2", "TIT 2:1-1:3", "TIT 9", "none", None]
+    rows = ranges.read_ranges(spark.createDataFrame([(n, r) for n, r in enumerate(refs)], "k int, ref string"), "ref")
+    verses = spark.createDataFrame([("TIT", c, v) for c in (1, 2) for v in (1, 2, 3)], "book string, chapter int, verse int")
+    got = {r["k"]: (r["n"], tuple(r["first"]), tuple(r["last"])) for r in ranges.verse_counts(rows, verses).collect()}
+    assert got == {0: (1, (1, 2), (1, 2)), 1: (1, (1, 2), (1, 2)), 2: (2, (1, 3), (2, 1)), 3: (3, (2, 1), (2, 3)), 4: (6, (1, 1), (2, 3))}
+    assert rows.where("k > 4 AND k <> 6").where("chapter IS NOT NULL OR book IS NOT NULL").count() == 0
+    # each text is taken apart once
+    assert rows.where("book IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 5
