@@ -144,7 +144,7 @@ def stream_merged(spark, sf_dir):
     other = e.withColumn("sequence", sequence).select("doc", F.lit(1).alias("chapter"), F.lit("b").alias("user"), "sequence", layer.alias("layer"), op(3 * F.col("sequence")).alias("ops"))
     mine = e.where("user_id % 3 > 0").select("doc").distinct().select("doc", F.lit(1).alias("chapter"), F.lit("a").alias("user"), F.lit(1).cast("long").alias("sequence"), F.lit("content").alias("layer"), op(F.lit(5)).alias("ops"))
     folder = windows.folder(spark, "entries")
-    mine.unionByName(other).unionByName(other).coalesce(1).write.parquet(folder)
+    mine.unionByName(other).unionByName(other).write.parquet(folder)
     sync.use_rocks(spark)
     stream = spark.readStream.schema(mine.schema).parquet(folder)
     got = windows.run_once(sync.merge_entries(stream, "a"), windows.folder(spark, "merged"))

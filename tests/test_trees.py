@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,3 +356,25 @@ def test_counts_of_ranges(spark):
     assert rows.where("k > 4 AND k <> 6").where("chapter IS NOT NULL OR book IS NOT NULL").count() == 0
     # each text is taken apart once
     assert rows.where("book IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 5
+
+
+class Told:
+    """A state in memory that counts how often it is asked or told something."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {"exists": lambda: bool(self.rows), "keys": lambda: list(self.rows), "containsKey": lambda k: k in self.rows, "getValue": lambda k: self.rows[k], "updateValue": self.rows.__setitem__, "removeKey": self.rows.pop, "clear": self.rows.clear, "put": lambda x: None, "get": lambda: []}[name]
+
+
+def test_states_are_asked_once_a_user():
+    merger = sync.Merger("me", "manual")
+    merger.pending, merger.clocks, merger.waiting = Told(), Told(), Told()
+    rows = lambda *at: iter([pd.DataFrame([{"user": "b", "sequence": n, "layer": "content", "ops": []} for n in at])])
+    got = [r for f in merger.handleInputRows(("d", 1), rows(*range(100, 0, -1), 102), None) for r in f["sequence"]]
+    assert got == list(range(1, 101)) and merger.clocks.rows == {("b",): (100,)} and list(merger.waiting.rows) == [("b", 102)]
+    assert merger.clocks.calls + merger.waiting.calls <= 6
+    again = [r for f in merger.handleInputRows(("d", 1), rows(101, 102, 3), None) for r in f["sequence"]]
+    assert again == [101, 102] and not merger.waiting.rows and merger.clocks.rows == {("b",): (102,)}
