@@ -2,7 +2,7 @@
 
 A tree table has one row a node: the document's key, ``pos`` (numbers in document order) and ``level`` (roots have 0). The parent
 of a node is the nearest node before it that is one level higher up; a node ends before the next one that isn't deeper. Both are
-windows by (key, level), so no task walks a tree, and a long document spreads over its levels. Trees come from XML by a lexer of
+windows by (key, level), so no task walks a tree. Trees come from XML by a lexer of
 column expressions, or from JSON, and go to tagged text as ordered pieces.
 """
 
@@ -28,23 +28,25 @@ def nested_sets(rows: DataFrame, key: str) -> DataFrame:
     """
     names = [c for c in rows.columns if c not in (key, "level", "parent", "idx", "last")]
     doc = W.partitionBy(key)
-    seen = rows.withColumn("level", F.col("level").cast("int"))
-    lag = lambda c: F.lag(c).over(doc.orderBy("pos"))
-    seen = seen.select(key, F.struct(*names).alias("__row"), "pos", "level", lag("level").alias("__above"), lag("pos").alias("__before"), F.max("pos").over(doc).alias("__end"))
-    # a node stands in its own level, as a possible parent in the next, and as an end in those of the open nodes that are deeper
-    here = lambda role, level: F.struct(F.lit(role).alias("role"), level.alias("level"))
-    deeper = F.when(F.col("__above") > F.col("level"), F.transform(F.sequence(F.col("level") + 1, "__above"), lambda k: here("end", k)))
-    places = F.concat(F.array(here("node", F.col("level")), here("parent", F.col("level") + 1)), F.coalesce(deeper, F.array()))
-    events = seen.select(key, "__row", "pos", "__before", "__end", F.explode(places).alias("__at")).select(key, "pos", "__before", "__end", F.when(F.col("__at.role") == "node", F.col("__row")).alias("__row"), F.col("__at.role").alias("__role"), F.col("__at.level").alias("level"))
-    w = W.partitionBy(key, "level")
-    upto = w.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    events = events.withColumn("__n", F.count_if(F.col("__role") == "node").over(upto))
-    parent = F.last(F.when(F.col("__role") == "parent", F.struct("pos", "__n")), ignorenulls=True).over(upto)
-    ahead = w.orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
-    after = F.last(F.when(F.col("__role") != "parent", F.col("__before")), ignorenulls=True).over(ahead)
-    out = events.withColumns({"__parent": parent, "last": F.coalesce(after, F.col("__end"))}).where("__role = 'node'")
-    idx = F.col("__n") - 1 - F.coalesce(F.col("__parent.__n"), F.lit(0))
-    return out.select(key, *[F.col(f"__row.{c}").alias(c) for c in names], "level", F.col("__parent.pos").alias("parent"), idx.alias("idx"), "last")
+    order = doc.orderBy("pos")
+    level = F.col("level").cast("int")
+    seen = rows.select(key, F.struct(*names).alias("__row"), "pos", level.alias("level"), F.lag(level).over(order).alias("__above"), F.lag("pos").over(order).alias("__before"), F.lead(level).over(order).alias("__below"), F.max("pos").over(doc).alias("__end"))
+    # a node stands in its own level, and as an end in those of the open nodes that are deeper, but for the node just before it: nothing
+    # is below that one
+    deeper = F.when(F.col("__above") > F.col("level") + 1, F.sequence(F.col("level") + 1, F.col("__above") - 1))
+    places = F.concat(F.array("level"), F.coalesce(deeper, F.array().cast("array<int>")))
+    own = F.col("__at") == F.col("level")
+    events = seen.withColumn("__at", F.explode(places)).select(key, "pos", F.col("__at").alias("level"), "__before", F.when(own, F.col("__above")).alias("__above"), F.when(own, F.col("__below")).alias("__below"), F.when(own, F.col("__end")).alias("__end"), own.alias("__node"), F.when(own, F.col("__row")).alias("__row"))
+    w = W.partitionBy(key, "level").orderBy("pos")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    n = F.count_if("__node").over(upto)
+    # the first node below another stands right behind it
+    parent = F.last(F.when(F.col("__node") & (F.col("__above") < F.col("level")), F.struct(F.col("__before").alias("pos"), F.col("__n").alias("n"))), ignorenulls=True).over(upto)
+    leaf = F.coalesce(F.col("__below") <= F.col("level"), F.lit(True))
+    last = F.when(leaf, F.col("pos")).otherwise(F.coalesce(F.col("__next"), F.col("__end")))
+    out = events.withColumns({"__n": n, "__next": F.lead("__before").over(w)}).withColumn("__parent", parent).where("__node")
+    idx = F.col("__n") - F.coalesce(F.col("__parent.n"), F.lit(1))
+    return out.select(key, *[F.col(f"__row.{c}").alias(c) for c in names], "level", F.col("__parent.pos").alias("parent"), idx.alias("idx"), last.alias("last"))
 
 
 def ancestors(rows: DataFrame, key: str, mark: Column | None = None) -> DataFrame:

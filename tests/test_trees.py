@@ -53,6 +53,13 @@ def test_nested_sets_and_spans(spark, seed):
             assert spans[k, p] == union(p)
 
 
+def test_nested_sets_sort_twice(spark):
+    """By document and by level, in one shuffle: a third order of all rows spills them once more."""
+    df = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 1, "b")], "k int, pos int, level int, t string")
+    plan = trees.nested_sets(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and plan.count("Exchange") == 1
+
+
 USX = (
     '<?xml version="1.0"?><!DOCTYPE usx [<!ENTITY x "y">]><!-- <c> --><usx version="3.1"><book code="TIT" style="id">Na &amp; me</book><chapter number="1" style="c" altnumber="2" pubnumber="A" sid="TIT 1"/>'
     '<para style="p"><verse number="1" style="v" sid="TIT 1:1" altnumber="3"/>One <char style="add">two <char style="nd">LO&#82;D&#x1F600;</char> x</char> <char style="w" lemma="a>b" strong=\'H1\'>w</char>'
