@@ -10,6 +10,8 @@ import json
 import re
 from collections import namedtuple
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions.markers import base_marker, cell_span, dim_marker, well_formed
 from quire.functions.text import collapse, escape_xml, join_fragments
@@ -265,20 +268,22 @@ ABSORBED = {"ca": "altnumber", "va": "altnumber", "cp": "pubnumber", "vp": "pubn
 
 def to_usj(node: DataFrame, key: str) -> DataFrame:
     """(key, usj): each book's nodes nested as JSON: rows in tables, sidebars around their paragraphs, // as optional breaks,
-    alternative and published numbers and categories as attributes. A book is folded by itself, with a stack of what is open."""
+    alternative and published numbers and categories as attributes. A book is folded by itself, with a stack of what is open.
+
+    Rows come in the order of a window over books, in which a book's first row has number 1, and in batches that hold many books.
+    """
 
     def trim(content: list) -> None:
         """No white space at the end of a paragraph."""
         if content and isinstance(content[-1], str):
             content[-1] = content[-1].rstrip()
 
-    def fold(rows: pa.Table) -> pa.Table:
+    def fold(rows: Iterator[tuple]) -> str:
         root: list = []
         outer = para = root
         stack: list = []
         counted, holder = {}, {}  # the last chapter or verse; the sidebar or note whose category comes next
-        rows = rows.sort_by("pos")
-        for r in map(Row._make, zip(*[rows.column(c).to_pylist() for c in columns], strict=True)):
+        for r in rows:
             here = stack[-1][1] if stack else para
             if r.marker == "usfm":
                 continue
@@ -350,12 +355,48 @@ def to_usj(node: DataFrame, key: str) -> DataFrame:
                     here += [{"type": "optbreak"}] if k else []
                     here += [piece] if piece.strip() else []
         trim(para)
-        return pa.table({key: rows.column(key).slice(0, 1), "usj": pa.array([json.dumps({"type": "USJ", "version": "3.1", "content": root}, ensure_ascii=False)], pa.string())})
-
-    kind = dict(node.dtypes)[key]
+        return json.dumps({"type": "USJ", "version": "3.1", "content": root}, ensure_ascii=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+
+        def numbered_rows() -> Iterator[tuple]:
+            """(number of the book, row)"""
+            for b in batches:
+                first = b.column("__n").to_numpy() == 1
+                names = b.column(key)
+                values = [_maps(b.column(c)) if c == "attrs" else b.column(c).to_numpy(zero_copy_only=False).tolist() for c in columns]
+                for i, (begins, r) in enumerate(zip(first.tolist(), map(Row._make, zip(*values, strict=True)), strict=True)):
+                    if begins:
+                        keys.append(names[i].as_py())
+                    yield len(keys), r
+
+        made, size, done = [], 0, 0
+        for n, rows in groupby(numbered_rows(), itemgetter(0)):
+            made.append(fold(r for _, r in rows))
+            size += len(made[-1])
+            if size > BATCH_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[done:n], of_key), pa.array(made, pa.string())], [key, "usj"])
+                made, size, done = [], 0, n
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(keys[done:], of_key), pa.array(made, pa.string())], [key, "usj"])
+
+    kind, of_key = dict(node.dtypes)[key], to_arrow_type(node.schema[key].dataType)
     columns = ["kind", "style", "marker", "closing", "book", "sid", "number", "text", "attrs"]
     Row = namedtuple("Row", columns)
-    return node.select(key, "pos", *columns, *by(node, key)[1:]).groupBy(*by(node, key)).applyInArrow(fold, f"{key} {kind}, usj string")
+    place = F.row_number().over(W.partitionBy(*by(node, key)).orderBy("pos"))
+    return node.withColumn("__n", place).select(key, "__n", *columns).mapInArrow(run, f"{key} {kind}, usj string")
+
+
+#: Characters of JSON text that are handed on at once.
+BATCH_CHARS = 8_000_000
+
+
+def _maps(column: pa.MapArray) -> list[list[tuple]]:
+    """The entries of each map."""
+    at = column.offsets.to_numpy().tolist()
+    entries = list(zip(column.keys.to_numpy(zero_copy_only=False).tolist(), column.items.to_numpy(zero_copy_only=False).tolist(), strict=True))
+    return [entries[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
 
 
 #: XML elements of the nodes whose type has another name.

@@ -101,39 +101,63 @@ def read_xml(rows: DataFrame, key: str, text: str) -> DataFrame:
 XML_NAME = {"table:row": "row", "table:cell": "cell"}
 
 
+#: Nodes that are handed on at once.
+BATCH = 10_000
+
+
 def read_json(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, level, name, attrs, text): the tree table of JSON trees, in the names of the XML form (``style`` is the marker). A
-    null or unreadable text has no nodes. Each row of a batch is taken apart for itself."""
+    """(key, pos, level, name, attrs, text, parent, idx, last): the tree table of JSON trees, in the names of the XML form (``style`` is the
+    marker), with what ``nested_sets`` gives. A null or unreadable text has no nodes. Each row of a batch is taken apart for itself."""
     kind = dict(rows.dtypes)[key]
 
-    def flat(document: str | None) -> Iterator[tuple]:
+    def flat(document: str | None) -> list[list]:
+        """A list for each column; a node's interval ends where the next node that isn't deeper begins."""
         try:
             root = json.loads(document or "null")
         except ValueError:
             root = None
-        todo = [(0, root)] if isinstance(root, dict) else []
+        out: list[list] = [[] for _ in arrow]
+        todo = [(0, None, 0, root)] if isinstance(root, dict) else []
+        open_: list[int] = []
         while todo:
-            level, node = todo.pop()
+            level, parent, idx, node = todo.pop()
+            pos = len(out[0])
             if isinstance(node, dict):
                 attrs = [("style" if k == "marker" else k, str(v)) for k, v in node.items() if k not in ("type", "content") and isinstance(v, str | int | float)]
-                yield level, XML_NAME.get(node.get("type"), node.get("type") or ""), attrs, None
+                made = XML_NAME.get(node.get("type"), node.get("type") or ""), attrs, None
                 inner = node.get("content")
-                todo += [(level + 1, x) for x in reversed(inner if isinstance(inner, list) else [inner] if inner else [])]
-            elif isinstance(node, str):
-                yield level, None, [], node
-
-    arrow = [pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+                inner = [x for x in (inner if isinstance(inner, list) else [inner] if inner else []) if isinstance(x, dict | str)]
+                todo += [(level + 1, pos, i, inner[i]) for i in range(len(inner) - 1, -1, -1)]
+            else:
+                made = None, [], node
+            while len(open_) > level:
+                out[-1][open_.pop()] = pos - 1
+            open_.append(pos)
+            for column, value in zip(out, (pos, level, *made, parent, idx, pos), strict=True):
+                column.append(value)
+        for at in open_:
+            out[-1][at] = len(out[0]) - 1
+        return out
+
+    arrow = [pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int64(), pa.int32()]
+    names = ["pos", "level", "name", "attrs", "text", "parent", "idx", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, document in enumerate(b.column("text").to_pylist()):
-                made = [(pos, *n) for pos, n in enumerate(flat(document))]
-                if made:
-                    at = pa.array([row] * len(made))
-                    columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), arrow, strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(key).take(at), *columns], [key, "pos", "level", "name", "attrs", "text"])
-
-    return rows.select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, pos int, level int, name string, attrs map<string,string>, text string")
+            at, columns = [], [[] for _ in arrow]
+            for row, document in enumerate(b.column("text")):
+                made = flat(document.as_py())
+                at += [row] * len(made[0])
+                for column, more in zip(columns, made, strict=True):
+                    column += more
+                if len(at) >= BATCH or (at and row == b.num_rows - 1):
+                    # a long document goes on in pieces too
+                    for lo in range(0, len(at), BATCH):
+                        part = [pa.array(c[lo : lo + BATCH], k) for c, k in zip(columns, arrow, strict=True)]
+                        yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at[lo : lo + BATCH])), *part], [key, *names])
+                    at, columns = [], [[] for _ in arrow]
+
+    return rows.select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, pos int, level int, name string, attrs map<string,string>, text string, parent int, idx long, last int")
 
 
 #: Attributes that have a place of their own in tagged text, or none. (Milestones keep sid and eid, figures alt.)
@@ -148,7 +172,7 @@ def to_tagged(tree: DataFrame, key: str) -> DataFrame:
     chapters and verses (they have no number) are left out. Each node is a piece where it begins and one where its interval
     ends; pieces are put in order and joined.
     """
-    rows = nested_sets(tree, key)
+    rows = tree if "last" in tree.columns else nested_sets(tree, key)
     at = lambda name: F.element_at("attrs", F.lit(name))
     style, number = F.coalesce(at("style"), F.lit("")), at("number")
     has = lambda c: F.coalesce(c, F.lit("")) != ""

@@ -83,7 +83,7 @@ def tagged_round_trip(spark, sf_dir):
     """Tagged books to JSON trees, to tagged text and to JSON trees again: the nodes of the second trees."""
     trip = lambda books: markup.to_usj(markup.nodes(books, "doc_id", "text"), "doc_id")
     once = trees.to_tagged(trees.read_json(trip(_tagged_books(spark, sf_dir)), "doc_id", "usj"), "doc_id")
-    rows = trees.nested_sets(trees.read_json(trip(once), "doc_id", "usj"), "doc_id")
+    rows = trees.read_json(trip(once), "doc_id", "usj")
     at = lambda c: F.element_at("attrs", F.lit(c)).alias(c)
     long = lambda c: F.col(c).cast("long").alias(c)
     return rows.select("doc_id", *[long(c) for c in ("pos", "level", "idx", "last")], "name", at("style"), at("number"), at("lemma"), at("caller"), "text")

@@ -101,6 +101,18 @@ def test_trees_make_a_round_trip(spark):
     assert [tuple(r) for r in trees.read_json(odd, "k", "j").select("k", "level", "name", "text").collect()] == [(4, 0, "USJ", None), (4, 1, None, "x")]
 
 
+def test_many_books_a_batch(spark, monkeypatch):
+    """Books are folded from batches of many, and JSON trees come with their intervals: no call for each book, no order by level."""
+    books = spark.range(30).selectExpr("id AS k", r"concat('\\id B', id, '\n\\c 1', repeat('\n\\p\n\\v 1 a \\nd b\\nd* c', cast(id AS int) * 20)) AS text").repartition(2)
+    usj = markup.to_usj(markup.nodes(books, "k", "text"), "k")
+    assert "FlatMapGroups" not in usj._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: len(json.loads(r["usj"])["content"]) for r in usj.collect()} == {k: 2 + 20 * k for k in range(30)}
+    monkeypatch.setattr(trees, "BATCH", 50)
+    tree = trees.read_json(usj, "k", "usj")
+    names = ["k", "pos", "level", "parent", "idx", "last"]
+    assert sorted(tree.select(names).collect()) == sorted(trees.nested_sets(tree.drop("parent", "idx", "last"), "k").select(names).collect())
+
+
 def test_documents_that_share_a_key(spark):
     rows = [(2, "\\id EXO\n\\c 1\n\\p\n\\v 1 bb"), (2, "\\id LEV\n\\c 3\n\\p\n\\v 1 aa"), (None, "\\id NUM\n\\c 1\n\\p\n\\v 1 cc"), (None, "\\id DEU\n\\c 1\n\\p\n\\v 1 dd"), (2, "\\id EXO\n\\c 1\n\\p\n\\v 1 bb"), (3, None)]
     node = markup.nodes(spark.createDataFrame(rows, "k int, t string"), "k", "t")
