@@ -224,8 +224,9 @@ def lcs(a, b) -> list[tuple[int, int]]:
 def groups_json(rows: DataFrame, text: str) -> DataFrame:
     """Alignment groups from JSON text as one row a group (sid, group, sources, targets); groups without sources or targets are dropped."""
     parsed = F.from_json(F.col(text), f"format string, version string, verses map<string, {GROUP}>")
-    good = rows.select(parsed.alias("d")).where("d.format = 'usfm-alignment' AND d.version LIKE '1.%'")
-    verse = good.select(F.explode("d.verses").alias("sid", "groups")).select("sid", F.posexplode("groups").alias("group", "g"))
+    # the condition stands in the explosion: as a filter it would have each text parsed once more
+    good = F.expr("CASE WHEN d.format = 'usfm-alignment' AND d.version LIKE '1.%' THEN d.verses END")
+    verse = rows.select(parsed.alias("d")).select(F.explode(good).alias("sid", "groups")).select("sid", F.posexplode("groups").alias("group", "g"))
     return verse.where("size(g.sources) > 0 AND size(g.targets) > 0").select("sid", "group", "g.sources", "g.targets")
 
 

@@ -108,7 +108,7 @@ def comment_files(spark, sf_dir):
 
 def alignment_documents(spark, sf_dir):
     """Order lines as alignment groups, written as JSON by order and read back."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey")
     lines = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     src = F.array(F.struct(F.concat(F.lit("G"), F.col("l_partkey").cast("string")).alias("strong"), F.lit("l").alias("lemma"), F.lit("c").alias("content"), F.lit(1).alias("occurrence"), F.lit(1).alias("occurrences")))
     tgt = F.when(F.col("l_linenumber") < 7, F.array(F.struct(F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("word"), F.lit(1).alias("occurrence"), F.lit(2).alias("occurrences")))).otherwise(F.array())

@@ -96,12 +96,14 @@ def write_alignment_text(groups: DataFrame, key: str) -> DataFrame:
 
 def write_alignment_json(groups: DataFrame, key: str, translation: str, source: str) -> DataFrame:
     """(key, text) from (key, sid, group, sources, targets): JSON documents that ``alignment.groups_json`` reads."""
-    verse = groups.groupBy(key, "sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("group", "sources", "targets"))), lambda x: F.struct(x["sources"].alias("sources"), x["targets"].alias("targets"))).alias("g"))
-    verses = verse.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sid", "g")))).alias("verses"))
-    ident = lambda c: F.struct(F.col(c).alias("id"))
-    about = groups.groupBy(key).agg(F.first(translation).alias(translation), F.first(source).alias(source))
-    document = F.struct(F.lit("usfm-alignment").alias("format"), F.lit("1.0").alias("version"), ident(translation).alias("translation"), ident(source).alias("source"), "verses")
-    return verses.join(about, key).select(key, F.concat(F.to_json(document), F.lit("\n")).alias("text"))
+    # dealt by document once, all groups of a document come together anyhow
+    groups = groups.where(F.col(key).isNotNull()).repartition(key)
+    ident = lambda c: F.first(c).alias(c)
+    verse = groups.groupBy(key, "sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("group", "sources", "targets"))), lambda x: F.struct(x["sources"].alias("sources"), x["targets"].alias("targets"))).alias("g"), ident(translation), ident(source))
+    verses = verse.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sid", "g")))).alias("verses"), ident(translation), ident(source))
+    about = lambda c: F.struct(F.col(c).alias("id")).alias(c)
+    document = F.struct(F.lit("usfm-alignment").alias("format"), F.lit("1.0").alias("version"), about(translation), about(source), "verses")
+    return verses.select(key, F.concat(F.to_json(document), F.lit("\n")).alias("text"))
 
 
 ENTRY = "id string, userId string, timestamp bigint, sequence bigint, vectorClock map<string, bigint>, chapter int, layer string, operations string, baseSnapshotId string"

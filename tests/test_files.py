@@ -71,3 +71,15 @@ def test_whole_files(spark, tmp_path, name):
     (tmp_path / name).write_text("line 1\nline 2")
     r = files.read_texts(spark, str(tmp_path)).first()
     assert r["path"].endswith(name) and r["text"] == "line 1\nline 2"
+
+
+def test_alignment_json_is_dealt_once(spark):
+    """Verses, documents and their names follow from one shuffle, and each text is parsed in one place."""
+    word = F.array(F.struct(F.lit("w").alias("word"), F.lit(1).alias("occurrence"), F.lit(1).alias("occurrences")))
+    source = F.array(F.struct(F.lit("G1").alias("strong"), F.lit("l").alias("lemma"), F.lit("c").alias("content"), F.lit(1).alias("occurrence"), F.lit(1).alias("occurrences")))
+    rows = spark.range(40).select((F.col("id") % 4).alias("doc"), F.concat(F.lit("TIT 1:"), (F.col("id") % 8).cast("string")).alias("sid"), "id", source.alias("sources"), word.alias("targets"), F.lit("t").alias("tr"), F.lit("s").alias("src")).withColumnRenamed("id", "group")
+    made = files.write_alignment_json(rows, "doc", "tr", "src")
+    got = alignment.groups_json(made, "text")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert got.count() == 40 and all(r["text"].count('"id":"t"') == 1 for r in made.collect())
