@@ -91,16 +91,22 @@ def source_report(sources: DataFrame, tokens: DataFrame, sid: str = "sid") -> tu
     two and in lemmas.
     """
     bare = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    own = sources.withColumns({"__row": F.monotonically_increasing_id(), "__s": bare("strong"), "__l": bare("lemma"), "__f": strip_edges(F.trim("content"))})
+    own = sources.withColumns({"__s": bare("strong"), "__l": bare("lemma"), "__f": strip_edges(F.trim("content"))})
     own = own.join(resolve_verses(sources, tokens, sid), sid)
     tok = tokens.select(F.col(sid).alias("found"), bare("strong").alias("__s"), bare("lemma").alias("__l"), strip_edges(F.trim("surface")).alias("__f"), "occurrence")
-    ways = ((["__s"], "__s <> ''"), (["__l", "occurrence"], "__l <> ''"), (["__f", "occurrence"], "__f <> ''"), (["__s", "__l", "__f"], "__s = '' AND __l <> ''"))
-    hit = None
-    for on, when in ways:
-        got = own.where(when).select("__row", "found", *on).join(tok.where(when).select("found", *on).distinct(), ["found", *on]).select("__row")
-        hit = got if hit is None else hit.union(got)
-    marked = own.join(hit.distinct().withColumn("__hit", F.lit(1)), "__row", "left")
-    verses = marked.groupBy(sid, "found").agg(F.count("*").alias("words"), F.count("__hit").alias("matched"))
+    # in this order each key is dropped after its last use
+    ways = ((["__s", "__l", "__f"], "__s = '' AND __l <> ''"), (["__s"], "__s <> ''"), (["__l", "occurrence"], "__l <> ''"), (["__f", "occurrence"], "__f <> ''"))
+    # words and tokens of a verse stand together once; a verse that isn't found is one for itself
+    names = ["__s", "__l", "__f", "occurrence"]
+    words = own.select(sid, F.coalesce("found", sid).alias("__verse"), F.col("found").isNotNull().alias("__known"), *names, F.lit(False).alias("__there"))
+    there = tok.where("found IS NOT NULL").select(F.lit(None).cast(dict(own.dtypes)[sid]).alias(sid), F.col("found").alias("__verse"), F.lit(True).alias("__known"), *names, F.lit(True).alias("__there"))
+    rows = words.unionByName(there).repartition("__verse")
+    hit = F.lit(False)
+    for n, (on, when) in enumerate(ways):
+        fits = F.coalesce(F.expr(" AND ".join([f"({when})", "__known", *[f"{c} IS NOT NULL" for c in on]])), F.lit(False))
+        rows = rows.withColumn(f"__w{n}", fits & F.max("__there").over(W.partitionBy("__verse", *on))).drop(*[c for c in on if not any(c in later for later, _ in ways[n + 1 :])])
+        hit = hit | F.col(f"__w{n}")
+    verses = rows.where("NOT __there").groupBy("__verse", sid, F.when(F.col("__known"), F.col("__verse")).alias("found")).agg(F.count("*").alias("words"), F.count_if(hit).alias("matched")).drop("__verse")
     missing = (F.col("words") - F.col("matched")).cast("string")
     reason = F.when(F.col("found").isNull(), "the source has no such verse").when(F.col("matched") < F.col("words"), F.concat(missing, F.lit(" words of the source have no match")))
     verses = verses.withColumn("reason", reason)

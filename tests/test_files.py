@@ -83,3 +83,16 @@ def test_alignment_json_is_dealt_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert got.count() == 40 and all(r["text"].count('"id":"t"') == 1 for r in made.collect())
+
+
+def test_source_report_reads_words_once(spark, tmp_path):
+    """Words meet the tokens of their verse in one place for all four ways, and each word counts as itself."""
+    words = [("TIT 1:1", "G1", "l", "a", 1), ("TIT 1:1", "G1", "l", "a", 1), ("TIT 1:1", "", "Lem", "b", 2), ("TIT 1:1", "", "", "c,", 1), ("TIT 1:1", "", "lem", "d", 9), ("TIT 1:1", "G9", None, "e", None), ("TIT 9:9", "G1", "l", "a", 1), ("TIT 9:9", "", "", "", 1)]
+    tokens = [("tit 1:1", "g1", "x", "y", 5), ("tit 1:1", "G2", "lem", "z", 2), ("tit 1:1", "G3", "", "c", 1), ("tit 1:1", " ", "LEM", "d", 3), ("tit 1:1", "G4", "", "e", None), (None, "G1", "l", "a", 1)]
+    spark.createDataFrame(words, "sid string, strong string, lemma string, content string, occurrence int").write.parquet(str(tmp_path / "w"))
+    spark.createDataFrame(tokens, "sid string, strong string, lemma string, surface string, occurrence int").write.parquet(str(tmp_path / "t"))
+    verses, total = alignment.source_report(spark.read.parquet(str(tmp_path / "w")), spark.read.parquet(str(tmp_path / "t")))
+    assert sorted((r["sid"], r["found"], r["words"], r["matched"]) for r in verses.collect()) == [("TIT 1:1", "tit 1:1", 6, 5), ("TIT 9:9", None, 2, 0)]
+    assert total.first()["verses_compared"] == 2
+    # the words, their verse ids, and the tokens, with their ids in three forms
+    assert verses._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("FileScan") <= 6
