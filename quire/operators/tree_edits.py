@@ -187,13 +187,17 @@ _RESULT = [("__row", pa.int64()), ("kind", pa.string()), ("list", pa.list_(pa.in
 _RESULT += [("name", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("holds", pa.bool_())]
 
 
+#: Chapters whose operations are Python objects at once.
+CHAPTERS = 50
+
+
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The results of chapters (key, ops, counts), a row each."""
-    for b in batches:
+    """The results of chapters (key, ops, counts), a row each, some chapters at a time: a batch may hold ten thousand."""
+    for b in (whole.slice(at, CHAPTERS) for whole in batches for at in range(0, whole.num_rows, CHAPTERS)):
         rows = []
-        for i, (ops, counts) in enumerate(zip(b.column("ops").to_pylist(), b.column("counts").to_pylist(), strict=True)):
-            lists = _Lists({(): 0} | {tuple(c["list"]): c["n"] for c in counts or []})
-            for op in sorted(ops, key=lambda o: o["seq"]):
+        for i, (ops, counts) in enumerate(zip(b.column("ops"), b.column("counts"), strict=True)):
+            lists = _Lists({(): 0} | {tuple(c["list"]): c["n"] for c in counts.as_py() or []})
+            for op in sorted(ops.as_py(), key=lambda o: o["seq"]):
                 lists.apply(op)
             rows += [(i, kind, path, lo, hi, parent, shift, *((node[0], list(node[1].items()), *node[2:]) if node else (None,) * 4)) for kind, path, lo, hi, parent, shift, node in lists.result()]
         made = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_RESULT)]

@@ -5,6 +5,7 @@ import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,3 +398,12 @@ def test_states_are_asked_once_a_user():
     assert merger.clocks.calls + merger.waiting.calls <= 6
     again = [r for f in merger.handleInputRows(("d", 1), rows(101, 102, 3), None) for r in f["sequence"]]
     assert again == [101, 102] and not merger.waiting.rows and merger.clocks.rows == {("b",): (102,)}
+
+
+def test_operations_are_folded_some_chapters_at_a_time():
+    """A batch of many chapters is never whole in Python, and comes out in pieces."""
+    ops = [[{"seq": 0, "op": "removeNode", "path": [0], "to": None, "attr": None, "value": None, "node": None}]] * 120
+    batch = pa.RecordBatch.from_pydict({"k": list(range(120)), "ops": ops, "counts": [[{"list": [], "n": 2}]] * 120})
+    made = list(tree_edits._folded(iter([batch])))
+    assert len(made) == 3 and sorted({k for b in made for k in b.column("k").to_pylist()}) == list(range(120))
+    assert made[2].column("k").to_pylist()[0] == 100 and {(r["k"], r["lo"], r["parent"] is None) for r in made[2].to_pylist()} >= {(119, 0, True), (119, 1, False)}
