@@ -15,7 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,12 +35,6 @@ def with_paths(tree: DataFrame, key: str) -> DataFrame:
     return tree.join(up, [key, "pos"], "left").withColumn("path", F.concat(above, F.array(F.col("idx").cast("int")))).drop("__up")
 
 
-def _prefixes(rows: DataFrame, least: int, most: Column) -> DataFrame:
-    """``rows`` with each prefix of their paths of ``least`` places or more, as ``__k`` places ``__at``."""
-    k = F.explode(F.filter(F.sequence(F.lit(least), F.greatest(most, F.lit(least))), lambda n: n <= most))
-    return rows.withColumn("__k", k).withColumn("__at", F.slice("path", 1, F.col("__k")))
-
-
 class _New:
     """A node that an operation has put in."""
 
@@ -216,31 +210,37 @@ def apply_tree_ops(nodes: DataFrame, ops: DataFrame, key: list[str]) -> DataFram
     aren't null.
     """
     names = ["name", "attrs", "text", "holds"]
-    touched = ops.select(*[F.col(k).alias(k) for k in key]).distinct()
-    mine = nodes.join(touched, key, "left_semi").select(*key, "path", *names)
-    listed = mine.select(*key, F.slice("path", 1, F.size("path") - 1).alias("list"), F.lit(1).alias("n")).unionByName(mine.where("holds").select(*key, F.col("path").alias("list"), F.lit(0).alias("n")))
-    counts = listed.groupBy(*key, "list").agg(F.sum("n").alias("n"))
+    # dealt by chapter once: what follows asks for no other order of rows among tasks
+    mine = nodes.select(*key, "path", *names).repartition(*key)
+    own = F.struct(F.slice("path", 1, F.size("path") - 1).alias("list"), F.lit(1).alias("n"))
+    held = F.when(F.col("holds"), F.array(own, F.struct(F.col("path").alias("list"), F.lit(0).alias("n")))).otherwise(F.array(own))
+    counts = mine.select(*key, F.explode(held).alias("c")).groupBy(*key, "c.list").agg(F.sum("c.n").alias("n"))
+    counted = counts.select(*key, F.struct("list", F.col("n").cast("long").alias("n")).alias("counts"))
+    listed = ops.select(*key, F.struct("seq", "op", "path", "to", "attr", "value", "node").alias("ops")).unionByName(counted, allowMissingColumns=True)
+    listed = listed.groupBy(*key).agg(F.collect_list("ops").alias("ops"), F.collect_list("counts").alias("counts")).where("size(ops) > 0")
     kinds = dict(nodes.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + f", kind string, list array<int>, lo long, hi long, parent array<int>, shift long, {NODE}"
-    listed = ops.groupBy(*key).agg(F.collect_list(F.struct("seq", "op", "path", "to", "attr", "value", "node")).alias("ops"))
-    counted = counts.groupBy(*key).agg(F.collect_list(F.struct("list", F.col("n").cast("long").alias("n"))).alias("counts"))
-    listed = listed.select(*[F.col(k).alias(k) for k in key], "ops")
-    made = listed.join(counted, key, "left").mapInArrow(_folded, schema)
-    runs = made.where("kind = 'run' AND hi > lo").select(*key, F.col("list").alias("__list"), "parent", "shift", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("__i"))
+    made = listed.mapInArrow(_folded, schema).where("kind <> 'run' OR hi > lo").repartition(*key)
+    # each node stands in every list on its path, a run where it begins; the node itself goes along with the deepest list
+    deep = F.greatest(F.size("path"), F.lit(1))
+    steps = mine.withColumn("__k", F.explode(F.sequence(F.lit(1), deep)))
+    steps = steps.select(*key, F.lit(False).alias("__fresh"), "path", "__k", F.slice("path", 1, F.col("__k") - 1).alias("__list"), F.get("path", F.col("__k") - 1).cast("long").alias("__i"), F.when(F.col("__k") == deep, F.struct(*names)).alias("__node"))
+    of = lambda kind, c, name: F.when(F.col("kind") == kind, c).alias(name)
+    setting = F.struct(F.col("lo").alias("n"), F.col("name").alias("attr"), F.try_element_at("attrs", F.col("name")).alias("value"))
+    found = made.select(*key, (F.col("kind") == "new").alias("__fresh"), F.when(F.col("kind") != "run", F.col("list")).alias("path"), of("run", F.col("list"), "__list"), of("run", F.col("lo"), "__i"), of("run", F.struct("hi", "parent", "shift"), "__run"), of("set", setting, "__set"), of("new", F.struct(*names), "__node"))
+    w = W.partitionBy(*key, "__list").orderBy("__i", F.col("__run").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    rows = steps.unionByName(found, allowMissingColumns=True).withColumn("__last", F.last("__run", ignorenulls=True).over(w)).where("__run IS NULL")
     # each node by the deepest touched list on its path
-    steps = _prefixes(mine.select(*key, "path"), 1, F.size("path")).select(*key, "path", "__k", F.slice("path", 1, F.col("__k") - 1).alias("__list"), F.element_at("path", F.col("__k")).cast("long").alias("__i"))
-    where = F.struct(F.col("parent").alias("parent"), (F.col("__i") + F.col("shift")).cast("int").alias("place"))
-    moved = steps.join(runs, [*key, "__list", "__i"]).groupBy(*key, "path").agg(F.max_by(where, "__k").alias("__to"), F.max("__k").alias("__k"))
-    sets = made.where("kind = 'set'").groupBy(*key, F.col("list").alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.col("lo").alias("n"), F.col("name").alias("attr"), F.element_at("attrs", F.col("name")).alias("value")))).alias("__sets"))
-    rows = mine.join(moved, [*key, "path"], "left").join(sets, [*key, "path"], "left").where("__to IS NULL OR __to.parent IS NOT NULL")
-    path = F.when(F.col("__to").isNotNull(), F.concat("__to.parent", F.array("__to.place"), F.slice("path", F.col("__k") + 1, F.size("path")))).otherwise(F.col("path"))
+    to = F.when(F.col("__i") < F.col("__last.hi"), F.struct(F.col("__last.parent").alias("parent"), (F.col("__i") + F.col("__last.shift")).cast("int").alias("place"), F.col("__k").alias("k")))
+    rows = rows.select(*key, "__fresh", "path", "__node", "__set", to.alias("__to"))
+    node = W.partitionBy(*key, "__fresh", "path")
+    rows = rows.withColumns({"__to": F.max_by("__to", "__to.k").over(node), "__sets": F.array_sort(F.collect_list("__set").over(node))}).where("__node IS NOT NULL AND (__to IS NULL OR __to.parent IS NOT NULL)")
+    path = F.when(F.col("__to").isNotNull(), F.concat("__to.parent", F.array("__to.place"), F.slice("path", F.col("__to.k") + 1, F.size("path")))).otherwise(F.col("path"))
     # the last setting of an attribute holds
     last = F.map_from_entries(F.aggregate("__sets", F.array().cast("array<struct<attr:string,value:string>>"), lambda s, x: F.concat(F.filter(s, lambda e: e["attr"] != x["attr"]), F.array(F.struct(x["attr"].alias("attr"), x["value"].alias("value"))))))
-    kept = F.map_filter("attrs", lambda k, v: ~F.map_contains_key(last, k))
-    attrs = F.when(F.col("__sets").isNotNull() & F.col("name").isNotNull(), F.map_concat(kept, F.map_filter(last, lambda k, v: v.isNotNull()))).otherwise(F.col("attrs"))
-    rows = rows.select(*key, path.alias("path"), "name", attrs.alias("attrs"), "text", "holds")
-    new = made.where("kind = 'new'").select(*key, F.col("list").alias("path"), *names)
-    return nodes.join(touched, key, "left_anti").select(*key, "path", *names).unionByName(rows).unionByName(new)
+    kept = F.map_filter("__node.attrs", lambda k, v: ~F.map_contains_key(last, k))
+    attrs = F.when((F.size("__sets") > 0) & F.col("__node.name").isNotNull(), F.map_concat(kept, F.map_filter(last, lambda k, v: v.isNotNull()))).otherwise(F.col("__node.attrs"))
+    return rows.select(*key, path.alias("path"), "__node.name", attrs.alias("attrs"), "__node.text", "__node.holds")
 
 
 def diff_trees(old: DataFrame, new: DataFrame, key: list[str], chapter: str) -> DataFrame:
@@ -252,32 +252,45 @@ def diff_trees(old: DataFrame, new: DataFrame, key: list[str], chapter: str) ->
     order of seq removals come last, from the end.
     """
     on = [*key, chapter]
-    both = old.select(on).distinct().join(new.select(on).distinct(), on)
     names = ["name", "attrs", "text", "holds"]
-    side = lambda df, c: df.join(both, on, "left_semi").select(*on, "path", F.struct(*names).alias(c))
-    rows = side(old, "a").join(side(new, "b"), [*on, "path"], "full")
+    # dealt by chapter once; everything else follows from the order of paths in a chapter, where a subtree is an interval
+    side = lambda df, c: df.select(*on, "path", *names).repartition(*on).select(*on, "path", F.struct(*names).alias(c))
+    one = lambda c: F.first(c, ignorenulls=True).alias(c)
+    rows = side(old, "a").unionByName(side(new, "b"), allowMissingColumns=True).groupBy(*on, "path").agg(one("a"), one("b"))
     a, b = F.col("a"), F.col("b")
     there = a.isNotNull() & b.isNotNull()
     inside = F.coalesce(there & a["holds"] & b["holds"] & (a["name"] == b["name"]), F.lit(False))
     entries = lambda m: F.array_sort(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))))
     equal = a["name"].eqNullSafe(b["name"]) & a["text"].eqNullSafe(b["text"]) & (entries(a["attrs"]) == entries(b["attrs"])) & (a["holds"] == b["holds"])
     op = F.when(a.isNull(), "insertNode").when(b.isNull(), "removeNode").when(inside | equal, None).when(a["text"].isNotNull() & b["text"].isNotNull(), "setText").otherwise("replaceNode")
-    judged = rows.withColumn("op", op)
+    whole = W.partitionBy(*on)
+    order = whole.orderBy("path")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    both = F.max(a.isNotNull()).over(whole) & F.max(b.isNotNull()).over(whole)
+    for k in on:
+        both = both & F.col(k).isNotNull()
+    judged = rows.withColumn("__both", both).withColumn("op", F.when(F.col("__both"), op))
     # what lies below a node that goes or comes as a whole needs no operation of its own
-    roots = judged.where("op IN ('insertNode', 'removeNode', 'replaceNode')").select(*on, F.col("path").alias("__at"))
-    inner = _prefixes(judged.where("op IS NOT NULL AND size(path) > 1").select(*on, "path"), 1, F.size("path") - 1)
-    inner = inner.join(roots, [*on, "__at"], "left_semi").select(*on, "path").distinct()
-    found = judged.where("op IS NOT NULL").join(inner, [*on, "path"], "left_anti")
-    whole = found.where("op IN ('insertNode', 'replaceNode')").select(*on, F.col("path").alias("__at"))
-    parts = _prefixes(new.select(*on, "path", *names), 1, F.size("path")).join(whole, [*on, "__at"])
-    relative = F.slice("path", F.col("__k") + 1, F.size("path"))
-    trees = parts.groupBy(*on, "__at").agg(F.collect_list(F.struct(relative.alias("path"), *names)).alias("node")).withColumnRenamed("__at", "path")
-    gone = F.col("op") == "removeNode"
-    order = [gone, F.when(~gone, F.col("path")), F.when(gone, F.col("path")).desc()]
-    seq = F.row_number().over(W.partitionBy(*on).orderBy(*order)) - 1
-    found = found.join(trees, [*on, "path"], "left")
+    root = F.col("op").isin("insertNode", "removeNode", "replaceNode")
+    beyond = F.when(root & (F.size("path") > 0), F.concat(F.slice("path", 1, F.size("path") - 1), F.array(F.element_at("path", -1) + 1)))
+    judged = judged.withColumn("__beyond", beyond)
+    below = F.coalesce(F.max("__beyond").over(order.rowsBetween(W.unboundedPreceding, -1)) > F.col("path"), F.lit(False))
+    judged = judged.withColumn("__below", below).withColumn("__op", F.when(~F.col("__below"), F.col("op")))
+    gone = F.coalesce(F.col("__op") == "removeNode", F.lit(False))
+    stays = F.col("__op").isNotNull() & ~gone
+    count = lambda c, over: F.count_if(c).over(over)
+    seq = F.when(gone, count(stays, whole) + count(gone, whole) - count(gone, upto)).when(stays, count(stays, upto) - 1)
+    above = F.last(F.when(F.col("__op").isin("insertNode", "removeNode", "replaceNode"), F.struct("path", "op")), ignorenulls=True).over(upto)
+    found = judged.withColumns({"seq": seq, "__root": above})
+    found = found.withColumn("__at", F.when(F.col("__below"), F.col("__root.path")).otherwise(F.col("path")))
+    comes = F.when(F.col("__below"), F.col("__root.op")).otherwise(F.col("op")).isin("insertNode", "replaceNode") & b.isNotNull()
+    relative = F.slice("path", F.size("__at") + 1, F.size("path"))
+    part = F.when(comes, F.struct(relative.alias("path"), *[b[c].alias(c) for c in names]))
+    found = found.withColumn("__part", part).where("__op IS NOT NULL OR __below AND __part IS NOT NULL")
+    value = F.when(F.col("__op") == "setText", b["text"])
+    found = found.groupBy(*on, "__at").agg(F.max("seq").alias("seq"), F.max("__op").alias("op"), F.max(value).alias("value"), F.collect_list("__part").alias("node"))
     none = F.lit(None)
-    return found.select(*on, seq.cast("long").alias("seq"), "op", "path", none.cast("array<int>").alias("to"), none.cast("string").alias("attr"), F.when(F.col("op") == "setText", b["text"]).alias("value"), F.when(F.col("node").isNotNull(), F.col("node")).cast(SUBTREE).alias("node"))
+    return found.select(*on, F.col("seq").cast("long").alias("seq"), "op", F.col("__at").alias("path"), none.cast("array<int>").alias("to"), none.cast("string").alias("attr"), "value", F.when(F.size("node") > 0, F.col("node")).cast(SUBTREE).alias("node"))
 
 
 def hydrate_trees(snapshot: DataFrame, entries: DataFrame, key: list[str], clock: DataFrame | None = None) -> DataFrame:

@@ -238,6 +238,17 @@ def test_differences_applied_give_the_new_trees(spark):
     assert tree_edits.diff_trees(a, a, ["doc"], "chapter").count() == 0
 
 
+def test_chapters_are_dealt_once_for_differences_and_operations(spark):
+    a, b = (spark.createDataFrame([(1, 1, [0], None, {}, t, False), (None, 1, [0], None, {}, t, False)], TREE) for t in ("old", "new"))
+    ops = tree_edits.diff_trees(a, b, ["doc"], "chapter")
+    assert [(x["doc"], x["op"], x["value"]) for x in ops.collect()] == [(1, "setText", "new")]
+    got = tree_edits.apply_tree_ops(a, ops, ["doc", "chapter"])
+    # both versions, the nodes and their paths for the operations, and what these give
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 5
+    assert {(x["doc"], x["text"]) for x in got.collect()} == {(1, "new"), (None, "old")}
+
+
 def test_paths(spark):
     rows = trees.nested_sets(spark.createDataFrame([(1, p, level) for p, level in enumerate([0, 1, 2, 1, 0, 1])], "k int, pos int, level int"), "k")
     got = {x["pos"]: x["path"] for x in tree_edits.with_paths(rows, "k").collect()}
