@@ -53,15 +53,26 @@ def _help_rows(rows: DataFrame) -> DataFrame:
     return made.where("ref.kind IS NOT NULL")
 
 
+def _count(text: Column, character: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
+
+
 def _pairs(words: Column, occurrences: Column) -> Column:
-    """+-joined words with their n/total pairs as array<struct<word, occurrence, occurrences>>."""
+    """+-joined words with their n/total pairs as array<struct<word, occurrence, occurrences>>. Where each word has its pair of
+    numbers it takes no lambda, which Spark interprets."""
+    word = F.split(words, r"\+").alias("word")
+    side = lambda other, name: F.split(F.regexp_replace(occurrences, other, ""), r"\+").cast("array<int>").alias(name)
+    whole = occurrences.rlike(r"^\d{1,9}/\d{1,9}(?:\+\d{1,9}/\d{1,9})*+\z") & (_count(words, "+") <= _count(occurrences, "+"))
     pair = lambda o, k: F.coalesce(F.get(F.split(o, "/"), F.lit(k)).try_cast("int"), F.lit(1))
-    return F.transform(F.arrays_zip(F.split(words, r"\+").alias("w"), F.split(occurrences, r"\+").alias("o")), lambda x: F.struct(x["w"].alias("word"), pair(x["o"], 0).alias("occurrence"), pair(x["o"], 1).alias("occurrences")))
+    any_ = F.transform(F.arrays_zip(word, F.split(occurrences, r"\+").alias("o")), lambda x: F.struct(x["word"].alias("word"), pair(x["o"], 0).alias("occurrence"), pair(x["o"], 1).alias("occurrences")))
+    return F.when(whole, F.arrays_zip(word, side("/[^+]*", "occurrence"), side("[^+]*/", "occurrences"))).otherwise(any_)
 
 
 def read_alignment_tsv(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n, sid, sources, targets): a group for each line with at least 8 cells; a header line is skipped."""
-    cells = lines(rows, key, text).withColumn("c", F.split("line", "\t")).where("size(c) >= 8 AND NOT (n = 0 AND lower(c[0]) = 'book')")
+    # lines are chosen by their tabs, so that each is split once
+    head = (F.col("n") == 0) & (F.lower(F.substring_index("line", "\t", 1)) == "book")
+    cells = lines(rows, key, text).where((_count(F.col("line"), "\t") >= 7) & ~head).withColumn("c", F.split("line", "\t"))
     c = lambda k: F.get("c", F.lit(k))
     sid = F.concat(c(0), F.lit(" "), c(1), F.lit(":"), c(2))
     return cells.select(key, "n", sid.alias("sid"), _pairs(c(3), c(4)).alias("sources"), F.split(c(5), r"\+").alias("strongs"), _pairs(c(6), c(7)).alias("targets"), c(8).alias("lemmas"), c(9).alias("morphs"))
@@ -70,10 +81,18 @@ def read_alignment_tsv(rows: DataFrame, key: str, text: str) -> DataFrame:
 def write_alignment_tsv(groups: DataFrame, keep: tuple[str, ...] = ("sid",)) -> DataFrame:
     """(keep, line) from (sid, sources, strongs, targets, lemmas, morphs)."""
     sid = lambda k: F.regexp_extract("sid", r"^(\S+) ([^:]+):(.+)$", k)
-    word = lambda a: F.array_join(F.transform(a, lambda x: x["word"]), "+")
-    occ = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws("/", x["occurrence"].cast("string"), x["occurrences"].cast("string"))), "+")
+    word = lambda a: F.array_join(F.col(a)["word"], "+")
+    pair = lambda x: F.concat_ws("/", x["occurrence"].cast("string"), x["occurrences"].cast("string"))
+    # groups of one or two words, as nearly all are, take no lambda
+    few = lambda a: F.concat_ws("+", *[F.when(F.size(a) > k, pair(F.get(a, F.lit(k)))) for k in range(2)])
+    occ = lambda a: F.when(F.size(a).between(0, 2), few(a)).otherwise(F.array_join(F.transform(a, pair), "+"))
     fields = [sid(1), sid(2), sid(3), word("sources"), occ("sources"), F.array_join("strongs", "+"), word("targets"), occ("targets"), F.coalesce("lemmas", F.lit("")), F.coalesce("morphs", F.lit(""))]
-    return groups.select(*keep, F.concat_ws("\t", *[escape_tsv(f) for f in fields]).alias("line"))
+    line = F.col("__line")
+    there = F.col("sid").isNotNull() & F.col("sources").isNotNull() & F.col("strongs").isNotNull() & F.col("targets").isNotNull()
+    # the fields are looked at one by one only where one of them may need quotes
+    plain = there & (_count(line, "\t") == len(fields) - 1) & ~line.rlike('["\n\r]')
+    escaped = F.array_join(F.transform(F.array(*fields), escape_tsv), "\t")
+    return groups.withColumn("__line", F.concat_ws("\t", *fields)).select(*keep, F.when(plain, line).otherwise(escaped).alias("line"))
 
 
 def read_alignment_text(rows: DataFrame, key: str, text: str) -> DataFrame:

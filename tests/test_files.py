@@ -27,6 +27,19 @@ def test_alignment_tables(spark):
     assert files.write_alignment_tsv(got).first()["line"] == line
 
 
+def test_alignment_lines_are_split_once_and_keep_odd_cells(spark):
+    """Cells with and without full pairs of numbers, groups of three words, a header, and fields that need quotes."""
+    cells = [("a+b", "1/1+2/3"), ("a+b+c", "1/2+2/2+3/3"), ("a+b", "7"), ("a", "x/2"), ("a", "1/"), ("a", "1/1+5/6"), ("", ""), ('q"', " 1/2"), ("a", "9999999999/1")]
+    text = "BOOK" + "\tx" * 9 + "\n" + "\n".join("\t".join(["TIT", "1", str(i), w, o, "G1", w, o, "l", "m"]) for i, (w, o) in enumerate(cells)) + "\r\na\tb"
+    got = files.read_alignment_tsv(texts(spark, text), "k", "t")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(line") == 1
+    want = [[("a", 1, 1), ("b", 2, 3)], [("a", 1, 2), ("b", 2, 2), ("c", 3, 3)], [("a", 7, 1), ("b", 1, 1)], [("a", 1, 2)], [("a", 1, 1)], [("a", 1, 1), (None, 5, 6)], [("", 1, 1)], [('q"', 1, 2)], [("a", 1, 1)]]
+    assert [[tuple(x) for x in r["targets"]] for r in got.orderBy("n").collect()] == want
+    lines = [r["line"] for r in files.write_alignment_tsv(got.orderBy("n"), ("n",)).orderBy("n").collect()]
+    assert lines[1] == "TIT\t1\t1\ta+b+c\t1/2+2/2+3/3\tG1\ta+b+c\t1/2+2/2+3/3\tl\tm"
+    assert lines[7] == 'TIT\t1\t7\t"q"""\t1/2\tG1\t"q"""\t1/2\tl\tm'
+
+
 def test_alignment_sections(spark):
     got = files.read_alignment_text(texts(spark, "x → y\n== TIT 1:1 ==\nα β → one\n\n== TIT 1:2 ==\nγ → two three"), "k", "t").orderBy("n").collect()
     assert [(r["sid"], r["sources"], r["targets"]) for r in got] == [("TIT 1:1", ["α", "β"], ["one"]), ("TIT 1:2", ["γ"], ["two", "three"])]
