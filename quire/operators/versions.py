@@ -280,18 +280,53 @@ def merge_files(files: DataFrame, key: str = "path") -> DataFrame:
     return out.select(key, kind.alias("kind"), text.alias("text"), conflict.alias("conflict"))
 
 
+def edit_chapters(rows: DataFrame, key: str, new: DataFrame | None = None, gone: DataFrame | None = None, moves: DataFrame | None = None, add: bool = False) -> DataFrame:
+    """Rows (key, chapter, place, content) after ``replace_chapters`` with ``new``, ``delete_chapters`` with ``gone`` and
+    ``renumber_chapters`` with ``moves``, in this order, each where given.
+
+    What is to be done goes along with the rows, dealt by book once and put in order of chapters once.
+    """
+    names = rows.columns
+    kind = dict(rows.dtypes)["chapter"]
+    named = F.col(key).isNotNull() & F.col("chapter").isNotNull()
+    row, put, cut, move = range(4)
+    mark = lambda df, what: df.withColumn("__what", F.lit(what).cast("byte"))
+    of = lambda what: F.col("__what") == what
+    parts = [mark(rows, row)]
+    if new is not None:
+        parts.append(mark((new if add else new.where(named)).select(names), put))
+    if gone is not None:
+        parts.append(mark(gone.where(named).select(key, "chapter"), cut))
+    if moves is not None:
+        good = moves.where(named & F.expr("chapter >= 1 AND new >= 1"))
+        parts.append(mark(good.select(key, F.col("chapter").cast(kind).alias("chapter"), F.col("new").alias("__new")), move))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    if moves is not None:
+        out = out.repartition(key)
+    w = W.partitionBy(key, "chapter")
+    some = lambda what: F.coalesce(F.max(of(what)).over(w), F.lit(False)) & named
+    stays = (of(row) & ~some(put) | of(put) & (F.lit(add) | some(row))) & ~some(cut)
+    out = out.withColumn("__stays", stays)
+    if moves is None:
+        return out.where("__stays").select(names)
+    # numbers that are taken, of all chapters of the book
+    taken = F.collect_set(F.when(F.col("__stays"), F.col("chapter"))).over(W.partitionBy(key))
+    to = F.filter(F.collect_list("__new").over(w), lambda n: ~F.array_contains("__taken", n))
+    out = out.withColumn("__taken", taken).withColumn("__to", F.when(named, to)).where("__stays")
+    return out.withColumn("__to", F.explode_outer("__to")).withColumn("chapter", F.coalesce("__to", "chapter")).select(names)
+
+
 def replace_chapters(rows: DataFrame, new: DataFrame, key: str, add: bool = False) -> DataFrame:
     """Rows (key, chapter, place, content) with the chapters of ``new`` in place of theirs; chapters that a book doesn't have
     are put in by number if ``add``, else left out."""
-    named = new.select(key, "chapter").distinct()
-    have = rows.select(key, "chapter").distinct()
-    more = new if add else new.join(have, [key, "chapter"], "left_semi")
-    return rows.join(named, [key, "chapter"], "left_anti").unionByName(more.select(rows.columns))
+    return edit_chapters(rows, key, new=new, add=add)
 
 
 def delete_chapters(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows without the chapters of ``gone`` (key, chapter)."""
-    return rows.join(gone.select(key, "chapter").distinct(), [key, "chapter"], "left_anti")
+    return edit_chapters(rows, key, gone=gone)
 
 
 def merge_into_previous(rows: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
@@ -311,9 +346,7 @@ def merge_into_previous(rows: DataFrame, chapters: DataFrame, key: str) -> DataF
 
 def renumber_chapters(rows: DataFrame, moves: DataFrame, key: str) -> DataFrame:
     """Rows with chapters renumbered by ``moves`` (key, chapter, new): those that exist, to numbers from 1 that aren't taken."""
-    taken = rows.select(key, F.col("chapter").alias("new")).distinct()
-    good = moves.where("chapter >= 1 AND new >= 1").join(taken, [key, "new"], "left_anti")
-    return rows.join(good, [key, "chapter"], "left").withColumn("chapter", F.coalesce("new", "chapter")).select(rows.columns)
+    return edit_chapters(rows, key, moves=moves)
 
 
 def edit_verses(rows: DataFrame, edits: DataFrame, key: list[str], content: str) -> DataFrame:

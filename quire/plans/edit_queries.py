@@ -177,9 +177,9 @@ def chapter_edits(spark, sf_dir):
     rows = _chapters(spark, sf_dir)
     books = rows.select("book").distinct()
     new = books.select("book", F.lit(1).cast("long").alias("chapter"), F.lit(0).cast("long").alias("place"), F.lit(-1).cast("long").alias("content"))
-    out = versions.replace_chapters(rows, new, "book")
-    out = versions.delete_chapters(out, books.withColumn("chapter", F.lit(3).cast("long")), "book")
-    return versions.renumber_chapters(out, books.select("book", F.lit(2).cast("long").alias("chapter"), F.lit(7).cast("long").alias("new")), "book")
+    number = lambda n: F.lit(n).cast("long")
+    moves = books.select("book", number(2).alias("chapter"), number(7).alias("new"))
+    return versions.edit_chapters(rows, "book", new, books.withColumn("chapter", number(3)), moves)
 
 
 def chapters_merged(spark, sf_dir):

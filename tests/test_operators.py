@@ -421,3 +421,21 @@ def test_usj_similarity_asks_python_once(spark):
     made = similarity.usj_similarity(rows, "a", "b", "s")
     assert made._jdf.queryExecution().executedPlan().toString().count("EvalPython ") == 1
     assert {r["k"]: (r["s"]["text_similarity"], r["s"]["ok"]) for r in made.collect()} == {1: (1.0, True), 2: (None, None), 3: (0.0, False)}
+
+
+def test_chapters_are_edited_in_one_order_of_rows(spark):
+    """Replaced, deleted and renumbered chapters, with books and chapters that aren't there or have no name, without a join."""
+    schema = "book string, chapter long, place long, content long"
+    rows = spark.createDataFrame([("a", 1, 0, 1), ("a", 1, 1, 2), ("a", 2, 0, 3), ("a", 2, 0, 3), ("a", 3, 0, 4), ("b", 2, 0, 5), ("b", 7, 0, 6), ("c", None, 0, 7), (None, 2, 0, 8), (None, 3, 0, 9)], schema)
+    new = spark.createDataFrame([("a", 1, 0, -1), ("b", 1, 0, -2), ("c", None, 0, -3), (None, 2, 0, -4)], schema)
+    gone = spark.createDataFrame([("a", 3), ("b", 9), ("c", None), (None, 3)], "book string, chapter long")
+    moves = spark.createDataFrame([("a", 2, 3), ("b", 2, 7), ("b", 7, 0), ("c", None, 4), (None, 2, 6)], "book string, chapter long, new long")
+    out = versions.edit_chapters(rows, "book", new, gone, moves)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    said = lambda df: sorted(map(str, map(tuple, df.collect())))
+    rest = [("b", 2, 0, 5), ("b", 7, 0, 6), ("c", None, 0, 7), (None, 2, 0, 8), (None, 3, 0, 9)]
+    assert said(out) == sorted(map(str, [("a", 1, 0, -1), ("a", 3, 0, 3), ("a", 3, 0, 3), *rest]))
+    one = versions.renumber_chapters(versions.delete_chapters(versions.replace_chapters(rows, new, "book"), gone, "book"), moves, "book")
+    assert said(one) == said(out)
+    assert said(versions.replace_chapters(rows, new, "book", add=True)) == sorted(map(str, [("a", 1, 0, -1), ("a", 2, 0, 3), ("a", 2, 0, 3), ("a", 3, 0, 4), ("b", 1, 0, -2), ("c", None, 0, -3), (None, 2, 0, -4), *rest]))
