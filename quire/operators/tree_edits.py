@@ -6,7 +6,7 @@ a text has a text and no name; holds says that a node has a list of content, be
 Operations never meet the nodes in Python. What a chapter's operations do to its lists of siblings is worked out from the
 operations and the lengths of the lists alone: a list is a few runs of old places, new nodes between them, and each
 insertion, removal or move cuts and shifts runs. What comes out is a table of runs, from old places to new ones, which nodes
-join by the deepest list on their path that was touched.
+find by the deepest list on their path that was touched.
 """
 
 from __future__ import annotations
