@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions.markers import base_marker, cell_span, dim_marker, well_formed
-from quire.functions.text import collapse, escape_xml, join_fragments
+from quire.functions.text import collapse, escape_xml, join_fragments, let
 from quire.operators.windows import depth
 
 #: Tells rows of a key apart that hold different texts.
@@ -95,10 +95,13 @@ def _note_closers(rows: DataFrame, key: str) -> DataFrame:
 
 
 def attributes(raw: Column, default: Column) -> Column:
-    """The map after the first bar: key="value" pairs, or a bare value under the default attribute. Empty values are left out."""
+    """The map after the first bar: key="value" pairs, or a bare value under the default attribute. Empty values are left out; a
+    name that comes again keeps its place and takes its last value."""
     part = F.regexp_extract(raw, r"(?s)^[^|]*\|(.*)$", 1)
     pairs = F.regexp_extract_all(part, F.lit(r'([\w-]+\s*=\s*"[^"]*")'), 1)
-    named = F.map_from_entries(F.filter(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^([\w-]+)", 1), F.regexp_replace(F.regexp_extract(p, r'(?s)"(.*)"$', 1), r"\s+", " "))), lambda e: e["col2"] != ""))
+    entries = F.filter(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^([\w-]+)", 1).alias("name"), F.regexp_replace(F.regexp_extract(p, r'(?s)"(.*)"$', 1), r"\s+", " ").alias("value"))), lambda e: e["value"] != "")
+    backwards = let(F.reverse(entries), lambda r: F.struct(F.array_distinct(F.reverse(r["name"])).alias("each"), r["name"].alias("names"), r["value"].alias("values")))
+    named = let(backwards, lambda b: F.map_from_arrays(b["each"], F.transform(b["each"], lambda n: F.element_at(b["values"], F.array_position(b["names"], n).cast("int")))))
     bare = F.trim(part)
     return F.when(part.contains("="), named).when((bare != "") & default.isNotNull(), F.create_map(default, bare)).otherwise(F.create_map().cast("map<string,string>"))
 
@@ -117,7 +120,8 @@ def nodes(books: DataFrame, key: str, text: str, extra: list[tuple[str, str, str
     body = F.when(number.isNotNull(), F.regexp_replace("raw", r"^\s*\S+\s?", ""))
     body = body.when(F.col("kind").isin("character", "milestone") & opens & F.col("raw").contains("|"), F.regexp_extract("raw", r"(?s)^\s?([^|]*)", 1))
     body = body.when(F.col("kind").isin("note") & opens, F.regexp_replace("raw", r"^\s?\S(\s|$)", "")).when(opens, F.regexp_replace("raw", r"^\s", "")).otherwise(F.col("raw"))
-    has_attrs = F.col("kind").isin("character", "milestone") & opens
+    # what has a number keeps the bars of its text
+    has_attrs = F.col("kind").isin("character", "milestone") & opens & number.isNull()
     rows = rows.withColumns({"number": number, "text": F.regexp_replace(body, r"\s+", " "), "attrs": F.when(has_attrs, attributes(F.col("raw"), F.col("default_attribute"))).when((F.col("kind") == "note") & opens, F.create_map(F.lit("caller"), F.regexp_extract("raw", r"^\s*(\S?)", 1))).otherwise(F.create_map().cast("map<string,string>"))})
     doc = by(rows, key)
     w = W.partitionBy(*doc).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)

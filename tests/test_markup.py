@@ -9,6 +9,7 @@ from quire.functions import markers
 from quire.functions.markers import dim_marker
 from quire.operators import alignment, markup
 from quire.operators.windows import depth
+from quire.plans import structure_queries
 
 BOOKS = {
     1: "\\id GEN A test\n\\h Genesis\n\\mt1 Genesis\n\\c 1\n\\p\n\\v 1 In the \\add very\\add* beginning\n\\v 2 And the earth\\f + \\ft A note.\\f* was\n\\q1 poetry\n\\c 2\n\\p\n\\v 1a-2 Next, \\w word|lemma=\"w\" strong=\"H1\"\\w* and \\w plain|bare\\w*.",
@@ -108,3 +109,14 @@ def test_depth_begins_anew_in_each_part(spark):
     books = spark.createDataFrame([(1, text)], "k int, text string")
     got = [(r["marker"], r["verse"]) for r in markup.nodes(books, "k", "text").orderBy("pos").collect()]
     assert got == [("id", None), ("c", None), ("p", None), ("v", "1"), ("c", None), ("p", None), ("v", "1"), ("c", None), ("v", "d")]
+
+
+def test_bars_in_verses_and_names_that_come_again(spark, tmp_path):
+    """A bar in a verse is text, and names that come again after one are no error."""
+    books = spark.createDataFrame([(1, '\\id TIT\n\\c 1\n\\p\n\\v 1 a | t = "x" | t = "y"\n\\v 2 \\w b|n="1" lemma="c" n="2  3" n=""\\w*')], "k int, text string")
+    rows = {(r["marker"], r["verse"]): r for r in markup.nodes(books, "k", "text").withColumn("names", F.map_keys("attrs")).where("NOT closing").collect()}
+    assert rows["v", "1"]["text"] == 'a | t = "x" | t = "y" ' and rows["v", "1"]["attrs"] == {}
+    assert rows["w", "2"]["attrs"] == {"n": "2 3", "lemma": "c"} and rows["w", "2"]["names"] == ["n", "lemma"]
+    docs = spark.createDataFrame([(1, 'a | token = "x" | b | token = "y"\nc'), (2, 'token="x" token="y" | token="z" token="z"')], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, structure_queries.render_usx(spark, str(tmp_path)).collect())) == [(1, 2, 2, 2, 2), (2, 2, 2, 1, 1)]
