@@ -1,5 +1,6 @@
 """Tagged text: tokens, nodes, verse texts, renderers."""
 
+import json
 import re
 
 import pytest
@@ -9,7 +10,7 @@ from quire.functions import markers
 from quire.functions.markers import dim_marker
 from quire.operators import alignment, markup
 from quire.operators.windows import depth
-from quire.plans import structure_queries
+from quire.plans import format_queries, structure_queries
 
 BOOKS = {
     1: "\\id GEN A test\n\\h Genesis\n\\mt1 Genesis\n\\c 1\n\\p\n\\v 1 In the \\add very\\add* beginning\n\\v 2 And the earth\\f + \\ft A note.\\f* was\n\\q1 poetry\n\\c 2\n\\p\n\\v 1a-2 Next, \\w word|lemma=\"w\" strong=\"H1\"\\w* and \\w plain|bare\\w*.",
@@ -120,3 +121,12 @@ def test_bars_in_verses_and_names_that_come_again(spark, tmp_path):
     docs = spark.createDataFrame([(1, 'a | token = "x" | b | token = "y"\nc'), (2, 'token="x" token="y" | token="z" token="z"')], "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, structure_queries.render_usx(spark, str(tmp_path)).collect())) == [(1, 2, 2, 2, 2), (2, 2, 2, 1, 1)]
+
+
+def test_trees_of_lines_with_names_that_come_again(spark, tmp_path):
+    docs = spark.createDataFrame([(1, 'a | token = "x" | b | token = "y"\nc'), (2, 'token="x" token="y" | token="z" token="z"')], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, format_queries.usj_tree(spark, str(tmp_path)).collect())) == [(1, "USJ", "1", 2), (2, "USJ", "1", 1)]
+    books = spark.createDataFrame([(1, '\\id TIT\n\\c 1\n\\p\n\\v 1 a | t = "x" | t = "y" \\w b|n="1" lemma="c" n="2"\\w*')], "k int, text string")
+    tree = json.loads(markup.to_usj(markup.nodes(books, "k", "text"), "k").first()["usj"])
+    assert tree["content"][-1]["content"][1:] == ['a | t = "x" | t = "y" ', {"type": "char", "marker": "w", "n": "2", "lemma": "c", "content": ["b"]}]
